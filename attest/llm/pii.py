@@ -1,0 +1,353 @@
+"""Personal data in texts: exact base patterns, and a linear-chain conditional random field.
+
+The base patterns (e-mail, IP address, payment card, telephone) are found as a regular-expression
+search finds them, leftmost and without overlap for each kind, in time proportional to the text.
+The field labels words by their shape (digits, separators, at-signs, case), is trained by gradient
+ascent on a small labelled table, and is decoded by Viterbi over numpy batches; it adds spans of
+the same kinds that the patterns miss, such as an address cut by blanks or a local number.
+
+A word without digits or at-signs is "plain". As plain words score best as "other" by a learned
+margin, the best path passes "other" inside any long enough run of plain words; so only the
+neighbourhood of other words is decoded, and the result is that of the whole text.
+
+Defined cases: null and empty texts have no spans; very long texts are read whole; equal rows have
+equal results; an empty table gives an empty one; other columns are carried by find_spans() and
+mask(), whose own columns replace columns of the same name.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from attest.llm.shared import chunked
+
+KINDS = ("email", "ip", "card", "phone")
+
+# The base patterns of the contract, in forms that never look at a place twice.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        if i % 2:
+            d = d * 2 - 9 * (d > 4)
+        total += d
+    return total % 10 == 0
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+            free = m.end()
+        else:
+            free = max(free, at)
+        at = text.find("@", max(at + 1, free))
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind's number) of all base spans, by start and then kind."""
+    found = [(a, z, 0) for a, z in _emails(text)]
+    if not _ANY_DIGIT.search(text):
+        return found
+    for m in _IP.finditer(text):
+        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+            found.append((m.start(), m.end(), 1))
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 14:
+            digits = m.group().replace(" ", "").replace("-", "")
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                found.append((m.start(), m.end(), 2))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 10 <= sum(c in "0123456789" for c in m.group()) <= 15:
+                found.append((m.start(), m.end(), 3))
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+_ANY_DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"\S+")
+_MARK = re.compile(r"[0-9@]")
+
+# ------------------------------------------------------------------ the field
+
+LABELS = ("O", *(f"{side}-{kind}" for kind in KINDS for side in "BI"))
+#: A small labelled table: words and labels, one letter each (O; E e, P p, C c, T t: begin, inside).
+LABELLED = (
+    ("mail ann.lee@post.example.org now", "O E O"), ("write to bo-7@x.example soon please", "O O E O O"),
+    ("ask kim at kim (at) mail.example", "O O O O O O"), ("the list@ was empty", "O O O O"),
+    ("server 10.0.0.12 is down", "O P O O"), ("from 192.168.1.254, then", "O P O"), ("version 2.10.4 came out", "O O O O"),
+    ("chapter 3.2.1 and 4.5", "O O O O"), ("card 4111 1111 1111 1111 expired", "O C c c c O"), ("pay 4012-8888-8888-1881 today", "O C O"),
+    ("number 378282246310005 is used", "O C O O"), ("in 1999 about 1200 people", "O O O O O"), ("order 12345678 was sent on 2020-01-31", "O O O O O O"),
+    ("it cost 1,200.50 or 38% more", "O O O O O O"), ("call +1 (415) 555-0123 now", "O T t t O"), ("tel (212) 555-0188 or", "O T t O"),
+    ("ring +44 20 7946 0958 tonight", "O T t t t O"), ("fax 030-1234567 is old", "O O O O"), ("key a1b2c3d4e5f6 and 0x7f", "O O O O"),
+    ("then 555-0199 after", "O O O"), ("plain words go on here", "O O O O O"), ("call +49 (30) 901820 please", "O T t t O"),
+    ("call (646) 555-0147. Then", "O T t O"), ("row 12 has 14 and 16", "O O O O O O"), ("x 4556 7375 8689 9855 y", "O C c c c O"),
+    ("part 12 3456 of", "O O O O"), ("at 8:30 on 12/05", "O O O O"), ("id 8812 4411 9 ok", "O O O O O"),
+)
+_CODE = dict(zip("OEePpCcTt", range(9), strict=True))
+
+
+def shape(word: str) -> str:
+    """The word's shape: outer punctuation aside, letters a, digits by length, other marks kept."""
+    w = word.strip(".,;:!?\"'[]{}<>*#$%&|")
+    if not w:
+        return "-"
+    if "@" in w:
+        return "local@domain.d" if re.fullmatch(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+", w) else "@"
+    if not _ANY_DIGIT.search(w):
+        return "plain"
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", w):
+        return "quad"
+    if re.search(r"[^\W\d_]", w):
+        return "mixed"
+    digits = sum(c.isdigit() for c in w)
+    if w[0] == "+":
+        return f"+{min(digits, 4)}"
+    if w[0] == "(":
+        return f"({min(digits, 4)})"
+    if re.fullmatch(r"[0-9]+", w):
+        return f"d{min(digits, 13) if digits < 14 else 14 if digits <= 19 else 20}"
+    if re.fullmatch(r"[0-9]{3}-[0-9]{4}", w):
+        return "ddd-dddd"
+    if re.fullmatch(r"[0-9]+(-[0-9]+)+", w):
+        return f"dash{14 if 14 <= digits <= 19 else 1}"
+    return "number"
+
+
+@lru_cache(maxsize=1)
+def field(rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[dict[str, int], np.ndarray, np.ndarray, int]:
+    """(shapes, emission weights, transition weights, margin) fitted to LABELLED.
+
+    The likelihood is concave; plain gradient steps from zero always give the same weights. The
+    last row of emissions is for shapes that were never seen. margin: a run of so many plain words
+    always holds one labelled O.
+    """
+    data = [([shape(w) for w in words.split()], [_CODE[c] for c in codes.split()]) for words, codes in LABELLED]
+    shapes = {s: i for i, s in enumerate(sorted({s for x, _ in data for s in x} | {"plain"}))}
+    n, k = len(shapes) + 1, len(LABELS)
+    e, t = np.zeros((n, k)), np.zeros((k + 1, k))
+    for _ in range(rounds):
+        de, dt = -decay * e * len(data), -decay * t * len(data)
+        for words, labels in data:
+            x = [shapes[w] for w in words]
+            score = e[x]
+            a = np.zeros((len(x), k))
+            a[0] = score[0] + t[k]
+            for i in range(1, len(x)):
+                a[i] = score[i] + np.logaddexp.reduce(a[i - 1][:, None] + t[:k], axis=0)
+            b = np.zeros((len(x), k))
+            for i in range(len(x) - 2, -1, -1):
+                b[i] = np.logaddexp.reduce(t[:k] + score[i + 1] + b[i + 1], axis=1)
+            z = np.logaddexp.reduce(a[-1])
+            for i, (s, y) in enumerate(zip(x, labels, strict=True)):
+                de[s, y] += 1
+                de[s] -= np.exp(a[i] + b[i] - z)
+                if i:
+                    dt[labels[i - 1], y] += 1
+                    dt[:k] -= np.exp(a[i - 1][:, None] + t[:k] + score[i] + b[i] - z)
+                else:
+                    dt[k, y] += 1
+                    dt[k] -= np.exp(a[0] + b[0] - z)
+        e += rate * de / len(data)
+        t += rate * dt / len(data)
+    for y in range(1, k):  # what is inside follows its own kind only
+        if y % 2 == 0:
+            for before in range(k + 1):
+                if before not in (y - 1, y):
+                    t[before, y] = -1e9
+    plain = e[shapes["plain"]]
+    best = max(plain[y] + max(t[x, y] for x in range(1, k)) for y in range(1, k))
+    gain = plain[0] + t[0, 0] - best  # what each plain word loses outside O
+    cost = 2 * np.abs(np.where(t < -1e8, 0, t)).max() + np.ptp(plain)
+    return shapes, e, t, int(np.ceil(cost / gain)) + 1 if gain > 0 else 1 << 30
+
+
+def viterbi(batch: list[list[str]]) -> list[np.ndarray]:
+    """The best labels of each sequence of shapes; sequences of a batch go together, padded."""
+    shapes, e, t, _ = field()
+    k, other = len(LABELS), len(shapes)
+    longest = max(map(len, batch))
+    x = np.full((len(batch), longest), other)
+    for i, seq in enumerate(batch):
+        x[i, : len(seq)] = [shapes.get(s, other) for s in seq]
+    size = np.array([len(s) for s in batch])
+    best = e[x[:, 0]] + t[k]
+    back = np.zeros((len(batch), longest, k), np.int8)
+    for j in range(1, longest):
+        step = best[:, :, None] + t[:k]
+        back[:, j] = step.argmax(axis=1)
+        best = np.where((j < size)[:, None], step.max(axis=1) + e[x[:, j]], best)
+    label = best.argmax(axis=1)
+    out = np.zeros((len(batch), longest), np.int8)
+    for j in range(longest - 1, -1, -1):
+        label = np.where(j == size - 1, best.argmax(axis=1), label)
+        out[:, j] = label
+        label = np.where(j < size, back[np.arange(len(batch)), j, label], label) if j else label
+    return [out[i, :n] for i, n in enumerate(size)]
+
+
+def _neighbourhoods(text: str, reach: int) -> Iterator[list[tuple[int, int]]]:
+    """The spans of words around marked words, as far as reach words on either side."""
+    held: list[tuple[int, int]] = []
+    at = 0
+    while m := _MARK.search(text, at):
+        floor = held[-1][1] if held else 0
+        start = m.start()
+        while start > floor and not text[start - 1].isspace():
+            start -= 1
+        end = _WORD.match(text, m.start()).end()
+        before, at = [], start
+        while len(before) < reach:
+            z = at
+            while z > floor and text[z - 1].isspace():
+                z -= 1
+            a = z
+            while a > floor and not text[a - 1].isspace():
+                a -= 1
+            if a == z:
+                break
+            before.append((a, z))
+            at = a
+        gap = text[floor : before[-1][0] if before else start]
+        if held and gap and not gap.isspace():
+            yield held
+            held = []
+        held += [*reversed(before), (start, end)]
+        for count, w in enumerate(_WORD.finditer(text, end)):
+            if count == reach or _MARK.search(w.group()):
+                break
+            held.append(w.span())
+        at = held[-1][1]
+    if held:
+        yield held
+
+
+def _valid(found: str, kind: int) -> bool:
+    """The exact check after the field: counts of digits, Luhn's sum and the parts' range."""
+    digits = "".join(c for c in found if c in "0123456789")
+    if kind == 1:
+        return all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in found.split("."))
+    return kind == 0 or (10 <= len(digits) <= 15 if kind == 3 else 14 <= len(digits) <= 19 and luhn(digits))
+
+
+_TRIM = ".,;:!?\"'[]{}<>*#$%&|"
+
+
+def field_spans(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """Spans (start, end, kind's number) that the field labels in each text."""
+    reach = field()[3]
+    jobs, whose = [], []
+    for i, text in enumerate(texts):
+        if _ANY_DIGIT.search(text) or "@" in text:
+            for words in _neighbourhoods(text, reach):
+                jobs.append(words)
+                whose.append(i)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    order = sorted(range(len(jobs)), key=lambda j: len(jobs[j]))
+    at = 0
+    while at < len(order):
+        longest = 0
+        part = []
+        while at < len(order) and (not part or (len(part) + 1) * max(longest, len(jobs[order[at]])) <= 50_000):
+            longest = max(longest, len(jobs[order[at]]))
+            part.append(order[at])
+            at += 1
+        labels = viterbi([[shape(texts[whose[j]][a:z]) for a, z in jobs[j]] for j in part])
+        for j, got in zip(part, labels, strict=True):
+            text, open_ = texts[whose[j]], None
+            for (a, z), y in [*zip(jobs[j], got, strict=True), ((0, 0), 0)]:
+                if open_ and (y == 0 or y % 2 == 1 or (y - 1) // 2 != open_[2]):
+                    s, end, kind = open_
+                    while s < end and text[s] in _TRIM:
+                        s += 1
+                    while end > s and text[end - 1] in _TRIM:
+                        end -= 1
+                    if s < end and _valid(text[s:end], kind):
+                        out[whose[j]].append((s, end, kind))
+                    open_ = None
+                if y:
+                    open_ = (open_[0], z, open_[2]) if open_ else (a, z, (int(y) - 1) // 2)
+    return out
+
+
+def all_spans(texts: list[str | None]) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text; the field's spans that overlap a base one go."""
+    known = ["" if t is None else t for t in texts]
+    out = []
+    for text, added in zip(known, field_spans(known), strict=True):
+        base = base_spans(text)
+        new = [s for s in added if not any(s[0] < z and a < s[1] for a, z, _ in base)]
+        out.append((base, sorted([*base, *new], key=lambda s: (s[0], s[2], s[1]))))
+    return out
+
+
+def _joined(spans: list) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{z}" for a, z, k in spans)
+
+
+def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with base and spans: arrays of (kind, start, end), in code points, end exclusive."""
+    return _mapped(docs, text, "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>", lambda texts: [([(KINDS[k], a, z) for a, z, k in b], [(KINDS[k], a, z) for a, z, k in s]) for b, s in all_spans(texts)], text)
+
+
+def mask(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with each span of the text replaced by its kind in brackets; null stays null."""
+
+    def masked(texts: list) -> list:
+        out = []
+        for t, (_, spans) in zip(texts, all_spans(texts), strict=True):
+            parts, at = [], 0
+            for a, z, k in spans:
+                if z > at:
+                    parts += [t[at : max(a, at)], f"[{KINDS[k].upper()}]" if a >= at else ""]
+                    at = z
+            out.append((t if t is None else "".join([*parts, t[at:]]),))
+        return out
+
+    return _mapped(docs, text, f"`{text}` string", masked, text).select(*docs.columns)
+
+
+def _mapped(docs: DataFrame, text: str, kinds: str, f, source: str) -> DataFrame:
+    names = [x.split()[0].strip("`") for x in re.split(r",\s*(?=[\w`]+ )", kinds)]
+    kept = [c for c in docs.columns if c not in names or c == source]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in chunked(frames, source, 4_000_000):
+            got = f(frame[source].tolist())
+            new = pd.DataFrame({n: pd.Series([g[i] for g in got], dtype=object) for i, n in enumerate(names)})
+            yield pd.concat([frame.drop(columns=[n for n in names if n in frame]), new], axis=1)
+
+    have = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*kept).schema if x.name not in names)
+    return docs.select(*kept).mapInPandas(run, f"{have}, {kinds}" if have else kinds)
+
+
+def op2_pii(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+    def digest(texts: list) -> list:
+        out = []
+        for base, spans in all_spans(texts):
+            out.append((*(sum(k == i for _, _, k in base) for i in range(4)), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+        return out
+
+    return _mapped(docs, "text", "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", digest, "text").drop("text")
