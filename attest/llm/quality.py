@@ -12,11 +12,13 @@ results; an empty table gives an empty one; clean() replaces columns of the same
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import WHITE_CLASS
+from attest.llm.shared import WHITE, WHITE_CLASS
 
 # The six white-space characters of the contract and its symbols.
 _WHITE_RUN = WHITE_CLASS + "+"
@@ -30,7 +32,7 @@ class Rules:
     most_repeated: int = 30
     #: A line of fewer words without a sentence end is navigation.
     navigation_words: int = 4
-    boilerplate: str = r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe to our|javascript is disabled|share this|licensed under)"
+    boilerplate: tuple[str, ...] = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "subscribe to our", "javascript is disabled", "share this", "licensed under")
     sentence_end: str = r"[.!?…:;]['\")\]»”]*[\x20\x09-\x0D]*$"
     #: A line in which at least this share of the words carry a run of marks is noise.
     marks: str = r"([#*$%&|<>]{2,}|!!)"
@@ -39,17 +41,26 @@ class Rules:
     most_lost: float = 0.5
 
 
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_WHITE_RUN}|{_WHITE_RUN}$", "")
+    trimmed = _trimmed(F.coalesce(text, F.lit("")))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WHITE_RUN))
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    n = F.size(words_of(line))
+def _holds(text: Column, phrases: tuple[str, ...]) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in phrases], F.lit(False))
+
+
+def line_fails(line: Column, n: Column, marked: Column, boiler: Column, rules: Rules) -> Column:
+    """Whether a line of n words fails; marked and boiler tell if its text holds such things at all."""
     navigation = (n < rules.navigation_words) & ~line.rlike(rules.sentence_end)
-    noise = F.regexp_count(line, F.lit(rules.marks)) >= F.greatest(F.lit(1), F.ceil(n * rules.noisy))
-    return navigation | noise | line.rlike(rules.boilerplate)
+    noise = marked & (F.size(F.regexp_extract_all(line, F.lit(rules.marks), F.lit(0))) >= F.greatest(F.lit(1), F.ceil(n * rules.noisy)))
+    return navigation | noise | (boiler & _holds(line, rules.boilerplate))
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -59,23 +70,25 @@ def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
     d = docs.withColumn("__words", words_of(F.col(text))).withColumn("n_words", F.size("__words").cast("long"))
     d = d.withColumn("__windows", F.when(F.col("n_words") >= size, F.transform(F.sequence(F.lit(1), (F.col("n_words") - (size - 1)).cast("int")), lambda i: F.xxhash64(F.slice("__words", i, size)))))
     d = d.withColumn("__again", F.coalesce(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.lit(False)))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("__lines", lines)
+    d = d.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: _trimmed(x) != ""))
     d = d.withColumns(
         {
-            "word_chars": (F.char_length(t) - F.regexp_count(t, F.lit(WHITE_CLASS))).cast("long"),
+            "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(_SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             # only texts that do repeat a window pay for marking the words
             "n_repeat_words": F.when(F.col("__again"), _covered(F.col("__windows"), size)).otherwise(F.lit(0)).cast("long"),
+            "__boiler": _holds(t, rules.boilerplate),
         }
     )
-    d = d.withColumn("__passed", F.filter("__lines", lambda x: ~line_fails(x, rules)))
-    left = F.aggregate("__passed", F.lit(0), lambda a, x: a + F.size(words_of(x)))
+    d = d.withColumn("__marked", (F.col("n_symbols") > 1) | F.contains(t, F.lit("!!")))
+    d = d.withColumn("__counted", F.transform("__lines", lambda x: F.struct(x.alias("line"), F.size(F.split(_trimmed(x), _WHITE_RUN)).alias("n"))))
+    d = d.withColumn("__passed", F.filter("__counted", lambda x: ~line_fails(x["line"], x["n"], F.col("__marked"), F.col("__boiler"), rules)))
+    left = F.aggregate("__passed", F.lit(0), lambda a, x: a + x["n"])
     d = d.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeated))
     d = d.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * (1 - rules.most_lost)))
-    d = d.withColumn("clean_text", F.array_join("__passed", "\n"))
-    return d.drop("__words", "__windows", "__again", "__lines", "__passed")
+    d = d.withColumn("clean_text", F.array_join(F.col("__passed.line"), "\n"))
+    return d.drop("__words", "__windows", "__again", "__lines", "__passed", "__counted", "__boiler", "__marked")
 
 
 def _covered(windows: Column, size: int) -> Column:

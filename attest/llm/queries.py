@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from attest.llm.contamination import op3_contamination
+from attest.llm.jaccard import op8_jaccard
 from attest.llm.language import op4_language_id
+from attest.llm.pieces import op1_sentencepiece
 from attest.llm.pii import op2_pii
 from attest.llm.quality import op10_line_quality
+from attest.llm.suffix_index import op9_suffix_index
+from attest.llm.suffix_tree import op5_suffix_tree
 from attest.llm.tokens import op7_token_files
 from attest.llm.warc import op6_warc
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
+    "op3_contamination": op3_contamination,
     "op4_language_id": op4_language_id,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
+    "op8_jaccard": op8_jaccard,
+    "op9_suffix_index": op9_suffix_index,
     "op10_line_quality": op10_line_quality,
 }
 
@@ -20,11 +30,11 @@ QUERIES = {
 ORACLES = {
     "op6_warc": """
         with p as (
-          select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+          select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
         ), m as (
           select payload_digest, max(page_id) as latest from p where payload_bytes >= 1000 group by payload_digest
         )
-        select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_digest,
+        select p.page_id, p.payload_bytes, p.payload_digest,
           case when m.latest is null or m.latest = p.page_id then 'response' else 'revisit' end as record_type,
           case when m.latest <> p.page_id then m.latest end as refers_to
         from p left join m on p.payload_digest = m.payload_digest and p.payload_bytes >= 1000

@@ -17,6 +17,10 @@ other columns are not written.
 
 from __future__ import annotations
 
+import array
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +37,7 @@ PERCENTILE = 95
 MAGIC = b"PFR1"
 END_ID = 1
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,19 +93,71 @@ def block_ids(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return (d + np.uint64(low)).astype(np.uint32), at + 8 * extra
 
 
+# The pre-tokenizer's pattern and the normalizers for which pieces between blanks
+# are independent, so that each can be encoded once.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: Words for which Python and the tokenizer certainly agree on case, letters and special tokens.
+_SIMPLE = re.compile(r"[!-&(-;=-{}~À-ÖØ-öø-ÿ]+")
+_UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter for each byte: printable ones stand for themselves, others for 256 and up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+class _Known(dict):
+    """The ids of pieces between blanks, as bytes; a missing one is encoded when it is asked for."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+        self.code = "H" if kind == "<u2" else "I"
+        self.units: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if _SIMPLE.fullmatch(word):
+            got = b"".join([self.unit(u) for u in _UNIT.findall(word.lower())])
+        else:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        self[word] = got
+        return got
+
+    def unit(self, unit: str) -> bytes:
+        got = self.units.get(unit)
+        if got is None:
+            if len(self.units) > REMEMBERED:
+                self.units.clear()
+            spelled = unit if unit.isascii() else "".join([self.letters[b] for b in unit.encode()])
+            got = self.units[unit] = array.array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return got
+
+
 class Encoder:
-    """A tokenizer whose pre-tokens never cross blanks: each piece between blanks is encoded once.
+    """Encodes texts as the tokenizer does; each worker process keeps one for each file.
 
-    That holds for vocabularies with word ends that drop white space; each worker process keeps
-    one encoder and the ids of words that it has seen.
+    Where the file's normalizers and pre-tokenizer are the known ones, no token crosses a blank or
+    line feed, and the pieces between them are encoded once and remembered.
     """
 
     _held: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        cut = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        apart = cut[0].get("pattern") == {"Regex": _SPLIT} and [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])] == _NORMALIZERS
+        self.known = _Known(self.tokenizer, self.kind) if apart else None
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -110,20 +166,14 @@ class Encoder:
         return cls._held[path]
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], self.kind).tobytes()
         for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known = {"": b""}
-                    new = list(set(words) - {""})
-                for i in range(0, len(new), 2000):
-                    part = new[i : i + 2000]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        self.known[w] = np.array(e.ids, "<u4").tobytes()
-            known = self.known
-            yield np.frombuffer(b"".join([*[known[w] for w in words], end]), "<u4")
+            if self.known is None:
+                ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
+                yield np.array([*ids, end_id], np.uint32)
+                continue
+            pieces = map(self.known.__getitem__, (text or "").replace("\n", " ").split(" "))
+            yield np.frombuffer(b"".join([*pieces, end]), self.kind)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -150,7 +200,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
             got = list(encoder.encode(frame["t"].tolist(), end_id))
             keys += frame["k"].tolist()
             sizes += [len(g) for g in got]
-            rest = np.concatenate([rest, *got])
+            rest = np.concatenate([rest, *got]).astype(np.uint32)
             whole = len(rest) // BLOCK * BLOCK
             for i in range(0, whole, BLOCK):
                 b = block_bytes(rest[i : i + BLOCK])
