@@ -45,9 +45,32 @@ COARSE = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
 _SPACED = re.compile(" *[^ ]+| +")
 #: The library's penalty for a character without a piece, below the least score.
 PENALTY = 10.0
+#: Longer pieces are few; they are looked for only where their first characters stand.
+SHORT = 4
+#: Units of more characters are decoded by following back pointers.
+LONG = 256
 _MOST_UNITS = 1_000_000
 
 
+def _needed(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+    """The pieces that some best path can use: those that no path of other pieces beats.
+
+    A piece that loses to a path over its own characters loses wherever it stands, so leaving it
+    out changes no result and makes the lattices smaller.
+    """
+    scores = {p: x for p, _, x in pieces}
+    out = []
+    for p, i, x in pieces:
+        best = [0.0] + [float("-inf")] * len(p)
+        for z in range(1, len(p) + 1):
+            for a in range(z):
+                if z - a < len(p) and p[a:z] in scores:
+                    best[z] = max(best[z], best[a] + scores[p[a:z]])
+        if len(p) == 1 or x >= best[-1]:
+            out.append((p, i, x))
+    return out
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """pieces: (piece, id, score) of the lattice; spelled: the bytes of each id, as decoding has them."""
@@ -75,7 +98,7 @@ class Vocabulary:
                 pieces.append((p, i, m.get_score(i)))
         fine = re.compile(FINE)
         units = FINE if all(fine.fullmatch(p) for p, _, _ in pieces) else COARSE
-        return cls(tuple(pieces), tuple(byte_ids), tuple(spelled), units)
+        return cls(tuple(_needed(pieces)), tuple(byte_ids), tuple(spelled), units)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame(self.pieces, columns=["piece", "id", "score"]), "piece string, id int, score double")
@@ -97,53 +120,61 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     table = F.broadcast(vocabulary.table(units.sparkSession))
     longest = max((len(p) for p, _, _ in vocabulary.pieces), default=1)
     unknown = min((s for _, _, s in vocabulary.pieces), default=0.0) - PENALTY
-    ends = units.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("end"))
-    spans = ends.select("unit", "end", F.explode(F.sequence(F.greatest(F.col("end") - (longest - 1), F.lit(1)), F.col("end"))).alias("start"))
+    begins = [p[:SHORT] for p, _, _ in vocabulary.pieces if len(p) > SHORT]
+    reach = F.when(F.substring(F.col("unit"), F.col("start"), F.lit(SHORT)).isin(sorted(set(begins))), longest).otherwise(SHORT) if begins else F.lit(longest)
+    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("start"))
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + reach - 1, F.char_length("unit")))).alias("end"))
     spelled = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start"), F.col("end") - F.col("start") + 1))
     edges = spelled.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("start") == F.col("end")))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    return grouped.select("unit", _ids(_best(F.col("edges")), vocabulary).alias("ids"))
-
-
-def _best(edges: Column) -> Column:
-    """The best path's (start, id) pairs in order, from edges sorted by end and start."""
-    node = "struct<score:double,start:int,id:int>"
-    zero = F.struct(F.array().cast(f"array<{node}>").alias("done"), F.lit(1).alias("end"), F.lit(None).cast(node).alias("now"))
-
-    def step(t: Column, e: Column) -> Column:
-        done = F.when(e["end"] > t["end"], F.concat(t["done"], F.array(t["now"]))).otherwise(t["done"])
-        same = e["end"] == t["end"]
-        score = e["score"] + F.when(e["start"] > 1, F.get(done, e["start"] - 2)["score"]).otherwise(F.lit(0.0))
-        better = ~same | t["now"].isNull() | (score > t["now"]["score"])
-        new = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
-        return F.struct(done.alias("done"), e["end"].alias("end"), F.when(better, new).otherwise(t["now"]).alias("now"))
+    grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edges_, short = F.col("edges"), F.char_length("unit") <= LONG
+    path = F.when(short, _path(edges_, True)).otherwise(_path(edges_, False))
+    return grouped.select("unit", bound(path, lambda p: _ids(p, vocabulary)).alias("ids"))
+
+
+def _path(edges: Column, whole: bool) -> Column:
+    """The best path's ids in order, from edges sorted by end and start; unknown ones are -start.
+
+    The fold's state is the best edge into each place so far; an edge to a new place is appended,
+    a better one to the last place takes its turn. whole: each place holds the ids of its path,
+    which suits short units; else the path is followed back once from the end.
+    """
+    node = "struct<score:double,start:int,ids:array<int>>"
+    none = F.array().cast("array<int>")
+
+    def step(done: Column, e: Column) -> Column:
+        first = e["start"] <= 1
+        before = F.get(done, e["start"] - 2)
+        score = e["score"] + F.when(first, 0.0).otherwise(before["score"])
+        own = F.array(F.when(e["id"] < 0, -e["start"]).otherwise(e["id"]))
+        ids = F.when(first, own).otherwise(F.concat(before["ids"], own)) if whole else own
+        new = F.array(F.struct(score.alias("score"), e["start"].alias("start"), ids.alias("ids")))
+        return F.when(F.size(done) < e["end"], F.concat(done, new)).when(score > F.get(done, e["end"] - 1)["score"], F.concat(F.slice(done, F.lit(1), e["end"] - 1), new)).otherwise(done)
 
     def back(nodes: Column) -> Column:
-        begin = F.struct(F.size(nodes).alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
+        begin = F.struct(F.size(nodes).alias("at"), none.alias("path"))
 
         def walk(t: Column, _: Column) -> Column:
             n = F.get(nodes, t["at"] - 1)
-            on = F.struct((n["start"] - 1).alias("at"), F.concat(F.array(F.struct(n["start"].alias("start"), n["id"].alias("id"))), t["path"]).alias("path"))
-            return F.when(t["at"] > 0, on).otherwise(t)
+            return F.when(t["at"] > 0, F.struct((n["start"] - 1).alias("at"), F.concat(n["ids"], t["path"]).alias("path"))).otherwise(t)
 
         return F.aggregate(F.sequence(F.lit(1), F.size(nodes)), begin, walk, lambda t: t["path"])
 
-    nodes = F.aggregate(edges, zero, step, lambda t: F.concat(t["done"], F.array(t["now"])))
-    return bound(nodes, back)
+    nodes = F.aggregate(edges, F.array().cast(f"array<{node}>"), step)
+    return F.element_at(nodes, -1)["ids"] if whole else bound(nodes, back)
 
 
 def _ids(path: Column, vocabulary: Vocabulary) -> Column:
-    """The ids of a path; -1 stands for a character that is spelled by its bytes' pieces."""
+    """The ids of a path; a character without a piece (minus its place) becomes its bytes' pieces."""
     table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
 
-    def spelled(p: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("unit"), p["start"], F.lit(1)), "UTF-8"))
+    def spelled(place: Column) -> Column:
+        code = F.hex(F.encode(F.substring(F.col("unit"), place, F.lit(1)), "UTF-8"))
         places = F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))
         return F.transform(places, lambda i: F.get(table, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
 
-    plain = F.transform(path, lambda p: p["id"])
-    return F.when(F.array_contains(plain, -1), F.flatten(F.transform(path, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(spelled(p))))).otherwise(plain)
+    return F.when(F.array_min(path) < 0, F.flatten(F.transform(path, lambda p: F.when(p >= 0, F.array(p)).otherwise(spelled(-p))))).otherwise(path)
 
 
 def _parts(docs: DataFrame) -> DataFrame:
@@ -195,11 +226,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     def assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spelled, units, where = held.value
         cut, part, words, ids_of = re.compile(units), None, {}, {}
-        for frame in frames:
-            arrays = []
+        for frame in (f.iloc[i : i + 1000] for f in frames for i in range(0, len(f), 1000)):
+            frame, arrays = frame.reset_index(drop=True), []
             for p, t in zip(frame["__part"], frame[text], strict=True):
                 if p != part:
-                    part, words, ids_of = p, {}, _units_of(f"{where}/units", p)
+                    part, words, ids_of = p, {}, {}
+                    ids_of = _units_of(f"{where}/units", p)
                 if not t:
                     arrays.append(np.zeros(0, np.int32))
                     continue
