@@ -30,6 +30,8 @@ from attest.llm.components import components
 from attest.llm.shared import chunked, mixed, shared_folder, words_of_texts, written
 
 BUCKETS = 1 << 16
+#: Ids of sets to fetch are broadcast up to so many (16 MB of longs); beyond, the join is shuffled.
+BROADCAST_IDS = 2_000_000
 PARTS = 16
 
 
@@ -106,8 +108,11 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
     return F.ceil((x + y) * percent / F.lit(float(100 + percent)) - 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
     """Those pairs (a, b) of which the whole sets are similar enough, each looked at once."""
+    percent, ids = s.percent, pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = _sets(docs.join(some, key, "left_semi"), s, key, text)
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,16 +135,19 @@ def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     signed = written(signatures(docs, s, key, text), f"{folder}/signatures")
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
     one = signed.where("n_shingles > 0").join(classes, ["c1", "c2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "prefix")
-    held = one.select(F.posexplode("prefix").alias("pos", "gram"), "rep", "n")
-    shared = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("pos", "n", "rep")).alias("first")).where("holders > 1")
-    # rows of n-grams that several sets have in their prefixes; the others can link with nothing
-    met = written(held.join(shared, "gram").select("gram", "rep", "n", "pos", F.col("first.rep").alias("first")), f"{folder}/met")
-    ids = met.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(_sets(docs.join(ids.withColumnRenamed("doc_id", key), key, "left_semi"), s, key, text), f"{folder}/sets")
-    parts = signed.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("parts").alias("parts"))
-
-    stars = met.where("rep <> first").select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).distinct()
-    links = written(_verified(_filtered(stars, sets, parts, s), sets, s.percent), f"{folder}/stars")
+    # n-grams that several sets have in their prefixes; sets without one can link with nothing. The
+    # first exchange has the n-grams alone, the second is a join whose hot keys can be split.
+    shared = one.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("gram")
+    held = one.select(F.posexplode("prefix").alias("pos", "gram"), F.col("rep"), F.col("n").cast("int").alias("n"))
+    several = written(held.join(shared, "gram"), f"{folder}/several")
+    first = several.groupBy("gram").agg(F.min(F.struct("pos", "n", "rep")).alias("first"))
+    met = written(several.join(first, "gram").select("gram", "rep", "n", "pos", "first"), f"{folder}/met")
+    parts = signed.where("n_shingles > 0").join(classes, ["c1", "c2"]).where("doc_id = rep").select("rep", "parts")
+
+    near = met.where(F.col("rep") != F.col("first.rep")).where(_near("n", "pos", "first.n", "first.pos", s.percent))
+    stars = near.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b")).distinct()
+    stars = written(_filtered(stars, parts, s), f"{folder}/pairs")
+    links = written(_verified(stars, docs, s, key, text), f"{folder}/stars")
     found = components(links)
 
     # what the stars left apart: each row meets those of other components than its n-gram's largest
@@ -148,12 +156,10 @@ def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     largest = sizes.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("different")).where("different > 1").select("gram", F.col("top.c").alias("top"))
     open_ = labelled.join(largest, "gram")
     x, y = open_.where("c <> top").alias("x"), open_.alias("y")
-    near = (F.col("x.n") * 100 >= F.col("y.n") * s.percent) & (F.col("y.n") * 100 >= F.col("x.n") * s.percent)
-    position = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos") >= _needed(F.col("x.n"), F.col("y.n"), s.percent)
-    apart = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & near & position)
+    apart = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & _near("x.n", "x.pos", "y.n", "y.pos", s.percent))
     rest = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(_filtered(rest, sets, parts, s), sets, s.percent), f"{folder}/rest")
+    rest = written(_filtered(rest.join(stars, ["a", "b"], "left_anti"), parts, s), f"{folder}/rest-pairs")
+    more = written(_verified(rest, docs, s, key, text), f"{folder}/rest")
     final = found if more.isEmpty() else components(links.unionByName(more))
 
     labels = classes.join(final, classes["rep"] == final["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
@@ -161,14 +167,20 @@ def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _filtered(pairs: DataFrame, sets: DataFrame, parts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs that pass the length filter and the suffix filter."""
-    p = pairs.join(parts.select(F.col("doc_id").alias("a"), F.col("parts").alias("p")), "a").join(parts.select(F.col("doc_id").alias("b"), F.col("parts").alias("q")), "b")
+def _near(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """Length and positional filters: sizes n and m, places p and q of a shared n-gram."""
+    x, y = F.col(n), F.col(m)
+    length = (x * 100 >= y * percent) & (y * 100 >= x * percent)
+    most = F.least(x - F.col(p), y - F.col(q)) + F.least(F.col(p), F.col(q))
+    return length & (most >= _needed(x, y, percent))
+
+
+def _filtered(pairs: DataFrame, parts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that pass the suffix filter: counts by part of the hash range bound the overlap."""
+    p = pairs.join(parts.select(F.col("rep").alias("a"), F.col("parts").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("parts").alias("q")), "b")
     total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
-    p = p.withColumn("n", total("p")).withColumn("m", total("q"))
     overlap = F.aggregate(F.zip_with("p", "q", lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
-    keep = (F.col("n") * 100 >= F.col("m") * s.percent) & (F.col("m") * 100 >= F.col("n") * s.percent) & (overlap >= _needed(F.col("n"), F.col("m"), s.percent))
-    return p.where(keep).select("a", "b")
+    return p.where(overlap >= _needed(total("p"), total("q"), s.percent)).select("a", "b")
 
 
 def _sets(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
