@@ -3,9 +3,9 @@
 Rare-first prefix filtering: n-grams are put in one order, by a count of how many documents hold
 n-grams of the same hash bucket and then by hash; two sets of similarity t share an n-gram among
 the first |s| - ceil(t |s|) + 1 of each. Pairs of one such n-gram pass the length filter, the
-positional filter (how many n-grams can still be common after it) and a suffix filter (counts in
-sixteen parts of the hash range bound the overlap), are made unique, and are verified once on the
-whole sets. The counts are a table of a fixed number of buckets; any counts give right results.
+positional filter (how many n-grams can still be common after it) and a suffix filter (a map of
+1024 bits for each set bounds the overlap), are made unique, and are verified once on the whole
+sets. The counts are a table of a fixed number of buckets; any counts give right results.
 
 Equal sets are one class. Groups of near copies are joined without all their pairs: first each set
 meets the one set of each shared n-gram that holds it earliest; what those links leave in different
@@ -32,7 +32,8 @@ from attest.llm.shared import chunked, mixed, shared_folder, words_of_texts, wri
 BUCKETS = 1 << 16
 #: Ids of sets to fetch are broadcast up to so many (16 MB of longs); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
-PARTS = 16
+#: Words of 64 bits in each set's map of its n-grams' hashes.
+MAP_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class (a hash of the set), prefix and parts of each document."""
+    """doc_id, n_shingles, class (a hash of the set), prefix and bits of each document."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, s.words))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,11 +97,14 @@ def signatures(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "t
                 low.append(int(mixed(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0)
                 order = np.lexsort((g, counts.value[_bucket(g)]))
                 prefix.append(g[order[: prefix_length(len(g), s.percent)]].view(np.int64) if len(g) else g.view(np.int64))
-                parts.append(np.bincount((g >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
-            yield pd.DataFrame({"doc_id": frame["k"], "n_shingles": n, "c1": classes, "c2": low, "prefix": prefix, "parts": parts})
+                bits = np.zeros(MAP_WORDS, np.uint64)
+                place = g % np.uint64(64 * MAP_WORDS)
+                np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+                parts.append(bits.view(np.int64))
+            yield pd.DataFrame({"doc_id": frame["k"], "n_shingles": n, "c1": classes, "c2": low, "prefix": prefix, "bits": parts})
 
     d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return d.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, parts array<int>")
+    return d.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, bits array<long>")
 
 
 def _needed(x: Column, y: Column, percent: int) -> Column:
@@ -142,7 +146,7 @@ def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     several = written(held.join(shared, "gram"), f"{folder}/several")
     first = several.groupBy("gram").agg(F.min(F.struct("pos", "n", "rep")).alias("first"))
     met = written(several.join(first, "gram").select("gram", "rep", "n", "pos", "first"), f"{folder}/met")
-    parts = signed.where("n_shingles > 0").join(classes, ["c1", "c2"]).where("doc_id = rep").select("rep", "parts")
+    parts = signed.where("n_shingles > 0").join(classes, ["c1", "c2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bits")
 
     near = met.where(F.col("rep") != F.col("first.rep")).where(_near("n", "pos", "first.n", "first.pos", s.percent))
     stars = near.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b")).distinct()
@@ -175,12 +179,20 @@ def _near(n: str, p: str, m: str, q: str, percent: int) -> Column:
     return length & (most >= _needed(x, y, percent))
 
 
-def _filtered(pairs: DataFrame, parts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) that pass the suffix filter: counts by part of the hash range bound the overlap."""
-    p = pairs.join(parts.select(F.col("rep").alias("a"), F.col("parts").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("parts").alias("q")), "b")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
-    overlap = F.aggregate(F.zip_with("p", "q", lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
-    return p.where(overlap >= _needed(total("p"), total("q"), s.percent)).select("a", "b")
+def _filtered(pairs: DataFrame, maps: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that pass the suffix filter.
+
+    Each bit that one set's map has and the other's has not is an n-gram at least that is not
+    common, wherever in the order it stands; so the maps bound the overlap from above.
+    """
+    side = lambda k, n, bits: maps.select(F.col("rep").alias(k), F.col("n").alias(n), F.col("bits").alias(bits))
+    p = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
+
+    def alone(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, v: t + v)
+
+    overlap = F.least(F.col("n") - alone("p", "q"), F.col("m") - alone("q", "p"))
+    return p.where(overlap >= _needed(F.col("n"), F.col("m"), s.percent)).select("a", "b")
 
 
 def _sets(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
