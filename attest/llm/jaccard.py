@@ -3,8 +3,8 @@
 Rare-first prefix filtering: n-grams are put in one order, by a count of how many documents hold
 n-grams of the same hash bucket and then by hash; two sets of similarity t share an n-gram among
 the first |s| - ceil(t |s|) + 1 of each. Pairs of one such n-gram pass the length filter, the
-positional filter (how many n-grams can still be common after it) and a suffix filter (a map of
-1024 bits for each set bounds the overlap), are made unique, and are verified once on the whole
+positional filter (how many n-grams can still be common after it) and a suffix filter (a bit
+map of each set bounds the overlap), are made unique, and are verified once on the whole
 sets. The counts are a table of a fixed number of buckets; any counts give right results.
 
 Equal sets are one class. Groups of near copies are joined without all their pairs: first each set
@@ -32,7 +32,7 @@ from attest.llm.shared import chunked, mixed, shared_folder, words_of_texts, wri
 BUCKETS = 1 << 16
 #: Ids of sets to fetch are broadcast up to so many (16 MB of longs); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
-#: Words of 64 bits in each set's map of its n-grams' hashes.
+#: Words of 64 bits in the smallest map of a set's n-grams' hashes.
 MAP_WORDS = 16
 
 
@@ -83,6 +83,11 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def map_words(size: int) -> int:
+    """A power of two of words: two bits at least for each n-gram of a large set."""
+    return max(MAP_WORDS, 1 << max(0, (size - 1) // 32).bit_length())
+
+
 def signatures(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class (a hash of the set), prefix and bits of each document."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, s.words))
@@ -97,8 +102,8 @@ def signatures(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "t
                 low.append(int(mixed(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0)
                 order = np.lexsort((g, counts.value[_bucket(g)]))
                 prefix.append(g[order[: prefix_length(len(g), s.percent)]].view(np.int64) if len(g) else g.view(np.int64))
-                bits = np.zeros(MAP_WORDS, np.uint64)
-                place = g % np.uint64(64 * MAP_WORDS)
+                bits = np.zeros(map_words(len(g)), np.uint64)
+                place = g % np.uint64(64 * len(bits))
                 np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
                 parts.append(bits.view(np.int64))
             yield pd.DataFrame({"doc_id": frame["k"], "n_shingles": n, "c1": classes, "c2": low, "prefix": prefix, "bits": parts})
@@ -188,6 +193,14 @@ def _filtered(pairs: DataFrame, maps: DataFrame, s: Settings) -> DataFrame:
     side = lambda k, n, bits: maps.select(F.col("rep").alias(k), F.col("n").alias(n), F.col("bits").alias(bits))
     p = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
 
+    # sets of near sizes have maps of the same or twice the words; the larger is folded to the smaller
+    def folded(x: str, y: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        halves = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseOR(v))
+        return F.when(F.size(x) > F.size(y), halves).otherwise(F.col(x))
+
+    p = p.withColumns({"p": folded("p", "q"), "q": folded("q", "p")})
+
     def alone(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, v: t + v)
 
