@@ -49,7 +49,9 @@ PENALTY = 10.0
 SHORT = 4
 #: Units of more characters are decoded by following back pointers.
 LONG = 256
-_MOST_UNITS = 1_000_000
+_MOST_UNITS = 300_000
+#: Words that a worker remembers beside the units; beyond, it starts anew.
+_MOST_WORDS = 60_000
 
 
 def _needed(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
@@ -206,6 +208,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
                     part, words, units = p, set(), set()
                 if t:
                     new = set(words_of(t)) - words
+                    if len(words) > _MOST_WORDS:
+                        words.clear()
                     words |= new
                     for w in new:
                         units.update(spelled_units(w, cut))
@@ -239,6 +243,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
                 for w in words_of(t):
                     b = words.get(w)
                     if b is None:
+                        if len(words) > _MOST_WORDS:
+                            words.clear()
                         b = words[w] = b"".join([ids_of[u] for u in spelled_units(w, cut)])
                     got.append(b)
                 arrays.append(np.frombuffer(b"".join(got), np.int32))
