@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm.quality import bound
-from attest.llm.shared import open_store, shared_folder
+from attest.llm.shared import open_store, parts_of, shared_folder
 
 BLANK = "▁"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
@@ -179,19 +179,10 @@ def _ids(path: Column, vocabulary: Vocabulary) -> Column:
     return F.when(F.array_min(path) < 0, F.flatten(F.transform(path, lambda p: F.when(p >= 0, F.array(p)).otherwise(spelled(-p))))).otherwise(path)
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """docs with __part: the split of the file that a row is read from."""
-    if not docs.inputFiles():
-        at = f"{shared_folder(docs.sparkSession)}/docs"
-        docs.write.parquet(at)
-        docs = docs.sparkSession.read.schema(docs.schema).parquet(at)
-    return docs.withColumn("__part", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=None, schema: str = "ids array<int>") -> DataFrame:
     """docs with ids. finish(texts, arrays of ids) may give other columns, of the named schema."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    parted = _parts(docs)
+    parted = parts_of(docs)
     cutter = vocabulary.units
 
     def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

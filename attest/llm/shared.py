@@ -48,6 +48,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(docs: DataFrame) -> DataFrame:
+    """docs with __part: the split of the file that a row is read from."""
+    if not docs.inputFiles():
+        docs = written(docs, f"{shared_folder(docs.sparkSession)}/docs")
+    return docs.withColumn("__part", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+
+
 def batch_count(docs: DataFrame, text: str, batch_bytes: int) -> int:
     """How many batches of about batch_bytes the texts make (a sum over all of them)."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
@@ -153,6 +160,17 @@ def chunked(frames: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
+def part_rows(folder: str, part: int, columns: Sequence[str]) -> list[np.ndarray]:
+    """The columns of a table written with partitionBy("part"), of one part; empty where it has none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = open_store(f"{folder}/part={part}")
+    files = [i.path for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.path.endswith(".parquet")]
+    tables = [pq.read_table(f, filesystem=store, columns=list(columns), partitioning=None) for f in sorted(files)]
+    return [np.concatenate([t.column(c).to_numpy() for t in tables]) if tables else np.zeros(0, np.int64) for c in columns]
+
+
 def open_store(uri: str):
     """(file system, path) of a shared folder's address, by pyarrow."""
     from pyarrow import fs

@@ -105,14 +105,45 @@ def test_suffix_tree(docs, rows):
     from pyspark.sql import functions as F
 
     train = F.col("doc_id") % 2 == 1
-    got = {r.doc_id: r for r in suffix_tree.score(docs, train).collect()}
-    c = Counter(x for k, t in rows.items() if k % 2 == 1 for x in [*words(t), None])
+    got = {r.doc_id: r for r in suffix_tree.score(docs, train, suffix_tree.Settings(2, 2.0, 3)).collect()}
+    mine = [[*words(t), None] for k, t in rows.items() if k % 2 == 1]
+    c = Counter(x for w in mine for x in w)
     n, v = sum(c.values()), len(c)
+    follow = {}
+    for w in mine:
+        w = ["<s>", "<s>", *w]
+        for i in range(2, len(w)):
+            for k in (1, 2):
+                follow.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+    kept = set()
+
+    def p(context, x):
+        if not context:
+            return (c[x] + 1) / (n + v + 1)
+        below = p(context[1:], x)
+        f = follow[context] if context in kept else None
+        return (f[x] + len(f) * below) / (sum(f.values()) + len(f)) if f else below
+
+    for context, f in sorted(follow.items(), key=lambda y: len(y[0])):
+        t, d = sum(f.values()), len(f)
+        bits = sum(m * np.log2((m - 1 + d * p(context[1:], x)) / (t - 1 + d) / p(context[1:], x)) for x, m in f.items())
+        if t >= 3 and bits >= 2 and context != ("<s>", "<s>") and (len(context) == 1 or context[1:] in kept):
+            kept.add(context)
+    assert {len(x) for x in kept} == {1, 2}
     for k, t in rows.items():
-        w = [*words(t), None]
-        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(w), sum(x in c for x in w), n)
-        assert got[k].base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert got[k].score < 0
+        w = ["<s>", "<s>", *words(t), None]
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(w) - 2, sum(x in c for x in w[2:]), n)
+        assert got[k].base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w[2:]))
+        want = 0.0
+        for i in range(2, len(w)):
+            context = tuple(w[i - 2 : i]) if tuple(w[i - 2 : i]) in kept and (w[i - 1],) in kept else (w[i - 1],)
+            want += np.log10(p(context, w[i]))
+        assert got[k].score == pytest.approx(want)
+
+
+def test_suffix_tree_beats_its_base(spark):
+    got = suffix_tree.op5_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").groupBy().sum("score", "base_score").first()
+    assert got[0] > 0.95 * got[1]
 
 
 def test_pieces(spark, docs, rows):
