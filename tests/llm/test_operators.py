@@ -115,19 +115,26 @@ def test_suffix_tree(docs, rows):
         for i in range(2, len(w)):
             for k in (1, 2):
                 follow.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
-    kept = set()
+    kept, often = set(), {x for x, m in c.items() if m >= 3}
+    told = {k: {x: m for x, m in f.items() if m >= 2 and x in often} for k, f in follow.items()}
 
     def p(context, x):
         if not context:
             return (c[x] + 1) / (n + v + 1)
         below = p(context[1:], x)
-        f = follow[context] if context in kept else None
-        return (f[x] + len(f) * below) / (sum(f.values()) + len(f)) if f else below
-
-    for context, f in sorted(follow.items(), key=lambda y: len(y[0])):
-        t, d = sum(f.values()), len(f)
-        bits = sum(m * np.log2((m - 1 + d * p(context[1:], x)) / (t - 1 + d) / p(context[1:], x)) for x, m in f.items())
-        if t >= 3 and bits >= 2 and context != ("<s>", "<s>") and (len(context) == 1 or context[1:] in kept):
+        if context not in kept:
+            return below
+        t = sum(follow[context].values())
+        return (told[context].get(x, 0) + (t - sum(told[context].values()) + 1) * below) / (t + 1)
+
+    for context, f in sorted(told.items(), key=lambda y: len(y[0])):
+        t = sum(follow[context].values())
+        r = t - sum(f.values())
+        bits = r * np.log2(r / t) if r else 0
+        for x, m in f.items():
+            q = p(context[1:], x)
+            bits += m * np.log2((m - 1 + (r + 1) * q if m > 2 else (r + 2) * q) / t / q)
+        if t >= 3 and bits >= 2 and f and context != ("<s>", "<s>") and (len(context) == 1 or context[1:] in kept) and (len(context) == 1 or set(context) - {"<s>"} <= often):
             kept.add(context)
     assert {len(x) for x in kept} == {1, 2}
     for k, t in rows.items():
@@ -143,7 +150,7 @@ def test_suffix_tree(docs, rows):
 
 def test_suffix_tree_beats_its_base(spark):
     got = suffix_tree.op5_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").groupBy().sum("score", "base_score").first()
-    assert got[0] > 0.95 * got[1]
+    assert got[0] > got[1]
 
 
 def test_pieces(spark, docs, rows):
