@@ -179,8 +179,11 @@ def _ids(path: Column, vocabulary: Vocabulary) -> Column:
     return F.when(F.array_min(path) < 0, F.flatten(F.transform(path, lambda p: F.when(p >= 0, F.array(p)).otherwise(spelled(-p))))).otherwise(path)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=None, schema: str = "ids array<int>") -> DataFrame:
-    """docs with ids. finish(texts, arrays of ids) may give other columns, of the named schema."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=None, schema: str = "ids array<int>", carried: list[str] | None = None) -> DataFrame:
+    """docs with ids. finish(texts, arrays of ids) may give other columns, of the named schema.
+
+    carried: the columns of docs that come back (all by default).
+    """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     parted = parts_of(docs)
     cutter = vocabulary.units
@@ -215,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     table.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{folder}/units")
 
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in (docs.columns if carried is None else carried) if c not in names]
     held = spark.sparkContext.broadcast((vocabulary.spelled, cutter, folder))
 
     def assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +251,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
 
 def _units_of(folder: str, part: int) -> dict[str, bytes]:
     """The units of one part of the input, with the bytes of their ids."""
+    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -255,13 +259,14 @@ def _units_of(folder: str, part: int) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
         if info.path.endswith(".parquet"):
-            t = pq.read_table(info.path, filesystem=store, columns=["unit", "ids"], partitioning=None)
-            for batch in t.to_batches():
+            file = pq.ParquetFile(store.open_input_file(info.path))
+            for batch in file.iter_batches(50_000, columns=["unit", "ids"], use_threads=False):
                 lists = batch.column("ids")
                 values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
                 ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) * 4
                 for i, u in enumerate(batch.column("unit").to_pylist()):
                     out[u] = values[ends[i] : ends[i + 1]]
+    pa.default_memory_pool().release_unused()
     return out
 
 
@@ -295,7 +300,7 @@ def _digest(texts: list, arrays: list[np.ndarray], spelled: tuple[bytes, ...]) -
 
 def encoded_digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids) and round_trip (decoding gives the text)."""
-    return encode(docs.select("doc_id", "text"), vocabulary, finish=_digest, schema="n_pieces long, ids_crc32 long, round_trip boolean").drop("text")
+    return encode(docs.select("doc_id", "text"), vocabulary, finish=_digest, schema="n_pieces long, ids_crc32 long, round_trip boolean", carried=["doc_id"])
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
