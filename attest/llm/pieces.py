@@ -215,7 +215,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     apart = dealt.groupBy("unit").agg(F.min("part").alias("any")).where("any is not null").select("unit")
     best = lattice(apart, vocabulary)
     table = dealt.join(best.hint("shuffle_hash"), "unit").select("part", "unit", "ids")
-    table.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{folder}/units")
+    table.repartition("part").sortWithinPartitions("part").write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/units")
 
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
     kept = [c for c in (docs.columns if carried is None else carried) if c not in names]
