@@ -82,3 +82,9 @@ def grouped(value: Column) -> Column:
     """A whole amount with Indian digit groups: 5,20,00,000."""
     whole = F.floor(F.abs(value) + 0.5).cast("long").cast("string")
     return F.concat(F.when(value < -0.5, "-").otherwise(""), F.regexp_replace(whole, r"(?<=\d)(?=(\d\d)*\d{3}$)", ","))
+
+
+def numbered(n: Column, width: int) -> Column:
+    """A whole number with zeros before it up to some width; a longer one stays whole, as lpad would cut it."""
+    digits = n.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))

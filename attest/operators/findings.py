@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.functions.text import rounded
+from attest.functions.text import numbered, rounded
 from attest.operators.facts import nodes, scale_anchor, tolerance_of
 from attest.operators.rules import RULES
 from attest.plans.rulepack import BASE_WEIGHTS, DECK, FAVOURABLE_DOWN, FAVOURABLE_UP, IMPORTANCE, PILLARS, TIERS, RulePack, looked_up, unit_of
@@ -108,7 +108,7 @@ def coded(f: DataFrame) -> DataFrame:
     short = F.when(F.col("classification") == "VERIFIED_MISMATCH", "VM").when(F.col("classification") == "UNRESOLVED_INCONSISTENCY", "UI").when(F.col("classification") == "MISSING_INFORMATION", "MI").when(F.col("classification") == "UNUSUAL_ASSUMPTION_CHANGE", "UC").otherwise("OK")
     f = f.withColumn("prefix", F.concat_ws("-", short, "rule_class"))
     order = W.partitionBy("session_id", "prefix").orderBy(F.desc("severity"), "rule_class", "ordinal", "rule_id", "node_key", "document_id")
-    code = F.concat(F.col("prefix"), F.lit("-"), F.lpad(F.row_number().over(order).cast("string"), 3, "0"))
+    code = F.concat(F.col("prefix"), F.lit("-"), numbered(F.row_number().over(order), 3))
     key = F.sha2(F.concat_ws("|", "session_id", "rule_id", "metric_key", "period_key", "node_key", "document_id"), 256)
     return f.withColumns({"ref_code": code, "finding_id": key}).drop("prefix")
 

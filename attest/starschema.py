@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attest.functions.period import fiscal_quarter, fiscal_start, year_label
-from attest.functions.text import currency_of, is_percent, rounded
+from attest.functions.text import currency_of, is_percent, numbered, rounded
 from attest.operators.facts import nodes
 from attest.operators.findings import verify
 from attest.operators.rules import cross_source
@@ -191,7 +191,7 @@ def ref_codes(spark, d):
     prefix = F.when(F.col("classification") == "VERIFIED_MISMATCH", "VM").when(F.col("classification") == "UNRESOLVED_INCONSISTENCY", "UI").otherwise("OK")
     r = r.withColumn("bucket", F.concat_ws("-", prefix, (F.col("o_orderkey") % 100).cast("string")))
     w = W.partitionBy("bucket").orderBy(F.desc("gap_pct"), "o_orderkey")
-    return r.select("o_orderkey", F.concat("bucket", F.lit("-"), F.lpad(F.row_number().over(w).cast("string"), 5, "0")).alias("ref_code"))
+    return r.select("o_orderkey", F.concat("bucket", F.lit("-"), numbered(F.row_number().over(w), 5)).alias("ref_code"))
 
 
 REF_CODES = f"""
