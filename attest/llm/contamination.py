@@ -7,9 +7,12 @@ one of them. Around each hit, on its diagonal (item position less document posit
 compared, and a pair is reported if some window of 13 item words has at least 80 % equal words
 there.
 
-Words are lower-cased runs of anything but ASCII white space. Defined cases: null, empty and short
-texts (under 8 words) have no seeds and are clean; items shorter than 13 words are compared as a
-whole; repeated items and documents give one row for each pair of ids; very long texts are read
+Items shorter than 13 words are compared as a whole. Their seeds are the item cut into one block more
+than the words that may differ, of which one is equal then; documents have seeds of the blocks'
+lengths, if there are such items.
+
+Words are lower-cased runs of anything but ASCII white space. Defined cases: null and empty texts
+have no seeds and are clean; repeated items and documents give one row for each pair of ids; very long texts are read
 whole; empty tables give an empty one; extra columns are ignored by overlaps() and carried by
 without_overlaps().
 """
@@ -42,6 +45,27 @@ def seeds(texts: DataFrame) -> DataFrame:
     return placed.select("id", "pos", F.explode(both).alias("seed"))
 
 
+def blocks(items: DataFrame) -> DataFrame:
+    """(id, pos, size, seed) of the blocks of items(id, h) under WINDOW words."""
+    size = F.size("h")
+    count = F.floor(size * (100 - PERCENT) / 100).cast("int") + 1
+    edge = lambda i: F.floor(i * size / count).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(edge(i).alias("pos"), (edge(i + 1) - edge(i)).alias("size")))
+    b = items.where((size > 0) & (size < WINDOW)).select("id", "h", F.explode(cut).alias("b")).select("id", "h", "b.pos", "b.size")
+    return b.select("id", "pos", "size", F.xxhash64(F.lit(-1), "size", F.slice("h", F.col("pos") + 1, F.col("size"))).alias("seed"))
+
+
+def runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, pos, seed) of all runs of texts(id, h) that have one of the sizes."""
+
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size("h") - n, F.lit(0)))
+        found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-1), F.lit(n), F.slice("h", i + 1, F.lit(n))).alias("seed")))
+        return F.when(F.size("h") >= n, found).otherwise(F.slice(found, 1, 0))
+
+    return texts.where(F.size("h") > 0).select("id", F.explode(F.flatten(F.array(*[of(n) for n in sizes]))).alias("r")).select("id", "r.pos", "r.seed")
+
+
 def _matches(item: Column, doc: Column, diagonal: Column) -> Column:
     """The most equal words in a window of the item that lies along the document at a diagonal."""
     size = F.least(F.lit(WINDOW), F.size(item))
@@ -67,10 +91,13 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """
     test = items.select(F.col(item_key).alias("id"), _hashes(item_text).alias("h"))
     train = docs.select(F.col(key).alias("id"), _hashes(text).alias("h"))
-    wanted = seeds(test).select(F.col("id").alias("item"), F.col("pos").alias("at"), "seed").distinct()
+    short = blocks(test)
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())
+    wanted = seeds(test.where(F.size("h") >= WINDOW)).unionByName(short.drop("size")).select(F.col("id").alias("item"), F.col("pos").alias("at"), "seed").distinct()
     if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         wanted = F.broadcast(wanted)
-    hits = seeds(train).join(wanted, "seed").select("id", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
+    placed = seeds(train).unionByName(runs(train, sizes)) if sizes else seeds(train)
+    hits = placed.join(wanted, "seed").select("id", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
     near = hits.join(test.select(F.col("id").alias("item"), F.col("h").alias("words")), "item")
     lists = near.groupBy("id").agg(F.collect_list(F.struct("item", "diagonal", "words")).alias("near"))
     looked = train.join(lists, "id").select("id", "h", F.explode("near").alias("n"))
