@@ -10,7 +10,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these.
@@ -24,10 +25,13 @@ _MASK = (1 << 64) - 1
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor and the driver see.
 
-    Where the session has none (tests on one machine), a temporary folder is made and set.
+    Where the session has none, a temporary folder is made and set on a local master; elsewhere that
+    is an error, since executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="attest-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -48,22 +52,36 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file that make a part: texts that are counted together and share what comes back.
+PART_ROWS = 8192
+
+
 def parts_of(docs: DataFrame) -> DataFrame:
-    """docs with __part: the split of the file that a row is read from."""
-    if not docs.inputFiles():
-        docs = written(docs, f"{shared_folder(docs.sparkSession)}/docs")
-    return docs.withColumn("__part", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    """docs with __part, a number of the file and the range of its rows that a row is read from.
+
+    It does not change with the split size, so jobs that run on more or fewer cores agree on it. A
+    table whose rows don't each come from one file's row (after a join or an aggregate, or of
+    another source) is written in the shared folder first, once.
+    """
+    try:
+        return _parted(docs)
+    except AnalysisException:
+        return _parted(written(docs, f"{shared_folder(docs.sparkSession)}/docs"))
+
 
+def _parted(docs: DataFrame) -> DataFrame:
+    source = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(source["file_path"], F.floor(source["row_index"] / PART_ROWS)).alias("__part"))
 
-def batch_count(docs: DataFrame, text: str, batch_bytes: int) -> int:
-    """How many batches of about batch_bytes the texts make (a sum over all of them)."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    return max(1, math.ceil(total / batch_bytes))
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """The bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
-def batch_key(columns: Sequence[str | Column], count: int) -> Column:
-    """A batch number that depends on the row alone, so that a task run again deals alike."""
-    return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")
+
+def bucket_bits(size: int, each: int, least: int = 8) -> int:
+    """So many bits of a hash that a bucket stands for about each of size bytes."""
+    return min(40, max(least, math.ceil(math.log2(max(1, size / each)))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -160,15 +178,31 @@ def chunked(frames: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
-def part_rows(folder: str, part: int, columns: Sequence[str]) -> list[np.ndarray]:
-    """The columns of a table written with partitionBy("part"), of one part; empty where it has none."""
+def delivered(rows: DataFrame, path: str) -> None:
+    """Writes rows with a column part so that each part can read its own."""
+    rows.repartition("part").sortWithinPartitions("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
+
+
+def part_rows(folder: str, part: int, columns: Sequence[str]) -> list[list]:
+    """The columns of a table that was delivered, for one part; empty where it has no rows.
+
+    Numbers come as one array, binary values as a list.
+    """
+    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = open_store(f"{folder}/part={part}")
     files = [i.path for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.path.endswith(".parquet")]
-    tables = [pq.read_table(f, filesystem=store, columns=list(columns), partitioning=None) for f in sorted(files)]
-    return [np.concatenate([t.column(c).to_numpy() for t in tables]) if tables else np.zeros(0, np.int64) for c in columns]
+    tables = [pq.read_table(f, filesystem=store, columns=list(columns), partitioning=None, use_threads=False) for f in sorted(files)]
+    out = []
+    for c in columns:
+        chunks = [t.column(c) for t in tables]
+        if chunks and pa.types.is_binary(chunks[0].type):
+            out.append([x for chunk in chunks for x in chunk.to_pylist()])
+        else:
+            out.append(np.concatenate([x.to_numpy() for x in chunks]) if chunks else np.zeros(0, np.int64))
+    return out
 
 
 def open_store(uri: str):

@@ -1,41 +1,57 @@
-"""Removal of byte strings that repeat from earlier documents, by a logarithmic family of indexes.
-
-Every 50-byte window has an anchor: the 16-byte substring in it of least hash. Two equal windows
-have equal anchors, so a sparse suffix array of the anchors alone (sorted by hash, with document)
-finds every repeat. Documents come in batches by rising doc_id. A batch's array is merge-scanned
-against itself and the existing levels; an anchor met in two documents is a lead. Then the batch
-becomes a level, and as long as two levels have equal size in batches they merge into the next.
-
-Leads are checked exactly. Neighbouring windows with one anchor form a run; a run whose bytes are
-the same in a smaller doc_id is removed whole. For anchors that occur in different runs, the first
-document of each run lists its windows, and each window is held against the least doc_id that has
-it. All comparisons are of 64-bit hashes of the whole 50 bytes or run.
-
-An anchor that many documents of one task share is sent once for that task, so no task gathers a
-row for each copy of a hot passage.
+"""Removal of byte strings that repeat from earlier documents, by a logarithmic family of suffix arrays.
+
+Suffixes are sampled: every 50-byte window has an anchor, the place in it whose next 16 bytes have
+the least hash, so two equal windows sample the same suffix. Documents come in batches by rising
+doc_id. The suffix array of a batch holds its sampled suffixes in the order of the hash of their
+first 16 bytes, cut into buckets of that hash; each part of the input sends its own sorted array, and
+a bucket merges them. The batch's array is merge-scanned against the arrays of the existing levels.
+A suffix that starts alike in two documents is a lead, for the later document as for the earlier one.
+Then the batch becomes a level, and as long as two levels have as many batches they merge.
+
+Leads only name the places where a match of 50 bytes may be. There, each part sends the bytes around
+the suffix (a run: neighbouring windows with one anchor), each distinct run once with the least
+doc_id that has it. Runs of one suffix meet in a bucket, where the bytes of their windows are sorted
+and compared, and each window gets the least doc_id that has it. A window is removed from every
+larger doc_id. Windows of a suffix that very many documents have are dealt by their own hash
+instead, so that one bucket does not gather every text around a common passage.
 
 Defined cases: null is empty; texts under 50 bytes lose nothing; very long texts are read whole;
-rows with equal doc_id never remove bytes from each other; an empty table gives an empty one;
-extra columns are ignored.
+rows with equal doc_id never remove bytes from each other; rows without a doc_id come after all
+others; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import mixed, shared_folder, utf8, written
+from attest.llm.shared import bucket_bits, delivered, mixed, part_rows, parts_of, shared_folder, text_bytes, utf8, written
 
 LENGTH = 50
 ANCHOR = 16
+#: Windows of a run at most, and the bytes they cover.
 SPAN = LENGTH - ANCHOR + 1
+REACH = LENGTH + SPAN - 1
+LAST = (1 << 63) - 1
 _BYTES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0xB17E5))
 _STEP = {s: np.uint64(int(mixed(np.array([s], np.uint64))[0]) | 1) for s in (1, 2, 4, 8, 16, 32)}
+_ODD = mixed(np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
+
+
+@dataclass(frozen=True)
+class Settings:
+    #: Batches that documents come in, by ranges of doc_id with about as many documents.
+    batches: int = 4
+    #: Bytes of text for each bucket.
+    bucket: int = 4 << 20
+    #: A suffix of more documents than this deals its windows by their own hash.
+    common: int = 16_384
 
 
 def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +71,8 @@ def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[: len(least) - size], least[size:])
         size *= 2
     least = np.minimum(least[:n], least[SPAN - size : SPAN - size + n])
-    return mixed(window), least
+    # the least of many hashes is small; mixing spreads it over the buckets
+    return mixed(window), mixed(least)
 
 
 def runs(window: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,81 +93,90 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(utf8(text), np.uint8)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(k, doc, known, lo, hi) from docs(doc, t): the anchors of each document.
+def _firsts(sorted_: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _spans(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of equal neighbours."""
+    at = _firsts(sorted_)
+    return at, np.append(at[1:], len(sorted_))[: len(at)]
 
-    A task sends an anchor once, with the least and greatest doc it met it in; other documents of
-    that task that share it, whose lead is thereby certain, are rows of their own, dealt by doc.
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of all i, counts[i] each."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
+
+
+def suffixes(docs: DataFrame, bits: int) -> DataFrame:
+    """(part, bucket, keys, held) of docs(part, doc, t): each part's sampled suffixes in order.
+
+    bucket has the first bits of a suffix's hash, keys the next 32 as sorted numbers, held in how many
+    documents of the part each was (up to 65535).
     """
 
-    def flush(docs_: list[np.ndarray], keys: list[np.ndarray]) -> pd.DataFrame:
-        k, d = np.concatenate(keys).view(np.int64), np.concatenate(docs_)
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        last = np.append(first[1:], len(k)) - 1
-        lo, hi = d[first], d[last]
-        rest = np.ones(len(k), bool)
-        rest[first] = False
-        rest &= d > np.repeat(lo, last - first + 1)
-        one = pd.DataFrame({"k": k[first], "doc": lo, "anchor": k[first], "hi": hi, "known": False})
-        return pd.concat([one, pd.DataFrame({"k": mixed(d[rest].view(np.uint64)).view(np.int64), "doc": d[rest], "anchor": k[rest], "hi": d[rest], "known": True})], ignore_index=True)
+    def blocks(part: int, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        k = np.concatenate(parts)
+        k.sort()
+        at = _firsts(k)
+        held = np.minimum(np.diff(np.append(at, len(k))), 65535).astype(np.uint16)
+        k = k[at]
+        bucket = (k >> np.uint64(64 - bits)).astype(np.int64)
+        keys = ((k << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        cut, ends = _spans(bucket)
+        yield pd.DataFrame({"part": np.int64(part), "bucket": bucket[cut], "keys": [keys[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], "held": [held[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, keys, size = [], [], 0
+        part, kept, size = None, [], 0
         for frame in frames:
-            for doc, text in zip(frame["doc"], frame["t"], strict=True):
+            for p, text in zip(frame["part"], frame["t"], strict=True):
+                if kept and (p != part or size > 2_000_000):
+                    yield from blocks(part, kept)
+                    kept, size = [], 0
+                part = p
                 _, anchor = window_hashes(_bytes(text))
                 if len(anchor):
-                    own = np.unique(anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])])
-                    keys.append(own)
-                    held.append(np.full(len(own), doc, np.int64))
+                    own = np.unique(anchor[_firsts(anchor)])
+                    kept.append(own)
                     size += len(own)
-                if size > 1_000_000:
-                    yield flush(held, keys)
-                    held, keys, size = [], [], 0
-        if size:
-            yield flush(held, keys)
+        if kept:
+            yield from blocks(part, kept)
 
-    return docs.mapInPandas(run, "k long, doc long, anchor long, hi long, known boolean")
+    return docs.select("part", "t").mapInPandas(run, "part long, bucket long, keys binary, held binary")
+
+
+_ARRAY = "bucket long, keys binary, codes binary, parts binary"
 
 
 class SuffixIndex:
-    """Levels of sorted anchors in the shared folder; level i holds 2**i batches."""
+    """Levels of suffix arrays in the shared folder; level i holds 2**i batches.
+
+    A level has a row for each bucket: its keys in order, and for each key the part of the input that
+    had it first (a code in the list of parts).
+    """
 
-    def __init__(self, spark) -> None:
-        self.spark, self.folder = spark, shared_folder(spark)
+    def __init__(self, spark, bits: int) -> None:
+        self.spark, self.bits, self.folder = spark, bits, shared_folder(spark)
         self.levels: dict[int, DataFrame] = {}
         self.waiting: DataFrame | None = None
         self.count = 0
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Leads (doc, anchor) of a batch of docs(doc, t) against itself and all earlier batches.
-
-        An earlier document that alone had an anchor is a lead too, once a later one has it.
-        """
+        """Leads (part, bucket, keys, held) of a batch of docs(part, doc, t) against itself and all levels."""
         self._settle()
+        levels = None
+        for level in self.levels.values():
+            levels = level if levels is None else levels.unionByName(level)
+        if levels is None:
+            levels = self.spark.createDataFrame([], _ARRAY)
+        fresh = suffixes(docs, self.bits)
         at = f"{self.folder}/batch{self.count}"
         self.count += 1
-        dealt = anchors(docs).repartition("k")
-        fresh = written(dealt.sortWithinPartitions("k"), at)
-        one = fresh.where("not known")
-        own = one.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("hi").alias("hi"))
-        leads = [fresh.where("known").select("doc", "anchor")]
-        known = [own.where("lo < hi").select("anchor")]
-        for level in self.levels.values():
-            met = level.join(own.select("anchor"), "anchor").select("anchor", F.col("lo").alias("doc"))
-            leads.append(met.select("doc", "anchor"))
-            known.append(met.select("anchor"))
-        found = known[0]
-        for k in known[1:]:
-            found = found.unionByName(k)
-        leads.append(one.join(found.distinct(), "anchor").select("doc", "anchor"))
-        out = leads[0]
-        for x in leads[1:]:
-            out = out.unionByName(x)
-        self.waiting = own.select("anchor", "lo")
-        return written(out, f"{at}-leads")
+        found = written(fresh.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInPandas(_scanned, f"lead boolean, part long, held binary, {_ARRAY}"), at)
+        self.waiting = found.where("not lead").select("bucket", "keys", "codes", "parts")
+        return found.where("lead").select("part", "bucket", "keys", "held")
 
     def _settle(self) -> None:
         """Makes the last batch a level, and merges levels of equal size."""
@@ -158,99 +184,284 @@ class SuffixIndex:
             return
         level, new = 0, self.waiting
         while level in self.levels:
-            new = self.levels.pop(level).unionByName(new)
+            both = self.levels.pop(level).withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
+            new = both.groupBy("bucket").applyInPandas(_merged, _ARRAY)
             level += 1
-        new = new.groupBy("anchor").agg(F.min("lo").alias("lo")) if level else new
-        self.levels[level] = written(new.sortWithinPartitions("anchor"), f"{self.folder}/level{level}-{self.count}")
+        self.levels[level] = written(new, f"{self.folder}/level{level}-{self.count}") if level else new
         self.waiting = None
 
 
-def _listed(docs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """docs(doc, t) that have rows(doc, value), with the sorted array of their values."""
-    return docs.join(rows.groupBy("doc").agg(F.array_sort(F.collect_set(value)).alias(value)), "doc")
-
-
-def _run_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, run, doc) of the runs whose anchors are leads, from docs(doc, t, anchor)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text, leads in zip(frame["doc"], frame["t"], frame["anchor"], strict=True):
-                window, anchor = window_hashes(_bytes(text))
-                a, _, h = runs(window, anchor)
-                lead = anchor[a].view(np.int64)
-                hit = np.isin(lead, leads)
-                out.append(np.unique(np.stack([lead[hit], h[hit].view(np.int64), np.full(hit.sum(), doc, np.int64)], axis=1), axis=0))
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["anchor", "run", "doc"])
-
-    return docs.select("doc", "t", "anchor").mapInPandas(run, "anchor long, run long, doc long")
-
-
-def _window_rows(docs: DataFrame) -> DataFrame:
-    """(window, doc) of each window of the listed runs, from docs(doc, t, run)."""
+def _array(bucket: int, keys: np.ndarray, owner: np.ndarray) -> dict:
+    """A bucket of a suffix array: sorted keys and the part that each is from."""
+    parts, codes = np.unique(owner, return_inverse=True)
+    codes = codes.astype(np.uint8 if len(parts) < 256 else np.uint32)
+    return {"bucket": bucket, "keys": keys.tobytes(), "codes": codes.tobytes(), "parts": parts.tobytes()}
+
+
+def _read(row) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, parts) of a bucket of a level."""
+    parts = np.frombuffer(row.parts, np.int64)
+    return np.frombuffer(row.keys, np.uint32), parts[np.frombuffer(row.codes, np.uint8 if len(parts) < 256 else np.uint32)]
+
+
+def _scanned(key: tuple, fresh: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the batch's own array, and the leads of parts of the batch and of the levels."""
+    bucket, out = int(key[0]), []
+    if fresh.empty:
+        return pd.DataFrame(columns=["lead", "part", "held", "bucket", "keys", "codes", "parts"])
+    arrays = [np.frombuffer(k, np.uint32) for k in fresh["keys"]]
+    k = np.concatenate(arrays)
+    held = np.concatenate([np.frombuffer(x, np.uint16) for x in fresh["held"]])
+    owner = np.repeat(fresh["part"].to_numpy(np.int64), [len(a) for a in arrays])
+    order = np.argsort(k, kind="stable")
+    k, held, owner = k[order], held[order], owner[order]
+    first = _firsts(k)
+    times = np.diff(np.append(first, len(k)))
+    lead = np.add.reduceat(held.astype(np.int64), first) > 1
+    own = k[first]
+    out.append(_array(bucket, own, owner[first]) | {"lead": False, "part": 0})  # no null here: pandas would make the parts floats
+    for row in levels.itertuples():
+        keys, parts = _read(row)
+        at = np.searchsorted(keys, own)
+        at[at == len(keys)] = 0
+        met = keys[at] == own
+        lead |= met
+        out += _by_part(bucket, keys[at[met]], parts[at[met]], np.ones(int(met.sum()), np.uint16))
+    hit = np.repeat(lead, times)
+    out += _by_part(bucket, k[hit], owner[hit], held[hit])
+    return pd.DataFrame(out, columns=["lead", "part", "held", "bucket", "keys", "codes", "parts"])
+
+
+def _by_part(bucket: int, keys: np.ndarray, part: np.ndarray, held: np.ndarray) -> list[dict]:
+    order = np.argsort(part, kind="stable")
+    keys, part, held = keys[order], part[order], held[order]
+    return [{"lead": True, "part": int(part[a]), "bucket": bucket, "keys": keys[a:z].tobytes(), "held": held[a:z].tobytes()} for a, z in zip(*_spans(part), strict=True)]
+
+
+def _merged(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of two levels as one; a key that both have stays with the older."""
+    read = [_read(row) for row in both.sort_values("age").itertuples()]
+    keys, parts = (np.concatenate(x) for x in zip(*read, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, parts = keys[order], parts[order]
+    first = _firsts(keys)
+    return pd.DataFrame([_array(int(key[0]), keys[first], parts[first])])
+
+
+def _leads(common: int):
+    """For one bucket, each part's leads once, with those of more than `common` documents marked."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        arrays = [np.frombuffer(k, np.uint32) for k in rows["keys"]]
+        k = np.concatenate(arrays)
+        held = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["held"]]).astype(np.int64)
+        part = np.repeat(rows["part"].to_numpy(np.int64), [len(a) for a in arrays])
+        order = np.lexsort((k, part))
+        u, inverse = np.unique(k, return_inverse=True)
+        many = (np.bincount(inverse, weights=held, minlength=len(u)) > common)[inverse]
+        k, part, many = k[order], part[order], many[order]
+        once = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (part[1:] != part[:-1])]))
+        k, part, many = k[once], part[once], many[once]
+        cut, ends = _spans(part)
+        return pd.DataFrame({"part": part[cut], "bucket": int(key[0]), "keys": [k[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], "many": [many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
+
+    return run
+
+
+def _leads_of(folder: str, part: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bits + 32 of the hashes of a part's leads in order, which of them are of many documents)."""
+    bucket, keys, many = part_rows(folder, part, ["bucket", "keys", "many"])
+    if not len(bucket):
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    full = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64) for b, k in zip(bucket, keys, strict=True)])
+    order = np.argsort(full)
+    return full[order], np.concatenate([np.frombuffer(m, bool) for m in many])[order]
+
+
+def _found(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted number in a sorted array, or -1."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(sorted_, wanted)
+    at[at == len(sorted_)] = 0
+    at[sorted_[at] != wanted] = -1
+    return at
+
+
+def _lead_runs(data: np.ndarray, leads: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, bucket hash, run hash) of a text's runs at leads; those of many documents window by window."""
+    window, anchor = window_hashes(data)
+    a, z, h = runs(window, anchor)
+    key = anchor[a]
+    at = _found(leads[0], key >> np.uint64(32 - bits))
+    hit = at >= 0
+    many = hit.copy()
+    many[hit] = leads[1][at[hit]]
+    single = hit & ~many
+    alone = _ragged(a[many], (z - a)[many]) if many.any() else np.zeros(0, np.int64)
+    own = mixed(window[alone] + np.uint64(1))
+    return np.concatenate([a[single], alone]), np.concatenate([(z - a)[single], np.ones(len(alone), np.int64)]), np.concatenate([key[single], own]), np.concatenate([h[single], window[alone]])
+
+
+def lead_runs(docs: DataFrame, folder: str, bits: int) -> DataFrame:
+    """(part, bucket, keys, hashes, least, most, size, bytes) of docs(part, doc, t): each part's distinct runs at leads."""
+
+    def blocks(part: int, kept: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+        key, h, doc, size, text = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((doc, h, key))
+        key, h, doc, size, text = key[order], h[order], doc[order], size[order], text[order]
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])]))
+        least, most = doc[at], doc[np.append(at[1:], len(doc)) - 1]
+        key, h, size, text = key[at], h[at], size[at], text[at]
+        bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+        cut, ends = _spans(bucket)
+        for i in range(0, len(cut), 64):
+            some = list(zip(cut[i : i + 64], ends[i : i + 64], strict=True))
+            yield pd.DataFrame({"part": np.int64(part), "bucket": bucket[cut[i : i + 64]]} | {n: [x[a:z].tobytes() for a, z in some] for n, x in (("keys", key), ("hashes", h), ("least", least), ("most", most), ("size", size), ("bytes", text))})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, kept, count = None, [], 0
         for frame in frames:
-            for doc, text, wanted in zip(frame["doc"], frame["t"], frame["run"], strict=True):
-                window, anchor = window_hashes(_bytes(text))
-                a, z, h = runs(window, anchor)
-                hit = np.isin(h.view(np.int64), wanted)
-                own = np.unique(window[np.repeat(hit, z - a)])
-                yield pd.DataFrame({"window": own.view(np.int64), "doc": np.full(len(own), doc, np.int64)})
-
-    return docs.select("doc", "t", "run").mapInPandas(run, "window long, doc long")
-
-
-def repeated(docs: DataFrame, leads: DataFrame) -> DataFrame:
-    """(doc, kind, h) of docs(doc, t): runs (kind 0) and windows (kind 1) that a smaller doc has."""
-    folder = shared_folder(docs.sparkSession)
-    seen = written(_run_rows(_listed(docs, leads, "anchor")), f"{folder}/runs")
-    least = written(seen.groupBy("anchor", "run").agg(F.min("doc").alias("lo")), f"{folder}/least")
-    mixed_ = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    first = least.join(mixed_, "anchor").select(F.col("lo").alias("doc"), "run")
-    windows = written(_window_rows(_listed(docs, first, "run")), f"{folder}/windows")
-    owner = windows.groupBy("window").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("window", "lo")
-    by_run = seen.join(least, ["anchor", "run"]).where("lo < doc").select("doc", F.lit(0).alias("kind"), F.col("run").alias("h"))
-    by_window = windows.join(owner, "window").where("lo < doc").select("doc", F.lit(1).alias("kind"), F.col("window").alias("h"))
-    return by_run.unionByName(by_window)
-
-
-def removed(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """doc, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of docs(doc, t)."""
-    lists = repeats.groupBy("doc").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == 0, F.col("h")))).alias("run"), F.array_sort(F.collect_set(F.when(F.col("kind") == 1, F.col("h")))).alias("window"))
+            for p, doc, text in zip(frame["part"], frame["doc"], frame["t"], strict=True):
+                if p != part or count > 100_000:
+                    if kept:
+                        yield from blocks(part, kept)
+                    if p != part:
+                        leads = _leads_of(folder, p, bits)
+                    part, kept, count = p, [], 0
+                data = _bytes(text)
+                if len(data) < LENGTH or not len(leads[0]):
+                    continue
+                a, n, key, h = _lead_runs(data, leads, bits)
+                # a very long text is sent piece by piece
+                for i in range(0, len(a), 100_000):
+                    a_, n_ = a[i : i + 100_000], n[i : i + 100_000]
+                    place = a_[:, None] + np.arange(REACH)
+                    inside = np.arange(REACH) < (n_ + LENGTH - 1)[:, None]
+                    text_ = np.where(inside, data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+                    kept.append((key[i : i + 100_000], h[i : i + 100_000], np.full(len(a_), doc, np.int64), n_.astype(np.uint8), text_))
+                    count += len(a_)
+                    if count > 100_000:
+                        yield from blocks(part, kept)
+                        kept, count = [], 0
+        if kept:
+            yield from blocks(part, kept)
+
+    return docs.select("part", "doc", "t").mapInPandas(run, "part long, bucket long, keys binary, hashes binary, least binary, most binary, size binary, bytes binary")
+
+
+def _least_of_windows(text: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each 50-byte row, the least number in low of all rows with the same bytes."""
+    whole = np.ascontiguousarray(text[:, :48]).view(np.uint64)
+    h = text[:, 48].astype(np.uint64) * np.uint64(256) + text[:, 49]
+    for i in range(6):
+        h = (h ^ (h >> np.uint64(29))) * _ODD[i] + whole[:, i] * _ODD[i + 1]
+    h = mixed(h)
+    order = np.lexsort((low, h))
+    same = h[order[1:]] == h[order[:-1]]
+    for i in range(0, len(same), 100_000):
+        at = i + np.flatnonzero(same[i : i + 100_000])
+        if (text[order[at]] != text[order[at + 1]]).any():  # different bytes of one hash: in the order of the bytes
+            _, inverse = np.unique(np.ascontiguousarray(text).view(np.dtype((np.void, LENGTH))).ravel(), return_inverse=True)
+            least = np.full(inverse.max() + 1, LAST)
+            np.minimum.at(least, inverse, low)
+            return least[inverse]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    out = np.empty(len(h), np.int64)
+    out[order] = np.repeat(low[order[first]], np.diff(np.append(first, len(h))))
+    return out
+
+
+def _compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: for each part's runs with a window that a smaller doc_id has, the least doc_id of each window."""
+    get = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
+    keys, hashes, least, most, size = get("keys", np.uint64), get("hashes", np.uint64), get("least", np.int64), get("most", np.int64), get("size", np.uint8).astype(np.int64)
+    text = get("bytes", np.uint8).reshape(-1, REACH)
+    part = np.repeat(rows["part"].to_numpy(np.int64), [len(x) // 8 for x in rows["keys"]])
+    n = len(keys)
+    ends = np.cumsum(size)
+    before = ends - size
+    # a run that stands alone at its suffix needs no comparison
+    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    meets = count[inverse] > 1
+    lows = np.repeat(least, size)
+    picked = np.flatnonzero(meets)
+    row, column = np.repeat(picked, size[picked]), _ragged(np.zeros(len(picked), np.int64), size[picked])
+    if len(row):
+        windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH, axis=1)[row, column]
+        lows[_ragged(before[picked], size[picked])] = _least_of_windows(windows, lows[_ragged(before[picked], size[picked])])
+    told = np.add.reduceat((lows < np.repeat(most, size)).astype(np.int64), before) > 0 if n else np.zeros(0, bool)
+    at = np.flatnonzero(told)
+    at = at[np.argsort(part[at], kind="stable")]
+    out = []
+    for a, z in zip(*_spans(part[at]), strict=True):
+        own = at[a:z]
+        values = lows[_ragged(before[own], size[own])]
+        owner = np.repeat(np.arange(len(own)), size[own])
+        change = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])]))
+        lengths = np.diff(np.append(change, len(values))).astype(np.uint8)
+        out.append({"part": int(part[own[0]]), "keys": keys[own].tobytes(), "hashes": hashes[own].tobytes(), "size": size[own].astype(np.uint8).tobytes(), "lengths": lengths.tobytes(), "lows": values[change].tobytes()})
+    return pd.DataFrame(out, columns=["part", "keys", "hashes", "size", "lengths", "lows"])
+
+
+class _Answers:
+    """What one part got back: its runs, and the least doc_id of each of their windows."""
+
+    def __init__(self, folder: str, part: int) -> None:
+        columns = part_rows(folder, part, ["keys", "hashes", "size", "lengths", "lows"])
+        keys, hashes, size, lengths, lows = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.uint64, np.uint8, np.uint8, np.int64), strict=True))
+        size = size.astype(np.int64)
+        self.lows = np.repeat(lows, lengths)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.keys = hashes[self.order], keys[self.order]
+        self.before, self.size = (np.cumsum(size) - size)[self.order], size[self.order]
+
+    def removed(self, data: np.ndarray, doc: int, leads: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+        """The windows of a text that a smaller doc_id has."""
+        a, n, key, h = _lead_runs(data, leads, bits)
+        at = _found(self.hashes, h)
+        ok = (at >= 0) & (self.keys[at] == key) & (self.size[at] == n) if len(self.keys) else np.zeros(len(a), bool)
+        a, n, at = a[ok], n[ok], at[ok]
+        if not len(a):
+            return a
+        return _ragged(a, n)[self.lows[_ragged(self.before[at], n)] < doc]
+
+
+def removed(docs: DataFrame, leads: str, answers: str, bits: int, with_bytes: bool = False) -> DataFrame:
+    """doc, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of docs(part, doc, t)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = None
         for frame in frames:
             out = []
-            for doc, text, r, w in zip(frame["doc"], frame["t"], frame["run"], frame["window"], strict=True):
+            for p, doc, text in zip(frame["part"], frame["doc"], frame["t"], strict=True):
+                if p != part:
+                    part, own, found = p, _leads_of(leads, p, bits), _Answers(answers, p)
                 data = _bytes(text)
-                kept, gone, spans = data.tobytes(), 0, 0
-                if r is not None:
-                    window, anchor = window_hashes(data)
-                    a, z, h = runs(window, anchor)
-                    hit = np.repeat(np.isin(h.view(np.int64), r), z - a) | np.isin(window.view(np.int64), w)
-                    at = np.flatnonzero(hit)
+                kept, gone, spans = data, 0, 0
+                at = found.removed(data, doc, own, bits) if len(data) >= LENGTH and len(own[0]) and len(found.keys) else ()
+                if len(at):
                     edge = np.zeros(len(data) + 1, np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + LENGTH, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     gone = int(covered.sum())
                     spans = int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
-                    kept = data[~covered].tobytes()
-                out.append((doc, len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    kept = data[~covered]
+                kept = kept.tobytes()
+                out.append((doc, len(data), gone, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
+            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])])
 
-    joined = docs.join(lists, "doc", "left").select("doc", "t", "run", "window")
-    return joined.mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.select("part", "doc", "t").mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
-def deduplicate(docs: DataFrame, batches: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """removed() of all docs, indexed in batches of equal doc_id ranges."""
-    d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-    cuts = [c for c in d.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []] if batches > 1 else []
-    index, leads, low = SuffixIndex(docs.sparkSession), None, None
+def deduplicate(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
+    """removed() of all docs, indexed in batches of equal doc_id ranges; doc is null where the key is."""
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    d = parts_of(docs.select(key, text)).select(F.col("__part").alias("part"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("t"))
+    bits = bucket_bits(text_bytes(d, "t"), s.bucket)
+    cuts = [c for c in d.agg(F.percentile_approx("doc", [i / s.batches for i in range(1, s.batches)], 1000).alias("c")).first()["c"] or []] if s.batches > 1 else []
+    index, leads, low = SuffixIndex(spark, bits), None, None
     for high in [*sorted(set(cuts)), None]:
         part = d
         if low is not None:
@@ -260,9 +471,13 @@ def deduplicate(docs: DataFrame, batches: int = 2, key: str = "doc_id", text: st
         got = index.add(part)
         leads = got if leads is None else leads.unionByName(got)
         low = high
-    return removed(d, repeated(d, leads))
+    delivered(leads.groupBy("bucket").applyInPandas(_leads(s.common), "part long, bucket long, keys binary, many binary"), f"{folder}/leads")
+    compared = lead_runs(d, f"{folder}/leads", bits).groupBy("bucket").applyInPandas(_compared, "part long, keys binary, hashes binary, size binary, lengths binary, lows binary")
+    delivered(compared, f"{folder}/answers")
+    out = removed(d, f"{folder}/leads", f"{folder}/answers", bits, with_bytes)
+    return out.withColumn("doc", F.when(F.col("doc") != LAST, F.col("doc")))
 
 
 def op9_suffix_index(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicate(docs).select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return deduplicate(docs, with_bytes=False).select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

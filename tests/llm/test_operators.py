@@ -60,8 +60,8 @@ def test_jaccard(docs, rows):
         assert got == {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize("batches", [1, 5])
-def test_suffix_index(docs, rows, batches):
+@pytest.mark.parametrize(("batches", "common"), [(1, 16_384), (5, 2)])
+def test_suffix_index(docs, rows, batches, common):
     first, want = {}, {}
     for k in sorted(rows):
         b = (rows[k] or "").encode()
@@ -71,7 +71,7 @@ def test_suffix_index(docs, rows, batches):
                 gone[i : i + 50] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want[k] = (len(b), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.deduplicate(docs, batches).collect()}
+    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.deduplicate(docs, suffix_index.Settings(batches, 1000, common)).collect()}
     assert got == want
 
 
