@@ -1,11 +1,14 @@
 """Similarity join of documents by the Jaccard coefficient of their word n-gram sets.
 
-Rare-first prefix filtering: n-grams are put in one order, by a count of how many documents hold
-n-grams of the same hash bucket and then by hash; two sets of similarity t share an n-gram among
-the first |s| - ceil(t |s|) + 1 of each. Pairs of one such n-gram pass the length filter, the
-positional filter (how many n-grams can still be common after it) and a suffix filter (a bit
-map of each set bounds the overlap), are made unique, and are verified once on the whole
-sets. The counts are a table of a fixed number of buckets; any counts give right results.
+Rare-first prefix filtering: n-grams are put in one order, by the number of distinct sets that hold them
+and then by hash; two sets of similarity t share an n-gram among the first |s| - ceil(t |s|) + 1 of
+each. Pairs of one such n-gram pass the length filter, the positional filter (how many n-grams can
+still be common before and after it; those of one set alone can't) and a suffix filter (a bit map of
+each set bounds the overlap), are made unique, and are verified once on the whole sets.
+
+The counts are of all sets: each part of the input sends its n-grams' hashes in buckets, which are summed,
+and gets back those that two sets or more have. Nothing of them is broadcast. Hashes are shortened to
+some bits more than a bucket's n-grams need; if two meet, the order changes and no result.
 
 Equal sets are one class. Groups of near copies are joined without all their pairs: first each set
 meets the one set of each shared n-gram that holds it earliest; what those links leave in different
@@ -27,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
-from attest.llm.shared import chunked, mixed, shared_folder, words_of_texts, written
+from attest.llm.shared import block_hashes, bucket_bits, chunked, delivered, firsts, hashed_blocks, mixed, packed, part_rows, parts_of, places, shared_folder, spans, text_bytes, unpacked, words_of_texts, written
 
-BUCKETS = 1 << 16
+#: Bytes of text for each bucket of n-grams.
+BUCKET = 4 << 20
+#: n-grams that a task counts at a time.
+_MOST = 3_000_000
 #: Ids of sets to fetch are broadcast up to so many (16 MB of longs); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 #: Words of 64 bits in the smallest map of a set's n-grams' hashes.
@@ -56,29 +62,6 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _bucket(g: np.ndarray) -> np.ndarray:
-    return (g % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def bucket_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """In each bucket, how many (document, n-gram) pairs all documents have: a table of fixed size."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for frame in frames:
-            for _, hashes in words_of_texts(frame["t"].tolist()):
-                total += np.bincount(_bucket(grams(hashes, n)), minlength=BUCKETS) if len(hashes) > 5000 else 0
-                if 0 < len(hashes) <= 5000:
-                    np.add.at(total, _bucket(grams(hashes, n)), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
-
-    sums = docs.select(F.col(text).alias("t")).mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[sums["bucket"]] = sums["n"]
-    return out
-
-
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -88,28 +71,148 @@ def map_words(size: int) -> int:
     return max(MAP_WORDS, 1 << max(0, (size - 1) // 32).bit_length())
 
 
-def signatures(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class (a hash of the set), prefix and bits of each document."""
-    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, s.words))
+def class_of(g: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over an n-gram set; equal sets have equal ones."""
+    if not len(g):
+        return 0, 0
+    return tuple(int(mixed(x).sum(dtype=np.uint64).view(np.int64)) for x in (g, g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+
+
+def sizes(d: DataFrame, s: Settings) -> DataFrame:
+    """(part, doc_id, n_shingles, c1, c2) of d(part, k, t): the size and class of each set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunked(frames, "t", 2_000_000):
-            n, classes, low, prefix, parts = [], [], [], [], []
-            for _, hashes in words_of_texts(frame["t"].tolist()):
-                g = grams(hashes, s.words)
-                n.append(len(g))
-                classes.append(int(mixed(g).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0)
-                low.append(int(mixed(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0)
-                order = np.lexsort((g, counts.value[_bucket(g)]))
-                prefix.append(g[order[: prefix_length(len(g), s.percent)]].view(np.int64) if len(g) else g.view(np.int64))
-                bits = np.zeros(map_words(len(g)), np.uint64)
-                place = g % np.uint64(64 * len(bits))
-                np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-                parts.append(bits.view(np.int64))
-            yield pd.DataFrame({"doc_id": frame["k"], "n_shingles": n, "c1": classes, "c2": low, "prefix": prefix, "bits": parts})
-
-    d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return d.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, bits array<long>")
+        for frame in frames:
+            sets = [grams(h, s.words) for _, h in words_of_texts(frame["t"].tolist())]
+            c1, c2 = zip(*[class_of(g) for g in sets], strict=True) if sets else ((), ())
+            yield pd.DataFrame({"part": frame["part"], "doc_id": frame["k"], "n_shingles": [len(g) for g in sets], "c1": np.array(c1, np.int64), "c2": np.array(c2, np.int64)})
+
+    return d.mapInPandas(run, "part long, doc_id long, n_shingles long, c1 long, c2 long")
+
+
+class _Chosen:
+    """The sets of one part that stand for their classes, each once."""
+
+    def __init__(self, folder: str, part: int) -> None:
+        rep, c1, c2 = part_rows(folder, part, ["rep", "c1", "c2"])
+        self.left = set(zip(rep.tolist(), c1.tolist(), c2.tolist(), strict=True))
+        self.any = bool(self.left)
+
+    def take(self, doc: int, g: np.ndarray) -> bool:
+        key = (doc, *class_of(g))
+        if key in self.left:
+            self.left.discard(key)
+            return True
+        return False
+
+
+def _chosen_sets(frames: Iterator[pd.DataFrame], folder: str, words: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(part, doc, n-gram set) of the chosen sets, part after part."""
+    part, chosen = None, None
+    for frame in frames:
+        texts, docs = frame["t"].tolist(), frame["k"].to_numpy()
+        for a, z in spans(frame["part"].to_numpy()):
+            p = int(frame["part"].iat[a])
+            if p != part:
+                part, chosen = p, _Chosen(folder, p)
+            wanted = {r for r, _, _ in chosen.left}
+            at = [i for i in range(a, z) if docs[i] in wanted]
+            for i, h in words_of_texts([texts[i] for i in at]):
+                g = grams(h, words)
+                if chosen.take(int(docs[at[i]]), g):
+                    yield p, int(docs[at[i]]), g
+
+
+def asked_counts(d: DataFrame, reps: str, s: Settings, bits: int) -> DataFrame:
+    """(part, bucket, keys, n): in how many chosen sets of each part its n-grams are."""
+
+    def blocks(part: int, held: list[np.ndarray]) -> pd.DataFrame:
+        g = np.concatenate(held)
+        g.sort()
+        at = firsts(g)
+        return hashed_blocks(part, g[at], bits, n=np.minimum(np.diff(np.append(at, len(g))), 65535).astype(np.uint16))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, size = None, [], 0
+        for p, _, g in _chosen_sets(frames, reps, s.words):
+            if held and (p != part or size > _MOST):
+                yield blocks(part, held)
+                held, size = [], 0
+            part = p
+            held.append(g)
+            size += len(g)
+        if held:
+            yield blocks(part, held)
+
+    return d.mapInPandas(run, "part long, bucket long, keys binary, n binary")
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Counts in 256 steps that keep their order: each number below 64, then 12 steps for each doubling."""
+    return np.where(n < 64, n, np.minimum(255, 64 + 12 * np.log2(np.maximum(n, 64) / 64))).astype(np.uint8)
+
+
+def _counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the n-grams of each part that are in two sets or more of all parts, with their level."""
+    arrays = [unpacked(k) for k in rows["keys"]]
+    k = np.concatenate(arrays)
+    u, inverse = np.unique(k, return_inverse=True)
+    n = np.bincount(inverse, weights=np.frombuffer(b"".join(rows["n"]), np.uint16), minlength=len(u)).astype(np.int64)
+    several, level = (n > 1)[inverse], level_of(n)[inverse]
+    ends = np.cumsum([len(a) for a in arrays])
+    out = []
+    for part, a, z in zip(rows["part"], ends - [len(x) for x in arrays], ends, strict=True):
+        hit = several[a:z]
+        out.append({"part": part, "bucket": key[0], "keys": packed(k[a:z][hit]), "level": level[a:z][hit].tobytes()})
+    return pd.DataFrame(out)
+
+
+class _Levels:
+    """The levels of one part's n-grams that are in two sets or more."""
+
+    def __init__(self, folder: str, part: int, bits: int) -> None:
+        bucket, keys, level = part_rows(folder, part, ["bucket", "keys", "level"])
+        if not len(bucket):
+            raise ValueError(f"no counts came back for part {part}")
+        h = block_hashes(bucket, keys)
+        # a part that two tasks asked for has some n-grams twice, with the same level
+        order = np.argsort(h, kind="stable")
+        self.h, self.level, self.shift = h[order], np.frombuffer(b"".join(level), np.uint8)[order], np.uint64(32 - bits)
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        at = places(self.h, g >> self.shift)
+        return np.where(at >= 0, self.level[at], 1) if len(self.h) else np.ones(len(g), np.uint8)
+
+
+def prefixes(d: DataFrame, reps: str, counts: str, s: Settings, bits: int) -> DataFrame:
+    """(rep, n, alone, prefix, pos, bits) of the chosen sets that can have a partner.
+
+    The order is rare first, by exact counts of sets. alone is how many n-grams no other set has: they
+    come first, can't be common, and are left out of prefix, whose places are in pos.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, out = None, []
+        for p, doc, g in _chosen_sets(frames, reps, s.words):
+            if p != part:
+                part, levels = p, _Levels(counts, p, bits)
+            level = levels.of(g)
+            alone = int((level == 1).sum())
+            last = prefix_length(len(g), s.percent)
+            if alone >= last:
+                continue
+            order = np.lexsort((g, level))
+            bits_ = np.zeros(map_words(len(g)), np.uint64)
+            place = g % np.uint64(64 * len(bits_))
+            np.bitwise_or.at(bits_, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            out.append((doc, len(g), alone, g[order[alone:last]].view(np.int64), np.arange(alone, last, dtype=np.int32), bits_.view(np.int64)))
+            if len(out) >= 500:
+                yield pd.DataFrame(out, columns=["rep", "n", "alone", "prefix", "pos", "bits"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["rep", "n", "alone", "prefix", "pos", "bits"])
+
+    return d.mapInPandas(run, "rep long, n int, alone int, prefix array<long>, pos array<int>, bits array<long>")
 
 
 def _needed(x: Column, y: Column, percent: int) -> Column:
@@ -140,47 +243,53 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, key: str, text: st
 
 def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row."""
-    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    signed = written(signatures(docs, s, key, text), f"{folder}/signatures")
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    one = signed.where("n_shingles > 0").join(classes, ["c1", "c2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "prefix")
-    # n-grams that several sets have in their prefixes; sets without one can link with nothing. The
-    # first exchange has the n-grams alone, the second is a join whose hot keys can be split.
-    shared = one.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("gram")
-    held = one.select(F.posexplode("prefix").alias("pos", "gram"), F.col("rep"), F.col("n").cast("int").alias("n"))
-    several = written(held.join(shared, "gram"), f"{folder}/several")
-    first = several.groupBy("gram").agg(F.min(F.struct("pos", "n", "rep")).alias("first"))
-    met = written(several.join(first, "gram").select("gram", "rep", "n", "pos", "first"), f"{folder}/met")
-    parts = signed.where("n_shingles > 0").join(classes, ["c1", "c2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bits")
-
-    near = met.where(F.col("rep") != F.col("first.rep")).where(_near("n", "pos", "first.n", "first.pos", s.percent))
+    folder = shared_folder(docs.sparkSession)
+    d = parts_of(docs.select(key, text)).select(F.col("__part").alias("part"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    bits = bucket_bits(text_bytes(d, "t"), BUCKET)
+    signed = written(sizes(d, s), f"{folder}/sizes")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = written(full.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "part")).alias("r")).select("c1", "c2", F.col("r.doc_id").alias("rep"), F.col("r.part").alias("part")), f"{folder}/classes")
+    delivered(classes, f"{folder}/reps")
+    known = d.where("k is not null")
+    delivered(asked_counts(known, f"{folder}/reps", s, bits).groupBy("bucket").applyInPandas(_counted, "part long, bucket long, keys binary, level binary"), f"{folder}/counts")
+    sets = written(prefixes(known, f"{folder}/reps", f"{folder}/counts", s, bits), f"{folder}/prefixes")
+    maps = sets.select("rep", "n", "bits")
+
+    # a star: each set meets the one of each n-gram that holds it earliest
+    met = sets.select("rep", "n", "alone", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select(F.col("p.prefix").alias("gram"), F.col("p.pos").alias("pos"), "rep", "n", "alone")
+    first = met.groupBy("gram").agg(F.min(F.struct("pos", "n", "rep", "alone")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
+    met = written(met.join(first, "gram"), f"{folder}/met")
+    near = met.where(F.col("rep") != F.col("first.rep")).where(_near("n", "pos", "alone", "first.n", "first.pos", "first.alone", s.percent))
     stars = near.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b")).distinct()
-    stars = written(_filtered(stars, parts, s), f"{folder}/pairs")
+    stars = written(_filtered(stars, maps, s), f"{folder}/pairs")
     links = written(_verified(stars, docs, s, key, text), f"{folder}/stars")
     found = components(links)
 
     # what the stars left apart: each row meets those of other components than its n-gram's largest
-    labelled = met.join(found, met["rep"] == found["node"], "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    sizes = labelled.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("different")).where("different > 1").select("gram", F.col("top.c").alias("top"))
+    labelled = met.join(found, met["rep"] == found["node"], "left").select("gram", "rep", "n", "pos", "alone", F.coalesce("component", "rep").alias("c"))
+    kinds = labelled.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = kinds.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("different")).where("different > 1").select("gram", F.col("top.c").alias("top"))
     open_ = labelled.join(largest, "gram")
     x, y = open_.where("c <> top").alias("x"), open_.alias("y")
-    apart = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & _near("x.n", "x.pos", "y.n", "y.pos", s.percent))
+    apart = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & _near("x.n", "x.pos", "x.alone", "y.n", "y.pos", "y.alone", s.percent))
     rest = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = written(_filtered(rest.join(stars, ["a", "b"], "left_anti"), parts, s), f"{folder}/rest-pairs")
+    rest = written(_filtered(rest.join(stars, ["a", "b"], "left_anti"), maps, s), f"{folder}/rest-pairs")
     more = written(_verified(rest, docs, s, key, text), f"{folder}/rest")
     final = found if more.isEmpty() else components(links.unionByName(more))
 
     labels = classes.join(final, classes["rep"] == final["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a class of very many rows stays where it is: its label is found for each part and class once
+    wanted = full.select("part", "c1", "c2").distinct().join(labels, ["c1", "c2"])
+    out = signed.join(wanted, ["part", "c1", "c2"], "left")
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _near(n: str, p: str, m: str, q: str, percent: int) -> Column:
-    """Length and positional filters: sizes n and m, places p and q of a shared n-gram."""
-    x, y = F.col(n), F.col(m)
+def _near(n: str, p: str, u: str, m: str, q: str, v: str, percent: int) -> Column:
+    """Length and positional filters: sizes n and m, places p and q of a shared n-gram, u and v n-grams that no other set has."""
+    x, y, i, j = F.col(n), F.col(m), F.col(p), F.col(q)
     length = (x * 100 >= y * percent) & (y * 100 >= x * percent)
-    most = F.least(x - F.col(p), y - F.col(q)) + F.least(F.col(p), F.col(q))
+    # before the shared one, those of one set alone can't be common
+    most = F.least(x - i, y - j) + F.least(i - F.col(u), j - F.col(v))
     return length & (most >= _needed(x, y, percent))
 
 

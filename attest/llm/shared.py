@@ -81,7 +81,7 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 
 def bucket_bits(size: int, each: int, least: int = 8) -> int:
     """So many bits of a hash that a bucket stands for about each of size bytes."""
-    return min(40, max(least, math.ceil(math.log2(max(1, size / each)))))
+    return min(32, max(least, math.ceil(math.log2(max(1, size / each)))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -178,6 +178,53 @@ def chunked(frames: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
+def firsts(sorted_: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal neighbours."""
+    at = firsts(sorted_)
+    return list(zip(at, np.append(at[1:], len(sorted_))[: len(at)], strict=True))
+
+
+def packed(sorted_: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as the byte planes of their steps, which compress well."""
+    return np.diff(sorted_, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def hashed_blocks(part: int, hashes: np.ndarray, bits: int, **columns: np.ndarray) -> pd.DataFrame:
+    """(part, bucket, keys, ...): sorted distinct 64-bit hashes cut by their first bits; keys has the next 32.
+
+    Each further column becomes the bytes of its values for those hashes.
+    """
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    keys = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    cut = spans(bucket)
+    return pd.DataFrame({"part": np.int64(part), "bucket": bucket[[a for a, _ in cut]], "keys": [packed(keys[a:z]) for a, z in cut]} | {c: [x[a:z].tobytes() for a, z in cut] for c, x in columns.items()})
+
+
+def block_hashes(bucket: np.ndarray, keys: Sequence[bytes]) -> np.ndarray:
+    """The first bits and 32 of the hashes of blocks, as one array."""
+    return np.concatenate([np.zeros(0, np.uint64), *[(np.uint64(b) << np.uint64(32)) | unpacked(k).astype(np.uint64) for b, k in zip(bucket, keys, strict=True)]])
+
+
+def places(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted number in a sorted array, or -1."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(sorted_, wanted)
+    at[at == len(sorted_)] = 0
+    at[sorted_[at] != wanted] = -1
+    return at
+
+
 def delivered(rows: DataFrame, path: str) -> None:
     """Writes rows with a column part so that each part can read its own."""
     rows.repartition("part").sortWithinPartitions("part").write.option("compression", "zstd").partitionBy("part").parquet(path)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import bucket_bits, delivered, mixed, part_rows, parts_of, shared_folder, text_bytes, utf8, written
+from attest.llm.shared import block_hashes, bucket_bits, delivered, firsts, hashed_blocks, mixed, packed, part_rows, parts_of, places, shared_folder, spans, text_bytes, unpacked, utf8, written
 
 LENGTH = 50
 ANCHOR = 16
@@ -93,17 +93,6 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(utf8(text), np.uint8)
 
 
-def _firsts(sorted_: np.ndarray) -> np.ndarray:
-    """Where equal neighbours begin."""
-    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
-
-
-def _spans(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the runs of equal neighbours."""
-    at = _firsts(sorted_)
-    return at, np.append(at[1:], len(sorted_))[: len(at)]
-
-
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places starts[i], starts[i] + 1, ... of all i, counts[i] each."""
     before = np.cumsum(counts) - counts
@@ -120,13 +109,10 @@ def suffixes(docs: DataFrame, bits: int) -> DataFrame:
     def blocks(part: int, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         k = np.concatenate(parts)
         k.sort()
-        at = _firsts(k)
+        at = firsts(k)
         held = np.minimum(np.diff(np.append(at, len(k))), 65535).astype(np.uint16)
         k = k[at]
-        bucket = (k >> np.uint64(64 - bits)).astype(np.int64)
-        keys = ((k << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        cut, ends = _spans(bucket)
-        yield pd.DataFrame({"part": np.int64(part), "bucket": bucket[cut], "keys": [keys[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], "held": [held[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
+        yield hashed_blocks(part, k, bits, held=held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, kept, size = None, [], 0
@@ -138,7 +124,7 @@ def suffixes(docs: DataFrame, bits: int) -> DataFrame:
                 part = p
                 _, anchor = window_hashes(_bytes(text))
                 if len(anchor):
-                    own = np.unique(anchor[_firsts(anchor)])
+                    own = np.unique(anchor[firsts(anchor)])
                     kept.append(own)
                     size += len(own)
         if kept:
@@ -195,13 +181,13 @@ def _array(bucket: int, keys: np.ndarray, owner: np.ndarray) -> dict:
     """A bucket of a suffix array: sorted keys and the part that each is from."""
     parts, codes = np.unique(owner, return_inverse=True)
     codes = codes.astype(np.uint8 if len(parts) < 256 else np.uint32)
-    return {"bucket": bucket, "keys": keys.tobytes(), "codes": codes.tobytes(), "parts": parts.tobytes()}
+    return {"bucket": bucket, "keys": packed(keys), "codes": codes.tobytes(), "parts": parts.tobytes()}
 
 
 def _read(row) -> tuple[np.ndarray, np.ndarray]:
     """(keys, parts) of a bucket of a level."""
     parts = np.frombuffer(row.parts, np.int64)
-    return np.frombuffer(row.keys, np.uint32), parts[np.frombuffer(row.codes, np.uint8 if len(parts) < 256 else np.uint32)]
+    return unpacked(row.keys), parts[np.frombuffer(row.codes, np.uint8 if len(parts) < 256 else np.uint32)]
 
 
 def _scanned(key: tuple, fresh: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
@@ -209,13 +195,13 @@ def _scanned(key: tuple, fresh: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFr
     bucket, out = int(key[0]), []
     if fresh.empty:
         return pd.DataFrame(columns=["lead", "part", "held", "bucket", "keys", "codes", "parts"])
-    arrays = [np.frombuffer(k, np.uint32) for k in fresh["keys"]]
+    arrays = [unpacked(k) for k in fresh["keys"]]
     k = np.concatenate(arrays)
     held = np.concatenate([np.frombuffer(x, np.uint16) for x in fresh["held"]])
     owner = np.repeat(fresh["part"].to_numpy(np.int64), [len(a) for a in arrays])
     order = np.argsort(k, kind="stable")
     k, held, owner = k[order], held[order], owner[order]
-    first = _firsts(k)
+    first = firsts(k)
     times = np.diff(np.append(first, len(k)))
     lead = np.add.reduceat(held.astype(np.int64), first) > 1
     own = k[first]
@@ -235,7 +221,7 @@ def _scanned(key: tuple, fresh: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFr
 def _by_part(bucket: int, keys: np.ndarray, part: np.ndarray, held: np.ndarray) -> list[dict]:
     order = np.argsort(part, kind="stable")
     keys, part, held = keys[order], part[order], held[order]
-    return [{"lead": True, "part": int(part[a]), "bucket": bucket, "keys": keys[a:z].tobytes(), "held": held[a:z].tobytes()} for a, z in zip(*_spans(part), strict=True)]
+    return [{"lead": True, "part": int(part[a]), "bucket": bucket, "keys": packed(keys[a:z]), "held": held[a:z].tobytes()} for a, z in spans(part)]
 
 
 def _merged(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +230,7 @@ def _merged(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
     keys, parts = (np.concatenate(x) for x in zip(*read, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, parts = keys[order], parts[order]
-    first = _firsts(keys)
+    first = firsts(keys)
     return pd.DataFrame([_array(int(key[0]), keys[first], parts[first])])
 
 
@@ -252,7 +238,7 @@ def _leads(common: int):
     """For one bucket, each part's leads once, with those of more than `common` documents marked."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(k, np.uint32) for k in rows["keys"]]
+        arrays = [unpacked(k) for k in rows["keys"]]
         k = np.concatenate(arrays)
         held = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["held"]]).astype(np.int64)
         part = np.repeat(rows["part"].to_numpy(np.int64), [len(a) for a in arrays])
@@ -262,8 +248,8 @@ def _leads(common: int):
         k, part, many = k[order], part[order], many[order]
         once = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (part[1:] != part[:-1])]))
         k, part, many = k[once], part[once], many[once]
-        cut, ends = _spans(part)
-        return pd.DataFrame({"part": part[cut], "bucket": int(key[0]), "keys": [k[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], "many": [many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
+        cut = spans(part)
+        return pd.DataFrame({"part": part[[a for a, _ in cut]], "bucket": int(key[0]), "keys": [packed(k[a:z]) for a, z in cut], "many": [many[a:z].tobytes() for a, z in cut]})
 
     return run
 
@@ -273,27 +259,17 @@ def _leads_of(folder: str, part: int, bits: int) -> tuple[np.ndarray, np.ndarray
     bucket, keys, many = part_rows(folder, part, ["bucket", "keys", "many"])
     if not len(bucket):
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    full = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64) for b, k in zip(bucket, keys, strict=True)])
+    full = block_hashes(bucket, keys)
     order = np.argsort(full)
     return full[order], np.concatenate([np.frombuffer(m, bool) for m in many])[order]
 
 
-def _found(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted number in a sorted array, or -1."""
-    if not len(sorted_):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(sorted_, wanted)
-    at[at == len(sorted_)] = 0
-    at[sorted_[at] != wanted] = -1
-    return at
-
-
 def _lead_runs(data: np.ndarray, leads: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, ...]:
     """(start, windows, bucket hash, run hash) of a text's runs at leads; those of many documents window by window."""
     window, anchor = window_hashes(data)
     a, z, h = runs(window, anchor)
     key = anchor[a]
-    at = _found(leads[0], key >> np.uint64(32 - bits))
+    at = places(leads[0], key >> np.uint64(32 - bits))
     hit = at >= 0
     many = hit.copy()
     many[hit] = leads[1][at[hit]]
@@ -314,10 +290,10 @@ def lead_runs(docs: DataFrame, folder: str, bits: int) -> DataFrame:
         least, most = doc[at], doc[np.append(at[1:], len(doc)) - 1]
         key, h, size, text = key[at], h[at], size[at], text[at]
         bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-        cut, ends = _spans(bucket)
+        cut = spans(bucket)
         for i in range(0, len(cut), 64):
-            some = list(zip(cut[i : i + 64], ends[i : i + 64], strict=True))
-            yield pd.DataFrame({"part": np.int64(part), "bucket": bucket[cut[i : i + 64]]} | {n: [x[a:z].tobytes() for a, z in some] for n, x in (("keys", key), ("hashes", h), ("least", least), ("most", most), ("size", size), ("bytes", text))})
+            some = cut[i : i + 64]
+            yield pd.DataFrame({"part": np.int64(part), "bucket": bucket[[a for a, _ in some]]} | {n: [x[a:z].tobytes() for a, z in some] for n, x in (("keys", key), ("hashes", h), ("least", least), ("most", most), ("size", size), ("bytes", text))})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, kept, count = None, [], 0
@@ -394,7 +370,7 @@ def _compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     at = np.flatnonzero(told)
     at = at[np.argsort(part[at], kind="stable")]
     out = []
-    for a, z in zip(*_spans(part[at]), strict=True):
+    for a, z in spans(part[at]):
         own = at[a:z]
         values = lows[_ragged(before[own], size[own])]
         owner = np.repeat(np.arange(len(own)), size[own])
@@ -419,7 +395,7 @@ class _Answers:
     def removed(self, data: np.ndarray, doc: int, leads: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
         """The windows of a text that a smaller doc_id has."""
         a, n, key, h = _lead_runs(data, leads, bits)
-        at = _found(self.hashes, h)
+        at = places(self.hashes, h)
         ok = (at >= 0) & (self.keys[at] == key) & (self.size[at] == n) if len(self.keys) else np.zeros(len(a), bool)
         a, n, at = a[ok], n[ok], at[ok]
         if not len(a):
