@@ -190,13 +190,24 @@ def spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
 
 
 def packed(sorted_: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as the byte planes of their steps, which compress well."""
-    return np.diff(sorted_, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted unsigned numbers as the byte planes of their steps, which compress well."""
+    steps = np.diff(sorted_, prepend=sorted_.dtype.type(0))
+    return steps.view(np.uint8).reshape(-1, sorted_.itemsize).T.tobytes()
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=np.uint32)
+def unpacked(b: bytes, kind: type = np.uint32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(steps, dtype=kind)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their byte planes; the planes of high bytes are mostly zero."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def hashed_blocks(part: int, hashes: np.ndarray, bits: int, **columns: np.ndarray) -> pd.DataFrame:

@@ -105,18 +105,19 @@ def test_suffix_tree(docs, rows):
     from pyspark.sql import functions as F
 
     train = F.col("doc_id") % 2 == 1
-    got = {r.doc_id: r for r in suffix_tree.score(docs, train, suffix_tree.Settings(2, 2.0, 3)).collect()}
+    s = suffix_tree.Settings(2, 2.0, 3)
+    got = {r.doc_id: r for r in suffix_tree.score(docs, train, s).collect()}
     mine = [[*words(t), None] for k, t in rows.items() if k % 2 == 1]
     c = Counter(x for w in mine for x in w)
     n, v = sum(c.values()), len(c)
     follow = {}
     for w in mine:
-        w = ["<s>", "<s>", *w]
-        for i in range(2, len(w)):
+        w = ["<s>", *w]
+        for i in range(1, len(w)):
             for k in (1, 2):
-                follow.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
-    kept, often = set(), {x for x, m in c.items() if m >= 3}
-    told = {k: {x: m for x, m in f.items() if m >= 2 and x in often} for k, f in follow.items()}
+                if i >= k:
+                    follow.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+    kept = {}
 
     def p(context, x):
         if not context:
@@ -124,28 +125,20 @@ def test_suffix_tree(docs, rows):
         below = p(context[1:], x)
         if context not in kept:
             return below
-        t = sum(follow[context].values())
-        return (told[context].get(x, 0) + (t - sum(told[context].values()) + 1) * below) / (t + 1)
-
-    for context, f in sorted(told.items(), key=lambda y: len(y[0])):
-        t = sum(follow[context].values())
-        r = t - sum(f.values())
-        bits = r * np.log2(r / t) if r else 0
-        for x, m in f.items():
-            q = p(context[1:], x)
-            bits += m * np.log2((m - 1 + (r + 1) * q if m > 2 else (r + 2) * q) / t / q)
-        if t >= 3 and bits >= 2 and f and context != ("<s>", "<s>") and (len(context) == 1 or context[1:] in kept) and (len(context) == 1 or set(context) - {"<s>"} <= often):
-            kept.add(context)
+        return (follow[context][x] + kept[context] * below) / (sum(follow[context].values()) + kept[context])
+
+    for context, f in sorted(follow.items(), key=lambda y: len(y[0])):
+        t = sum(f.values())
+        rough = {x: 2 ** (int(65535 + np.log2(p(context[1:], x)) * 1024) / 1024 - 65535 / 1024) for x in f}
+        bits = {w: sum(m * np.log2((m - 1 + w * rough[x]) / rough[x]) for x, m in f.items()) - t * np.log2(t - 1 + w) for w in suffix_tree.WEIGHTS}
+        if t >= 3 and max(bits.values()) >= 2:
+            kept[context] = max(bits, key=bits.get)
     assert {len(x) for x in kept} == {1, 2}
     for k, t in rows.items():
-        w = ["<s>", "<s>", *words(t), None]
-        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(w) - 2, sum(x in c for x in w[2:]), n)
-        assert got[k].base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w[2:]))
-        want = 0.0
-        for i in range(2, len(w)):
-            context = tuple(w[i - 2 : i]) if tuple(w[i - 2 : i]) in kept and (w[i - 1],) in kept else (w[i - 1],)
-            want += np.log10(p(context, w[i]))
-        assert got[k].score == pytest.approx(want)
+        w = ["<s>", *words(t), None]
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(w) - 1, sum(x in c for x in w[1:]), n)
+        assert got[k].base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w[1:]))
+        assert got[k].score == pytest.approx(sum(np.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w))))
 
 
 def test_suffix_tree_beats_its_base(spark):
