@@ -94,15 +94,19 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     short = blocks(test)
     sizes = sorted(r["size"] for r in short.select("size").distinct().collect())
     wanted = seeds(test.where(F.size("h") >= WINDOW)).unionByName(short.drop("size")).select(F.col("id").alias("item"), F.col("pos").alias("at"), "seed").distinct()
-    if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        wanted = F.broadcast(wanted)
+    few = wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    small = F.broadcast if few else (lambda x: x)  # an item has at most as many words as seeds, and some
     placed = seeds(train).unionByName(runs(train, sizes)) if sizes else seeds(train)
-    hits = placed.join(wanted, "seed").select("id", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
-    near = hits.join(test.select(F.col("id").alias("item"), F.col("h").alias("words")), "item")
-    lists = near.groupBy("id").agg(F.collect_list(F.struct("item", "diagonal", "words")).alias("near"))
-    looked = train.join(lists, "id").select("id", "h", F.explode("near").alias("n"))
-    size = F.least(F.lit(WINDOW), F.size("n.words"))
-    scored = looked.select(F.col("id").alias("doc_id"), F.col("n.item").alias("item_id"), _matches(F.col("n.words"), F.col("h"), F.col("n.diagonal")).alias("equal_words"), size.alias("window_words"), F.col("n.diagonal").alias("item_minus_doc"))
+    hits = placed.join(small(wanted), "seed").select("id", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
+    # of each document only the words along a hit's diagonal go on, so a row is as short as its item
+    lengths = test.select(F.col("id").alias("item"), F.size("h").alias("length"))
+    lists = hits.join(small(lengths), "item").groupBy("id").agg(F.collect_list(F.struct("item", "diagonal", "length")).alias("near"))
+    begin = F.greatest(F.lit(0), -F.col("n.diagonal"))
+    stop = F.least(F.size("h"), F.col("n.length") - F.col("n.diagonal"))
+    looked = train.join(lists, "id").select("id", "h", F.explode("near").alias("n")).select("id", F.col("n.item").alias("item"), F.col("n.diagonal").alias("diagonal"), begin.alias("begin"), F.slice("h", begin + 1, F.greatest(stop - begin, F.lit(0))).alias("along"))
+    pairs = looked.join(small(test.select(F.col("id").alias("item"), F.col("h").alias("words"))), "item")
+    size = F.least(F.lit(WINDOW), F.size("words"))
+    scored = pairs.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), _matches(F.col("words"), F.col("along"), F.col("diagonal") + F.col("begin")).alias("equal_words"), size.alias("window_words"), F.col("diagonal").alias("item_minus_doc"))
     close = scored.where(F.col("equal_words") * 100 >= F.col("window_words") * PERCENT)
     best = close.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal_words", "window_words", "item_minus_doc")).alias("b"))
     return best.select("doc_id", "item_id", "b.equal_words", "b.window_words", "b.item_minus_doc")
