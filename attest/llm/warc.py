@@ -58,14 +58,16 @@ def header_fields(head: bytes) -> dict[str, str]:
 def _plan(pages: DataFrame, key: str, html: str, url: str, least: int) -> DataFrame:
     """page_id, url, payload, digest and refers_to; the digests' largest pages come from a grouping.
 
-    The grouping is over (digest, page_id) pairs and pre-aggregates, and only digests that occur
-    twice are joined back, so a payload that a third of all pages share stays spread.
+    Digests meet as (page_id, digest) pairs of large pages alone; the pages themselves are joined by
+    page_id and digest with those pairs that are revisits, so a payload that a third of all pages
+    share, or an empty one, stays spread.
     """
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    large = F.octet_length("html") >= least
-    same = p.where(large).groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "latest")
-    return p.join(same, "digest", "left").withColumn("refers_to", F.when(F.col("latest") != F.col("page_id"), F.col("latest"))).drop("latest")
+    large = p.where(F.octet_length("html") >= least).select("page_id", "digest").distinct()
+    same = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = large.join(same, "digest").where("page_id <> refers_to")
+    return p.join(again, ["page_id", "digest"], "left")
 
 
 def _task_file(folder: str, name: str):
