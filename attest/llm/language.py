@@ -13,7 +13,6 @@ identify(), whose own columns replace columns of the same name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from attest.llm.shared import chunked, runs_of_texts
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Texts whose features are held at a time.
+_ROWS = 256
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -34,11 +34,16 @@ _FOLD[48:58] = 48
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language bounds the labelled rows that are fitted: about so many for each language."""
+    """per_language bounds the labelled rows that are fitted: about so many for each language.
+
+    most_rows bounds them for all languages together, and most_labels the languages.
+    """
 
     dimensions: int = 4096
     sizes: tuple[int, ...] = (2, 3)
     per_language: int = 400
+    most_rows: int = 8000
+    most_labels: int = 1000
     clusters: int = 3
     rounds: int = 8
     #: A text is rejected below this share of the lowest cosine in its cluster's training texts.
@@ -59,7 +64,7 @@ class Model:
 
 def _counts(texts: list[str | None], s: Settings) -> Iterator[tuple[int, np.ndarray]]:
     """(index of the first text, matrix of feature counts) for runs of texts."""
-    for first, end, data, offsets in runs_of_texts(texts):
+    for first, end, data, offsets in runs_of_texts(texts, most=_ROWS):
         b = _FOLD[data]
         n, parts = end - first, []
         for size in s.sizes:
@@ -89,12 +94,16 @@ def _vectors(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text: str, label: str, key: str, settings: Settings = Settings()) -> Model:
     """Fits the centroids on about per_language rows of each language, chosen by a hash of key.
 
-    The languages are as many as the labels' distinct values: a small table, as labels are names
-    of languages. What reaches the driver is per_language rows of `dimensions` numbers for each.
+    With many languages it is fewer rows of each, most_rows in all; more than most_labels distinct
+    labels are an error. So what reaches the driver is bounded.
     """
     s = settings
     named = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    shares = {r[label]: min(1.0, s.per_language / r["n"]) for r in named.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = named.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(s.most_labels + 1).collect()
+    if len(counts) > s.most_labels:
+        raise ValueError(f"{label} has more than {s.most_labels} values, so they are no languages")
+    each = min(s.per_language, s.most_rows / max(1, len(counts)))
+    shares = {r[label]: min(1.0, each / r["n"]) for r in counts}
     if not shares:
         return Model(s, np.ones(s.dimensions, np.float32), np.zeros((0, s.dimensions), np.float32), (), np.zeros(0))
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(label)]
@@ -144,7 +153,7 @@ def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
             best = cosine[np.arange(len(near)), near]
             for i in range(len(near)):
                 t = texts[first + i]
-                if t is not None and _LETTER.search(t):
+                if t is not None and any(map(str.isalpha, t)):
                     names[first + i] = model.languages[near[i]]
                     score[first + i] = min(1.0, max(0.0, float(best[i])))
                     rejected[first + i] = best[i] < model.floors[near[i]]

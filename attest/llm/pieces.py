@@ -12,9 +12,9 @@ after a piece of score -1e9, such as a lone blank of some models). A model train
 by merges (BPE) has merge ranks as scores; its own encoder applies merges in rank order, which is
 no best path, so its ids differ from these for some words, though both decode to the same text.
 
-Each distinct unit goes through the lattice once and back to the parts of the input that hold it:
-a part is a split of the input files (others are written first), so the texts themselves are never
-shuffled. The piece table is of fixed size and is broadcast.
+Each distinct unit goes through the lattice once, and its ids back to the parts of the input that hold
+it, under a 64-bit hash of the unit: a part is a range of a file's rows (other tables are written
+first), so the texts themselves are never shuffled. The piece table is of fixed size and is broadcast.
 
 Defined cases: null and empty texts have no ids; very long texts are cut into units like others; a
 text with the blank's own sign (U+2581) decodes to a blank there, as in the library; repeated rows
@@ -31,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm.quality import bound
-from attest.llm.shared import open_store, parts_of, shared_folder
+from attest.llm.shared import delivered, part_lists, parts_of, places, shared_folder, spans, utf8
 
 BLANK = "▁"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
@@ -50,6 +51,8 @@ SHORT = 4
 #: Units of more characters are decoded by following back pointers.
 LONG = 256
 _MOST_UNITS = 300_000
+#: Rows of a file that share what comes back: more rows, fewer units that go to several parts.
+PART_ROWS = 32_768
 #: Words that a worker remembers beside the units; beyond, it starts anew.
 _MOST_WORDS = 60_000
 
@@ -185,7 +188,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     carried: the columns of docs that come back (all by default).
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    parted = parts_of(docs)
+    parted = parts_of(docs, PART_ROWS)
     cutter = vocabulary.units
 
     def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,12 +213,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
         if units:
             yield flush()
 
-    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit")
+    # a part that two tasks read sends some units twice
+    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit").distinct()
     # both sides below read all columns of one exchange, which is then made once
     apart = dealt.groupBy("unit").agg(F.min("part").alias("any")).where("any is not null").select("unit")
-    best = lattice(apart, vocabulary)
-    table = dealt.join(best.hint("shuffle_hash"), "unit").select("part", "unit", "ids")
-    table.repartition("part").sortWithinPartitions("part").write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/units")
+    short = "array<smallint>" if max([*vocabulary.byte_ids, *(i for _, i, _ in vocabulary.pieces)]) < 1 << 15 else "array<int>"
+    best = lattice(apart, vocabulary).withColumn("ids", F.col("ids").cast(short))
+    delivered(dealt.join(best.hint("shuffle_hash"), "unit").select("part", F.xxhash64("unit").alias("unit"), "ids"), f"{folder}/units")
 
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
     kept = [c for c in (docs.columns if carried is None else carried) if c not in names]
@@ -223,51 +227,45 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
 
     def assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spelled, units, where = held.value
-        cut, part, words, ids_of = re.compile(units), None, {}, {}
-        for frame in (f.iloc[i : i + 1000] for f in frames for i in range(0, len(f), 1000)):
-            frame, arrays = frame.reset_index(drop=True), []
-            for p, t in zip(frame["__part"], frame[text], strict=True):
-                if p != part:
-                    part, words, ids_of = p, {}, {}
-                    ids_of = _units_of(f"{where}/units", p)
-                if not t:
-                    arrays.append(np.zeros(0, np.int32))
-                    continue
-                got = []
-                for w in words_of(t):
-                    b = words.get(w)
-                    if b is None:
-                        if len(words) > _MOST_WORDS:
-                            words.clear()
-                        b = words[w] = b"".join([ids_of[u] for u in spelled_units(w, cut)])
-                    got.append(b)
-                arrays.append(np.frombuffer(b"".join(got), np.int32))
-            new = finish(frame[text].tolist(), arrays, spelled) if finish else pd.DataFrame({"ids": arrays})
-            yield pd.concat([frame[kept], new], axis=1)
+        cut, part, words, table = re.compile(units), None, {}, None
+        for frame in (f.iloc[i : i + 200] for f in frames for i in range(0, len(f), 200)):
+            for a, z in spans(frame["__part"].to_numpy()):
+                some = frame.iloc[a:z].reset_index(drop=True)
+                if (p := int(some["__part"].iat[0])) != part:
+                    table = None
+                    part, words, table = p, {}, _Units(f"{where}/units", p)
+                texts = [words_of(t) if t else [] for t in some[text]]
+                new = set().union(*texts) - words.keys()
+                if len(words) + len(new) > _MOST_WORDS:
+                    words = {}
+                    new = set().union(*texts)
+                words.update(table.of_words(list(new), cut))
+                arrays = [np.frombuffer(b"".join([words[w] for w in t]), np.int32) for t in texts]
+                made = finish(some[text].tolist(), arrays, spelled) if finish else pd.DataFrame({"ids": arrays})
+                yield pd.concat([some[kept], made], axis=1)
 
     kinds = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in docs.schema if x.name in kept)
     return parted.mapInPandas(assemble, f"{kinds}{schema}").select(*kept, *names)
 
 
-def _units_of(folder: str, part: int) -> dict[str, bytes]:
-    """The units of one part of the input, with the bytes of their ids."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, root = open_store(f"{folder}/part={part}")
-    out: dict[str, bytes] = {}
-    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-        if info.path.endswith(".parquet"):
-            file = pq.ParquetFile(store.open_input_file(info.path))
-            for batch in file.iter_batches(50_000, columns=["unit", "ids"], use_threads=False):
-                lists = batch.column("ids")
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) * 4
-                for i, u in enumerate(batch.column("unit").to_pylist()):
-                    out[u] = values[ends[i] : ends[i + 1]]
-    pa.default_memory_pool().release_unused()
-    return out
+class _Units:
+    """The units of one part of the input by their hashes, and their ids."""
+
+    def __init__(self, folder: str, part: int) -> None:
+        unit, ids, ends = part_lists(folder, part, "unit", "ids")
+        self.order = np.argsort(unit)
+        self.unit, self.ids, self.ends = unit[self.order], ids.astype(np.int32), ends
+
+    def of_words(self, words: list[str], cut: re.Pattern) -> dict[str, bytes]:
+        """The ids of each word as 32-bit numbers."""
+        lists = [spelled_units(w, cut) for w in words]
+        seen = list(dict.fromkeys(u for units in lists for u in units))
+        at = places(self.unit, np.fromiter((xxhash.xxh64_intdigest(utf8(u), 42) for u in seen), np.uint64, len(seen)).view(np.int64))
+        if (at < 0).any():
+            raise ValueError("a unit has no ids: the texts are not those that were counted")
+        at = self.order[at]
+        of = {u: self.ids[a:z].tobytes() for u, a, z in zip(seen, self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)}
+        return {w: b"".join([of[u] for u in units]) for w, units in zip(words, lists, strict=True)}
 
 
 def decoded(ids: np.ndarray, spelled: tuple[bytes, ...]) -> str:

@@ -56,22 +56,22 @@ def written(df: DataFrame, path: str) -> DataFrame:
 PART_ROWS = 8192
 
 
-def parts_of(docs: DataFrame) -> DataFrame:
-    """docs with __part, a number of the file and the range of its rows that a row is read from.
+def parts_of(docs: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """docs with __part, a number of the file and the range of so many of its rows that a row is read from.
 
     It does not change with the split size, so jobs that run on more or fewer cores agree on it. A
     table whose rows don't each come from one file's row (after a join or an aggregate, or of
     another source) is written in the shared folder first, once.
     """
     try:
-        return _parted(docs)
+        return _parted(docs, rows)
     except AnalysisException:
-        return _parted(written(docs, f"{shared_folder(docs.sparkSession)}/docs"))
+        return _parted(written(docs, f"{shared_folder(docs.sparkSession)}/docs"), rows)
 
 
-def _parted(docs: DataFrame) -> DataFrame:
+def _parted(docs: DataFrame, rows: int) -> DataFrame:
     source = docs.metadataColumn("_metadata")
-    return docs.select("*", F.xxhash64(source["file_path"], F.floor(source["row_index"] / PART_ROWS)).alias("__part"))
+    return docs.select("*", F.xxhash64(source["file_path"], F.floor(source["row_index"] / rows)).alias("__part"))
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -126,8 +126,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(np.add.reduceat(value, first))
 
 
-def runs_of_texts(texts: Sequence[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a batch of texts into runs of some limit bytes: (first, end, buffer, offsets).
+def runs_of_texts(texts: Sequence[str | None], limit: int = 1_000_000, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a batch of texts into runs of some limit bytes and most texts: (first, end, buffer, offsets).
 
     A longer text is a run of its own. Each text in the buffer is followed by a line feed, so
     that no word goes over its end; offsets has one entry more than there are texts.
@@ -135,7 +135,7 @@ def runs_of_texts(texts: Sequence[str | None], limit: int = 1_000_000) -> Iterat
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         b = utf8(text)
-        if held and size + len(b) > limit:
+        if held and (size + len(b) > limit or len(held) == most):
             yield _run(first, held)
             first, held, size = i, [], 0
         held.append(b)
@@ -163,17 +163,18 @@ def rows(columns: dict) -> pd.DataFrame:
     return pd.DataFrame(columns)
 
 
-def chunked(frames: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[pd.DataFrame]:
-    """Joins the batches of a task until their texts have some characters: fewer, larger batches."""
+def chunked(frames: Iterator[pd.DataFrame], text: str, most: int, rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Joins the batches of a task until they have some characters or rows: fewer, larger batches."""
     held: list[pd.DataFrame] = []
-    size = 0
+    size = count = 0
     for frame in frames:
         n = int(frame[text].str.len().sum())
-        if held and size + n > most:
+        if held and (size + n > most or count + len(frame) > rows):
             yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
+            held, size, count = [], 0, 0
         held.append(frame)
         size += n
+        count += len(frame)
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -263,6 +264,26 @@ def part_rows(folder: str, part: int, columns: Sequence[str]) -> list[list]:
     return out
 
 
+def part_lists(folder: str, part: int, key: str, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, values of all their lists, where each list ends after a first 0) of a delivered part."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = open_store(f"{folder}/part={part}")
+    keys, flat, ends, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)], [np.zeros(1, np.int64)], 0
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(store.open_input_file(info.path)).iter_batches(50_000, columns=[key, values], use_threads=False):
+                lists = batch.column(values)
+                keys.append(batch.column(key).to_numpy())
+                flat.append(lists.flatten().to_numpy(zero_copy_only=False))
+                ends.append(total + np.cumsum(lists.value_lengths().to_numpy()))
+                total = int(ends[-1][-1])
+    pa.default_memory_pool().release_unused()
+    return np.concatenate(keys), np.concatenate(flat), np.concatenate(ends)
+
+
 def open_store(uri: str):
     """(file system, path) of a shared folder's address, by pyarrow."""
     from pyarrow import fs
