@@ -231,7 +231,12 @@ def places(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The place of each wanted number in a sorted array, or -1."""
     if not len(sorted_):
         return np.full(len(wanted), -1)
-    at = np.searchsorted(sorted_, wanted)
+    if len(wanted) > 1000:  # going through the array in order is several times as fast
+        order = np.argsort(wanted)
+        at = np.empty(len(wanted), np.int64)
+        at[order] = np.searchsorted(sorted_, wanted[order])
+    else:
+        at = np.searchsorted(sorted_, wanted)
     at[at == len(sorted_)] = 0
     at[sorted_[at] != wanted] = -1
     return at
