@@ -95,3 +95,35 @@ def sort_key(period: Column) -> Column:
     """A whole number in time order; null for relative and unknown periods."""
     month = (period["month"] + 8) % 12 + 1
     return period["fy"] * 100 + F.coalesce(month, (period["quarter"] - 1) * 3 + 1, F.lit(0))
+
+
+def comparable(key: Column) -> Column:
+    return key.isNotNull() & (key != "UNKNOWN")
+
+
+def human_period(key: Column) -> Column:
+    """A period's key as a person would say it: March 2025, Q3 FY2024-25, projected year 1."""
+    month, start = _part(key, r"^M(\d\d)-FY(\d{4})-\d\d$", 1).try_cast("int"), _part(key, r"^M(\d\d)-FY(\d{4})-\d\d$", 2).try_cast("int")
+    names = F.array(*[F.lit(x.capitalize()) for x in _FULL])
+    named = F.concat(F.get(names, month - 1), F.lit(" "), F.when(month >= 4, start).otherwise(start + 1).cast("string"))
+    return (
+        F.when(~comparable(key) | key.isNull(), "an unstated period")
+        .when(month.between(1, 12), named)
+        .when(key.rlike(r"^Q\d-FY\d{4}-\d\d$"), F.replace(key, F.lit("-FY"), F.lit(" FY")))
+        .when(key.rlike(r"^REL-Y\d$"), F.concat(F.lit("projected year "), F.substring(key, 6, 1)))
+        .otherwise(key)
+    )
+
+
+def months_of_year(fy: Column) -> Column:
+    """The twelve month keys of a fiscal year, from April."""
+    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.format_string("M%02d-", (i + 3) % 12 + 1), year_label(fy)))
+
+
+def quarters_of_year(fy: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(4)), lambda q: F.concat(F.format_string("Q%d-", q), year_label(fy)))
+
+
+def months_of_quarter(fy: Column, quarter: Column) -> Column:
+    """The three month keys of a fiscal quarter."""
+    return F.slice(months_of_year(fy), (quarter - 1) * 3 + 1, F.lit(3))

@@ -20,10 +20,13 @@ def tolerance_of(metric: Column, unit: Column, pack: RulePack) -> tuple[Column,
 def anchored(obs: DataFrame, rates: DataFrame, pack: RulePack) -> DataFrame:
     """Observations with currency_scope, value_anchor, weight and why they can't be compared.
 
-    rates: (session_id, currency, rate), a small table for each session.
+    rates: (session_id, currency, rate), a small table for each session; of two rates for a currency
+    the later in as_of counts, if the table has that column, else the larger.
     """
     base = pack.base_currency
-    usable = rates.where((F.col("rate") > 0) & (F.col("currency") != base)).groupBy("session_id", "currency").agg(F.max("rate").alias("rate"))
+    usable = rates.where((F.col("rate") > 0) & (F.col("currency") != base))
+    latest = F.max_by("rate", F.struct("as_of", "rate")) if "as_of" in rates.columns else F.max("rate")
+    usable = usable.groupBy("session_id", F.upper("currency").alias("currency")).agg(latest.alias("rate"))
     o = obs.withColumn("cur", F.upper(F.coalesce("currency", F.lit(base))))
     o = o.join(usable.withColumnRenamed("currency", "cur"), ["session_id", "cur"], "left")
     o = o.withColumn("rate", F.when(F.col("cur") == base, 1.0).otherwise(F.col("rate")))
@@ -52,7 +55,7 @@ def weighted_median(points: Column) -> Column:
 def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
     """One row for each node; observations of a node that can't be converted block it."""
     a = anchored(obs, rates, pack)
-    seen = F.struct("ordinal", "document_id", "filename", "document_category", "metric_key", "value_base", "value_anchor", "cur", "weight", "quote")
+    seen = F.struct("ordinal", "document_id", "filename", "document_category", "metric_key", "value_base", "value_anchor", "cur", "weight")
     g = a.groupBy(*NODE).agg(
         F.first("unit").alias("unit"),
         F.first("granularity").alias("granularity"),
@@ -64,12 +67,12 @@ def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> Data
         F.min_by("blocked", F.when(F.col("blocked").isNotNull(), F.col("ordinal"))).alias("blocked_reason"),
         F.min("value_anchor").alias("low"),
         F.max("value_anchor").alias("high"),
-        F.count_distinct("document_id").alias("docs"),
-        F.count_distinct("document_category").alias("categories"),
-        (F.count_distinct("cur") > 1).alias("crossed_currency"),
         F.least(F.lit(1.0), F.min("weight")).alias("confidence"),
         F.min("ordinal").alias("ordinal"),
     )
+    # counts of what the arrays hold: three distinct aggregates would send every row four times
+    distinct = lambda f: F.size(F.array_compact(F.array_distinct(F.transform("obs", lambda o: o[f])))).cast("long")
+    g = g.withColumns({"docs": distinct("document_id"), "categories": distinct("document_category"), "crossed_currency": distinct("cur") > 1})
     free = F.col("blocked_reason").isNull()
     g = g.withColumn("consensus", F.when(free, weighted_median(F.transform("obs", lambda o: F.struct(o["value_anchor"].alias("v"), o["ordinal"].alias("ordinal"), o["weight"].alias("w"))))))
     g = g.withColumns({"low": F.when(free, F.col("low")), "high": F.when(free, F.col("high"))})
@@ -86,6 +89,24 @@ def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> Data
     return g.withColumn("node_key", F.concat_ws("|", *NODE[1:]))
 
 
+def parsed_rates(sessions: DataFrame, raw: str = "fx_rates") -> DataFrame:
+    """(session_id, currency, rate) of sessions' rates as JSON objects like {"USD_INR": 83.2}; others are left out.
+
+    What is no object gives no rows; rates must be positive numbers; source and as_of are no rates.
+    """
+    pairs = F.explode(F.map_entries(F.from_json(raw, "map<string,string>"))).alias("p")
+    rate = F.col("p.value").try_cast("double")
+    got = sessions.select("session_id", pairs).where(~F.col("p.key").isin("source", "as_of")).select("session_id", F.upper(F.regexp_replace("p.key", "(?i)_INR$", "")).alias("currency"), rate.alias("rate"))
+    return got.where("rate > 0 and rate < double('infinity')")
+
+
+def graph_stats(n: DataFrame) -> DataFrame:
+    """Each session's observations, nodes, nodes of several documents, and blocked ones."""
+    return n.groupBy("session_id").agg(
+        F.sum(F.size("obs")).alias("observations"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("docs") >= 2).alias("multi_source"), F.count_if(F.col("blocked_reason").isNotNull()).alias("blocked")
+    )
+
+
 def scale_anchor(n: DataFrame) -> DataFrame:
     """(session_id, anchor): the largest actual revenue or arr, else any of them, else any amount."""
     size = F.when(F.col("consensus") != 0, F.abs("consensus"))

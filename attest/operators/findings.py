@@ -12,6 +12,7 @@ from attest.functions.text import numbered, rounded
 from attest.operators.facts import nodes, scale_anchor, tolerance_of
 from attest.operators.rules import RULES
 from attest.plans.rulepack import BASE_WEIGHTS, DECK, FAVOURABLE_DOWN, FAVOURABLE_UP, IMPORTANCE, PILLARS, TIERS, RulePack, looked_up, unit_of
+from attest.sources.session import once
 
 CLASSES = ("VERIFIED_MISMATCH", "UNRESOLVED_INCONSISTENCY", "MISSING_INFORMATION", "UNUSUAL_ASSUMPTION_CHANGE", "VERIFIED_CONSISTENT")
 _BLOCKING = ("currency_mismatch", "period_ambiguous", "basis_mismatch", "unit_unknown", "no_value")
@@ -109,15 +110,40 @@ def coded(f: DataFrame) -> DataFrame:
     f = f.withColumn("prefix", F.concat_ws("-", short, "rule_class"))
     order = W.partitionBy("session_id", "prefix").orderBy(F.desc("severity"), "rule_class", "ordinal", "rule_id", "node_key", "document_id")
     code = F.concat(F.col("prefix"), F.lit("-"), numbered(F.row_number().over(order), 3))
-    key = F.sha2(F.concat_ws("|", "session_id", "rule_id", "metric_key", "period_key", "node_key", "document_id"), 256)
+    key = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("session_id", "rule_id", "metric_key", "period_key", "node_key", "document_id", "result")]), 256)
     return f.withColumns({"ref_code": code, "finding_id": key}).drop("prefix")
 
 
 def verify(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack(), rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(nodes, findings) of all sessions in obs. Both are lazy; persist nodes if both are used."""
-    n = nodes(obs, rates, pack)
+    """(nodes, findings) of all sessions in obs.
+
+    Nodes are computed once, by a checkpoint, as every rule reads them several times. Several rules'
+    findings are one union; a rule that can't be planned is an error, not a gap in the report.
+    """
+    n = once(nodes(obs, rates, pack))
+    return n, findings_of(n, pack, rules)
+
+
+def findings_of(n: DataFrame, pack: RulePack = RulePack(), rules=RULES) -> DataFrame:
+    """The findings of nodes that are computed already."""
     found = reduce(DataFrame.unionByName, [r(n, pack) for r in rules])
-    return n, coded(resolved(scored(found, scale_anchor(n), pack)))
+    return coded(resolved(scored(found, scale_anchor(n), pack)))
+
+
+def problems(f: DataFrame) -> DataFrame:
+    """Findings that are no confirmations, most severe first."""
+    return f.where("classification <> 'VERIFIED_CONSISTENT'").orderBy(F.desc("severity"), "ref_code")
+
+
+def confirmations(f: DataFrame) -> DataFrame:
+    return f.where("classification = 'VERIFIED_CONSISTENT'")
+
+
+def evidence(f: DataFrame, obs: DataFrame) -> DataFrame:
+    """A row for each observation that a finding rests on: where it stands, what it says, and its converted value."""
+    seen = f.select("session_id", "finding_id", "ref_code", F.posexplode("obs").alias("place", "o"))
+    shown = seen.select("session_id", "finding_id", "ref_code", "place", F.col("o.ordinal").alias("ordinal"), F.col("o.filename").alias("filename"), F.col("o.metric_key").alias("metric_key"), F.col("o.value_base").alias("value_base"), F.col("o.cur").alias("currency"), F.col("o.value_anchor").alias("value_anchor"), F.col("o.weight").alias("confidence"))
+    return shown.join(obs.select("session_id", "ordinal", "quote"), ["session_id", "ordinal"], "left")
 
 
 def pillars(n: DataFrame, f: DataFrame) -> DataFrame:
@@ -150,8 +176,8 @@ def readiness(n: DataFrame, f: DataFrame) -> DataFrame:
 
 
 def class_counts(f: DataFrame) -> DataFrame:
-    """Findings of each class for each session, as columns."""
-    return f.groupBy("session_id").agg(*[F.count_if(F.col("classification") == k).alias(k.lower()) for k in CLASSES], F.count(F.lit(1)).alias("total"))
+    """Findings of each class for each session, as columns, and those of unsupported claims."""
+    return f.groupBy("session_id").agg(F.count_if(F.col("rule_class") == "R5").alias("unsupported_claims"), *[F.count_if(F.col("classification") == k).alias(k.lower()) for k in CLASSES], F.count(F.lit(1)).alias("total"))
 
 
 def top_by_pillar(f: DataFrame, k: int = 3) -> DataFrame:

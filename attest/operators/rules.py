@@ -1,6 +1,7 @@
 """The seven rules over fact nodes; each gives rows of one schema, FINDING.
 
-Every rule groups or joins by session first, so many sessions are checked in one job.
+Every rule groups or joins by session first, so many sessions are checked in one job. figures and words
+hold what the explanation of a finding names beside its stated and computed values.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attest.functions.text import figure_text, plain_number
 from attest.operators.facts import unique_nodes
-from attest.plans.rulepack import BANDS, DECK, FLOWS, GROWTH_METRICS, MARGIN_METRICS, RulePack, looked_up
+from attest.plans.rulepack import BANDS, DECK, FLOWS, GROWTH_METRICS, MARGIN_METRICS, NEW_INVESTOR, OPTION_POOL, RulePack, looked_up, unit_of
 
 FINDING = {
     "session_id": "string", "rule_class": "string", "rule_id": "string", "metric_key": "string", "period_key": "string", "node_key": "string",
     "document_id": "string", "stated": "double", "computed": "double", "delta_abs": "double", "delta_pct": "double", "tolerance_pct": "double",
     "tolerance_abs": "double", "result": "string", "blocked_reason": "string", "detail": "string", "obs": None, "docs": "long",
-    "dissenting": "long", "crossed_currency": "boolean", "ordinal": "long",
+    "dissenting": "long", "crossed_currency": "boolean", "ordinal": "long", "figures": "map<string,double>", "words": "map<string,string>",
 }
 COMPARABLE = "period_key is not null and period_key <> 'UNKNOWN'"
 
@@ -34,6 +36,19 @@ def _rows(df: DataFrame, rule: str, **columns: Column | str) -> DataFrame:
     return df.select(*out)
 
 
+def _map(kind: str, **values: Column) -> Column:
+    """A map of those values that are not null."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast(kind).alias("value")) for k, v in values.items()])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def fx_note(obs: Column) -> Column:
+    """The distinct rates by which a node's values were converted, null without one."""
+    crossed = F.filter(obs, lambda o: o["cur"] != "INR")
+    rates = F.array_distinct(F.transform(crossed, lambda o: F.concat(o["cur"], F.lit("_INR @ "), plain_number(o["value_anchor"] / F.when(o["value_base"] != 0, o["value_base"]), 4))))
+    return F.when(F.size(rates) > 0, F.concat(F.lit("[converted using "), F.array_join(rates, ", "), F.lit("]")))
+
+
 def gap_pct(stated: Column, computed: Column) -> Column:
     """The gap in percent of the larger magnitude; two zeros have none."""
     most = F.greatest(F.abs(stated), F.abs(computed))
@@ -60,6 +75,7 @@ def cross_source(n: DataFrame, pack: RulePack) -> DataFrame:
         tolerance_pct=F.when(~F.col("in_points"), F.col("tolerance")),
         tolerance_abs=F.when(F.col("in_points"), F.col("tolerance")),
         result=F.when(~free, "BLOCKED").when(over, "FAIL").otherwise("PASS"),
+        words=_map("string", fx=F.when(free & (F.col("unit") == "currency"), fx_note(F.col("obs")))),
         **_node_facts(),
     )
 
@@ -120,6 +136,8 @@ def identities(n: DataFrame, pack: RulePack) -> DataFrame:
     delta = F.when(mixed, F.lit(None)).otherwise(F.col("stated") - F.col("computed"))
     pct = F.when(~mixed, gap_pct(F.col("stated"), F.col("computed")))
     passed = F.when(F.col("points").isNotNull(), F.abs(delta) <= F.col("points")).otherwise(pct <= F.col("pct"))
+    parts = (F.col("operands"), F.col("kind"), F.col("scale"))
+    culprit = likely_culprit(F.col("operands"), F.col("stated") - F.col("computed"), F.col("kind"), passed)
     return _rows(
         both,
         "R2",
@@ -131,16 +149,39 @@ def identities(n: DataFrame, pack: RulePack) -> DataFrame:
         tolerance_abs="points",
         result=F.when(mixed, "BLOCKED").when(passed, "PASS").otherwise("FAIL"),
         blocked_reason=F.when(mixed, "currency_mismatch"),
-        detail=likely_culprit(F.col("operands"), F.col("stated") - F.col("computed"), F.col("kind"), passed),
+        detail=culprit["m"],
+        figures=_map("double", culprit_needs=culprit["needed"]),
+        words=_map("string", culprit=culprit["m"], expression=expression(*parts, F.col("of")), substituted=substitution(*parts, F.col("of"), F.col("computed"), F.col("stated"))),
         crossed_currency=F.lit(False),
         ordinal=F.col("identity").cast("long") * 1000,
     )
 
 
 def likely_culprit(operands: Column, gap: Column, kind: Column, passed: Column) -> Column:
-    """Of a failed sum, the operand for which the gap is the least share of its value."""
-    shares = F.transform(F.filter(operands, lambda x: x["v"] != 0), lambda x: F.struct(F.abs(gap / x["v"]).alias("share"), x["term"].alias("term"), x["m"].alias("m")))
-    return F.when((kind == "linear") & ~passed, F.array_min(shares)["m"])
+    """Of a failed sum, the operand for which the gap is the least share of its value: struct(m, needed)."""
+    needed = lambda x: F.when(x["sign"] < 0, x["v"] - gap).otherwise(x["v"] + gap)
+    shares = F.transform(F.filter(operands, lambda x: x["v"] != 0), lambda x: F.struct(F.abs(gap / x["v"]).alias("share"), x["term"].alias("term"), x["m"].alias("m"), needed(x).alias("needed")))
+    return F.when((kind == "linear") & ~passed, F.array_min(shares))
+
+
+def substitution(operands: Column, kind: Column, scale: Column, metric: Column, computed: Column, stated: Column) -> Column:
+    """The identity with its figures put in, as an equation that can be checked by hand."""
+    of = unit_of(metric)
+    shown = lambda v, unit: figure_text(v, unit, F.lit("INR"))
+    linear = F.array_join(F.transform(operands, lambda x, i: F.concat(F.when(i == 0, "").when(x["sign"] < 0, "- ").otherwise("+ "), shown(x["v"], of))), " ")
+    one, two = F.get(operands, 0), F.get(operands, 1)
+    times = F.concat(F.lit(" x "), plain_number(scale, 2))
+    ratio = F.concat(shown(one["v"], unit_of(one["m"])), F.lit(" / "), shown(two["v"], unit_of(two["m"])), F.when(scale != 1, times).otherwise(""))
+    left = F.when(kind == "linear", linear).when(kind == "ratio", ratio).otherwise(F.concat(shown(one["v"], of), times))
+    return F.concat(left, F.lit(" = "), shown(computed, of), F.lit("   [document states "), shown(stated, of), F.lit("]"))
+
+
+def expression(operands: Column, kind: Column, scale: Column, metric: Column) -> Column:
+    """The identity in names of metrics."""
+    linear = F.array_join(F.transform(operands, lambda x, i: F.concat(F.when(i == 0, "").when(x["sign"] < 0, "- ").otherwise("+ "), x["m"])), " ")
+    times = F.when(scale != 1, F.concat(F.lit(" x "), plain_number(scale, 2))).otherwise("")
+    ratio = F.concat(F.get(operands, 0)["m"], F.lit(" / "), F.get(operands, 1)["m"], times)
+    return F.concat(F.when(kind == "linear", linear).when(kind == "ratio", ratio).otherwise(F.concat(F.get(operands, 0)["m"], times)), F.lit(" = "), metric)
 
 
 def rollups(n: DataFrame, pack: RulePack) -> DataFrame:
@@ -155,18 +196,24 @@ def rollups(n: DataFrame, pack: RulePack) -> DataFrame:
             F.count_distinct(small).alias("k"),
             F.aggregate(F.array_sort(F.collect_list(F.struct("sort_key", "consensus"))), F.lit(0.0), lambda t, x: t + x["consensus"]).alias("computed"),
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sort_key", "obs"))), lambda t: t["obs"])).alias("parts"),
+            F.array_sort(F.collect_list(F.struct("sort_key", "period_key", "consensus"))).alias("components"),
         )
         got = one.where(F.col("granularity") == large).join(parts.where(F.col("k") == need), by)
-        out.append(got.select(*one.columns, "computed", "parts", F.lit(order).alias("route"), F.lit(f"R3.{small}_to_{large}").alias("rule_id")))
+        out.append(got.select(*one.columns, "computed", "parts", "components", F.lit(order).alias("route"), F.lit(f"R3.{small}_to_{large}").alias("rule_id")))
     both = reduce(DataFrame.unionByName, out).withColumn("obs", F.concat("parts", "obs")).withColumn("stated", F.col("consensus"))
     mixed = F.size(F.array_distinct(F.transform("obs", lambda o: o["cur"]))) > 1
     both = both.withColumn("result", F.when(mixed, "BLOCKED").when(gap_pct(F.col("stated"), F.col("computed")) <= pack.rollup_pct, "PASS").otherwise("FAIL"))
     first = W.partitionBy("session_id", "metric_key", "period_key", "basis_class").orderBy((F.col("result") != "FAIL").cast("int"), "route")
     best = both.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     blocked = F.col("result") == "BLOCKED"
+    gap = F.col("stated") - F.col("computed")
+    nearest = F.array_min(F.transform("components", lambda c: F.struct(F.abs(F.abs(c["consensus"]) - F.abs(gap)).alias("far"), c["sort_key"].alias("sort_key"), c["period_key"].alias("period_key"), (c["consensus"] + gap).alias("needed"))))
+    nearest = F.when((F.col("result") == "FAIL") & (gap != 0), nearest)
     return _rows(
         best,
         "R3",
+        figures=_map("double", components=F.size("components"), culprit_needs=nearest["needed"]),
+        words=_map("string", culprit_period=nearest["period_key"], grain=F.split("rule_id", "[._]")[1]),
         delta_abs=F.when(~blocked, F.col("stated") - F.col("computed")),
         delta_pct=F.when(~blocked, gap_pct(F.col("stated"), F.col("computed"))),
         tolerance_pct=F.lit(pack.rollup_pct),
@@ -204,6 +251,7 @@ def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
         delta_pct=F.col("implied"),
         tolerance_pct=F.greatest(F.when(F.col("trailing").isNull(), pack.growth_pct).otherwise(F.col("trailing") * pack.growth_ratio), F.lit(1.0)),
         result=F.lit("FLAGGED"),
+        figures=_map("double", implied=F.col("implied"), trailing=F.col("trailing"), ratio=F.col("implied") / F.when(F.col("trailing") > 0, F.col("trailing"))),
         detail=why,
         obs=F.concat(F.col("last.obs"), F.col("next.obs")),
         docs=F.col("next.docs"),
@@ -224,6 +272,7 @@ def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
         delta_abs=step,
         tolerance_abs=F.lit(pack.margin_step),
         result=F.lit("FLAGGED"),
+        figures=_map("double", projected=F.col("peak.consensus"), best=F.col("most"), step=step),
         detail=F.lit("margin_step"),
         obs=F.col("peak.obs"),
         docs=F.col("peak.docs"),
@@ -248,6 +297,7 @@ def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
         delta_pct=drop,
         tolerance_pct=F.lit(pack.burn_drop),
         result=F.lit("FLAGGED"),
+        figures=_map("double", drop=drop),
         detail=F.when(F.col("h0").isNull(), "headcount_unknown").otherwise("headcount_does_not_fall"),
         obs=F.concat(F.col("last.obs"), F.col("next.obs")),
         docs=F.col("next.docs"),
@@ -268,6 +318,7 @@ def unsupported(n: DataFrame, pack: RulePack) -> DataFrame:
     able = backed.join(terms, "metric_key").groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("backing").alias("backing")).where("k = need and backing >= need")
     able = able.groupBy("session_id", F.col("result").alias("metric_key"), "period_key", "basis_class").agg(F.min_by("id", "identity").alias("derivable"))
     got = claims.join(able, ["session_id", "metric_key", "period_key", "basis_class"], "left")
+    got = got.join(documents_searched(n), "session_id", "left")
     return _rows(
         got,
         "R5",
@@ -275,11 +326,32 @@ def unsupported(n: DataFrame, pack: RulePack) -> DataFrame:
         stated="consensus",
         result=F.lit("UNSUPPORTED"),
         detail="derivable",
+        figures=_map("double", searched=F.size(F.coalesce("searched", F.array().cast("array<string>")))),
+        words=_map("string", searched=F.array_join("searched", ", "), derivation=F.col("derivable")),
         obs="deck",
         **_node_facts(),
     )
 
 
+def documents_searched(n: DataFrame) -> DataFrame:
+    """(session_id, searched): the names of each session's documents that are no decks."""
+    other = n.select("session_id", F.explode(F.array_distinct(F.transform(F.filter("obs", lambda o: ~F.coalesce(o["document_category"].isin(*DECK), F.lit(False))), lambda o: o["filename"]))).alias("f"))
+    return other.distinct().groupBy("session_id").agg(F.array_sort(F.collect_list("f")).alias("searched"))
+
+
+def likely_cause(metric: Column, value: Column) -> Column:
+    """A hint at how a figure may have come to lie outside its band, null without one."""
+    unit = unit_of(metric)
+    return (
+        F.when((unit == "pct") & (value > 100) & (value <= 10000), "A share may have been multiplied by 100 twice, or a ratio given as a percentage.")
+        .when((unit == "pct") & (value > 10000), "An absolute amount may stand in a percentage field.")
+        .when((unit == "pct") & (value < 0), "A bracketed accounting figure may have been read as a minus.")
+        .when((unit == "count") & (value < 0), "A count can't be negative; a bracketed figure may have been read as a minus.")
+        .when(metric == "ltv_cac_ratio", "The two values may be of different periods or in different units.")
+        .when(metric == "cash_runway", "Months may have been computed from a year's burn.")
+    )
+
+
 def _breach(value: Column, metric: Column) -> tuple[Column, Column, Column]:
     low, high = looked_up(metric, {k: v[0] for k, v in BANDS.items()}), looked_up(metric, {k: v[1] for k, v in BANDS.items()})
     bound = F.when(value > high, high).when(value < low, low)
@@ -300,6 +372,8 @@ def plausible(n: DataFrame, pack: RulePack) -> DataFrame:
         tolerance_pct=F.lit(0.1),
         result=F.lit("FAIL"),
         detail=side,
+        figures=_map("double", bound=bound),
+        words=_map("string", cause=likely_cause(F.col("metric_key"), F.col("consensus"))),
         **_node_facts(),
     )
     one = unique_nodes(n.where(COMPARABLE))
@@ -315,7 +389,8 @@ def plausible(n: DataFrame, pack: RulePack) -> DataFrame:
             out.append(
                 _rows(
                     got.where(bound.isNotNull()), "R6", rule_id=F.lit(f"R6.derived.{x.id}"), metric_key=F.lit(x.result), stated="value", computed=bound, delta_abs=F.col("value") - bound,
-                    delta_pct=pct, tolerance_pct=F.lit(0.1), result=F.lit("FAIL"), detail=side, obs=F.concat("obs", "more"), **_node_facts(),
+                    delta_pct=pct, tolerance_pct=F.lit(0.1), result=F.lit("FAIL"), detail=side, figures=_map("double", bound=bound),
+                    words=_map("string", cause=likely_cause(F.lit(x.result), F.col("value"))), obs=F.concat("obs", "more"), **_node_facts(),
                 )
             )
     return reduce(DataFrame.unionByName, out)
@@ -342,18 +417,19 @@ def cap_table(n: DataFrame, pack: RulePack) -> DataFrame:
     shares = _rows(
         g, "R7", rule_id=F.when(short, "R7.incomplete").otherwise("R7.ownership_sum"), metric_key=F.lit("ownership"), computed=F.lit(100.0), delta_abs=gap, delta_pct=gap_pct(F.col("stated"), F.lit(100.0)),
         tolerance_abs=F.lit(pack.ownership_points), result=F.when(short, "BLOCKED").when(F.abs(F.floor(gap * 1e9 + 0.5) / 1e9) <= pack.ownership_points, "PASS").otherwise("FAIL"),
-        blocked_reason=F.when(short, "unit_unknown"), dissenting=F.lit(0), crossed_currency=F.lit(False),
+        blocked_reason=F.when(short, "unit_unknown"), figures=_map("double", holders=F.col("k")), dissenting=F.lit(0), crossed_currency=F.lit(False),
     )
     value = lambda m, name: unique_nodes(free.where(F.col("metric_key") == m)).select(*at, F.col("consensus").alias(name), F.col("obs").alias(f"{name}_obs"))
-    new = holders.where(F.col("subject").rlike("new investor|incoming|series|proposed|this round|lead investor"))
+    new = holders.where(F.col("subject").rlike("|".join(NEW_INVESTOR)))
     single = new.groupBy(*at).agg(F.count(F.lit(1)).alias("k")).where("k = 1").select(*at)
     deal = new.join(single, at, "left_semi").join(value("round_size", "round"), at).join(value("post_money_valuation", "post"), at)
     deal = deal.withColumn("computed", F.try_divide("round", "post") * 100).where("computed is not null").withColumn("obs", F.concat("round_obs", "post_obs", "obs"))
     stake = _rows(
         deal, "R7", rule_id=F.lit("R7.new_investor"), stated="consensus", delta_abs=F.col("consensus") - F.col("computed"), delta_pct=gap_pct(F.col("consensus"), F.col("computed")),
-        tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(F.col("consensus") - F.col("computed")) <= pack.ownership_points, "PASS").otherwise("FAIL"), **_node_facts(),
+        tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(F.col("consensus") - F.col("computed")) <= pack.ownership_points, "PASS").otherwise("FAIL"),
+        figures=_map("double", round_size=F.col("round"), post_money=F.col("post")), **_node_facts(),
     )
-    held = holders.where(F.col("subject").rlike("esop|option pool")).groupBy(*at).agg(F.min_by(F.struct("consensus", "obs"), "ordinal").alias("h"), F.max("docs").alias("docs")).join(pool, at)
+    held = holders.where(F.col("subject").rlike("|".join(OPTION_POOL))).groupBy(*at).agg(F.min_by(F.struct("consensus", "obs"), "ordinal").alias("h"), F.max("docs").alias("docs")).join(pool, at)
     option = _rows(
         held, "R7", rule_id=F.lit("R7.esop_pool"), metric_key=F.lit("esop_pool"), node_key="pool_key", stated="pool", computed=F.col("h.consensus"), delta_abs=F.col("pool") - F.col("h.consensus"),
         delta_pct=gap_pct(F.col("pool"), F.col("h.consensus")), tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(F.col("pool") - F.col("h.consensus")) <= pack.ownership_points, "PASS").otherwise("FAIL"),

@@ -31,6 +31,7 @@ FAVOURABLE_UP = (
 )
 FAVOURABLE_DOWN = ("burn_rate", "churn_rate", "cac", "cogs", "opex", "liabilities")
 TIERS = {"auditor_notes": 3, "audited_financials": 3, "financial_statements": 2, "mis": 2, "cap_table": 2, "term_sheet": 2}
+# Deck categories, parse qualities, bands, flow, growth and margin metrics, pillars.
 DECK = ("pitch_deck", "teaser")
 PARSE_QUALITY = {"xlsx_cell": 1.0, "parsed_table": 0.9, "prose": 0.75, "ocr": 0.55, "unknown": 0.75}
 BANDS = {
@@ -41,7 +42,15 @@ BANDS = {
 FLOWS = ("revenue", "cogs", "opex", "net_cash_flow", "ebitda", "net_profit")
 GROWTH_METRICS = ("revenue", "arr", "mrr", "gross_profit", "ebitda", "net_profit", "customer_base")
 MARGIN_METRICS = ("gross_margin", "ebitda_margin", "net_margin")
+# What names a new investor and the option pool among holders.
+NEW_INVESTOR = ("new investor", "incoming", "series", "proposed", "this round", "lead investor")
+OPTION_POOL = ("esop", "option pool")
 PILLARS = {"arithmetic_integrity": (0.25, ("R2", "R3")), "cross_doc_consistency": (0.30, ("R1",)), "evidence_coverage": (0.20, ("R5",)), "projection_credibility": (0.15, ("R4", "R6")), "ownership_integrity": (0.10, ("R7",))}
+PILLAR_NAMES = {"arithmetic_integrity": "Arithmetic Integrity", "cross_doc_consistency": "Cross-Document Consistency", "evidence_coverage": "Evidence Coverage", "projection_credibility": "Projection Credibility", "ownership_integrity": "Ownership Integrity"}
+BAND_NAMES = {"READY": 85, "CONDITIONAL": 70, "MATERIAL_GAPS": 50, "HIGH_RISK": 0}
+#: Documents and kinds of them that a session needs.
+LEAST_DOCUMENTS = 2
+LEAST_KINDS = 2
 # The unit of each metric; those not named are currency.
 UNITS = {
     "revenue_growth": "pct", "gross_margin": "pct", "ebitda_margin": "pct", "net_margin": "pct", "churn_rate": "pct", "ownership": "pct",

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +24,20 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(at)
         _SHIPPED.add(app)
     return spark
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df computed once, as a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where the session names none, a local master gets a temporary folder; elsewhere that is an error.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="attest-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -9,7 +9,7 @@ from attest.starschema import ref_codes
 def test_findings_past_the_width(spark):
     found = spark.range(1012).select(
         F.lit("s").alias("session_id"), F.lit("VERIFIED_MISMATCH").alias("classification"), F.lit("R1").alias("rule_class"), F.lit(1.0).alias("severity"), F.col("id").alias("ordinal"),
-        F.lit("r").alias("rule_id"), F.lit("revenue").alias("metric_key"), F.lit("p").alias("period_key"), F.col("id").cast("string").alias("node_key"), F.lit("d").alias("document_id"),
+        F.lit("r").alias("rule_id"), F.lit("revenue").alias("metric_key"), F.lit("p").alias("period_key"), F.col("id").cast("string").alias("node_key"), F.lit("d").alias("document_id"), F.lit("FAIL").alias("result"),
     )
     got = {r.ordinal: r.ref_code for r in coded(found).collect()}
     assert got == {i: f"VM-R1-{i + 1:03d}" for i in range(1012)}
