@@ -105,7 +105,7 @@ def test_suffix_tree(docs, rows):
     from pyspark.sql import functions as F
 
     train = F.col("doc_id") % 2 == 1
-    s = suffix_tree.Settings(2, 2.0, 3)
+    s = suffix_tree.Settings(2, 2.0, 3, 1)
     got = {r.doc_id: r for r in suffix_tree.score(docs, train, s).collect()}
     mine = [[*words(t), None] for k, t in rows.items() if k % 2 == 1]
     c = Counter(x for w in mine for x in w)
