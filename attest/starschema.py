@@ -325,6 +325,25 @@ select session_id, 'M' || lpad(cast(m as varchar), 2, '0') || '-FY' || cast(fy a
 from r group by session_id, m, fy
 """
 
+VERIFY_ORDERS = """
+with x as (select l_orderkey, cast(sum(cast(l_extendedprice as decimal(18,4))) as double) as v from lineitem group by 1),
+o as (select cast(o_custkey as varchar) as session_id, o_orderkey, cast(month(o_orderdate) as integer) as m, cast(case when month(o_orderdate) >= 4 then year(o_orderdate) else year(o_orderdate) - 1 end as integer) as fy, o_totalprice, x.v from orders join x on o_orderkey = l_orderkey),
+e as (select session_id, m, fy, o_orderkey * 2 as ordinal, 'deck' as doc, o_totalprice as v from o union all select session_id, m, fy, o_orderkey * 2 + 1, 'statements', v from o),
+r as (select *, row_number() over (partition by session_id, m, fy order by v, ordinal) as rn, count(*) over (partition by session_id, m, fy) as n from e),
+n as (select session_id, m, fy, min(ordinal) as ordinal, min(v) as low, max(v) as high, min(case when rn >= n / 2.0 then v end) as mid, arg_min(v, ordinal) filter (doc = 'statements') as sure, arg_max(v, ordinal) filter (doc = 'deck') as said from r group by 1, 2, 3),
+a as (select session_id, max(abs(mid)) as anchor from n group by 1),
+d as (select r.session_id, r.m, r.fy, count(distinct doc) as out from r join n using (session_id, m, fy) where abs(r.v - mid) / abs(mid) * 100 > 2 group by 1, 2, 3),
+f as (select n.*, coalesce(out, 0) as out, (high - low) / abs(mid) * 100 as pct, floor((high - low) / abs(mid) * 100 * 1e9 + 0.5) / 1e9 as gap, least((high - low) / (0.05 * anchor), 1.0) as part from n join a using (session_id) left join d using (session_id, m, fy)),
+g as (select *, 15.0 * least(greatest(0.4 + 1.6 * case when high > low then 0.6 * least(log10(1 + pct / 2.0) / log10(41.0), 1.0) + 0.4 * part else least(log10(1 + pct / 2.0) / log10(41.0), 1.0) end, 0.4), 2.0)
+  * case when said = sure then 1.0 when said > sure then 1.25 else 0.85 end * case when out = 0 then 1.0 when out / 2.0 <= 0.34 then 0.8 else 1.15 end as raw from f),
+c as (select *, case when gap <= 2 then 'VERIFIED_CONSISTENT' when gap <= 4 then 'UNRESOLVED_INCONSISTENCY' else 'VERIFIED_MISMATCH' end as class from g),
+s as (select *, case when class = 'VERIFIED_CONSISTENT' then 0.0 else floor(least(raw, 100) * 10 + 0.5) / 10 end as severity from c)
+select session_id, 'revenue' as metric_key, 'M' || lpad(cast(m as varchar), 2, '0') || '-FY' || cast(fy as varchar) || '-' || lpad(cast((fy + 1) % 100 as varchar), 2, '0') as period_key, class as classification,
+  case when class = 'VERIFIED_CONSISTENT' then 'NONE' when raw >= 30 then 'CRITICAL' when raw >= 18 then 'HIGH' when raw >= 9 then 'MEDIUM' else 'MINOR' end as severity_band,
+  case class when 'VERIFIED_MISMATCH' then 'VM' when 'UNRESOLVED_INCONSISTENCY' then 'UI' else 'OK' end || '-R1-' || lpad(cast(row_number() over (partition by session_id, class order by severity desc, ordinal) as varchar), 3, '0') as ref_code, cast(2 as bigint) as docs
+from s
+"""
+
 QUERIES = {
     "verify_orders": verify_orders, "consensus": consensus, "fiscal_period_keys": fiscal_period_keys, "money_and_percent": money_and_percent, "fact_nodes": fact_nodes,
     "weighted_median": weighted_median, "cross_source_conflict": cross_source_conflict, "rollup_months_to_fy": rollup_months_to_fy, "growth_break": growth_break,
@@ -333,7 +352,7 @@ QUERIES = {
     "json_cascade": json_cascade, "doc_type_classifier": doc_type_classifier,
 }
 ORACLES = {
-    "consensus": CONSENSUS, "fiscal_period_keys": FISCAL_PERIOD_KEYS, "money_and_percent": MONEY_AND_PERCENT, "fact_nodes": FACT_NODES, "weighted_median": WEIGHTED_MEDIAN,
+    "verify_orders": VERIFY_ORDERS, "consensus": CONSENSUS, "fiscal_period_keys": FISCAL_PERIOD_KEYS, "money_and_percent": MONEY_AND_PERCENT, "fact_nodes": FACT_NODES, "weighted_median": WEIGHTED_MEDIAN,
     "cross_source_conflict": CROSS_SOURCE_CONFLICT, "rollup_months_to_fy": ROLLUP_MONTHS_TO_FY, "growth_break": GROWTH_BREAK, "unsupported_claims": UNSUPPORTED_CLAIMS,
     "plausibility_bands": PLAUSIBILITY_BANDS, "ownership_sum": OWNERSHIP_SUM, "ref_codes": REF_CODES, "question_dedupe": QUESTION_DEDUPE, "comparison_matrix": COMPARISON_MATRIX,
     "legacy_score": LEGACY_SCORE, "most_common_value": MOST_COMMON_VALUE, "json_cascade": JSON_CASCADE, "doc_type_classifier": DOC_TYPE_CLASSIFIER,
