@@ -328,10 +328,20 @@ def _sets(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, s: Settings = Settings(5, 80), key: str = "doc_id") -> DataFrame:
-    """docs of which one stays for each component: that with the least key; columns as they were."""
+    """docs of which one stays for each component: that with the least key; columns as they were.
+
+    Rows without a key stay. Rows of one key belong together: if they differ in text each stays, of
+    equal ones the first by all columns' hash does.
+    """
     linked = link_components(docs.select(key, "text"), s, key)
-    stay = linked.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti")
+    # almost all keys have one row, so a count of keys decides which rows are compared at all
+    again = named.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key)
+    once = named.join(again, key, "left_anti").select(*docs.columns)
+    picked = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")
+    first = named.join(again, key, "left_semi").groupBy(key, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__text")).agg(picked).select("__row.*")
+    return once.unionByName(first).unionByName(docs.where(F.col(key).isNull()))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
