@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import block_hashes, bucket_bits, delivered, firsts, hashed_blocks, mixed, packed, part_rows, parts_of, places, shared_folder, spans, text_bytes, unpacked, utf8, written
+from attest.llm.shared import block_hashes, bucket_bits, delivered, firsts, hashed_blocks, mixed, packed, part_rows, parts_of, places, runs_of_texts, shared_folder, spans, text_bytes, unpacked, written
 
 LENGTH = 50
 ANCHOR = 16
@@ -75,22 +75,37 @@ def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(window), mixed(least)
 
 
-def runs(window: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the runs of windows with one anchor, of SPAN windows at most.
+def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, hash of the anchor, number of the text) of the windows inside the texts of a buffer.
+
+    A text ends one byte before the next begins.
+    """
+    window, anchor = window_hashes(data)
+    counts = np.maximum(np.diff(offsets) - LENGTH, 0)
+    at = _ragged(offsets[:-1], counts)
+    return at, window[at], anchor[at], np.repeat(np.arange(len(counts)), counts)
+
+
+def runs(window: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the runs of windows of one text with one anchor, of SPAN windows at most.
 
     First and last window of a run overlap, so their hashes and the length stand for all its bytes.
     """
     n = len(anchor)
-    change = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    change = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(change)
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    starts = np.flatnonzero(change | (place % SPAN == 0))
-    ends = np.append(starts[1:], n)
-    return starts, ends, mixed(window[starts] * np.uint64(0x9E3779B97F4A7C15) + mixed(window[ends - 1]) + (ends - starts).astype(np.uint64))
+    lengths = np.diff(np.append(first, n))
+    if lengths.max() > SPAN:
+        change |= (np.arange(n) - np.repeat(first, lengths)) % SPAN == 0
+        first = np.flatnonzero(change)
+    ends = np.append(first[1:], n)
+    return first, ends, mixed(window[first] * np.uint64(0x9E3779B97F4A7C15) + mixed(window[ends - 1]) + (ends - first).astype(np.uint64))
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer(utf8(text), np.uint8)
+#: Bytes of texts that are hashed at a time.
+_BUFFER = 300_000
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -117,16 +132,22 @@ def suffixes(docs: DataFrame, bits: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, kept, size = None, [], 0
         for frame in frames:
-            for p, text in zip(frame["part"], frame["t"], strict=True):
-                if kept and (p != part or size > 2_000_000):
-                    yield from blocks(part, kept)
-                    kept, size = [], 0
-                part = p
-                _, anchor = window_hashes(_bytes(text))
-                if len(anchor):
-                    own = np.unique(anchor[firsts(anchor)])
-                    kept.append(own)
-                    size += len(own)
+            for a, z in spans(frame["part"].to_numpy()):
+                p = int(frame["part"].iat[a])
+                for _, _, data, offsets in runs_of_texts(frame["t"].iloc[a:z].tolist(), _BUFFER):
+                    if kept and (p != part or size > 2_000_000):
+                        yield from blocks(part, kept)
+                        kept, size = [], 0
+                    part = p
+                    _, _, anchor, text = windows_of(data, offsets)
+                    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])) if len(anchor) else np.zeros(0, np.int64)
+                    anchor, text = anchor[new], text[new]
+                    order = np.lexsort((anchor, text))
+                    anchor, text = anchor[order], text[order]
+                    if len(anchor):  # each text's anchors once
+                        own = anchor[np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])]
+                        kept.append(own)
+                        size += len(own)
         if kept:
             yield from blocks(part, kept)
 
@@ -264,19 +285,19 @@ def _leads_of(folder: str, part: int, bits: int) -> tuple[np.ndarray, np.ndarray
     return full[order], np.concatenate([np.frombuffer(m, bool) for m in many])[order]
 
 
-def _lead_runs(data: np.ndarray, leads: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, bucket hash, run hash) of a text's runs at leads; those of many documents window by window."""
-    window, anchor = window_hashes(data)
-    a, z, h = runs(window, anchor)
+def _lead_runs(data: np.ndarray, offsets: np.ndarray, leads: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, bucket hash, run hash, number of the text) of the runs at leads; those of many documents window by window."""
+    at, window, anchor, text = windows_of(data, offsets)
+    a, z, h = runs(window, anchor, text)
     key = anchor[a]
-    at = places(leads[0], key >> np.uint64(32 - bits))
-    hit = at >= 0
+    found = places(leads[0], key >> np.uint64(32 - bits))
+    hit = found >= 0
     many = hit.copy()
-    many[hit] = leads[1][at[hit]]
+    many[hit] = leads[1][found[hit]]
     single = hit & ~many
     alone = _ragged(a[many], (z - a)[many]) if many.any() else np.zeros(0, np.int64)
     own = mixed(window[alone] + np.uint64(1))
-    return np.concatenate([a[single], alone]), np.concatenate([(z - a)[single], np.ones(len(alone), np.int64)]), np.concatenate([key[single], own]), np.concatenate([h[single], window[alone]])
+    return np.concatenate([at[a[single]], at[alone]]), np.concatenate([(z - a)[single], np.ones(len(alone), np.int64)]), np.concatenate([key[single], own]), np.concatenate([h[single], window[alone]]), np.concatenate([text[a[single]], text[alone]])
 
 
 def lead_runs(docs: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -298,28 +319,28 @@ def lead_runs(docs: DataFrame, folder: str, bits: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, kept, count = None, [], 0
         for frame in frames:
-            for p, doc, text in zip(frame["part"], frame["doc"], frame["t"], strict=True):
-                if p != part or count > 100_000:
+            docs_ = frame["doc"].to_numpy(np.int64)
+            for a, z in spans(frame["part"].to_numpy()):
+                p = int(frame["part"].iat[a])
+                if p != part:
                     if kept:
                         yield from blocks(part, kept)
-                    if p != part:
-                        leads = _leads_of(folder, p, bits)
-                    part, kept, count = p, [], 0
-                data = _bytes(text)
-                if len(data) < LENGTH or not len(leads[0]):
+                    part, kept, count, leads = p, [], 0, _leads_of(folder, p, bits)
+                if not len(leads[0]):
                     continue
-                a, n, key, h = _lead_runs(data, leads, bits)
-                # a very long text is sent piece by piece
-                for i in range(0, len(a), 100_000):
-                    a_, n_ = a[i : i + 100_000], n[i : i + 100_000]
-                    place = a_[:, None] + np.arange(REACH)
-                    inside = np.arange(REACH) < (n_ + LENGTH - 1)[:, None]
-                    text_ = np.where(inside, data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
-                    kept.append((key[i : i + 100_000], h[i : i + 100_000], np.full(len(a_), doc, np.int64), n_.astype(np.uint8), text_))
-                    count += len(a_)
-                    if count > 100_000:
-                        yield from blocks(part, kept)
-                        kept, count = [], 0
+                for first, _, data, offsets in runs_of_texts(frame["t"].iloc[a:z].tolist(), _BUFFER):
+                    start, n, key, h, text = _lead_runs(data, offsets, leads, bits)
+                    # a very long text is sent piece by piece
+                    for i in range(0, len(start), 50_000):
+                        n_ = n[i : i + 50_000]
+                        place = start[i : i + 50_000, None] + np.arange(REACH)
+                        inside = np.arange(REACH) < (n_ + LENGTH - 1)[:, None]
+                        bytes_ = np.where(inside, data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+                        kept.append((key[i : i + 50_000], h[i : i + 50_000], docs_[a + first + text[i : i + 50_000]], n_.astype(np.uint8), bytes_))
+                        count += len(n_)
+                        if count > 100_000:
+                            yield from blocks(part, kept)
+                            kept, count = [], 0
         if kept:
             yield from blocks(part, kept)
 
@@ -392,15 +413,15 @@ class _Answers:
         self.hashes, self.keys = hashes[self.order], keys[self.order]
         self.before, self.size = (np.cumsum(size) - size)[self.order], size[self.order]
 
-    def removed(self, data: np.ndarray, doc: int, leads: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
-        """The windows of a text that a smaller doc_id has."""
-        a, n, key, h = _lead_runs(data, leads, bits)
+    def removed(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, leads: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+        """Where the windows start that a smaller doc_id has, each once."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        a, n, key, h, text = _lead_runs(data, offsets, leads, bits)
         at = places(self.hashes, h)
-        ok = (at >= 0) & (self.keys[at] == key) & (self.size[at] == n) if len(self.keys) else np.zeros(len(a), bool)
-        a, n, at = a[ok], n[ok], at[ok]
-        if not len(a):
-            return a
-        return _ragged(a, n)[self.lows[_ragged(self.before[at], n)] < doc]
+        ok = (at >= 0) & (self.keys[at] == key) & (self.size[at] == n)
+        a, n, at, doc = a[ok], n[ok], at[ok], docs[text[ok]]
+        return _ragged(a, n)[self.lows[_ragged(self.before[at], n)] < np.repeat(doc, n)]
 
 
 def removed(docs: DataFrame, leads: str, answers: str, bits: int, with_bytes: bool = False) -> DataFrame:
@@ -409,24 +430,23 @@ def removed(docs: DataFrame, leads: str, answers: str, bits: int, with_bytes: bo
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = None
         for frame in frames:
-            out = []
-            for p, doc, text in zip(frame["part"], frame["doc"], frame["t"], strict=True):
-                if p != part:
+            docs_ = frame["doc"].to_numpy(np.int64)
+            for a, z in spans(frame["part"].to_numpy()):
+                if (p := int(frame["part"].iat[a])) != part:
                     part, own, found = p, _leads_of(leads, p, bits), _Answers(answers, p)
-                data = _bytes(text)
-                kept, gone, spans = data, 0, 0
-                at = found.removed(data, doc, own, bits) if len(data) >= LENGTH and len(own[0]) and len(found.keys) else ()
-                if len(at):
+                for first, end, data, offsets in runs_of_texts(frame["t"].iloc[a:z].tolist(), _BUFFER):
+                    doc, sizes = docs_[a + first : a + end], np.diff(offsets) - 1
+                    at = found.removed(data, offsets, doc, own, bits)
                     edge = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + LENGTH, -1)
+                    edge[at] += 1
+                    edge[at + LENGTH] -= 1
                     covered = np.cumsum(edge[:-1]) > 0
-                    gone = int(covered.sum())
-                    spans = int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
-                    kept = data[~covered]
-                kept = kept.tobytes()
-                out.append((doc, len(data), gone, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])])
+                    # the byte between texts is never covered, so spans end there
+                    begins = covered & ~np.concatenate([[False], covered[:-1]])
+                    gone, spans_ = np.add.reduceat(covered, offsets[:-1], dtype=np.int64), np.add.reduceat(begins, offsets[:-1], dtype=np.int64)
+                    kept = [data[o : o + n].tobytes() if not g else data[o : o + n][~covered[o : o + n]].tobytes() for o, n, g in zip(offsets[:-1].tolist(), sizes.tolist(), gone.tolist(), strict=True)]
+                    out = {"doc": doc, "n_bytes": sizes, "n_removed": gone, "n_spans": spans_, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
+                    yield pd.DataFrame(out | ({"kept": kept} if with_bytes else {}))
 
     return docs.select("part", "doc", "t").mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
