@@ -2,6 +2,10 @@
 
 Every step is a grouping and a join by node, so a node with very many links is pre-aggregated and
 its rows can be split; nothing is collected. Steps are cut by checkpoints in the shared folder.
+
+Defined cases: links of a node with itself and links with a null end are left out, so a node of none
+other is in no component; repeated and reversed links count once; an empty table gives an empty one;
+extra columns are ignored.
 """
 
 from __future__ import annotations

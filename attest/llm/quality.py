@@ -1,7 +1,7 @@
 """Line-first cleaning of documents, all by DataFrame functions.
 
-Every line is judged on its own: it fails if it holds letters but no sentence end and is short
-(navigation), holds a boilerplate phrase, or is mostly marks. Failing lines are removed, and a
+Every line is judged on its own: it fails if it has few words and no sentence end (navigation), holds a
+boilerplate phrase, or is mostly marks. Failing lines are removed, and a
 document that loses more than a share of its words is rejected.
 
 Words are runs of anything but the six ASCII white-space characters. Defined cases: null and empty
