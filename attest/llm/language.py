@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import chunked, runs_of_texts
+from attest.llm.shared import chunked, runs_of_texts, small_batches
 
 UNKNOWN = "und"
 #: Texts whose features are held at a time.
@@ -98,6 +98,7 @@ def fit(labelled: DataFrame, text: str, label: str, key: str, settings: Settings
     labels are an error. So what reaches the driver is bounded.
     """
     s = settings
+    small_batches(labelled.sparkSession)
     named = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = named.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(s.most_labels + 1).collect()
     if len(counts) > s.most_labels:
@@ -163,7 +164,7 @@ def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected. The model has a fixed size and goes with the task."""
     carried = docs.drop("lang_pred", "score", "rejected")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunked(frames, text, 4_000_000):

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from attest.llm.shared import chunked
+from attest.llm.shared import chunked, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field has one kind more: keys and tokens of services.
@@ -339,6 +339,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _mapped(docs: DataFrame, text: str, kinds: str, f, source: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     names = [x.split()[0].strip("`") for x in re.split(r",\s*(?=[\w`]+ )", kinds)]
     kept = [c for c in docs.columns if c not in names or c == source]
 

@@ -22,13 +22,25 @@ WHITE_CLASS = r"[\x20\x09-\x0D]"
 _MASK = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch: texts may be long, and a task holds a batch several times over.
+_BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session's Arrow batches to a thousand rows at most; fewer stay as they are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= _BATCH_ROWS:
+        spark.conf.set(name, str(_BATCH_ROWS))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor and the driver see.
 
     Where the session has none, a temporary folder is made and set on a local master; elsewhere that
     is an error, since executors would not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = small_batches(spark).conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
