@@ -51,10 +51,8 @@ SHORT = 4
 #: Units of more characters are decoded by following back pointers.
 LONG = 256
 _MOST_UNITS = 300_000
-#: Rows of a file that share what comes back: more rows, fewer units that go to several parts.
-PART_ROWS = 32_768
 #: Words that a worker remembers beside the units; beyond, it starts anew.
-_MOST_WORDS = 60_000
+_MOST_WORDS = 200_000
 
 
 def _needed(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
@@ -117,6 +115,8 @@ def words_of(text: str) -> list[str]:
 
 
 def spelled_units(word: str, cut: re.Pattern) -> list[str]:
+    if word.isascii() and word.isalpha():  # most words: one class of letters
+        return [BLANK + word]
     return cut.findall(BLANK + word.replace(" ", BLANK))
 
 
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     carried: the columns of docs that come back (all by default).
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    parted = parts_of(docs, PART_ROWS)
+    parted = parts_of(docs)
     cutter = vocabulary.units
 
     def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,8 +213,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
         if units:
             yield flush()
 
-    # a part that two tasks read sends some units twice
-    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit").distinct()
+    # a part that two tasks read sends some units twice, and gets them back twice
+    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit")
     # both sides below read all columns of one exchange, which is then made once
     apart = dealt.groupBy("unit").agg(F.min("part").alias("any")).where("any is not null").select("unit")
     short = "array<smallint>" if max([*vocabulary.byte_ids, *(i for _, i, _ in vocabulary.pieces)]) < 1 << 15 else "array<int>"
@@ -254,7 +254,7 @@ class _Units:
     def __init__(self, folder: str, part: int) -> None:
         unit, ids, ends = part_lists(folder, part, "unit", "ids")
         self.order = np.argsort(unit)
-        self.unit, self.ids, self.ends = unit[self.order], ids.astype(np.int32), ends
+        self.unit, self.ids, self.ends = unit[self.order], ids.astype(np.int32).tobytes(), 4 * ends
 
     def of_words(self, words: list[str], cut: re.Pattern) -> dict[str, bytes]:
         """The ids of each word as 32-bit numbers."""
@@ -264,8 +264,8 @@ class _Units:
         if (at < 0).any():
             raise ValueError("a unit has no ids: the texts are not those that were counted")
         at = self.order[at]
-        of = {u: self.ids[a:z].tobytes() for u, a, z in zip(seen, self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)}
-        return {w: b"".join([of[u] for u in units]) for w, units in zip(words, lists, strict=True)}
+        of = {u: self.ids[a:z] for u, a, z in zip(seen, self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)}
+        return {w: of[units[0]] if len(units) == 1 else b"".join([of[u] for u in units]) for w, units in zip(words, lists, strict=True)}
 
 
 def decoded(ids: np.ndarray, spelled: tuple[bytes, ...]) -> str:
