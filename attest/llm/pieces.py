@@ -50,9 +50,11 @@ PENALTY = 10.0
 SHORT = 4
 #: Units of more characters are decoded by following back pointers.
 LONG = 256
-_MOST_UNITS = 300_000
-#: Words that a worker remembers beside the units; beyond, it starts anew.
-_MOST_WORDS = 200_000
+_MOST_UNITS = 200_000
+#: Rows of a file that share what comes back: more rows, fewer units that go to several parts.
+PART_ROWS = 32_768
+#: Words that a worker remembers while it gathers units, and while it puts ids together; beyond, it starts anew.
+_MOST_SEEN, _MOST_WORDS = 30_000, 120_000
 
 
 def _needed(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
@@ -188,33 +190,38 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     carried: the columns of docs that come back (all by default).
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    parted = parts_of(docs)
+    parted = parts_of(docs, PART_ROWS)
     cutter = vocabulary.units
 
     def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, part, words, units = re.compile(cutter), None, set(), set()
+        # words of plain letters are units but for the blank before them, and are held without it
+        cut, part, plain, seen, units = re.compile(cutter), None, set(), set(), set()
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"part": np.full(len(units), part, np.int64), "unit": pd.Series(sorted(units), dtype=object)})
+        def flush() -> Iterator[pd.DataFrame]:
+            for held, front in ((plain, BLANK), (units, "")):
+                rest = list(held)
+                for i in range(0, len(rest), 50_000):
+                    some = [front + u for u in rest[i : i + 50_000]]
+                    yield pd.DataFrame({"part": np.full(len(some), part, np.int64), "unit": pd.Series(some, dtype=object)})
 
         for frame in frames:
             for p, t in zip(frame["__part"], frame["t"], strict=True):
-                if p != part or len(units) > _MOST_UNITS:
-                    if units:
-                        yield flush()
-                    part, words, units = p, set(), set()
+                if p != part or len(plain) + len(units) > _MOST_UNITS:
+                    yield from flush()
+                    part, plain, seen, units = p, set(), set(), set()
                 if t:
-                    new = set(words_of(t)) - words
-                    if len(words) > _MOST_WORDS:
-                        words.clear()
-                    words |= new
-                    for w in new:
-                        units.update(spelled_units(w, cut))
-        if units:
-            yield flush()
-
-    # a part that two tasks read sends some units twice, and gets them back twice
-    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit")
+                    if len(seen) > _MOST_SEEN:
+                        seen.clear()
+                    for w in set(words_of(t)) - plain - seen:
+                        if w.isascii() and w.isalpha():
+                            plain.add(w)
+                        else:
+                            seen.add(w)
+                            units.update(spelled_units(w, cut))
+        yield from flush()
+
+    # a part that two tasks read, or that has more units than are held at a time, sends some twice
+    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit").distinct()
     # both sides below read all columns of one exchange, which is then made once
     apart = dealt.groupBy("unit").agg(F.min("part").alias("any")).where("any is not null").select("unit")
     short = "array<smallint>" if max([*vocabulary.byte_ids, *(i for _, i, _ in vocabulary.pieces)]) < 1 << 15 else "array<int>"
