@@ -50,9 +50,9 @@ PENALTY = 10.0
 SHORT = 4
 #: Units of more characters are decoded by following back pointers.
 LONG = 256
-_MOST_UNITS = 200_000
-#: Rows of a file that share what comes back: more rows, fewer units that go to several parts.
-PART_ROWS = 32_768
+_MOST_UNITS = 300_000
+#: Rows of a file that share what comes back: more rows, fewer units that go to several parts, but slower to put together.
+PART_ROWS = 8192
 #: Words that a worker remembers while it gathers units, and while it puts ids together; beyond, it starts anew.
 _MOST_SEEN, _MOST_WORDS = 30_000, 120_000
 
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
 
         def flush() -> Iterator[pd.DataFrame]:
             for held, front in ((plain, BLANK), (units, "")):
-                rest = list(held)
+                rest = sorted(held)
                 for i in range(0, len(rest), 50_000):
                     some = [front + u for u in rest[i : i + 50_000]]
                     yield pd.DataFrame({"part": np.full(len(some), part, np.int64), "unit": pd.Series(some, dtype=object)})
