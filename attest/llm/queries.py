@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from attest.llm import filter_audit
 from attest.llm.contamination import op3_contamination
+from attest.llm.filter_audit import op12_filter_audit
 from attest.llm.jaccard import op8_jaccard
 from attest.llm.language import op4_language_id
 from attest.llm.pieces import op1_sentencepiece
@@ -24,10 +26,12 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_suffix_index": op9_suffix_index,
     "op10_line_quality": op10_line_quality,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: Learned, hashed or byte-level results have no SQL; their tests hold them against brute force.
 ORACLES = {
+    "op12_filter_audit": filter_audit.SQL,
     "op8_jaccard": r"""
         with recursive d as (
           select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
