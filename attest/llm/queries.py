@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from attest.llm import filter_audit
+from attest.llm import conversation_trie, filter_audit
 from attest.llm.contamination import op3_contamination
+from attest.llm.conversation_trie import op11_conversation_trie
 from attest.llm.filter_audit import op12_filter_audit
 from attest.llm.jaccard import op8_jaccard
 from attest.llm.language import op4_language_id
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_suffix_index": op9_suffix_index,
     "op10_line_quality": op10_line_quality,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_filter_audit": op12_filter_audit,
 }
 
 #: Learned, hashed or byte-level results have no SQL; their tests hold them against brute force.
 ORACLES = {
+    "op11_conversation_trie": conversation_trie.SQL,
     "op12_filter_audit": filter_audit.SQL,
     "op8_jaccard": r"""
         with recursive d as (
