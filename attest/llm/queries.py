@@ -14,6 +14,7 @@ from attest.llm.quality import op10_line_quality
 from attest.llm.suffix_index import op9_suffix_index
 from attest.llm.suffix_tree import op5_suffix_tree
 from attest.llm.tokens import op7_token_files
+from attest.llm.toxicity import op13_toxicity
 from attest.llm.warc import op6_warc
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_line_quality": op10_line_quality,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: Learned, hashed or byte-level results have no SQL; their tests hold them against brute force.

@@ -119,9 +119,9 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word in a buffer of bytes, lower-cased A to Z."""
-    solid = ~_IS_WHITE[data]
+def word_hashes(data: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word in a buffer of bytes, lower-cased A to Z; solid: the bytes of words."""
+    solid = ~_IS_WHITE[data] if solid is None else solid
     if not solid.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edge = np.diff(solid.view(np.int8), prepend=np.int8(0))
