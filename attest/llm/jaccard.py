@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
-from attest.llm.shared import block_hashes, bucket_bits, chunked, delivered, firsts, hashed_blocks, mixed, packed, part_rows, parts_of, places, shared_folder, spans, text_bytes, unpacked, words_of_texts, written
+from attest.llm.shared import block_hashes, bucket_bits, chunked, delivered, firsts, hashed_blocks, mapped, mixed, packed, part_rows, parts_of, places, shared_folder, spans, text_bytes, unpacked, words_of_texts, written
 
 #: Bytes of text for each bucket of n-grams.
 BUCKET = 4 << 20
@@ -87,7 +87,7 @@ def sizes(d: DataFrame, s: Settings) -> DataFrame:
             c1, c2 = zip(*[class_of(g) for g in sets], strict=True) if sets else ((), ())
             yield pd.DataFrame({"part": frame["part"], "doc_id": frame["k"], "n_shingles": [len(g) for g in sets], "c1": np.array(c1, np.int64), "c2": np.array(c2, np.int64)})
 
-    return d.mapInPandas(run, "part long, doc_id long, n_shingles long, c1 long, c2 long")
+    return mapped(d, run, "part long, doc_id long, n_shingles long, c1 long, c2 long")
 
 
 class _Chosen:
@@ -324,7 +324,7 @@ def _sets(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
         for frame in chunked(frames, "t", 2_000_000):
             yield pd.DataFrame({"doc_id": frame["k"], "grams": [grams(h, s.words).tobytes() for _, h in words_of_texts(frame["t"].tolist())]})
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, grams binary")
+    return mapped(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), run, "doc_id long, grams binary")
 
 
 def without_near_copies(docs: DataFrame, s: Settings = Settings(5, 80), key: str = "doc_id") -> DataFrame:

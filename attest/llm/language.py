@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import chunked, runs_of_texts, small_batches
+from attest.llm.shared import chunked, mapped, runs_of_texts, small_batches
 
 UNKNOWN = "und"
 #: Texts whose features are held at a time.
@@ -65,7 +65,7 @@ class Model:
 def _counts(texts: list[str | None], s: Settings) -> Iterator[tuple[int, np.ndarray]]:
     """(index of the first text, matrix of feature counts) for runs of texts."""
     for first, end, data, offsets in runs_of_texts(texts, most=_ROWS):
-        b = _FOLD[data]
+        b = _FOLD[data]  # n-grams end with the line feed behind their text
         n, parts = end - first, []
         for size in s.sizes:
             if len(b) < size:
@@ -74,12 +74,12 @@ def _counts(texts: list[str | None], s: Settings) -> Iterator[tuple[int, np.ndar
             for k in range(1, size):
                 code = code * np.uint32(257) + b[k : len(b) - size + 1 + k]
             code = ((code + np.uint32(size)) * np.uint32(2654435761)) >> np.uint32(15)
-            parts.append(code % np.uint32(s.dimensions))
+            parts.append((size, code % np.uint32(s.dimensions)))
         out = np.zeros((n, s.dimensions), np.float32)
         for i in range(n):
             a, z = offsets[i], offsets[i + 1]
-            for part in parts:
-                out[i] += np.bincount(part[a : min(z, len(part))], minlength=s.dimensions)
+            for size, part in parts:
+                out[i] += np.bincount(part[a : max(a, z - size + 1)], minlength=s.dimensions)
         yield first, out
 
 
@@ -114,9 +114,9 @@ def fit(labelled: DataFrame, text: str, label: str, key: str, settings: Settings
         for frame in frames:
             texts = frame["t"].tolist()
             for first, m in _counts(texts, s):
-                for i, row in enumerate(m):
-                    at = np.flatnonzero(row)
-                    yield pd.DataFrame({"l": [frame["l"].iloc[first + i]], "k": [str(frame["k"].iloc[first + i])], "at": [at.astype(np.int32)], "n": [row[at]]})
+                at = [np.flatnonzero(row).astype(np.int32) for row in m]
+                some = frame.iloc[first : first + len(m)]
+                yield pd.DataFrame({"l": some["l"].tolist(), "k": some["k"].astype(str).tolist(), "at": at, "n": [row[a] for row, a in zip(m, at, strict=True)]})
 
     got = chosen.select(F.col(text).alias("t"), F.col(label).cast("string").alias("l"), F.col(key).cast("string").alias("k")).mapInPandas(features, "l string, k string, at array<int>, n array<float>").toPandas()
     got = got.sort_values(["l", "k"], kind="stable").reset_index(drop=True)
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.concat([frame, predict(frame[text].tolist(), held.value)], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
-    return carried.mapInPandas(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return mapped(carried, run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(key: Column) -> Column:

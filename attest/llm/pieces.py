@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm.quality import bound
-from attest.llm.shared import delivered, part_lists, parts_of, places, shared_folder, spans, utf8
+from attest.llm.shared import delivered, mapped, part_lists, parts_of, places, shared_folder, spans, utf8
 
 BLANK = "▁"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
                 yield pd.concat([some[kept], made], axis=1)
 
     kinds = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in docs.schema if x.name in kept)
-    return parted.mapInPandas(assemble, f"{kinds}{schema}").select(*kept, *names)
+    return mapped(parted, assemble, f"{kinds}{schema}").select(*kept, *names)
 
 
 class _Units:
@@ -290,7 +290,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
             yield frame[kept].assign(**{text: [None if x is None else decoded(np.asarray(x, np.int64), held.value) for x in frame[ids]]})
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in encoded.select(*kept).schema)
-    return encoded.select(*kept).mapInPandas(run, f"{kinds}, `{text}` string")
+    return mapped(encoded.select(*kept), run, f"{kinds}, `{text}` string")
 
 
 def _digest(texts: list, arrays: list[np.ndarray], spelled: tuple[bytes, ...]) -> pd.DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from attest.llm.shared import chunked, small_batches
+from attest.llm.shared import chunked, mapped, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field has one kind more: keys and tokens of services.
@@ -350,7 +350,7 @@ def _mapped(docs: DataFrame, text: str, kinds: str, f, source: str) -> DataFrame
             yield pd.concat([frame.drop(columns=[n for n in names if n in frame]), new], axis=1)
 
     have = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*kept).schema if x.name not in names)
-    return docs.select(*kept).mapInPandas(run, f"{have}, {kinds}" if have else kinds)
+    return mapped(docs.select(*kept), run, f"{have}, {kinds}" if have else kinds)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ ORACLES = {
         )
         select p.page_id, p.payload_bytes, p.payload_digest,
           case when m.latest is null or m.latest = p.page_id then 'response' else 'revisit' end as record_type,
-          case when m.latest <> p.page_id then m.latest end as refers_to
+          case when m.latest is distinct from p.page_id then m.latest end as refers_to
         from p left join m on p.payload_digest = m.payload_digest and p.payload_bytes >= 1000
     """,
 }

@@ -6,13 +6,16 @@ import math
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but these.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -171,8 +174,30 @@ def words_of_texts(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarra
             yield i, hashes[cuts[i - first] : cuts[i - first + 1]]
 
 
-def rows(columns: dict) -> pd.DataFrame:
-    return pd.DataFrame(columns)
+def _series(column: pa.Array) -> pd.Series:
+    """A column without loss: whole numbers and flags that have nulls, and nested values, as Python objects."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind):
+        return pd.Series(column.to_numpy(zero_copy_only=False), dtype=object)
+    if column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return pd.Series(column.to_numpy(zero_copy_only=False))
+    return pd.Series(column.to_pylist(), dtype=object)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """df.mapInPandas(run, schema), but whole numbers beside nulls stay whole.
+
+    pandas would make doubles of them, which can't tell ids above 2**53 apart. Nulls are None.
+    """
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (pd.DataFrame({n: _series(c) for n, c in zip(b.schema.names, b.columns, strict=True)}) for b in batches)
+        for frame in run(frames):
+            columns = [frame[f.name] for f in to]
+            yield pa.RecordBatch.from_arrays([pa.array(c.tolist() if c.dtype == object else c.to_numpy(), f.type) for c, f in zip(columns, to, strict=True)], schema=to)
+
+    return df.mapInArrow(convert, schema)
 
 
 def chunked(frames: Iterator[pd.DataFrame], text: str, most: int, rows: int = 20_000) -> Iterator[pd.DataFrame]:
@@ -264,7 +289,6 @@ def part_rows(folder: str, part: int, columns: Sequence[str]) -> list[list]:
 
     Numbers come as one array, binary values as a list.
     """
-    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -283,7 +307,6 @@ def part_rows(folder: str, part: int, columns: Sequence[str]) -> list[list]:
 
 def part_lists(folder: str, part: int, key: str, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, values of all their lists, where each list ends after a first 0) of a delivered part."""
-    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs
 

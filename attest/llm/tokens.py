@@ -7,11 +7,12 @@ each block starts, so that any id can be reached, and the documents' ids and len
 
 File: b"PFR1", blocks, index, trailer. Block: header of six 32-bit integers (ids, minimum, width,
 exceptions, words, 0), packed 64-bit words, places (32 bits) and values (32 bits) of exceptions.
-Index: block starts (64 bits), doc ids (64 bits), lengths (64 bits). Trailer: counts of blocks and
+Index: block starts (64 bits), doc ids (64 bits; 0 for none), lengths (64 bits), a bit for each document
+without an id. Trailer: counts of blocks and
 documents and the index's start (64 bits each). All are little-endian.
 
 Defined cases: null and empty texts hold the end id alone; very long texts span blocks; rows with
-equal doc_id stand next to each other, ordered by text; an empty table gives no files and no rows;
+equal doc_id stand next to each other, ordered by text, those without one first; an empty table gives no files and no rows;
 other columns are not written.
 """
 
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.llm.shared import open_store, shared_folder, written
+from attest.llm.shared import mapped, open_store, shared_folder, written
 
 BLOCK = 4096
 PERCENTILE = 95
@@ -215,14 +216,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
             starts.append(at)
             out.write(b)
             at += len(b)
-        for column in (starts, keys, sizes):
+        for column in (starts, [k or 0 for k in keys], sizes):
             out.write(np.array(column, "<i8").tobytes())
+        out.write(np.packbits([k is None for k in keys]).tobytes())
         out.write(struct.pack("<3q", len(starts), len(keys), at))
         out.close()
         store.move(draft, f"{root}/{name}")
         yield pd.DataFrame({"file": [number], "path": [f"{folder}/{name}"], "documents": [len(keys)], "ids": [total + len(rest)]})
 
-    return written(d.mapInPandas(run, "file int, path string, documents long, ids long"), f"{folder}-files")
+    return written(mapped(d, run, "file int, path string, documents long, ids long"), f"{folder}-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -240,13 +242,14 @@ def read(files: DataFrame) -> DataFrame:
                 with store.open_input_file(path) as f:
                     yield _documents(f, int(row.before))
 
-    return spread.select("path", "before").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(spread.select("path", "before"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _documents(f, before: int) -> pd.DataFrame:
     size = f.size()
     blocks, documents, index = struct.unpack("<3q", f.read_at(24, size - 24))
     column = np.frombuffer(f.read_at(8 * (blocks + 2 * documents), index), "<i8")
+    nameless = np.unpackbits(np.frombuffer(f.read_at(-(-documents // 8), index + column.nbytes), np.uint8), count=documents).astype(bool)
     starts, keys, sizes = column[:blocks], column[blocks : blocks + documents], column[blocks + documents :]
     ends = np.append(starts[1:], index)
     crcs, rest, b = np.zeros(documents, np.int64), np.zeros(0, "<u4"), 0
@@ -261,6 +264,7 @@ def _documents(f, before: int) -> pd.DataFrame:
         crcs[i] = zlib.crc32(np.ascontiguousarray(joined[:n], "<u4").tobytes())
         rest = joined[n:]
     first = before + np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)[:documents]
+    keys = np.where(nameless, None, keys) if nameless.any() else keys
     return pd.DataFrame({"doc_id": keys, "start": first, "n_tokens": sizes, "ids_crc32": crcs})
 
 

@@ -8,7 +8,8 @@ Of records with equal payloads of some length, that with the largest page_id is
 the others are revisits of it; shorter payloads are always responses.
 
 Defined cases: a null page is an empty payload; rows with the same page_id and payload are each
-written, and both are responses if that page_id is the largest; very long payloads are streamed
+written, and both are responses if that page_id is the largest; pages without a page_id are written, and
+revisit a page of their payload that has one; very long payloads are streamed
 through the normaliser in pieces, though each is one row in memory; an empty table gives no files
 and no rows; other columns are not written.
 """
@@ -24,14 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.shared import open_store, shared_folder, utf8, written
+from attest.llm.shared import mapped, open_store, shared_folder, utf8, written
 
 LEAST = 1000
 LEVEL = 1
 _PIECE = 1 << 20
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A response or, if it refers to a page, a revisit whose block has the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -39,7 +40,7 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, ref
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{"none" if page_id is None else page_id}>",
         f"WARC-Target-URI: {uri}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -66,8 +67,9 @@ def _plan(pages: DataFrame, key: str, html: str, url: str, least: int) -> DataFr
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = p.where(F.octet_length("html") >= least).select("page_id", "digest").distinct()
     same = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = large.join(same, "digest").where("page_id <> refers_to")
-    return p.join(again, ["page_id", "digest"], "left")
+    again = large.join(same.where("refers_to is not null"), "digest").where("not page_id <=> refers_to")
+    again = again.select(F.col("page_id").alias("of"), F.col("digest").alias("d"), "refers_to")
+    return p.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("d")), "left").drop("of", "d")
 
 
 def _task_file(folder: str, name: str):
@@ -91,15 +93,14 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", html: st
                 store, draft, final = _task_file(folder, name)
                 out, gz = store.open_output_stream(draft), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             for row in frame.itertuples():
-                refers = None if pd.isna(row.refers_to) else int(row.refers_to)
-                out.write(gz.compress(record_bytes(int(row.page_id), row.url, utf8(row.html), row.digest, refers)))
+                out.write(gz.compress(record_bytes(row.page_id, row.url, utf8(row.html), row.digest, row.refers_to)))
         if out is not None:
             out.write(gz.flush())
             out.close()
             store.move(draft, final)
             yield pd.DataFrame({"path": [f"{folder}/{name}"]})
 
-    return written(_plan(pages, key, html, url, least).mapInPandas(run, "path string"), f"{folder}-archives")
+    return written(mapped(_plan(pages, key, html, url, least), run, "path string"), f"{folder}-archives")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -172,9 +173,10 @@ def read_records(archives: DataFrame) -> DataFrame:
                     entries = [json.loads(x) for x in f.read().splitlines()]
                 with store.open_input_file(path) as f:
                     for i in range(0, len(entries), 1000):
-                        yield pd.DataFrame([_entry(f.read_at(e["length"], e["offset"])) for e in entries[i : i + 1000]]).astype({"refers_to": "Int64"})
+                        got = [_entry(f.read_at(e["length"], e["offset"])) for e in entries[i : i + 1000]]
+                        yield pd.DataFrame({k: pd.Series([g[k] for g in got], dtype=object) for k in got[0]})
 
-    return spread.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(spread, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _entry(member: bytes) -> dict:
@@ -186,7 +188,8 @@ def _entry(member: bytes) -> dict:
     length, digest = int(header_fields(block[:end])["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
     if fields["warc-type"] == "response" and hashlib.sha1(block[end + 4 :]).hexdigest() != digest:
         raise ValueError(f"{fields['warc-record-id']}: the payload has another digest")
-    number = lambda x: int(x.strip("<>").rsplit(":", 1)[1])
+    name = lambda x: x.strip("<>").rsplit(":", 1)[1]
+    number = lambda x: None if name(x) == "none" else int(name(x))
     refers = fields.get("warc-refers-to")
     return {"page_id": number(fields["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": number(refers) if refers else None}
 
