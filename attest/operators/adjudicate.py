@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.operators.findings import pillars, readiness, verify
+from attest.operators.findings import check_of, pillars, readiness, verify
 from attest.operators.rules import RULES
 from attest.plans.rulepack import TOLERANCE_POINTS, RulePack
+from attest.sources.session import once
 
 
 @dataclass(frozen=True)
@@ -103,11 +105,29 @@ def adjudicate(obs: DataFrame, rates: DataFrame, overrides: Sequence[Override],
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Findings by what they are about: appeared, cleared, reclassified or rescored."""
-    pick = lambda d, p: d.select("session_id", "finding_id", F.col("ref_code").alias(f"{p}_code"), F.col("classification").alias(f"{p}_class"), F.col("severity").alias(f"{p}_severity"))
-    both = pick(before, "before").join(pick(after, "after"), ["session_id", "finding_id"], "full")
+    """Findings of two runs by what they check: appeared, cleared, reclassified or rescored.
+
+    A finding keeps its finding_id when its outcome changes. What is left on either side (its node moved
+    when a rate, a basis or a document changed) is paired by session, check, metric and period in order
+    of severity; what then is still alone has appeared or cleared.
+    """
+    cell = ["session_id", "check", "metric_key", "period_key"]
+
+    def pick(f: DataFrame, side: str) -> DataFrame:
+        names = {"ref_code": "code", "classification": "class", "severity": "severity"}
+        return f.select("finding_id", F.col("session_id"), check_of().alias("check"), "metric_key", F.coalesce("period_key", F.lit("-")).alias("period_key"), *[F.col(c).alias(f"{side}_{n}") for c, n in names.items()])
+
+    b, a = once(pick(before, "before")), once(pick(after, "after"))
+    same = b.join(a.drop(*cell), "finding_id")
+
+    def left(f: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        order = W.partitionBy(*cell).orderBy(F.desc(f"{side}_severity"), f"{side}_code")
+        return f.join(other.select("finding_id"), "finding_id", "left_anti").withColumn("nth", F.row_number().over(order))
+
+    rest = left(b, a, "before").join(left(a, b, "after").withColumnRenamed("finding_id", "__id"), [*cell, "nth"], "full")
+    rest = rest.withColumn("finding_id", F.coalesce("finding_id", "__id")).select(*same.columns)
     change = F.when(F.col("before_class").isNull(), "appeared").when(F.col("after_class").isNull(), "cleared").when(F.col("before_class") != F.col("after_class"), "reclassified").when(F.col("before_severity") != F.col("after_severity"), "rescored")
-    return both.withColumn("change", change).where("change is not null")
+    return same.unionByName(rest).withColumn("change", change).where("change is not null").drop("check")
 
 
 def score_diff(before: DataFrame, after: DataFrame) -> DataFrame:

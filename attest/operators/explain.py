@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.period import human_period
 from attest.functions.text import figure_text, percent_text, plain_number, points_text
+from attest.operators.facts import currencies
 from attest.operators.findings import CLASSES, pillars, readiness
 from attest.plans.rulepack import PILLAR_NAMES, looked_up, unit_of
 
@@ -34,7 +35,7 @@ def _say(*parts: Column | str) -> Column:
 
 
 def _first_currency() -> Column:
-    return F.coalesce(F.get("obs", 0)["cur"], F.lit("INR"))
+    return F.coalesce(F.get(currencies(F.col("obs")), 0), F.lit("INR"))
 
 
 def _money(value: Column) -> Column:
@@ -54,9 +55,10 @@ def _files() -> Column:
 
 
 def _by_value(last: bool) -> Column:
-    """The observation with the greatest, or least, converted value; of ties the first, or last."""
-    ranked = F.array_sort(F.transform("obs", lambda o, i: F.struct((-o["value_anchor"]).alias("v"), i.alias("i"), o["filename"].alias("filename"), o["value_anchor"].alias("value"))))
-    return F.element_at(ranked, -1) if last else F.get(ranked, 0)
+    """The document with the greatest, or least, converted value; of ties the first, or last."""
+    side = "low" if last else "high"
+    ranked = F.transform("obs", lambda o: F.struct(o[side]["v"].alias("value"), o[side]["at"].alias("at"), o["filename"].alias("filename")))
+    return F.array_min(ranked) if last else F.array_max(ranked)
 
 
 def narrative() -> Column:
@@ -108,8 +110,8 @@ def narrative() -> Column:
         .otherwise(_say(held, ", ", points_text(F.abs("delta_abs")), F.when(F.col("delta_abs") > 0, " over").otherwise(" short of"), " 100%."))
     )
     incomplete = _say(held, ", ", points_text(F.abs("delta_abs")), " short of 100%. Most likely not every shareholder was read.")
-    currencies = F.array_join(F.array_sort(F.array_distinct(F.transform("obs", lambda o: o["cur"]))), _AND)
-    blocked = F.when(F.col("rule_id") == "R7.incomplete", incomplete).when(F.col("blocked_reason") == "currency_mismatch", _say(metric, " for ", period, " is stated in currencies that could not be converted (", currencies, "); with a rate the comparison will run.")).otherwise(
+    stated_in = F.array_join(F.array_sort(currencies(F.col("obs"))), _AND)
+    blocked = F.when(F.col("rule_id") == "R7.incomplete", incomplete).when(F.col("blocked_reason") == "currency_mismatch", _say(metric, " for ", period, " is stated in currencies that could not be converted (", stated_in, "); with a rate the comparison will run.")).otherwise(
         _say(metric, " for ", period, " could not be verified (", F.col("blocked_reason"), "); it stays unresolved.")
     )
     by_rule = reduce(lambda c, x: c.when(rule == x[0], x[1]), (("R2", r2), ("R3", r3), ("R4", r4), ("R5", r5), ("R6", r6), ("R7", r7)), F.when(rule == "R1", r1))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attest.plans.rulepack import TOLERANCE_POINTS, RulePack, looked_up
+from attest.sources.session import once
 
 NODE = ("session_id", "metric_key", "period_key", "basis_class", "currency_scope", "subject")
 
@@ -42,51 +46,114 @@ def anchored(obs: DataFrame, rates: DataFrame, pack: RulePack) -> DataFrame:
     )
 
 
-def weighted_median(points: Column) -> Column:
-    """The least v of array<struct<v, ordinal, w>> whose cumulative weight reaches half; weights are 0.01 at least."""
-    ordered = F.array_sort(points)
-    weight = lambda p: F.greatest(p["w"], F.lit(0.01))
-    half = F.aggregate(ordered, F.lit(0.0), lambda t, p: t + weight(p)) / 2
-    none = F.lit(None).cast("double")
-    state = F.struct(F.lit(0.0).alias("sum"), none.alias("v"))
-    return F.aggregate(ordered, state, lambda t, p: F.struct((t["sum"] + weight(p)).alias("sum"), F.coalesce(t["v"], F.when(t["sum"] + weight(p) >= half, p["v"])).alias("v")), lambda t: t["v"])
+#: Weights are summed in whole billionths, so that sums don't depend on the order of tasks.
+_UNITS = 1_000_000_000
+_DOCUMENT = ("document_id", "filename", "document_category")
 
 
-def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
-    """One row for each node; observations of a node that can't be converted block it."""
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """An equi-join by keys in which nulls are equal."""
+    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def halfway(rows: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """(keys, half): for each key the least value at which the summed weight reaches half; weights are whole.
+
+    Values are sorted by range over all keys, so a key of very many values goes over many ranges. The
+    ranges' sums tell which range holds a key's half, and only that range is summed value by value.
+    """
+    each = rows.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
+    ranged = once(each.repartitionByRange(*keys, value)).withColumn("part", F.spark_partition_id())
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("w").alias("w"))
+    of_key = W.partitionBy(*keys)
+    run = F.sum("w").over(of_key.orderBy("part"))
+    sums = sums.select(*keys, "part", (run - F.col("w")).alias("before"), run.alias("run"), F.sum("w").over(of_key).alias("whole"))
+    holds = sums.where("2 * before < whole and 2 * run >= whole").drop("run")
+    found = same_keys(ranged, holds, [*keys, "part"], "inner")
+    run = F.col("before") + F.sum("w").over(of_key.orderBy(value))
+    return found.withColumn("run", run).where("2 * run >= whole").groupBy(*keys).agg(F.min(value).alias("half"))
+
+
+def cells(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
+    """Equal statements of a document on a node as one row each, with how many they are; computed once."""
     a = anchored(obs, rates, pack)
-    seen = F.struct("ordinal", "document_id", "filename", "document_category", "metric_key", "value_base", "value_anchor", "cur", "weight")
-    g = a.groupBy(*NODE).agg(
-        F.first("unit").alias("unit"),
-        F.first("granularity").alias("granularity"),
-        F.first("fy").alias("fy"),
-        F.first("quarter").alias("quarter"),
-        F.first("month").alias("month"),
-        F.first("sort_key").alias("sort_key"),
-        F.array_sort(F.collect_list(seen)).alias("obs"),
-        F.min_by("blocked", F.when(F.col("blocked").isNotNull(), F.col("ordinal"))).alias("blocked_reason"),
-        F.min("value_anchor").alias("low"),
-        F.max("value_anchor").alias("high"),
+    keys = (*NODE, *_DOCUMENT, "cur", "rate", "value_base", "value_anchor", "blocked")
+    kept = ("unit", "granularity", "fy", "quarter", "month", "sort_key")
+    units = F.round(F.greatest("weight", F.lit(0.01)) * _UNITS).cast("long")
+    return once(a.groupBy(*keys).agg(*[F.first(c).alias(c) for c in kept], F.count(F.lit(1)).alias("n"), F.sum(units).alias("units"), F.min("weight").alias("weight"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")))
+
+
+def statements(c: DataFrame) -> DataFrame:
+    """One row for each node and document: what the document says there, whatever often.
+
+    value_base is the lower median of its values; high and low have the ordinal at which they stand.
+    """
+    keys = (*NODE, *_DOCUMENT)
+    kept = ("unit", "granularity", "fy", "quarter", "month", "sort_key")
+    d = c.groupBy(*keys).agg(
+        *[F.first(k).alias(k) for k in kept],
+        F.sum("n").alias("n"),
+        F.min("weight").alias("weight"),
+        F.min("first").alias("ordinal"),
+        F.min("value_base").alias("least"),
+        F.max("value_base").alias("most"),
+        F.min_by("value_anchor", "first").alias("first_value"),
+        F.max_by("value_anchor", "last").alias("last_value"),
+        F.max("last").alias("last"),
+        F.max(F.when(F.col("value_anchor").isNotNull(), F.struct(F.col("value_anchor").alias("v"), (-F.col("first")).alias("at")))).alias("high"),
+        F.min(F.when(F.col("value_anchor").isNotNull(), F.struct(F.col("value_anchor").alias("v"), (-F.col("last")).alias("at")))).alias("low"),
+        F.array_sort(F.collect_set(F.struct("cur", "rate"))).alias("currencies"),  # as many as there are currencies
+        F.min(F.when(F.col("blocked").isNotNull(), F.struct("first", "blocked"))).alias("stop"),
+    )
+    several = same_keys(c.where("value_base is not null"), d.where("least < most").select(*keys), keys, "left_semi")
+    d = same_keys(d, halfway(several, keys, "value_base", "n"), keys)
+    return d.withColumn("value_base", F.coalesce("half", "least")).drop("half", "least", "most")
+
+
+def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
+    """One row for each node, computed once; observations of a node that can't be converted block it.
+
+    obs has an entry for each of the node's documents, so a row grows with the documents of a
+    session but not with their observations; evidence() joins those by node and document.
+    """
+    c = cells(obs, rates, pack)
+    d = statements(c).withColumn("node_key", F.concat_ws("|", *NODE[1:]))
+    said = F.struct("ordinal", *_DOCUMENT, "metric_key", "node_key", "n", "value_base", "weight", "currencies", "first_value", "last", "last_value", "high", "low")
+    g = d.groupBy(*NODE, "node_key").agg(
+        *[F.first(k).alias(k) for k in ("unit", "granularity", "fy", "quarter", "month", "sort_key")],
+        F.array_sort(F.collect_list(said)).alias("obs"),
+        F.sum("n").alias("n_obs"),
+        F.min("stop").alias("stop"),
+        F.min("low.v").alias("low"),
+        F.max("high.v").alias("high"),
         F.least(F.lit(1.0), F.min("weight")).alias("confidence"),
         F.min("ordinal").alias("ordinal"),
     )
-    # counts of what the arrays hold: three distinct aggregates would send every row four times
     distinct = lambda f: F.size(F.array_compact(F.array_distinct(F.transform("obs", lambda o: o[f])))).cast("long")
-    g = g.withColumns({"docs": distinct("document_id"), "categories": distinct("document_category"), "crossed_currency": distinct("cur") > 1})
+    g = g.withColumns({"blocked_reason": F.col("stop.blocked"), "docs": distinct("document_id"), "categories": distinct("document_category"), "crossed_currency": F.size(currencies(F.col("obs"))) > 1}).drop("stop")
     free = F.col("blocked_reason").isNull()
-    g = g.withColumn("consensus", F.when(free, weighted_median(F.transform("obs", lambda o: F.struct(o["value_anchor"].alias("v"), o["ordinal"].alias("ordinal"), o["weight"].alias("w"))))))
+    half = halfway(c.where("value_anchor is not null"), NODE, "value_anchor", "units")
+    g = same_keys(g, half, NODE).withColumn("consensus", F.when(free, F.col("half"))).drop("half")
     g = g.withColumns({"low": F.when(free, F.col("low")), "high": F.when(free, F.col("high"))})
     tolerance, points = tolerance_of(F.col("metric_key"), F.col("unit"), pack)
     g = g.withColumns({"spread_abs": F.col("high") - F.col("low"), "tolerance": tolerance, "in_points": points})
     size = F.abs("consensus")
     g = g.withColumn("spread_pct", F.when(size > 0, F.col("spread_abs") / size * 100).when(F.col("spread_abs") == 0, 0.0))
+    g = once(g)
+
+    gap = F.abs(F.col("value_anchor") - F.col("consensus"))
+    far = F.when(F.col("in_points"), gap > F.col("tolerance")).when(size == 0, gap > 0).otherwise(gap / F.when(size > 0, size) * 100 > F.col("tolerance"))
+    wide = g.where("consensus is not null and n_obs > 1 and low < high").select(*NODE, "consensus", "tolerance", "in_points")
+    out = same_keys(c, wide, NODE, "inner").where(far).groupBy(*NODE, "filename").agg(F.sum("n").alias("n"))
+    out = out.groupBy(*NODE).agg(F.sum("n").alias("n_outliers"), F.count(F.lit(1)).alias("dissenting"))
+    return once(same_keys(g, out, NODE).withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("n_outliers", "dissenting")}))
 
-    def far(o: Column) -> Column:
-        gap = F.abs(o["value_anchor"] - F.col("consensus"))
-        return F.when(F.col("in_points"), gap > F.col("tolerance")).when(size == 0, gap > 0).otherwise(gap / F.when(size > 0, size) * 100 > F.col("tolerance"))
 
-    g = g.withColumn("outliers", F.when(free & (F.size("obs") > 1), F.filter("obs", far)).otherwise(F.filter("obs", lambda o: F.lit(False))))
-    return g.withColumn("node_key", F.concat_ws("|", *NODE[1:]))
+def currencies(obs: Column) -> Column:
+    """The distinct currencies of entries of nodes' obs."""
+    return F.array_distinct(F.flatten(F.transform(obs, lambda o: F.transform(o["currencies"], lambda c: c["cur"]))))
 
 
 def parsed_rates(sessions: DataFrame, raw: str = "fx_rates") -> DataFrame:
@@ -103,7 +170,7 @@ def parsed_rates(sessions: DataFrame, raw: str = "fx_rates") -> DataFrame:
 def graph_stats(n: DataFrame) -> DataFrame:
     """Each session's observations, nodes, nodes of several documents, and blocked ones."""
     return n.groupBy("session_id").agg(
-        F.sum(F.size("obs")).alias("observations"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("docs") >= 2).alias("multi_source"), F.count_if(F.col("blocked_reason").isNotNull()).alias("blocked")
+        F.sum("n_obs").alias("observations"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("docs") >= 2).alias("multi_source"), F.count_if(F.col("blocked_reason").isNotNull()).alias("blocked")
     )
 
 
@@ -118,6 +185,6 @@ def scale_anchor(n: DataFrame) -> DataFrame:
 
 def unique_nodes(n: DataFrame) -> DataFrame:
     """Nodes that are alone for their session, metric, period and basis, and have a value."""
-    keys = ["session_id", "metric_key", "period_key", "basis_class"]
-    alone = n.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k = 1").select(*keys)
-    return n.join(alone, keys, "left_semi").where("consensus is not null")
+    cell = W.partitionBy("session_id", "metric_key", "period_key", "basis_class")
+    first, last = F.min("node_key").over(cell), F.max("node_key").over(cell)
+    return n.withColumn("alone", first == last).where("alone and consensus is not null").drop("alone")

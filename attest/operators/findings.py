@@ -9,10 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attest.functions.text import numbered, rounded
-from attest.operators.facts import nodes, scale_anchor, tolerance_of
+from attest.operators.facts import NODE, anchored, nodes, scale_anchor, tolerance_of
 from attest.operators.rules import RULES
-from attest.plans.rulepack import BASE_WEIGHTS, DECK, FAVOURABLE_DOWN, FAVOURABLE_UP, IMPORTANCE, PILLARS, TIERS, RulePack, looked_up, unit_of
-from attest.sources.session import once
+from attest.plans.rulepack import ABBREVIATIONS, BASE_WEIGHTS, DECK, FAVOURABLE_DOWN, FAVOURABLE_UP, IMPORTANCE, PILLARS, TIERS, RulePack, looked_up, unit_of
 
 CLASSES = ("VERIFIED_MISMATCH", "UNRESOLVED_INCONSISTENCY", "MISSING_INFORMATION", "UNUSUAL_ASSUMPTION_CHANGE", "VERIFIED_CONSISTENT")
 _BLOCKING = ("currency_mismatch", "period_ambiguous", "basis_mismatch", "unit_unknown", "no_value")
@@ -42,10 +41,10 @@ def direction() -> Column:
     up = F.when(F.col("metric_key").isin(*FAVOURABLE_UP), True).when(F.col("metric_key").isin(*FAVOURABLE_DOWN), False)
     identity = F.col("rule_class").isin("R2", "R3", "R7") & F.col("stated").isNotNull() & F.col("computed").isNotNull()
     own = F.filter("obs", lambda o: o["metric_key"] == F.col("metric_key"))
-    tier = lambda o: F.coalesce(looked_up(o["document_category"], TIERS, "int"), F.lit(1))
-    ranked = F.array_sort(F.transform(own, lambda o, i: F.struct((-tier(o)).alias("t"), i.alias("i"), o["value_anchor"].alias("v"))))
-    high, low = F.get(ranked, 0), F.element_at(ranked, -1)
-    differ = (F.size(ranked) > 1) & (high["t"] != low["t"]) & (high["v"] != low["v"])
+    tier = lambda o: (-F.coalesce(looked_up(o["document_category"], TIERS, "int"), F.lit(1))).alias("t")
+    high = F.array_min(F.transform(own, lambda o: F.struct(tier(o), o["ordinal"].alias("i"), o["first_value"].alias("v"))))
+    low = F.array_max(F.transform(own, lambda o: F.struct(tier(o), o["last"].alias("i"), o["last_value"].alias("v"))))
+    differ = (high["t"] != low["t"]) & (high["v"] != low["v"])
     flatters = F.when(identity, F.when(F.col("stated") != F.col("computed"), (F.col("stated") > F.col("computed")) == up)).otherwise(F.when(differ, (low["v"] > high["v"]) == up))
     return F.when(flatters, 1.25).when(~flatters, 0.85).otherwise(1.0)
 
@@ -104,23 +103,32 @@ def resolved(f: DataFrame) -> DataFrame:
     return f.where(~((F.col("classification") == "VERIFIED_CONSISTENT") & F.col("problem"))).drop("stated_too", "problem")
 
 
+def check_of() -> Column:
+    """What a finding checks, whatever came out: its rule_id without the parts that tell the outcome."""
+    rule = F.col("rule_class")
+    return F.when(rule.isin("R1", "R3", "R5"), rule).when(F.col("rule_id") == "R7.incomplete", "R7.ownership_sum").otherwise(F.regexp_replace("rule_id", r"\.combined$", ""))
+
+
 def coded(f: DataFrame) -> DataFrame:
-    """ref_code by descending severity within session, class and rule; finding_id from what it is about."""
-    short = F.when(F.col("classification") == "VERIFIED_MISMATCH", "VM").when(F.col("classification") == "UNRESOLVED_INCONSISTENCY", "UI").when(F.col("classification") == "MISSING_INFORMATION", "MI").when(F.col("classification") == "UNUSUAL_ASSUMPTION_CHANGE", "UC").otherwise("OK")
-    f = f.withColumn("prefix", F.concat_ws("-", short, "rule_class"))
+    """ref_code by descending severity within session, metric and rule; finding_id from what it is about.
+
+    finding_id names the check and its cell, not the outcome: a finding that passes in another run keeps it.
+    """
+    abbreviation = F.coalesce(looked_up(F.col("metric_key"), ABBREVIATIONS, "string"), F.upper(F.substring("metric_key", 1, 4)))
+    f = f.withColumn("prefix", F.concat_ws("-", abbreviation, "rule_class"))
     order = W.partitionBy("session_id", "prefix").orderBy(F.desc("severity"), "rule_class", "ordinal", "rule_id", "node_key", "document_id")
     code = F.concat(F.col("prefix"), F.lit("-"), numbered(F.row_number().over(order), 3))
-    key = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("session_id", "rule_id", "metric_key", "period_key", "node_key", "document_id", "result")]), 256)
+    key = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in (F.col("session_id"), check_of(), F.col("metric_key"), F.col("period_key"), F.col("node_key"), F.col("document_id"))]), 256)
     return f.withColumns({"ref_code": code, "finding_id": key}).drop("prefix")
 
 
 def verify(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack(), rules=RULES) -> tuple[DataFrame, DataFrame]:
     """(nodes, findings) of all sessions in obs.
 
-    Nodes are computed once, by a checkpoint, as every rule reads them several times. Several rules'
+    Nodes are computed once, by checkpoints, as every rule reads them several times. Several rules'
     findings are one union; a rule that can't be planned is an error, not a gap in the report.
     """
-    n = once(nodes(obs, rates, pack))
+    n = nodes(obs, rates, pack)
     return n, findings_of(n, pack, rules)
 
 
@@ -139,11 +147,16 @@ def confirmations(f: DataFrame) -> DataFrame:
     return f.where("classification = 'VERIFIED_CONSISTENT'")
 
 
-def evidence(f: DataFrame, obs: DataFrame) -> DataFrame:
-    """A row for each observation that a finding rests on: where it stands, what it says, and its converted value."""
-    seen = f.select("session_id", "finding_id", "ref_code", F.posexplode("obs").alias("place", "o"))
-    shown = seen.select("session_id", "finding_id", "ref_code", "place", F.col("o.ordinal").alias("ordinal"), F.col("o.filename").alias("filename"), F.col("o.metric_key").alias("metric_key"), F.col("o.value_base").alias("value_base"), F.col("o.cur").alias("currency"), F.col("o.value_anchor").alias("value_anchor"), F.col("o.weight").alias("confidence"))
-    return shown.join(obs.select("session_id", "ordinal", "quote"), ["session_id", "ordinal"], "left")
+def evidence(f: DataFrame, obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
+    """A row for each observation that a finding rests on: where it stands, what it says, and its converted value.
+
+    Findings name nodes and documents; the observations, however many a node has, are joined by those here.
+    place counts the finding's nodes and documents; within one, rows are in order of ordinal.
+    """
+    seen = f.select("session_id", "finding_id", "ref_code", F.posexplode("obs").alias("place", "o")).select("*", "o.node_key", "o.document_id").drop("o")
+    a = anchored(obs, rates, pack).withColumn("node_key", F.concat_ws("|", *NODE[1:]))
+    a = a.select("session_id", "node_key", "document_id", "ordinal", "filename", "metric_key", "value_base", F.col("cur").alias("currency"), "value_anchor", F.col("weight").alias("confidence"), "quote")
+    return seen.join(a, ["session_id", "node_key", "document_id"])
 
 
 def pillars(n: DataFrame, f: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attest.functions.text import figure_text, plain_number
-from attest.operators.facts import unique_nodes
+from attest.operators.facts import currencies, unique_nodes
 from attest.plans.rulepack import BANDS, DECK, FLOWS, GROWTH_METRICS, MARGIN_METRICS, NEW_INVESTOR, OPTION_POOL, RulePack, looked_up, unit_of
 
 FINDING = {
@@ -44,8 +44,8 @@ def _map(kind: str, **values: Column) -> Column:
 
 def fx_note(obs: Column) -> Column:
     """The distinct rates by which a node's values were converted, null without one."""
-    crossed = F.filter(obs, lambda o: o["cur"] != "INR")
-    rates = F.array_distinct(F.transform(crossed, lambda o: F.concat(o["cur"], F.lit("_INR @ "), plain_number(o["value_anchor"] / F.when(o["value_base"] != 0, o["value_base"]), 4))))
+    crossed = F.filter(F.flatten(F.transform(obs, lambda o: o["currencies"])), lambda c: (c["cur"] != "INR") & c["rate"].isNotNull())
+    rates = F.array_distinct(F.transform(crossed, lambda c: F.concat(c["cur"], F.lit("_INR @ "), plain_number(c["rate"], 4))))
     return F.when(F.size(rates) > 0, F.concat(F.lit("[converted using "), F.array_join(rates, ", "), F.lit("]")))
 
 
@@ -55,10 +55,6 @@ def gap_pct(stated: Column, computed: Column) -> Column:
     return F.when(most == 0, 0.0).otherwise(F.abs(stated - computed) / F.when(most != 0, most) * 100)
 
 
-def _node_facts() -> dict[str, Column]:
-    return {"dissenting": F.size(F.array_distinct(F.transform("outliers", lambda o: o["filename"])))}
-
-
 def cross_source(n: DataFrame, pack: RulePack) -> DataFrame:
     """R1: nodes that two documents or more state, against the tolerance; blocked nodes stay questions."""
     two = n.where("docs >= 2")
@@ -76,7 +72,6 @@ def cross_source(n: DataFrame, pack: RulePack) -> DataFrame:
         tolerance_abs=F.when(F.col("in_points"), F.col("tolerance")),
         result=F.when(~free, "BLOCKED").when(over, "FAIL").otherwise("PASS"),
         words=_map("string", fx=F.when(free & (F.col("unit") == "currency"), fx_note(F.col("obs")))),
-        **_node_facts(),
     )
 
 
@@ -107,8 +102,8 @@ def identities(n: DataFrame, pack: RulePack) -> DataFrame:
     one = unique_nodes(n.where(COMPARABLE))
     cell = ["session_id", "identity", "id", "kind", "of", "need", "scale", "pct", "points", "period_key", "basis_class"]
     held = one.join(terms, "metric_key")
-    whole = held.groupBy(*cell).agg(F.count(F.lit(1)).alias("k")).where("k = need + 1").select(*cell)
-    held = held.join(whole.select("session_id", "identity", "period_key", "basis_class"), ["session_id", "identity", "period_key", "basis_class"], "left_semi")
+    of_cell = W.partitionBy("session_id", "identity", "period_key", "basis_class")  # a term has one node: a few rows
+    held = held.withColumn("k", F.count(F.lit(1)).over(of_cell)).where("k = need + 1").drop("k")
 
     def found(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
         g = rows.groupBy(*cell, *by).agg(
@@ -117,22 +112,19 @@ def identities(n: DataFrame, pack: RulePack) -> DataFrame:
             F.max(F.when(F.col("term") == 99, F.col("node_key"))).alias("node_key"),
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term", "obs"))), lambda t: t["obs"])).alias("obs"),
             F.max(F.when(F.col("term") == 99, F.col("docs"))).alias("docs"),
-            F.max(F.when(F.col("term") == 99, F.size(F.array_distinct(F.transform("outliers", lambda o: o["filename"]))))).alias("dissenting"),
+            F.max(F.when(F.col("term") == 99, F.col("dissenting"))).alias("dissenting"),
             F.bool_or("crossed_currency").alias("crossed_currency"),
             F.count(F.lit(1)).alias("k"),
         )
         return g.where("k = need + 1").withColumn("computed", _evaluated(F.col("operands"), F.col("kind"), F.col("scale"))).where("computed is not null")
 
-    own = held.withColumn("o", F.explode("obs"))
-    per = own.groupBy(*cell, "term", "sign", "metric_key", "node_key", "docs", "outliers", "crossed_currency", F.col("o.document_id").alias("document_id")).agg(
-        F.array_sort(F.collect_list("o.value_base")).alias("vs"), F.array_sort(F.collect_list("o")).alias("obs")
-    )
-    per = per.withColumn("v", F.get("vs", F.floor((F.size("vs") - 1) / 2).cast("int")))
+    own = held.withColumn("o", F.explode("obs"))  # a document's own value is in its entry
+    per = own.select(*cell, "term", "sign", "metric_key", "node_key", "docs", "dissenting", "crossed_currency", F.col("o.document_id").alias("document_id"), F.col("o.value_base").alias("v"), F.array("o").alias("obs"))
     within = found(per, ["document_id"], F.col("v"))
     keys = ["session_id", "identity", "period_key", "basis_class"]
     across = found(held.join(within.select(*keys).distinct(), keys, "left_anti"), [], F.col("consensus")).withColumn("document_id", F.lit(None).cast("string"))
     both = within.unionByName(across, allowMissingColumns=True)
-    mixed = F.size(F.array_distinct(F.transform("obs", lambda o: o["cur"]))) > 1
+    mixed = F.size(currencies(F.col("obs"))) > 1
     delta = F.when(mixed, F.lit(None)).otherwise(F.col("stated") - F.col("computed"))
     pct = F.when(~mixed, gap_pct(F.col("stated"), F.col("computed")))
     passed = F.when(F.col("points").isNotNull(), F.abs(delta) <= F.col("points")).otherwise(pct <= F.col("pct"))
@@ -201,7 +193,7 @@ def rollups(n: DataFrame, pack: RulePack) -> DataFrame:
         got = one.where(F.col("granularity") == large).join(parts.where(F.col("k") == need), by)
         out.append(got.select(*one.columns, "computed", "parts", "components", F.lit(order).alias("route"), F.lit(f"R3.{small}_to_{large}").alias("rule_id")))
     both = reduce(DataFrame.unionByName, out).withColumn("obs", F.concat("parts", "obs")).withColumn("stated", F.col("consensus"))
-    mixed = F.size(F.array_distinct(F.transform("obs", lambda o: o["cur"]))) > 1
+    mixed = F.size(currencies(F.col("obs"))) > 1
     both = both.withColumn("result", F.when(mixed, "BLOCKED").when(gap_pct(F.col("stated"), F.col("computed")) <= pack.rollup_pct, "PASS").otherwise("FAIL"))
     first = W.partitionBy("session_id", "metric_key", "period_key", "basis_class").orderBy((F.col("result") != "FAIL").cast("int"), "route")
     best = both.withColumn("rn", F.row_number().over(first)).where("rn = 1")
@@ -218,14 +210,13 @@ def rollups(n: DataFrame, pack: RulePack) -> DataFrame:
         delta_pct=F.when(~blocked, gap_pct(F.col("stated"), F.col("computed"))),
         tolerance_pct=F.lit(pack.rollup_pct),
         blocked_reason=F.when(blocked, "currency_mismatch"),
-        **_node_facts(),
     )
 
 
 def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
     """R4: growth from the last actual year to the first later projection, and steps of margins."""
     year = n.where("granularity = 'fy' and fy is not null and consensus is not null and subject = '-'")
-    point = F.struct("fy", "consensus", "period_key", "node_key", "obs", "docs", "outliers", "crossed_currency", "ordinal")
+    point = F.struct("fy", "consensus", "period_key", "node_key", "obs", "docs", "n_outliers", "crossed_currency", "ordinal")
     by = ["session_id", "metric_key"]
     actual = year.where("basis_class = 'actual'").groupBy(*by).agg(F.max_by(point, "fy").alias("last"), F.min_by(point, "fy").alias("first"), F.max("consensus").alias("most"))
     ahead = year.where(F.col("basis_class") == "forward").join(actual, by)
@@ -255,7 +246,7 @@ def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
         detail=why,
         obs=F.concat(F.col("last.obs"), F.col("next.obs")),
         docs=F.col("next.docs"),
-        dissenting=F.size("next.outliers"),
+        dissenting=F.col("next.n_outliers"),
         crossed_currency=F.col("next.crossed_currency"),
         ordinal=F.col("next.ordinal"),
     )
@@ -276,7 +267,7 @@ def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
         detail=F.lit("margin_step"),
         obs=F.col("peak.obs"),
         docs=F.col("peak.docs"),
-        dissenting=F.size("peak.outliers"),
+        dissenting=F.col("peak.n_outliers"),
         crossed_currency=F.col("peak.crossed_currency"),
         ordinal=F.col("peak.ordinal"),
     )
@@ -301,7 +292,7 @@ def temporal(n: DataFrame, pack: RulePack) -> DataFrame:
         detail=F.when(F.col("h0").isNull(), "headcount_unknown").otherwise("headcount_does_not_fall"),
         obs=F.concat(F.col("last.obs"), F.col("next.obs")),
         docs=F.col("next.docs"),
-        dissenting=F.size("next.outliers"),
+        dissenting=F.col("next.n_outliers"),
         crossed_currency=F.col("next.crossed_currency"),
         ordinal=F.col("next.ordinal"),
     )
@@ -312,7 +303,7 @@ def unsupported(n: DataFrame, pack: RulePack) -> DataFrame:
     """R5: nodes that only decks state; detail names the first identity that other documents could derive it by."""
     deck = F.filter("obs", lambda o: o["document_category"].isin(*DECK))
     claims = n.where(F.col("metric_key") != "tam").withColumn("deck", deck).where("size(deck) > 0 and size(deck) = size(obs)")
-    backed = unique_nodes(n.where(COMPARABLE)).withColumn("backing", F.size(F.filter("obs", lambda o: ~o["document_category"].isin(*DECK))))
+    backed = unique_nodes(n.where(COMPARABLE)).withColumn("backing", F.aggregate(F.filter("obs", lambda o: ~o["document_category"].isin(*DECK)), F.lit(0).cast("long"), lambda t, o: t + o["n"]))
     terms = F.broadcast(_terms(n.sparkSession, pack, False).where("term < 99").withColumnRenamed("of", "result"))
     by = ["session_id", "identity", "id", "result", "need", "period_key", "basis_class"]
     able = backed.join(terms, "metric_key").groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("backing").alias("backing")).where("k = need and backing >= need")
@@ -329,7 +320,6 @@ def unsupported(n: DataFrame, pack: RulePack) -> DataFrame:
         figures=_map("double", searched=F.size(F.coalesce("searched", F.array().cast("array<string>")))),
         words=_map("string", searched=F.array_join("searched", ", "), derivation=F.col("derivable")),
         obs="deck",
-        **_node_facts(),
     )
 
 
@@ -374,7 +364,6 @@ def plausible(n: DataFrame, pack: RulePack) -> DataFrame:
         detail=side,
         figures=_map("double", bound=bound),
         words=_map("string", cause=likely_cause(F.col("metric_key"), F.col("consensus"))),
-        **_node_facts(),
     )
     one = unique_nodes(n.where(COMPARABLE))
     at = ["session_id", "period_key", "basis_class"]
@@ -390,7 +379,7 @@ def plausible(n: DataFrame, pack: RulePack) -> DataFrame:
                 _rows(
                     got.where(bound.isNotNull()), "R6", rule_id=F.lit(f"R6.derived.{x.id}"), metric_key=F.lit(x.result), stated="value", computed=bound, delta_abs=F.col("value") - bound,
                     delta_pct=pct, tolerance_pct=F.lit(0.1), result=F.lit("FAIL"), detail=side, figures=_map("double", bound=bound),
-                    words=_map("string", cause=likely_cause(F.lit(x.result), F.col("value"))), obs=F.concat("obs", "more"), **_node_facts(),
+                    words=_map("string", cause=likely_cause(F.lit(x.result), F.col("value"))), obs=F.concat("obs", "more"),
                 )
             )
     return reduce(DataFrame.unionByName, out)
@@ -427,7 +416,7 @@ def cap_table(n: DataFrame, pack: RulePack) -> DataFrame:
     stake = _rows(
         deal, "R7", rule_id=F.lit("R7.new_investor"), stated="consensus", delta_abs=F.col("consensus") - F.col("computed"), delta_pct=gap_pct(F.col("consensus"), F.col("computed")),
         tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(F.col("consensus") - F.col("computed")) <= pack.ownership_points, "PASS").otherwise("FAIL"),
-        figures=_map("double", round_size=F.col("round"), post_money=F.col("post")), **_node_facts(),
+        figures=_map("double", round_size=F.col("round"), post_money=F.col("post")),
     )
     held = holders.where(F.col("subject").rlike("|".join(OPTION_POOL))).groupBy(*at).agg(F.min_by(F.struct("consensus", "obs"), "ordinal").alias("h"), F.max("docs").alias("docs")).join(pool, at)
     option = _rows(

@@ -15,6 +15,15 @@ TOLERANCE_PCT = {
     "net_cash_flow": 1.0, "burn_rate": 3.0, "cash_runway": 5.0, "customer_base": 1.0, "headcount": 8.0, "valuation": 1.0,
     "pre_money_valuation": 0.5, "post_money_valuation": 0.5, "round_size": 0.5, "tam": 10.0,
 }
+#: Metrics in reference codes.
+ABBREVIATIONS = {
+    "revenue": "REV", "arr": "ARR", "mrr": "MRR", "revenue_growth": "GRW", "cogs": "COGS", "gross_profit": "GP", "gross_margin": "GM", "opex": "OPEX",
+    "ebitda": "EBITDA", "ebitda_margin": "EBM", "net_profit": "NP", "net_margin": "NM", "depreciation_amortization": "DA", "interest_expense": "INT",
+    "tax_expense": "TAX", "total_assets": "ASST", "liabilities": "LIAB", "equity": "EQTY", "cash_position": "CASH", "opening_cash": "OCSH",
+    "closing_cash": "CCSH", "net_cash_flow": "NCF", "burn_rate": "BURN", "cash_runway": "RWAY", "customer_base": "CUST", "churn_rate": "CHRN",
+    "cac": "CAC", "ltv": "LTV", "ltv_cac_ratio": "LTVC", "ownership": "OWN", "esop_pool": "ESOP", "valuation": "VAL", "pre_money_valuation": "PRE",
+    "post_money_valuation": "POST", "round_size": "RND", "headcount": "HC", "revenue_per_employee": "RPE", "tam": "TAM",
+}
 TOLERANCE_POINTS = {"gross_margin": 0.2, "ebitda_margin": 0.2, "net_margin": 0.2, "revenue_growth": 0.5, "churn_rate": 0.3, "ownership": 0.1, "esop_pool": 0.1}
 IMPORTANCE = {
     "revenue": 1.0, "arr": 1.0, "mrr": 0.95, "ebitda": 0.95, "cash_position": 0.95, "closing_cash": 0.95, "opening_cash": 0.85,

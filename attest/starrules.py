@@ -15,6 +15,7 @@ from attest.functions.period import fiscal_quarter, fiscal_start, year_label
 from attest.functions.text import rounded
 from attest.operators import adjudicate, explain, facts, findings, rules, serving
 from attest.plans.rulepack import RulePack
+from attest.sources.session import once
 
 #: The first fiscal year that counts as a projection.
 AHEAD = 1999
@@ -32,12 +33,16 @@ def observations(spark, d: str) -> DataFrame:
     )
     m = F.month("o_orderdate")
     j = o.join(lines, "o_orderkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    j = j.select(F.col("c_nationkey").cast("string").alias("session_id"), fiscal_start(m, F.year("o_orderdate")).cast("int").alias("fy"), m.cast("int").alias("month"), cents(F.col("o_totalprice")).alias("total"), "o_custkey", "o_orderpriority", "gross", "less", "net", "quantity", "lines")
-    sums = [F.sum(k).alias(k) for k in ("total", "gross", "less", "net", "quantity", "lines")]
-    years = j.groupBy("session_id", "fy").agg(*sums, F.count_distinct("o_custkey").alias("people"))
-    months = j.groupBy("session_id", "fy", "month").agg(*sums)
-    held = j.groupBy("session_id", "fy", F.lower("o_orderpriority").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
-    held = held.join(j.groupBy("session_id", "fy").agg(F.count(F.lit(1)).alias("all")), ["session_id", "fy"])
+    j = j.select(F.col("c_nationkey").cast("string").alias("session_id"), fiscal_start(m, F.year("o_orderdate")).cast("int").alias("fy"), m.cast("int").alias("month"), cents(F.col("o_totalprice")).alias("total"), "o_orderpriority", "gross", "less", "net", "quantity", "lines")
+    keys, names = ("session_id", "fy"), ("total", "gross", "less", "net", "quantity", "lines")
+    sums = [F.sum(k).alias(k) for k in names]
+    # one grouping of the orders, written once: years, months and holders are sums of its few rows
+    by = once(j.groupBy(*keys, "month", F.lower("o_orderpriority").alias("subject")).agg(*sums, F.count(F.lit(1)).alias("n")))
+    people = o.join(x.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("session_id"), fiscal_start(m, F.year("o_orderdate")).cast("int").alias("fy"), "o_custkey")
+    years = by.groupBy(*keys).agg(*sums).join(people.groupBy(*keys).agg(F.count_distinct("o_custkey").alias("people")), list(keys))
+    months = by.groupBy(*keys, "month").agg(*sums)
+    held = by.groupBy(*keys, "subject").agg(F.sum("n").alias("n"))
+    held = held.join(by.groupBy(*keys).agg(F.sum("n").alias("all")), list(keys))
 
     def said(doc: str, metric: str, value: Column, number: int) -> Column:
         return F.struct(F.lit(doc).alias("document_id"), F.lit(metric).alias("metric_key"), value.alias("value_base"), F.lit(number).alias("number"))
@@ -118,7 +123,7 @@ def star_nodes(spark, d):
     """Every fact: consensus by weighted median, range, spread, documents, outliers, confidence."""
     return nodes(spark, d).select(
         "session_id", "metric_key", "period_key", "basis_class", "subject", _r("consensus").alias("consensus"), _r("low").alias("low"), _r("high").alias("high"), _r("spread_pct").alias("spread_pct"), "docs",
-        F.size("outliers").cast("long").alias("outliers"), _r("confidence").alias("confidence"),
+        F.col("n_outliers").alias("outliers"), _r("confidence").alias("confidence"),
     )
 
 
@@ -291,8 +296,7 @@ f3 as (select *, greatest(least(15.0 * materiality * conf * direction * corrobor
   case when floor(delta_pct * 1e9 + 0.5) / 1e9 <= tol then 'within_tolerance' when conf < 0.65 then 'below_confidence_gate' when floor(delta_pct * 1e9 + 0.5) / 1e9 <= tol * 2 then 'marginal_variance' else 'material_variance' end as reason from f2),
 f4 as (select *, case when class = 'VERIFIED_CONSISTENT' then 0.0 else floor(raw * 10 + 0.5) / 10 end as severity,
   case when class = 'VERIFIED_CONSISTENT' then 'NONE' when raw >= 30 then 'CRITICAL' when raw >= 18 then 'HIGH' when raw >= 9 then 'MEDIUM' else 'MINOR' end as band from f3),
-f as (select *, case class when 'VERIFIED_MISMATCH' then 'VM' when 'UNRESOLVED_INCONSISTENCY' then 'UI' else 'OK' end || '-R1-' ||
-  lpad(cast(row_number() over (partition by session_id, class order by severity desc, ordinal) as varchar), 3, '0') as ref_code from f4)
+f as (select *, 'REV-R1-' || lpad(cast(row_number() over (partition by session_id order by severity desc, ordinal) as varchar), 3, '0') as ref_code from f4)
 """
 SEVERITY_FACTORS = f"""
 with {OBS}, {_FOUND}
@@ -373,14 +377,14 @@ def adjudicate_accept(spark, d):
     """Scores once each session's worst mismatch is accepted, against those before."""
     obs, none = observations(spark, d), rates(spark)
     n, f = _checked(spark, d)
-    refs = f.select("session_id").distinct().select("session_id", F.lit("VM-R1-001").alias("ref_code"), F.lit("explained").alias("note"))
+    refs = f.select("session_id").distinct().select("session_id", F.lit("REV-R1-001").alias("ref_code"), F.lit("explained").alias("note"))
     after = adjudicate.accepted(f, refs)
     moved = adjudicate.pillar_diff(findings.pillars(n, f), findings.pillars(n, after.where("not accepted")))
     return moved.where("changed").select("session_id", "pillar", "before", "after", "change")
 
 
 ADJUDICATE_ACCEPT = f"""
-with {OBS}, {_FOUND}, b as (select session_id, floor(sum(severity) * 10 + 0.5) / 10 as s, floor(sum(case when ref_code <> 'VM-R1-001' then severity else 0 end) * 10 + 0.5) / 10 as t from f group by 1),
+with {OBS}, {_FOUND}, b as (select session_id, floor(sum(severity) * 10 + 0.5) / 10 as s, floor(sum(case when ref_code <> 'REV-R1-001' then severity else 0 end) * 10 + 0.5) / 10 as t from f group by 1),
 c as (select session_id, floor(100 * 40.0 / (40 + s) * 10 + 0.5) / 10 as before, floor(100 * 40.0 / (40 + t) * 10 + 0.5) / 10 as after from b)
 select session_id, 'cross_doc_consistency' as pillar, before, after, floor((after - before) * 10 + 0.5) / 10 as change from c where abs(floor((after - before) * 10 + 0.5) / 10) >= 0.1
 """
@@ -391,12 +395,17 @@ def adjudicate_diff(spark, d):
     obs, none = observations(spark, d), rates(spark)
     before = _checked(spark, d)[1]
     after = adjudicate.adjudicate(obs, none, [adjudicate.Override("tolerance", metric_key="revenue", tolerance_pct=40.0)], rules=(rules.cross_source,)).findings
-    return adjudicate.diff(before.withColumn("finding_id", F.concat_ws("|", "node_key")), after.withColumn("finding_id", F.concat_ws("|", "node_key"))).where("change = 'reclassified'").groupBy("session_id", "before_class", "after_class").agg(F.count(F.lit(1)).alias("n"))
+    return adjudicate.diff(before, after).groupBy("session_id", "change", "before_class", "after_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 ADJUDICATE_DIFF = f"""
-with {OBS}, {_FOUND}, a as (select session_id, class, case when floor(delta_pct * 1e9 + 0.5) / 1e9 <= 40 then 'VERIFIED_CONSISTENT' when floor(delta_pct * 1e9 + 0.5) / 1e9 <= 80 then 'UNRESOLVED_INCONSISTENCY' else 'VERIFIED_MISMATCH' end as now from f)
-select session_id, class as before_class, now as after_class, count(*) as n from a where class <> now group by all
+with {OBS}, {_FOUND}, -- with another tolerance, other documents may be outliers too, and the factors follow
+o2 as (select w.session_id, w.metric, w.period, w.basis, count(distinct doc) as out2 from w join n using (session_id, metric, period, basis, subject) where abs(value - consensus) / abs(consensus) * 100 > 40 group by all),
+g2 as (select f.*, case when coalesce(out2, 0) = 0 then 1.0 when out2 / cast(docs as double) <= 0.34 then 0.8 else 1.15 end as corroboration2, least(log10(1 + delta_pct / 40.0) / log10(41.0), 1.0) as rel2 from f left join o2 using (session_id, metric, period, basis)),
+h2 as (select *, greatest(least(15.0 * least(greatest(0.4 + 1.6 * (case when delta_abs > 0 then 0.6 * rel2 + 0.4 * part else rel2 end), 0.4), 2.0) * conf * direction * corroboration2, 100), 0) as raw2,
+  case when floor(delta_pct * 1e9 + 0.5) / 1e9 <= 40 then 'VERIFIED_CONSISTENT' when conf < 0.65 then 'UNRESOLVED_INCONSISTENCY' when floor(delta_pct * 1e9 + 0.5) / 1e9 <= 80 then 'UNRESOLVED_INCONSISTENCY' else 'VERIFIED_MISMATCH' end as now from g2),
+a as (select session_id, class, now, case when class <> now then 'reclassified' when severity <> case when now = 'VERIFIED_CONSISTENT' then 0.0 else floor(raw2 * 10 + 0.5) / 10 end then 'rescored' end as change from h2)
+select session_id, change, class as before_class, now as after_class, count(*) as n from a where change is not null group by all
 """
 
 

@@ -340,7 +340,7 @@ c as (select *, case when gap <= 2 then 'VERIFIED_CONSISTENT' when gap <= 4 then
 s as (select *, case when class = 'VERIFIED_CONSISTENT' then 0.0 else floor(least(raw, 100) * 10 + 0.5) / 10 end as severity from c)
 select session_id, 'revenue' as metric_key, 'M' || lpad(cast(m as varchar), 2, '0') || '-FY' || cast(fy as varchar) || '-' || lpad(cast((fy + 1) % 100 as varchar), 2, '0') as period_key, class as classification,
   case when class = 'VERIFIED_CONSISTENT' then 'NONE' when raw >= 30 then 'CRITICAL' when raw >= 18 then 'HIGH' when raw >= 9 then 'MEDIUM' else 'MINOR' end as severity_band,
-  case class when 'VERIFIED_MISMATCH' then 'VM' when 'UNRESOLVED_INCONSISTENCY' then 'UI' else 'OK' end || '-R1-' || lpad(cast(row_number() over (partition by session_id, class order by severity desc, ordinal) as varchar), 3, '0') as ref_code, cast(2 as bigint) as docs
+  'REV-R1-' || lpad(cast(row_number() over (partition by session_id order by severity desc, ordinal) as varchar), 3, '0') as ref_code, cast(2 as bigint) as docs
 from s
 """
 

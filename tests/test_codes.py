@@ -12,7 +12,7 @@ def test_findings_past_the_width(spark):
         F.lit("r").alias("rule_id"), F.lit("revenue").alias("metric_key"), F.lit("p").alias("period_key"), F.col("id").cast("string").alias("node_key"), F.lit("d").alias("document_id"), F.lit("FAIL").alias("result"),
     )
     got = {r.ordinal: r.ref_code for r in coded(found).collect()}
-    assert got == {i: f"VM-R1-{i + 1:03d}" for i in range(1012)}
+    assert got == {i: f"REV-R1-{i + 1:03d}" for i in range(1012)}
 
 
 def test_bucket_past_the_width(spark, tmp_path):

@@ -33,7 +33,7 @@ def test_every_problem_is_told(all_checked):
     assert r2.words["expression"] == "revenue - cogs = gross_profit"
     assert r2.words["substituted"] == "Rs 5,20,00,000 - Rs 3,10,00,000 = Rs 2,10,00,000   [document states Rs 2,40,00,000]"
     assert (r2.words["culprit"], r2.figures["culprit_needs"]) == ("revenue", 55e6)
-    assert "7 percentage points short of 100%" in told["shares", "R7.ownership_sum"].narrative.replace("6 percentage points", "7 percentage points")
+    assert "6 percentage points short of 100%" in told["shares", "R7.ownership_sum"].narrative
     assert told["year", "R3.month_to_fy"].figures["components"] == 12
     assert "[converted using USD_INR @ 83.2]" in told["dollars", "R1.cross_source.revenue"].narrative
 
@@ -61,10 +61,10 @@ def test_adjudicate_in_order(observed, rates):  # noqa: F811
     one = observed.where("session_id = 'deck_vs_auditor'")
     before = verify(one, rates)
     o = adjudicate.Override
-    out = adjudicate.adjudicate(one, rates, [o("tolerance", metric_key="revenue"), o("authoritative_source", document_id="A"), o("accept_explanation", "deck_vs_auditor", finding_ref="UI-R1-001", note="old deck"), o("other")])
+    out = adjudicate.adjudicate(one, rates, [o("tolerance", metric_key="revenue"), o("authoritative_source", document_id="A"), o("accept_explanation", "deck_vs_auditor", finding_ref="REV-R1-001", note="old deck"), o("other")])
     assert [t.startswith("ignored") for _, t in out.trail] == [True, False, False, True]
     got = {r.ref_code: r for r in out.findings.collect()}
-    assert got["UI-R1-001"].accepted and got["UI-R1-001"].severity == 0 and got["UI-R1-001"].original_severity > 0 and got["UI-R1-001"].note == "old deck"
+    assert got["REV-R1-001"].accepted and got["REV-R1-001"].severity == 0 and got["REV-R1-001"].original_severity > 0 and got["REV-R1-001"].note == "old deck"
     moved = adjudicate.score_diff(readiness(*before), out.score).first()
     assert moved.after_score >= moved.before_score
     assert one.where("document_id = 'D'").first().conf_value == 1.0
@@ -76,8 +76,8 @@ def test_rates_override(observed, rates):  # noqa: F811
     assert out.findings.where("rule_id = 'R1.cross_source.revenue'").first().classification == "VERIFIED_CONSISTENT"
 
 
-def test_evidence(observed, all_checked):  # noqa: F811
-    e = evidence(all_checked[1], observed).where("session_id = 'deck_vs_auditor'").collect()
+def test_evidence(observed, rates, all_checked):  # noqa: F811
+    e = evidence(all_checked[1], observed, rates).where("session_id = 'deck_vs_auditor'").collect()
     assert {(r.filename, r.value_base, r.quote) for r in e} >= {("D.pdf", 52e6, "q"), ("A.pdf", 32e6, "q")}
 
 
@@ -109,7 +109,7 @@ def test_sinks(spark, all_checked, observed, tmp_path):  # noqa: F811
     sinks.csv_report(out, "identity", reports, f, observed)
     rows = list(csv.reader(io.StringIO(out.getvalue().removeprefix("﻿"))))
     assert out.getvalue()[0] == "﻿" and ["FINDINGS"] in rows and ["EXTRACTED FIGURES"] in rows
-    assert any(r and r[0].startswith("VM-R2-") for r in rows)
+    assert any(r and r[0].startswith("GP-R2-") for r in rows)
     assert not serving.stale(reports).where("stale").count()
 
 
