@@ -21,7 +21,6 @@ from attest.plans.rulepack import PILLAR_NAMES, looked_up, unit_of
 MOST_QUESTIONS = 12
 # Words that don't tell two questions apart.
 FILLERS = ("the", "a", "an", "your", "of", "for", "in", "and", "is", "are", "can", "you", "please", "provide", "which", "what")
-_AND = " and "
 
 
 def label_of(metric: Column) -> Column:
@@ -34,12 +33,8 @@ def _say(*parts: Column | str) -> Column:
     return F.concat_ws("", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _first_currency() -> Column:
-    return F.coalesce(F.get(currencies(F.col("obs")), 0), F.lit("INR"))
-
-
 def _money(value: Column) -> Column:
-    return F.when(value.isNull(), "an unstated figure").otherwise(figure_text(value, F.coalesce(unit_of(F.col("metric_key")), F.lit("currency")), F.lit("INR")))
+    return F.when(value.isNotNull(), figure_text(value, F.coalesce(unit_of(F.col("metric_key")), F.lit("currency")), F.lit("INR")))
 
 
 def _figure(name: str) -> Column:
@@ -61,93 +56,145 @@ def _by_value(last: bool) -> Column:
     return F.array_min(ranked) if last else F.array_max(ranked)
 
 
-def narrative() -> Column:
-    """One to three sentences on what was found."""
-    metric, period, ok = label_of(F.col("metric_key")), human_period(F.col("period_key")), F.col("classification") == "VERIFIED_CONSISTENT"
-    rule, gap, files = F.col("rule_class"), percent_text(F.col("delta_pct")), F.array_join(_files(), _AND)
-    count = F.size(_files()).cast("string")
-    tolerance = F.coalesce(F.when(F.col("tolerance_abs").isNotNull(), points_text(F.col("tolerance_abs"))), percent_text(F.col("tolerance_pct")))
-    high, low = _by_value(False), _by_value(True)
-
-    same = F.when(F.col("delta_pct") > 0.05, _say(metric, " for ", period, " differs by ", gap, " across ", count, " documents (", files, "), within the tolerance of ", tolerance, "; treated as consistent.")).otherwise(
-        _say(metric, " for ", period, " agrees across ", count, " documents (", files, ").")
-    )
-    alone = F.when((F.col("dissenting") == 1) & (F.col("docs") > 2), " Only one document disagrees, which points to an outdated figure.")
-    flatters = F.when(F.col("direction") > 1, " The less authoritative document has the more favourable figure.")
-    fx = F.when(_word("fx").isNotNull(), _say(" ", _word("fx")))
-    r1 = F.when(ok, same).otherwise(_say(high["filename"], " states ", metric, " for ", period, " as ", _money(high["value"]), ", while ", low["filename"], " states ", _money(low["value"]), ", a difference of ", gap, ".", flatters, alone, fx))
-
-    within = F.col("document_id").isNotNull()
-    culprit = F.when(_word("culprit").isNotNull(), _say(" If the other figures are right, ", label_of(_word("culprit")), " would have to be ", figure_text(_figure("culprit_needs"), unit_of(_word("culprit")), F.lit("INR")), "."))
-    r2 = F.when(ok, _say(metric, " for ", period, " reconciles: ", _word("expression"), ".")).otherwise(
-        _say("The figures ", F.when(within, _say("within ", files, " alone")).otherwise(_say("across ", files)), " do not reconcile for ", period, ". ", _word("expression"), " gives ", _money(F.col("computed")), ", but ", _money(F.col("stated")), " is stated, a difference of ", gap, ".", F.when(within, " The document contradicts itself."), culprit)
+#: What a finding is about, as a code: the first that holds. Every text below hangs on these codes.
+def topic() -> Column:
+    ok, rule = F.col("classification") == "VERIFIED_CONSISTENT", F.col("rule_id")
+    cases = (
+        ("rates_missing", F.col("blocked_reason") == "currency_mismatch"),
+        ("holders_missing", rule == "R7.incomplete"),
+        ("not_comparable", F.col("blocked_reason").isNotNull()),
+        ("documents_agree", (F.col("rule_class") == "R1") & ok),
+        ("documents_differ", F.col("rule_class") == "R1"),
+        ("equation_holds", (F.col("rule_class") == "R2") & ok),
+        ("equation_fails", F.col("rule_class") == "R2"),
+        ("parts_match", (F.col("rule_class") == "R3") & ok),
+        ("parts_miss", F.col("rule_class") == "R3"),
+        ("margin_jumps", F.col("detail") == "margin_step"),
+        ("burn_falls", rule == "R4.burn"),
+        ("growth_jumps", F.col("rule_class") == "R4"),
+        ("derivable", (F.col("rule_class") == "R5") & _word("derivation").isNotNull()),
+        ("deck_only", F.col("rule_class") == "R5"),
+        ("out_of_band", F.col("rule_class") == "R6"),
+        ("stake_agrees", (rule == "R7.new_investor") & ok),
+        ("stake_differs", rule == "R7.new_investor"),
+        ("pool_agrees", (rule == "R7.esop_pool") & ok),
+        ("pool_differs", rule == "R7.esop_pool"),
+        ("shares_complete", ok),
     )
-    grain = F.when(_word("grain") == "month", "monthly").otherwise("quarterly")
-    parts = _say("The ", plain_number(_figure("components"), 0), " ", grain, " ", metric, " figures")
-    near = F.when(_word("culprit_period").isNotNull(), _say(" ", human_period(_word("culprit_period")), " comes closest to the gap, so the error most likely sits there."))
-    r3 = F.when(ok, _say(parts, " add up to the total stated for ", period, ".")).otherwise(_say(parts, " add up to ", _money(F.col("computed")), ", but the total stated for ", period, " is ", _money(F.col("stated")), ", a difference of ", gap, ".", near))
-
-    implied, trailing = percent_text(_figure("implied"), 1), percent_text(_figure("trailing"), 1)
-    r4 = (
-        F.when(F.col("detail") == "margin_step", _say(metric, " is projected to reach ", percent_text(_figure("projected"), 1), " in ", period, ", against ", percent_text(_figure("best"), 1), " at best so far, a step of ", points_text(_figure("step"), 1), ". This is an assumption, not an error."))
-        .when(F.col("rule_id") == "R4.burn", _say("Burn is projected to fall by ", percent_text(_figure("drop"), 1), " in ", period, ", but ", F.when(F.col("detail") == "headcount_unknown", "the documents don't tell whether headcount falls").otherwise("headcount does not fall"), "."))
-        .when(F.col("detail") == "reversal_from_decline_to_growth", _say(metric, " declined so far, but is projected to grow ", implied, " in ", period, "."))
-        .when(F.col("detail") == "no_trend", _say(metric, " is projected to grow ", implied, " in ", period, "; there is too little history to judge that."))
-        .otherwise(_say(metric, " grew about ", trailing, " a year so far, but is projected to grow ", implied, " in ", period, ", about ", plain_number(_figure("ratio"), 1), " times as much. This is an assumption, not an error."))
-    )
-    claimed, searched = F.array_join(_files(), ", "), _figure("searched")
-    r5 = F.when(_word("derivation").isNotNull(), _say(claimed, " states ", metric, " for ", period, "; no other document does, but it follows from others (", _word("derivation"), ").")).otherwise(
-        _say(claimed, " states ", metric, " for ", period, ", but no supporting figure is in ", F.when(searched > 0, _say("any of the ", plain_number(searched, 0), " other documents")).otherwise("any other document"), ".")
-    )
-    derived = F.col("rule_id").startswith("R6.derived")
-    r6 = _say(metric, " for ", period, F.when(derived, " works out to ").otherwise(" is stated as "), _money(F.col("stated")), ", outside its plausible range.", F.when(_word("cause").isNotNull(), _say(" ", _word("cause"))))
-
-    held = _say("The ", plain_number(_figure("holders"), 0), " shareholdings for ", period, " total ", percent_text(F.col("stated")))
-    r7 = (
-        F.when(F.col("rule_id") == "R7.new_investor", F.when(ok, _say("The new investor's stake of ", percent_text(F.col("stated")), " matches the round.")).otherwise(_say("The cap table gives the new investor ", percent_text(F.col("stated")), ", but a raise of ", figure_text(_figure("round_size"), F.lit("currency"), F.lit("INR")), " at a post-money valuation of ", figure_text(_figure("post_money"), F.lit("currency"), F.lit("INR")), " implies ", percent_text(F.col("computed")), ".")))
-        .when(F.col("rule_id") == "R7.esop_pool", F.when(ok, F.lit("The stated option pool matches the cap table.")).otherwise(_say("The option pool is stated as ", percent_text(F.col("stated")), " but is ", percent_text(F.col("computed")), " in the cap table.")))
-        .when(ok, _say(held, ", as expected."))
-        .otherwise(_say(held, ", ", points_text(F.abs("delta_abs")), F.when(F.col("delta_abs") > 0, " over").otherwise(" short of"), " 100%."))
-    )
-    incomplete = _say(held, ", ", points_text(F.abs("delta_abs")), " short of 100%. Most likely not every shareholder was read.")
-    stated_in = F.array_join(F.array_sort(currencies(F.col("obs"))), _AND)
-    blocked = F.when(F.col("rule_id") == "R7.incomplete", incomplete).when(F.col("blocked_reason") == "currency_mismatch", _say(metric, " for ", period, " is stated in currencies that could not be converted (", stated_in, "); with a rate the comparison will run.")).otherwise(
-        _say(metric, " for ", period, " could not be verified (", F.col("blocked_reason"), "); it stays unresolved.")
+    return reduce(lambda c, x: c.when(x[1], x[0]), cases[1:], F.when(cases[0][1], cases[0][0])).otherwise("shares_off")
+
+
+#: A heading for each topic, and what to ask for; topics without a request are confirmations.
+HEADINGS = {
+    "rates_missing": ("Currencies without a rate", "Name the currency of each figure and the rate to use."),
+    "holders_missing": ("Shareholder list too short", "Send every shareholder with their share."),
+    "not_comparable": ("Not comparable", "Restate the figures so that they can be compared."),
+    "documents_agree": ("Documents agree", None),
+    "documents_differ": ("Documents differ", "Say which figure holds, and why the other one departs from it."),
+    "equation_holds": ("Equation holds", None),
+    "equation_fails": ("Equation fails", "Correct one of the figures, or show what is left out of the equation."),
+    "parts_match": ("Periods add up", None),
+    "parts_miss": ("Periods do not add up", "Correct the total or the period that is wrong."),
+    "margin_jumps": ("Margin assumption", "Give the basis of the projected margin."),
+    "burn_falls": ("Burn assumption", "List the costs that will go."),
+    "growth_jumps": ("Growth assumption", "Give the basis of the projected growth."),
+    "derivable": ("Derived, not stated", "Confirm the derivation with its working."),
+    "deck_only": ("Claim without support", "Send a document that supports the claim."),
+    "out_of_band": ("Outside its band", "Check the unit, and send the right figure."),
+    "stake_agrees": ("Stake matches the round", None),
+    "stake_differs": ("Stake and round differ", "Settle the stake, or the terms of the round."),
+    "pool_agrees": ("Option pool matches", None),
+    "pool_differs": ("Option pool differs", "Settle the size of the option pool."),
+    "shares_complete": ("Shares are complete", None),
+    "shares_off": ("Shares do not make 100%", "Send a cap table that is complete."),
+}
+
+
+def statements() -> Column:
+    """What is known of a finding: array<struct<name, value>>, those that don't apply left out.
+
+    The names are the same for all topics, so a reader finds the same thing at the same name.
+    """
+    rule, differ = F.col("rule_class"), F.col("topic") == "documents_differ"
+    points = F.col("tolerance_abs").isNotNull()
+    high, low = _by_value(False), _by_value(True)
+    place = lambda d: _say(d["filename"], " ", _money(d["value"]))
+    some = lambda v, text: F.when(v.isNotNull(), text)
+    percent = lambda name: some(_figure(name), percent_text(_figure(name), 1))
+    rupees = lambda name: some(_figure(name), figure_text(_figure(name), F.lit("currency"), F.lit("INR")))
+    when = lambda test, value: F.when(test, value)
+    assumed = rule == "R4"
+    rows = (
+        ("documents", when(~differ, F.array_join(_files(), ", "))),
+        ("highest", when(differ, place(high))),
+        ("lowest", when(differ, place(low))),
+        ("equation", when(rule == "R2", _word("expression"))),
+        ("parts", when(rule == "R3", _say(plain_number(_figure("components"), 0), " ", _word("grain"), "s"))),
+        ("holders", when(rule == "R7", plain_number(_figure("holders"), 0))),
+        ("stated", when(~rule.isin("R1", "R4", "R7"), _money(F.col("stated")))),
+        ("computed", when(rule.isin("R2", "R3"), _money(F.col("computed")))),
+        ("share", when((rule == "R7") & F.col("stated").isNotNull(), percent_text(F.col("stated")))),
+        ("expected share", when((rule == "R7") & F.col("computed").isNotNull(), percent_text(F.col("computed")))),
+        ("raised", when(rule == "R7", rupees("round_size"))),
+        ("valuation", when(rule == "R7", rupees("post_money"))),
+        ("bound", when(rule == "R6", _money(F.col("computed")))),
+        ("projected", when(assumed, percent("projected"))),
+        ("best so far", when(assumed, percent("best"))),
+        ("growth", when(assumed, percent("implied"))),
+        ("growth before", when(assumed, percent("trailing"))),
+        ("times", when(assumed, plain_number(_figure("ratio"), 1))),
+        ("fall", when(assumed, percent("drop"))),
+        ("gap", when(rule.isin("R1", "R2", "R3", "R6"), F.coalesce(some(F.col("delta_pct"), percent_text(F.col("delta_pct"))), points_text(F.abs("delta_abs"))))),
+        ("gap in points", when(rule == "R7", points_text(F.abs("delta_abs")))),
+        ("tolerance", when(rule.isin("R1", "R2", "R3", "R7"), F.when(points, points_text(F.col("tolerance_abs"))).otherwise(some(F.col("tolerance_pct"), percent_text(F.col("tolerance_pct")))))),
+        ("currencies", when(F.col("topic") == "rates_missing", F.array_join(F.array_sort(currencies(F.col("obs"))), ", "))),
+        ("reason", when(F.col("topic") == "not_comparable", F.replace("blocked_reason", F.lit("_"), F.lit(" ")))),
+        ("would close the gap", when(_word("culprit").isNotNull(), _say(label_of(_word("culprit")), " ", figure_text(_figure("culprit_needs"), unit_of(_word("culprit")), F.lit("INR"))))),
+        ("nearest period", when(rule == "R3", human_period(_word("culprit_period")))),
+        ("derivation", when(rule == "R5", _word("derivation"))),
+        ("searched", when(F.col("topic") == "deck_only", _word("searched"))),
+        ("hint", when(rule == "R6", _word("cause"))),
+        ("headcount", when(F.col("topic") == "burn_falls", F.replace("detail", F.lit("_"), F.lit(" ")))),
+        ("lean", when(differ & (F.col("direction") > 1), F.lit("the less authoritative figure flatters"))),
+        ("dissent", when(differ & (F.col("dissenting") == 1) & (F.col("docs") > 2), F.lit("one document alone"))),
+        ("rates", when(differ, _word("fx"))),
     )
-    by_rule = reduce(lambda c, x: c.when(rule == x[0], x[1]), (("R2", r2), ("R3", r3), ("R4", r4), ("R5", r5), ("R6", r6), ("R7", r7)), F.when(rule == "R1", r1))
-    return F.when(F.col("blocked_reason").isNotNull(), blocked).otherwise(by_rule)
+    named = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in rows])
+    return F.filter(named, lambda x: x["value"].isNotNull() & (x["value"] != ""))
+
+
+def _heading(i: int) -> Column:
+    return looked_up(F.col("topic"), {k: v[i] for k, v in HEADINGS.items() if v[i]}, "string")
+
+
+def _about() -> Column:
+    return _say(label_of(F.col("metric_key")), ", ", human_period(F.col("period_key")))
+
+
+def narrative() -> Column:
+    """The heading, what it is about, and the statements by name."""
+    listed = F.array_join(F.transform("statements", lambda x: F.concat(x["name"], F.lit(": "), x["value"])), "; ")
+    return _say(_heading(0), " (", _about(), "). ", listed, ".")
 
 
 def question() -> Column:
-    """The question that the finding raises, with its figures; confirmations raise none."""
-    metric, period = label_of(F.col("metric_key")), human_period(F.col("period_key"))
-    high, low = _by_value(False), _by_value(True)
-    files = F.array_join(_files(), _AND)
-    stated, computed = _money(F.col("stated")), _money(F.col("computed"))
-    growth = _say("Your projections assume that ", metric, " grows ", percent_text(_figure("implied"), 1), " in ", period, ", against about ", percent_text(_figure("trailing"), 1), " a year before. What drives that?")
-    asked = {
-        "R1": F.when(F.size("obs") < 2, _say("Can you confirm the ", metric, " figure for ", period, "?")).otherwise(_say("Your ", high["filename"], " reports ", metric, " for ", period, " as ", _money(high["value"]), ", while ", low["filename"], " reports ", _money(low["value"]), ". Which is correct, and what explains the difference?")),
-        "R2": _say("In ", files, ", ", _word("expression"), " does not hold for ", period, ": the figures give ", computed, " but ", stated, " is stated. Can you reconcile them?"),
-        "R3": _say("Your ", F.when(_word("grain") == "month", "monthly ").otherwise("quarterly "), metric, " figures sum to ", computed, ", but the total for ", period, " is stated as ", stated, ". Which is correct?"),
-        "R4": F.when(F.col("detail") == "margin_step", _say("What supports ", metric, " improving to ", percent_text(_figure("projected"), 1), " in ", period, ", given ", percent_text(_figure("best"), 1), " at best so far?")).when(F.col("rule_id") == "R4.burn", _say("Your projections show burn falling by ", percent_text(_figure("drop"), 1), " in ", period, ". Which costs are cut?")).otherwise(growth),
-        "R5": F.when(_word("derivation").isNotNull(), _say("Can you confirm that the ", metric, " figure of ", stated, " for ", period, " is derived as ", _word("derivation"), ", and share the working?")).otherwise(_say("Can you share what supports the ", metric, " figure of ", stated, " for ", period, " in ", F.array_join(_files(), ", "), "?")),
-        "R6": _say(metric, " for ", period, " appears as ", stated, ", outside its possible range. What are the units and the correct figure?"),
-        "R7": F.when(F.col("rule_id") == "R7.incomplete", _say("Can you share the complete list of shareholders for ", period, "? The rows found total ", percent_text(F.col("stated")), ".")).when(F.col("rule_id") == "R7.new_investor", _say("The cap table shows the new investor at ", percent_text(F.col("stated")), ", but the round implies ", percent_text(F.col("computed")), ". Which is correct?")).when(F.col("rule_id") == "R7.esop_pool", _say("Is the option pool ", percent_text(F.col("stated")), " or ", percent_text(F.col("computed")), "?")).otherwise(_say("Can you share a cap table for ", period, " that totals 100%?")),
-    }
-    by_rule = reduce(lambda c, x: c.when(F.col("rule_class") == x[0], x[1]), list(asked.items())[1:], F.when(F.col("rule_class") == "R1", asked["R1"]))
-    currency = _say("In which currency are the ", metric, " figures for ", period, ", and which rate should compare them?")
-    return F.when(F.col("classification") == "VERIFIED_CONSISTENT", None).when(F.col("blocked_reason") == "currency_mismatch", currency).otherwise(by_rule)
+    """What to ask for, with the figures in question; confirmations ask for nothing."""
+    said = F.filter("statements", lambda x: x["name"].isin("documents", "highest", "lowest", "equation", "stated", "computed", "share", "expected share", "growth", "projected", "fall", "currencies", "derivation"))
+    listed = F.array_join(F.transform(said, lambda x: F.concat(x["name"], F.lit(" "), x["value"])), ", ")
+    return F.when(_heading(1).isNotNull(), _say(_about(), ": ", _heading(1), " (", listed, ")"))
 
 
 def explained(f: DataFrame) -> DataFrame:
-    """Findings with narrative, its source, and follow_up_question."""
-    return f.withColumns({"narrative": narrative(), "narrative_source": F.lit("template"), "follow_up_question": question()})
+    """Findings with topic, statements, narrative, its source, and follow_up_question."""
+    told = f.withColumn("topic", topic()).withColumn("statements", statements())
+    return told.withColumns({"narrative": narrative(), "narrative_source": F.lit("template"), "follow_up_question": question()})
 
 
 def normalised_question(text: Column) -> Column:
-    """A question without case, marks and filler words, so that rewordings compare equal."""
-    bare = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, rf"\b({'|'.join(FILLERS)})\b", ""), r"\s+", " "))
+    """A question's telling words in order, without case and marks, so that rewordings compare equal."""
+    letters = F.translate(F.lower(text), "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()), "")
+    words = F.split(F.translate(letters, "\t\n\r", "   "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*FILLERS)), " ")
 
 
 def questions(f: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
@@ -159,27 +206,21 @@ def questions(f: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
     return ranked.where(F.col("priority") <= most).select("session_id", "priority", F.col("follow_up_question").alias("question"), "ref_code", "classification", "severity_band", "severity", "metric_key")
 
 
-def _plural(n: Column, one: str, many: str) -> Column:
-    return F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many}")))
-
-
 def summaries(n: DataFrame, f: DataFrame) -> DataFrame:
-    """(session_id, summary): three to five sentences on each session."""
-    seen = n.select("session_id", "node_key", "docs", F.explode(F.transform("obs", lambda o: o["document_category"])).alias("kind"))
-    cover = seen.groupBy("session_id").agg(F.count_distinct("kind").alias("kinds")).join(n.groupBy("session_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("docs") >= 2).alias("checked")), "session_id")
+    """(session_id, summary): counts by class, how far figures are covered, the weakest pillar and the cap of the score."""
+    kinds = n.select("session_id", F.explode(F.transform("obs", lambda o: o["document_category"])).alias("kind")).groupBy("session_id").agg(F.count_distinct("kind").alias("kinds"))
+    cover = n.groupBy("session_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("docs") >= 2).alias("checked")).join(kinds, "session_id")
     bad = f.where("classification <> 'VERIFIED_CONSISTENT'")
-    counts = bad.groupBy("session_id").agg(*[F.count_if(F.col("classification") == k).alias(k) for k in CLASSES[:4]], F.min_by("ref_code", F.struct((-F.col("severity")).alias("s"), "ref_code")).alias("worst"))
+    counts = bad.groupBy("session_id", "classification").agg(F.count(F.lit(1)).alias("n")).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("classification", "n"))).alias("counts"))
+    worst = bad.groupBy("session_id").agg(F.min_by("ref_code", F.struct((-F.col("severity")).alias("s"), "ref_code")).alias("worst"))
     weak = pillars(n, f).where("applicable").groupBy("session_id").agg(F.min(F.struct("pillar_score", F.lit(0).alias("i"), "pillar")).alias("weak"))
-    s = cover.join(counts, "session_id", "left").join(weak, "session_id", "left").join(readiness(n, f), "session_id")
-    found = F.array_join(F.array_compact(F.array(
-        _plural(F.col("VERIFIED_MISMATCH"), "confirmed mismatch", "confirmed mismatches"), _plural(F.col("MISSING_INFORMATION"), "unsupported or missing item", "unsupported or missing items"),
-        _plural(F.col("UNUSUAL_ASSUMPTION_CHANGE"), "unusual assumption", "unusual assumptions"), _plural(F.col("UNRESOLVED_INCONSISTENCY"), "item that could not be verified", "items that could not be verified"),
-    )), ", ")
-    weakest = F.when(F.col("worst").isNotNull() & F.col("weak").isNotNull(), _say("The weakest area is ", F.lower(looked_up(F.col("weak.pillar"), PILLAR_NAMES, "string")), " (", plain_number(F.col("weak.pillar_score"), 1), "/100), chiefly by ", F.col("worst"), "."))
-    capped = F.when(F.col("base_score") > F.col("ceiling"), _say("The score is capped at ", plain_number(F.col("ceiling"), 1), ", as only ", F.col("checked").cast("string"), " of ", F.col("nodes").cast("string"), " figures could be corroborated; more documents would raise it."))
-    first = _say("Across ", F.col("kinds").cast("string"), " document types, ", F.col("nodes").cast("string"), " figures were examined and ", F.col("checked").cast("string"), " could be checked against a second document.")
-    second = F.when(F.col("worst").isNull(), "No inconsistencies were found.").otherwise(_say("The review found ", found, "."))
-    return s.select("session_id", F.concat_ws(" ", first, second, weakest, capped).alias("summary"))
+    s = cover.join(counts, "session_id", "left").join(worst, "session_id", "left").join(weak, "session_id", "left").join(readiness(n, f), "session_id")
+    each = [F.when(F.col("counts")[k].isNotNull(), _say(F.lower(F.replace(F.lit(k), F.lit("_"), F.lit(" "))), ": ", F.col("counts")[k].cast("string"))) for k in CLASSES[:4]]
+    found = F.when(F.col("worst").isNull(), "No problem found.").otherwise(_say("Problems: ", F.concat_ws(", ", *each), "; worst ", F.col("worst"), "."))
+    covered = _say("Figures: ", F.col("nodes").cast("string"), " from ", F.col("kinds").cast("string"), " kinds of documents, ", F.col("checked").cast("string"), " in two or more.")
+    weakest = F.when(F.col("worst").isNotNull() & F.col("weak").isNotNull(), _say("Weakest pillar: ", looked_up(F.col("weak.pillar"), PILLAR_NAMES, "string"), " at ", plain_number(F.col("weak.pillar_score"), 1), "."))
+    capped = F.when(F.col("base_score") > F.col("ceiling"), _say("Coverage caps the score at ", plain_number(F.col("ceiling"), 1), "."))
+    return s.select("session_id", F.concat_ws(" ", found, covered, weakest, capped).alias("summary"))
 
 
 def narrated(f: DataFrame, texts: DataFrame) -> DataFrame:

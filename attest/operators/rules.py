@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attest.functions.text import figure_text, plain_number
+from attest.functions.text import figure_text, plain_number, rounded
 from attest.operators.facts import currencies, unique_nodes
 from attest.plans.rulepack import BANDS, DECK, FLOWS, GROWTH_METRICS, MARGIN_METRICS, NEW_INVESTOR, OPTION_POOL, RulePack, looked_up, unit_of
 
@@ -331,15 +331,10 @@ def documents_searched(n: DataFrame) -> DataFrame:
 
 def likely_cause(metric: Column, value: Column) -> Column:
     """A hint at how a figure may have come to lie outside its band, null without one."""
-    unit = unit_of(metric)
-    return (
-        F.when((unit == "pct") & (value > 100) & (value <= 10000), "A share may have been multiplied by 100 twice, or a ratio given as a percentage.")
-        .when((unit == "pct") & (value > 10000), "An absolute amount may stand in a percentage field.")
-        .when((unit == "pct") & (value < 0), "A bracketed accounting figure may have been read as a minus.")
-        .when((unit == "count") & (value < 0), "A count can't be negative; a bracketed figure may have been read as a minus.")
-        .when(metric == "ltv_cac_ratio", "The two values may be of different periods or in different units.")
-        .when(metric == "cash_runway", "Months may have been computed from a year's burn.")
-    )
+    unit, negative = unit_of(metric), value < 0
+    share = F.when(negative, "sign of a bracketed figure").when(value > 10000, "amount in place of a percentage").when(value > 100, "percentage scaled twice")
+    hints = ((unit == "pct", share), ((unit == "count") & negative, F.lit("sign of a bracketed figure")), (metric == "ltv_cac_ratio", F.lit("periods or units of the two values")), (metric == "cash_runway", F.lit("yearly burn taken for monthly")))
+    return F.coalesce(*[F.when(test, hint) for test, hint in hints])
 
 
 def _breach(value: Column, metric: Column) -> tuple[Column, Column, Column]:
@@ -415,13 +410,13 @@ def cap_table(n: DataFrame, pack: RulePack) -> DataFrame:
     deal = deal.withColumn("computed", F.try_divide("round", "post") * 100).where("computed is not null").withColumn("obs", F.concat("round_obs", "post_obs", "obs"))
     stake = _rows(
         deal, "R7", rule_id=F.lit("R7.new_investor"), stated="consensus", delta_abs=F.col("consensus") - F.col("computed"), delta_pct=gap_pct(F.col("consensus"), F.col("computed")),
-        tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(F.col("consensus") - F.col("computed")) <= pack.ownership_points, "PASS").otherwise("FAIL"),
+        tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(rounded(F.col("consensus") - F.col("computed"), 9)) <= pack.ownership_points, "PASS").otherwise("FAIL"),
         figures=_map("double", round_size=F.col("round"), post_money=F.col("post")),
     )
-    held = holders.where(F.col("subject").rlike("|".join(OPTION_POOL))).groupBy(*at).agg(F.min_by(F.struct("consensus", "obs"), "ordinal").alias("h"), F.max("docs").alias("docs")).join(pool, at)
+    held = holders.where(F.col("subject").rlike("|".join(rf"\b{w}\b" for w in OPTION_POOL))).groupBy(*at).agg(F.min_by(F.struct("consensus", "obs"), "ordinal").alias("h"), F.max("docs").alias("docs")).join(pool, at)
     option = _rows(
         held, "R7", rule_id=F.lit("R7.esop_pool"), metric_key=F.lit("esop_pool"), node_key="pool_key", stated="pool", computed=F.col("h.consensus"), delta_abs=F.col("pool") - F.col("h.consensus"),
-        delta_pct=gap_pct(F.col("pool"), F.col("h.consensus")), tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(F.col("pool") - F.col("h.consensus")) <= pack.ownership_points, "PASS").otherwise("FAIL"),
+        delta_pct=gap_pct(F.col("pool"), F.col("h.consensus")), tolerance_abs=F.lit(pack.ownership_points), result=F.when(F.abs(rounded(F.col("pool") - F.col("h.consensus"), 9)) <= pack.ownership_points, "PASS").otherwise("FAIL"),
         obs=F.concat("pool_obs", F.col("h.obs")), dissenting=F.lit(0), crossed_currency=F.lit(False), ordinal="pool_ordinal",
     )
     return shares.unionByName(stake).unionByName(option)

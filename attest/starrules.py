@@ -428,9 +428,9 @@ def _pct_sql(v: str) -> str:
 
 NARRATIVES = f"""
 with {OBS}, {_FOUND}, t as (select *, case when deck > fs or (deck = fs) then 'deck' else 'fs' end as top, case when deck > fs or (deck = fs) then 'fs' else 'deck' end as bottom from f where class = 'VERIFIED_MISMATCH')
-select session_id, ref_code, top || ' states Revenue for ' || period || ' as ' || {_grouped_sql('high')} || ', while ' || bottom || ' states ' || {_grouped_sql('low')} || ', a difference of ' || {_pct_sql('delta_pct')} || '.'
-    || case when direction > 1 then ' The less authoritative document has the more favourable figure.' else '' end as narrative,
-  'Your ' || top || ' reports Revenue for ' || period || ' as ' || {_grouped_sql('high')} || ', while ' || bottom || ' reports ' || {_grouped_sql('low')} || '. Which is correct, and what explains the difference?' as follow_up_question
+select session_id, ref_code, 'Documents differ (Revenue, ' || period || '). highest: ' || top || ' ' || {_grouped_sql('high')} || '; lowest: ' || bottom || ' ' || {_grouped_sql('low')} || '; gap: ' || {_pct_sql('delta_pct')} || '; tolerance: 2%'
+    || case when direction > 1 then '; lean: the less authoritative figure flatters' else '' end || '.' as narrative,
+  'Revenue, ' || period || ': Say which figure holds, and why the other one departs from it. (highest ' || top || ' ' || {_grouped_sql('high')} || ', lowest ' || bottom || ' ' || {_grouped_sql('low')} || ')' as follow_up_question
 from t
 """
 
