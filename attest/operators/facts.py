@@ -65,7 +65,7 @@ def halfway(rows: DataFrame, keys: Sequence[str], value: str, weight: str) -> Da
     ranges' sums tell which range holds a key's half, and only that range is summed value by value.
     """
     each = rows.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    ranged = once(each.repartitionByRange(*keys, value)).withColumn("part", F.spark_partition_id())
+    ranged = once(each.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "part").agg(F.sum("w").alias("w"))
     of_key = W.partitionBy(*keys)
     run = F.sum("w").over(of_key.orderBy("part"))
@@ -76,24 +76,36 @@ def halfway(rows: DataFrame, keys: Sequence[str], value: str, weight: str) -> Da
     return found.withColumn("run", run).where("2 * run >= whole").groupBy(*keys).agg(F.min(value).alias("half"))
 
 
+_KEPT = ("unit", "granularity", "fy", "quarter", "month", "sort_key")
+#: Distinct values of a node that are folded in one row; nodes of more go over ranges of values.
+MOST_VALUES = 10_000
+
+
 def cells(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
     """Equal statements of a document on a node as one row each, with how many they are; computed once."""
     a = anchored(obs, rates, pack)
-    keys = (*NODE, *_DOCUMENT, "cur", "rate", "value_base", "value_anchor", "blocked")
-    kept = ("unit", "granularity", "fy", "quarter", "month", "sort_key")
+    keys = (*NODE, *_KEPT, *_DOCUMENT, "cur", "rate", "value_base", "value_anchor", "blocked")
     units = F.round(F.greatest("weight", F.lit(0.01)) * _UNITS).cast("long")
-    return once(a.groupBy(*keys).agg(*[F.first(c).alias(c) for c in kept], F.count(F.lit(1)).alias("n"), F.sum(units).alias("units"), F.min("weight").alias("weight"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")))
+    return once(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(units).alias("units"), F.min("weight").alias("weight"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")))
+
+
+def _half(points: Column) -> Column:
+    """The least v of array<struct<v, w>> at which the weights, in order of v, reach half."""
+    ordered = F.array_sort(points)
+    whole = F.aggregate(points, F.lit(0).cast("long"), lambda t, p: t + p["w"])
+    state = F.struct(F.lit(0).cast("long").alias("run"), F.lit(None).cast("double").alias("v"))
+    step = lambda t, p: F.struct((t["run"] + p["w"]).alias("run"), F.coalesce(t["v"], F.when(2 * (t["run"] + p["w"]) >= whole, p["v"])).alias("v"))
+    return F.when(F.size(points) == 1, F.get(points, 0)["v"]).otherwise(F.aggregate(ordered, state, step, lambda t: t["v"]))
 
 
 def statements(c: DataFrame) -> DataFrame:
     """One row for each node and document: what the document says there, whatever often.
 
-    value_base is the lower median of its values; high and low have the ordinal at which they stand.
+    high and low have the ordinal at which they stand; least and most are of the values as they are stated.
     """
-    keys = (*NODE, *_DOCUMENT)
-    kept = ("unit", "granularity", "fy", "quarter", "month", "sort_key")
-    d = c.groupBy(*keys).agg(
-        *[F.first(k).alias(k) for k in kept],
+    known = F.col("value_anchor").isNotNull()
+    return c.groupBy(*NODE, *_DOCUMENT).agg(
+        *[F.first(k).alias(k) for k in _KEPT],
         F.sum("n").alias("n"),
         F.min("weight").alias("weight"),
         F.min("first").alias("ordinal"),
@@ -102,27 +114,39 @@ def statements(c: DataFrame) -> DataFrame:
         F.min_by("value_anchor", "first").alias("first_value"),
         F.max_by("value_anchor", "last").alias("last_value"),
         F.max("last").alias("last"),
-        F.max(F.when(F.col("value_anchor").isNotNull(), F.struct(F.col("value_anchor").alias("v"), (-F.col("first")).alias("at")))).alias("high"),
-        F.min(F.when(F.col("value_anchor").isNotNull(), F.struct(F.col("value_anchor").alias("v"), (-F.col("last")).alias("at")))).alias("low"),
+        F.max(F.when(known, F.struct(F.col("value_anchor").alias("v"), (-F.col("first")).alias("at")))).alias("high"),
+        F.min(F.when(known, F.struct(F.col("value_anchor").alias("v"), (-F.col("last")).alias("at")))).alias("low"),
         F.array_sort(F.collect_set(F.struct("cur", "rate"))).alias("currencies"),  # as many as there are currencies
         F.min(F.when(F.col("blocked").isNotNull(), F.struct("first", "blocked"))).alias("stop"),
     )
-    several = same_keys(c.where("value_base is not null"), d.where("least < most").select(*keys), keys, "left_semi")
-    d = same_keys(d, halfway(several, keys, "value_base", "n"), keys)
-    return d.withColumn("value_base", F.coalesce("half", "least")).drop("half", "least", "most")
 
 
-def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
-    """One row for each node, computed once; observations of a node that can't be converted block it.
+def _entry(mine: Column, node_key: Column, metric: Column) -> Column:
+    """The entry of one document from its cells, which are in order of first."""
+    total = lambda x, f: F.aggregate(x, F.lit(0).cast("long"), lambda t, c: t + c[f])
+    one = F.get(mine, 0)
+    known = F.filter(mine, lambda c: c["v"].isNotNull())
+    last = F.array_max(F.transform(mine, lambda c: F.struct(c["last"].alias("last"), c["v"].alias("v"))))
+    bases = F.transform(F.filter(mine, lambda c: c["b"].isNotNull()), lambda c: F.struct(c["b"].alias("v"), c["n"].alias("w")))
+    fields = {
+        "ordinal": one["first"], **{c: one[c] for c in _DOCUMENT}, "metric_key": metric, "node_key": node_key, "n": total(mine, "n"), "value_base": _half(bases),
+        "weight": F.array_min(F.transform(mine, lambda c: c["weight"])), "currencies": F.array_sort(F.array_distinct(F.transform(mine, lambda c: F.struct(c["cur"].alias("cur"), c["rate"].alias("rate"))))),
+        "first_value": one["v"], "last": last["last"], "last_value": last["v"],
+        "high": F.array_max(F.transform(known, lambda c: F.struct(c["v"].alias("v"), (-c["first"]).alias("at")))), "low": F.array_min(F.transform(known, lambda c: F.struct(c["v"].alias("v"), (-c["last"]).alias("at")))),
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    obs has an entry for each of the node's documents, so a row grows with the documents of a
-    session but not with their observations; evidence() joins those by node and document.
-    """
-    c = cells(obs, rates, pack)
-    d = statements(c).withColumn("node_key", F.concat_ws("|", *NODE[1:]))
+
+def _bound(value: Column, f) -> Column:
+    """f(value), the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _gathered(d: DataFrame) -> DataFrame:
+    """Nodes of statements with value_base, without what their values' distribution tells."""
     said = F.struct("ordinal", *_DOCUMENT, "metric_key", "node_key", "n", "value_base", "weight", "currencies", "first_value", "last", "last_value", "high", "low")
-    g = d.groupBy(*NODE, "node_key").agg(
-        *[F.first(k).alias(k) for k in ("unit", "granularity", "fy", "quarter", "month", "sort_key")],
+    return d.withColumn("node_key", F.concat_ws("|", *NODE[1:])).groupBy(*NODE, "node_key").agg(
+        *[F.first(k).alias(k) for k in _KEPT],
         F.array_sort(F.collect_list(said)).alias("obs"),
         F.sum("n").alias("n_obs"),
         F.min("stop").alias("stop"),
@@ -131,24 +155,76 @@ def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> Data
         F.least(F.lit(1.0), F.min("weight")).alias("confidence"),
         F.min("ordinal").alias("ordinal"),
     )
+
+
+def _spread(g: DataFrame, half: Column, pack: RulePack) -> DataFrame:
+    """Nodes with what follows from their entries and the half of their values."""
     distinct = lambda f: F.size(F.array_compact(F.array_distinct(F.transform("obs", lambda o: o[f])))).cast("long")
-    g = g.withColumns({"blocked_reason": F.col("stop.blocked"), "docs": distinct("document_id"), "categories": distinct("document_category"), "crossed_currency": F.size(currencies(F.col("obs"))) > 1}).drop("stop")
+    g = g.withColumns({"blocked_reason": F.col("stop.blocked"), "docs": distinct("document_id"), "categories": distinct("document_category"), "crossed_currency": F.size(currencies(F.col("obs"))) > 1})
     free = F.col("blocked_reason").isNull()
-    half = halfway(c.where("value_anchor is not null"), NODE, "value_anchor", "units")
-    g = same_keys(g, half, NODE).withColumn("consensus", F.when(free, F.col("half"))).drop("half")
-    g = g.withColumns({"low": F.when(free, F.col("low")), "high": F.when(free, F.col("high"))})
+    g = g.withColumns({"low": F.when(free, F.col("low")), "high": F.when(free, F.col("high"))}).drop("stop")
     tolerance, points = tolerance_of(F.col("metric_key"), F.col("unit"), pack)
-    g = g.withColumns({"spread_abs": F.col("high") - F.col("low"), "tolerance": tolerance, "in_points": points})
+    g = g.withColumns({"consensus": F.when(F.col("blocked_reason").isNull(), half), "spread_abs": F.col("high") - F.col("low"), "tolerance": tolerance, "in_points": points})
     size = F.abs("consensus")
-    g = g.withColumn("spread_pct", F.when(size > 0, F.col("spread_abs") / size * 100).when(F.col("spread_abs") == 0, 0.0))
-    g = once(g)
-
-    gap = F.abs(F.col("value_anchor") - F.col("consensus"))
-    far = F.when(F.col("in_points"), gap > F.col("tolerance")).when(size == 0, gap > 0).otherwise(gap / F.when(size > 0, size) * 100 > F.col("tolerance"))
+    return g.withColumn("spread_pct", F.when(size > 0, F.col("spread_abs") / size * 100).when(F.col("spread_abs") == 0, 0.0))
+
+
+def _far(value: Column) -> Column:
+    """Whether a value of a node of several observations is further from its consensus than tolerated."""
+    gap, size = F.abs(value - F.col("consensus")), F.abs("consensus")
+    return F.when(F.col("in_points"), gap > F.col("tolerance")).when(size == 0, gap > 0).otherwise(gap / F.when(size > 0, size) * 100 > F.col("tolerance"))
+
+
+def _folded(c: DataFrame, pack: RulePack) -> DataFrame:
+    """Nodes of not too many distinct values: those meet in one row, and are folded there."""
+    cell = F.struct("first", *_DOCUMENT, "cur", "rate", F.col("value_anchor").alias("v"), F.col("value_base").alias("b"), "n", F.col("units").alias("w"), "weight", "last", "blocked")
+    g = c.groupBy(*NODE).agg(*[F.first(k).alias(k) for k in _KEPT], F.array_sort(F.collect_list(cell)).alias("cells")).withColumn("node_key", F.concat_ws("|", *NODE[1:]))
+    documents = F.array_distinct(F.transform("cells", lambda x: F.struct(*[x[k].alias(k) for k in _DOCUMENT])))
+    of = lambda d: F.filter("cells", lambda x: F.struct(*[x[k].alias(k) for k in _DOCUMENT]).eqNullSafe(d))
+    obs = F.transform(documents, lambda d: _bound(of(d), lambda mine: _entry(mine, F.col("node_key"), F.col("metric_key"))))
+    known = F.transform(F.filter("cells", lambda x: x["v"].isNotNull()), lambda x: F.struct(x["v"].alias("v"), x["w"].alias("w")))
+    stop = F.array_min(F.transform(F.filter("cells", lambda x: x["blocked"].isNotNull()), lambda x: F.struct(x["first"].alias("first"), x["blocked"].alias("blocked"))))
+    zero = F.lit(0).cast("long")
+    g = g.select(
+        *NODE, "node_key", *_KEPT, "cells", F.array_sort(obs).alias("obs"), F.aggregate("cells", zero, lambda t, x: t + x["n"]).alias("n_obs"), stop.alias("stop"),
+        F.array_min(F.transform("cells", lambda x: x["v"])).alias("low"), F.array_max(F.transform("cells", lambda x: x["v"])).alias("high"),
+        F.least(F.lit(1.0), F.array_min(F.transform("cells", lambda x: x["weight"]))).alias("confidence"), F.get("cells", 0)["first"].alias("ordinal"), _half(known).alias("half"),
+    )
+    g = _spread(g, F.col("half"), pack).drop("half")
+    wide = F.col("consensus").isNotNull() & (F.col("n_obs") > 1) & (F.col("low") < F.col("high"))
+    g = g.withColumn("out", F.when(wide, F.filter("cells", lambda x: _far(x["v"]))))
+    outliers, names = F.aggregate("out", zero, lambda t, x: t + x["n"]), F.size(F.array_distinct(F.transform("out", lambda x: x["filename"]))).cast("long")
+    return g.withColumns({"n_outliers": F.when(wide, outliers).otherwise(zero), "dissenting": F.when(wide, names).otherwise(zero)}).drop("cells", "out")
+
+
+def _ranged(c: DataFrame, pack: RulePack) -> DataFrame:
+    """The same for nodes of any number of distinct values: no row holds them, and no task all of a node's."""
+    keys = (*NODE, *_DOCUMENT)
+    d = statements(c)
+    several = same_keys(c.where("value_base is not null"), d.where("least < most").select(*keys), keys, "left_semi")
+    d = same_keys(d, halfway(several, keys, "value_base", "n"), keys).withColumn("value_base", F.coalesce("half", "least")).drop("half")
+    g = same_keys(_gathered(d), halfway(c.where("value_anchor is not null"), NODE, "value_anchor", "units"), NODE)
+    g = once(_spread(g, F.col("half"), pack).drop("half"))
     wide = g.where("consensus is not null and n_obs > 1 and low < high").select(*NODE, "consensus", "tolerance", "in_points")
-    out = same_keys(c, wide, NODE, "inner").where(far).groupBy(*NODE, "filename").agg(F.sum("n").alias("n"))
+    out = same_keys(c, wide, NODE, "inner").where(_far(F.col("value_anchor"))).groupBy(*NODE, "filename").agg(F.sum("n").alias("n"))
     out = out.groupBy(*NODE).agg(F.sum("n").alias("n_outliers"), F.count(F.lit(1)).alias("dissenting"))
-    return once(same_keys(g, out, NODE).withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("n_outliers", "dissenting")}))
+    return same_keys(g, out, NODE).withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("n_outliers", "dissenting")})
+
+
+def nodes(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack(), most: int = MOST_VALUES) -> DataFrame:
+    """One row for each node, computed once; observations of a node that can't be converted block it.
+
+    obs has an entry for each of the node's documents, so a row grows with the documents of a session but
+    not with their observations; evidence() joins those by node and document. Nodes of more than `most`
+    distinct values, if there are any, are computed over ranges of values; the results are the same.
+    """
+    c = cells(obs, rates, pack)
+    hot = c.groupBy(*NODE).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most).select(*NODE)
+    if hot.isEmpty():
+        return once(_folded(c, pack))
+    hot = once(hot)
+    apart = _folded(same_keys(c, hot, NODE, "left_anti"), pack)
+    return once(apart.unionByName(_ranged(once(same_keys(c, hot, NODE, "left_semi")), pack)))
 
 
 def currencies(obs: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -27,7 +29,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df computed once, as a checkpoint in the folder that spark.checkpoint.dir names.
+    """df computed once: written as a table in the folder that spark.checkpoint.dir names, and read from there.
 
     Where the session names none, a local master gets a temporary folder; elsewhere that is an error.
     """
@@ -38,6 +40,8 @@ def once(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="attest-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
+    path = f"file://{path}" if path.startswith("/") else path
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

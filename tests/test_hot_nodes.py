@@ -57,8 +57,9 @@ def no_rates(spark):
     return spark.createDataFrame([], "session_id string, currency string, rate double")
 
 
-def test_consensus_and_outliers(hot, no_rates):
-    n = {(r.session_id, r.metric_key): r for r in nodes(hot, no_rates).collect()}
+@pytest.mark.parametrize("most", [10_000, 50])
+def test_consensus_and_outliers(hot, no_rates, most):
+    n = {(r.session_id, r.metric_key): r for r in nodes(hot, no_rates, most=most).collect()}
     rows = [r for r in hot.collect() if r.session_id == "s"]
     s = n["s", "revenue"]
     assert s.consensus == plain_median([(r.value_base, r.conf_value) for r in rows])
