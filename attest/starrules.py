@@ -483,17 +483,46 @@ with {OBS}, c as (select * from obs a where granularity = 'fy' and subject = '-'
 select session_id, 'MISSING-CLAIM-' || lpad(cast(row_number() over (partition by session_id order by ordinal) as varchar), 3, '0') as ref_code, metric as metric_key, period as period_key, value, 'MISSING_INFORMATION' as classification from c
 """
 
+def audit(spark, d):
+    """All seven rules at once, over the observations with a seam, and what is left when rules speak of the same cell."""
+    _, f = findings.verify(earlier(spark, d), rates(spark))
+    return f.select("session_id", "rule_id", "metric_key", "period_key", "classification", "pillar")
+
+
+def _seam(sql: str) -> str:
+    return sql.replace("from e),", f"from e where (fy >= {AHEAD} and number = 2) or fy < {AHEAD}),")
+
+
+def _graded(gap: str, tolerance: str) -> str:
+    return f"case when {gap} <= {tolerance} then 'VERIFIED_CONSISTENT' when {gap} <= {tolerance} * 2 then 'UNRESOLVED_INCONSISTENCY' else 'VERIFIED_MISMATCH' end"
+
+
+AUDIT = f"""
+with f as (
+  select session_id, rule_id, 'revenue' as metric_key, period_key, {_graded('delta_pct', 'tolerance_pct')} as classification, 'cross_doc_consistency' as pillar from ({_seam(RULE_CROSS_SOURCE)})
+  union all select session_id, rule_id, 'gross_profit', period_key, {_graded('delta_pct', '0.5')}, 'arithmetic_integrity' from ({_seam(RULE_IDENTITIES)})
+  union all select session_id, rule_id, 'revenue', period_key, {_graded('delta_pct', '0.5')}, 'arithmetic_integrity' from ({_seam(RULE_ROLLUPS)})
+  union all select session_id, rule_id, split_part(rule_id, '.', 3), period_key, 'UNUSUAL_ASSUMPTION_CHANGE', 'projection_credibility' from ({RULE_GROWTH_SEAM})
+  union all select session_id, rule_id, metric_key, period_key, 'MISSING_INFORMATION', 'evidence_coverage' from ({_seam(RULE_COVERAGE)})
+  union all select session_id, rule_id, metric_key, period_key, 'VERIFIED_MISMATCH', 'projection_credibility' from ({_seam(RULE_PLAUSIBILITY)})
+  union all select session_id, rule_id, 'ownership', period_key, case when result = 'BLOCKED' then 'UNRESOLVED_INCONSISTENCY' else {_graded('abs(gap)', '0.1')} end, 'ownership_integrity' from ({_seam(RULE_CAP_TABLE)})
+), g as (
+  select *, bool_or(classification <> 'VERIFIED_CONSISTENT') over (partition by session_id, metric_key, period_key) as problem, bool_or(rule_id like 'R2.%') over (partition by session_id, metric_key, period_key) as stated from f
+)
+select session_id, rule_id, metric_key, period_key, classification, pillar from g where not (problem and classification = 'VERIFIED_CONSISTENT') and not (stated and rule_id like 'R6.derived%')
+"""
+
 QUERIES = {
     "star_nodes": star_nodes, "scale_anchor": scale_anchor, "graph_stats": graph_stats, "unique_nodes": unique_nodes, "rule_cross_source": rule_cross_source, "rule_identities": rule_identities, "rule_rollups": rule_rollups,
     "rule_temporal": rule_temporal, "rule_growth_seam": rule_growth_seam, "rule_coverage": rule_coverage, "rule_plausibility": rule_plausibility, "rule_cap_table": rule_cap_table, "severity_factors": severity_factors,
     "pillar_scores": pillar_scores, "readiness_score": readiness_score, "class_counts": class_counts, "top_findings_per_pillar": top_findings_per_pillar, "adjudicate_tolerance": adjudicate_tolerance,
     "adjudicate_authoritative": adjudicate_authoritative, "adjudicate_accept": adjudicate_accept, "adjudicate_diff": adjudicate_diff, "narratives": narratives, "report_questions": report_questions,
-    "figure_matrix": figure_matrix, "earlier_matrix": earlier_matrix, "earlier_claims": earlier_claims,
+    "figure_matrix": figure_matrix, "earlier_matrix": earlier_matrix, "earlier_claims": earlier_claims, "audit": audit,
 }
 ORACLES = {
     "star_nodes": STAR_NODES, "scale_anchor": SCALE_ANCHOR, "graph_stats": GRAPH_STATS, "unique_nodes": UNIQUE_NODES, "rule_cross_source": RULE_CROSS_SOURCE, "rule_identities": RULE_IDENTITIES, "rule_rollups": RULE_ROLLUPS,
     "rule_temporal": RULE_TEMPORAL, "rule_growth_seam": RULE_GROWTH_SEAM, "rule_coverage": RULE_COVERAGE, "rule_plausibility": RULE_PLAUSIBILITY, "rule_cap_table": RULE_CAP_TABLE, "severity_factors": SEVERITY_FACTORS,
     "pillar_scores": PILLAR_SCORES, "readiness_score": READINESS_SCORE, "class_counts": CLASS_COUNTS, "top_findings_per_pillar": TOP_FINDINGS_PER_PILLAR, "adjudicate_tolerance": ADJUDICATE_TOLERANCE,
     "adjudicate_authoritative": ADJUDICATE_AUTHORITATIVE, "adjudicate_accept": ADJUDICATE_ACCEPT, "adjudicate_diff": ADJUDICATE_DIFF, "narratives": NARRATIVES, "report_questions": REPORT_QUESTIONS,
-    "figure_matrix": FIGURE_MATRIX, "earlier_matrix": EARLIER_MATRIX, "earlier_claims": EARLIER_CLAIMS,
+    "figure_matrix": FIGURE_MATRIX, "earlier_matrix": EARLIER_MATRIX, "earlier_claims": EARLIER_CLAIMS, "audit": AUDIT,
 }
