@@ -28,12 +28,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df computed once: written as a table in the folder that spark.checkpoint.dir names, and read from there.
+def shared(spark: SparkSession) -> str:
+    """A new folder's name in the folder that spark.checkpoint.dir names.
 
     Where the session names none, a local master gets a temporary folder; elsewhere that is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -41,7 +40,12 @@ def once(df: DataFrame) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="attest-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"file://{path}" if path.startswith("/") else path
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df computed once: written as a table in the shared folder, and read from there."""
+    path = shared(df.sparkSession)
     df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
-    path = f"file://{path}" if path.startswith("/") else path
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

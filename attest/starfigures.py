@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from attest.functions.period import fiscal_start, human_period, months_of_quarter, months_of_year, parse_period, quarters_of_year, year_label
 from attest.functions.text import amount_text, figure_text, number_of, percent_text, rounded, scale_of, value_of
 from attest.operators import explain, facts, guards, serving
-from attest.operators.canonicalize import canonical, matched_alias, reconciled, subject_of
+from attest.operators.canonicalize import canonical, matched_alias, matched_labels, reconciled, subject_of
 from attest.plans.rulepack import TOLERANCE_PCT, RulePack
 from attest.sources import sheets
+from attest.sources.intake import intake
+from attest.sources.session import shared
+from attest.tables import SessionTable
 
 
 
@@ -387,13 +390,72 @@ def tolerances(spark, d):
 _NAMES = [*TOLERANCE_PCT, "gross_margin", "depreciation_amortization"]
 TOLERANCES = "with t(i, metric_key, tolerance, in_points) as (values " + ", ".join(f"({i}, '{m}', {TOLERANCE_PCT.get(m, 0.2 if m == 'gross_margin' else 2.0)}::double, {str(m == 'gross_margin').lower()})" for i, m in enumerate(_NAMES)) + f") select metric_key, tolerance, in_points, count(*) as n from part join t on p_partkey % {len(_NAMES)} = i group by all"
 
+def intake_documents(spark, d):
+    """Events as a reader's answers, some missing, cut off or wrapped otherwise: what each document gives."""
+    (e,) = _read(spark, d, "events")
+    k = F.col("event_id") % 7
+    record = F.concat(F.lit('{"raw_label": "'), "event_type", F.lit('", "value": '), F.col("event_id").cast("string"), F.lit(', "nested": '), "props", F.lit(', "company_name": "C'), (F.col("event_id") % 3).cast("string"), F.lit('"}'))
+    answer = (
+        F.when(k == 0, F.lit(None))
+        .when(k == 1, F.concat(F.lit('{"observations": ['), record))
+        .when(k == 2, F.concat(F.lit('{"metrics": ['), record, F.lit(", 5]}")))
+        .when(k == 3, F.concat(F.lit('{"observations": '), record, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"observations": ['), record, F.lit(", "), record, F.lit("]}")))
+    )
+    a = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("document_id"), F.col("event_id").alias("chunk"), answer.alias("answer"))
+    return intake(a).documents.drop("company_name")
+
+
+INTAKE_DOCUMENTS = """
+with a as (select cast(user_id as varchar) as session_id, event_type as document_id, event_id % 7 as k from events)
+select session_id, document_id, count(*) as chunks, count(*) filter (k in (0, 1, 3)) as failed_chunks, cast(sum(case k when 2 then 1 when 4 then 2 when 5 then 2 when 6 then 2 else 0 end) as bigint) as records,
+  count(*) filter (k = 2) as failed_records, count(*) filter (k in (0, 1, 3)) = count(*) as failed from a group by 1, 2
+"""
+
+
+def alias_join(spark, d):
+    """The longest alias of each part's name, from a table of aliases: every word of the names, and pairs of them."""
+    (p,) = _read(spark, d, "part")
+    words = F.split(F.lower("p_name"), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    table = p.where("p_partkey % 10 = 0").select(F.explode(F.array_union(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("alias")).distinct()
+    found = matched_labels(p.select(F.col("p_name").alias("raw_label")), table.select("alias", F.upper("alias").alias("key"), F.crc32(F.col("alias").cast("binary")).alias("place")))
+    return found.groupBy(F.length("alias").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("labels"))
+
+
+ALIAS_JOIN = """
+with w as (select distinct p_name, string_split(lower(p_name), ' ') as w, p_partkey from part),
+t as (select distinct unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as alias from w where p_partkey % 10 = 0),
+h as (select p_name, max(length(alias)) as n from (select distinct p_name from part) join t on contains(' ' || lower(p_name) || ' ', ' ' || alias || ' ') group by 1)
+select cast(n as bigint) as length, count(*) as labels from h group by 1
+"""
+
+
+def session_table(spark, d):
+    """Figures in a table of sessions: written, half of the sessions replaced, one looked up."""
+    (s,) = _read(spark, d, "supplier")
+    rows = s.select(F.col("s_nationkey").cast("string").alias("session_id"), F.col("s_suppkey").alias("figure"), F.lit(1).alias("edition"))
+    t = SessionTable(spark, f"{shared(spark)}/sessions", buckets=16)
+    t.append(rows)
+    t.replace(rows.where("session_id % 2 = 0").withColumn("edition", F.lit(2)))
+    every = t.read().groupBy("session_id", "edition").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("looked_up"))
+    return every.unionByName(t.lookup("4").groupBy("session_id", "edition").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("looked_up")))
+
+
+SESSION_TABLE = """
+with s as (select cast(s_nationkey as varchar) as session_id, cast(case when s_nationkey % 2 = 0 then 2 else 1 end as integer) as edition, count(*) as n from supplier group by 1, 2)
+select *, false as looked_up from s union all select *, true from s where session_id = '4'
+"""
+
 QUERIES = {
+    "intake_documents": intake_documents, "alias_join": alias_join, "session_table": session_table,
     "figures_in_text": figures_in_text, "written_figures": written_figures, "human_periods": human_periods, "parsed_periods": parsed_periods, "alias_longest_match": alias_longest_match, "citation_gate": citation_gate,
     "record_counts": record_counts, "low_extraction": low_extraction, "reconciled_units": reconciled_units, "holder_names": holder_names, "document_kinds": document_kinds, "chunk_documents": chunk_documents,
     "column_letters": column_letters, "cell_texts": cell_texts, "company_mismatch": company_mismatch, "input_gate": input_gate, "question_keys": question_keys, "json_answers": json_answers, "common_values": common_values,
     "earlier_score": earlier_score, "fx_facts": fx_facts, "tolerances": tolerances,
 }
 ORACLES = {
+    "intake_documents": INTAKE_DOCUMENTS, "alias_join": ALIAS_JOIN, "session_table": SESSION_TABLE,
     "figures_in_text": FIGURES_IN_TEXT, "written_figures": WRITTEN_FIGURES, "human_periods": HUMAN_PERIODS, "parsed_periods": PARSED_PERIODS, "alias_longest_match": ALIAS_LONGEST_MATCH, "citation_gate": CITATION_GATE,
     "record_counts": RECORD_COUNTS, "low_extraction": LOW_EXTRACTION, "reconciled_units": RECONCILED_UNITS, "holder_names": HOLDER_NAMES, "document_kinds": DOCUMENT_KINDS, "chunk_documents": CHUNK_DOCUMENTS,
     "column_letters": COLUMN_LETTERS, "cell_texts": CELL_TEXTS, "company_mismatch": COMPANY_MISMATCH, "input_gate": INPUT_GATE, "question_keys": QUESTION_KEYS, "json_answers": JSON_ANSWERS, "common_values": COMMON_VALUES,
