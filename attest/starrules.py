@@ -497,6 +497,37 @@ def _graded(gap: str, tolerance: str) -> str:
     return f"case when {gap} <= {tolerance} then 'VERIFIED_CONSISTENT' when {gap} <= {tolerance} * 2 then 'UNRESOLVED_INCONSISTENCY' else 'VERIFIED_MISMATCH' end"
 
 
+def halfway_prices(spark, d):
+    """Each supplier's price at half of its quantity, by the selection over ranges that hot nodes take."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("w"))
+    return facts.halfway(x, ["l_suppkey"], "l_extendedprice", "w").withColumnRenamed("half", "median")
+
+
+HALFWAY_PRICES = """
+with r as (select l_suppkey, l_extendedprice, sum(l_quantity) over (partition by l_suppkey order by l_extendedprice) as run, sum(l_quantity) over (partition by l_suppkey) as total from lineitem)
+select l_suppkey, min(l_extendedprice) as median from r where run >= total / 2 group by l_suppkey
+"""
+
+
+def finding_evidence(spark, d):
+    """How many observations the findings of each rule rest on: joined by node and document."""
+    obs, none = earlier(spark, d), rates(spark)
+    _, f = findings.verify(obs, none, rules=(rules.cross_source, rules.unsupported, rules.cap_table))
+    e = findings.evidence(f, obs, none)
+    return e.groupBy("session_id", F.substring("ref_code", 1, 3).alias("of"), "filename").agg(F.count(F.lit(1)).alias("n"))
+
+
+FINDING_EVIDENCE = f"""
+with {_seam(OBS)}, k as (select *, count(*) over (partition by session_id, period) as holders from n where metric = 'ownership'),
+dk as (select session_id, metric, period, basis, subject from obs group by all having bool_and(doc = 'deck')),
+pr as (select distinct session_id, period from n where docs >= 2),
+q as (select n.*, (high - low) / abs(consensus) * 100 as pct from n where docs >= 2),
+u as (select o.session_id, 'REV' as of, o.doc from obs o join q using (session_id, metric, period, basis, subject)
+  union all select o.session_id, case o.metric when 'revenue' then 'REV' when 'customer_base' then 'CUS' end, o.doc from obs o join dk using (session_id, metric, period, basis, subject)
+  union all select o.session_id, 'OWN', o.doc from obs o join k using (session_id, metric, period, basis, subject) where k.holders >= 2)
+select session_id, of, doc as filename, count(*) as n from u group by all
+"""
+
 AUDIT = f"""
 with f as (
   select session_id, rule_id, 'revenue' as metric_key, period_key, {_graded('delta_pct', 'tolerance_pct')} as classification, 'cross_doc_consistency' as pillar from ({_seam(RULE_CROSS_SOURCE)})
@@ -517,12 +548,12 @@ QUERIES = {
     "rule_temporal": rule_temporal, "rule_growth_seam": rule_growth_seam, "rule_coverage": rule_coverage, "rule_plausibility": rule_plausibility, "rule_cap_table": rule_cap_table, "severity_factors": severity_factors,
     "pillar_scores": pillar_scores, "readiness_score": readiness_score, "class_counts": class_counts, "top_findings_per_pillar": top_findings_per_pillar, "adjudicate_tolerance": adjudicate_tolerance,
     "adjudicate_authoritative": adjudicate_authoritative, "adjudicate_accept": adjudicate_accept, "adjudicate_diff": adjudicate_diff, "narratives": narratives, "report_questions": report_questions,
-    "figure_matrix": figure_matrix, "earlier_matrix": earlier_matrix, "earlier_claims": earlier_claims, "audit": audit,
+    "figure_matrix": figure_matrix, "earlier_matrix": earlier_matrix, "earlier_claims": earlier_claims, "audit": audit, "halfway_prices": halfway_prices, "finding_evidence": finding_evidence,
 }
 ORACLES = {
     "star_nodes": STAR_NODES, "scale_anchor": SCALE_ANCHOR, "graph_stats": GRAPH_STATS, "unique_nodes": UNIQUE_NODES, "rule_cross_source": RULE_CROSS_SOURCE, "rule_identities": RULE_IDENTITIES, "rule_rollups": RULE_ROLLUPS,
     "rule_temporal": RULE_TEMPORAL, "rule_growth_seam": RULE_GROWTH_SEAM, "rule_coverage": RULE_COVERAGE, "rule_plausibility": RULE_PLAUSIBILITY, "rule_cap_table": RULE_CAP_TABLE, "severity_factors": SEVERITY_FACTORS,
     "pillar_scores": PILLAR_SCORES, "readiness_score": READINESS_SCORE, "class_counts": CLASS_COUNTS, "top_findings_per_pillar": TOP_FINDINGS_PER_PILLAR, "adjudicate_tolerance": ADJUDICATE_TOLERANCE,
     "adjudicate_authoritative": ADJUDICATE_AUTHORITATIVE, "adjudicate_accept": ADJUDICATE_ACCEPT, "adjudicate_diff": ADJUDICATE_DIFF, "narratives": NARRATIVES, "report_questions": REPORT_QUESTIONS,
-    "figure_matrix": FIGURE_MATRIX, "earlier_matrix": EARLIER_MATRIX, "earlier_claims": EARLIER_CLAIMS, "audit": AUDIT,
+    "figure_matrix": FIGURE_MATRIX, "earlier_matrix": EARLIER_MATRIX, "earlier_claims": EARLIER_CLAIMS, "audit": AUDIT, "halfway_prices": HALFWAY_PRICES, "finding_evidence": FINDING_EVIDENCE,
 }
