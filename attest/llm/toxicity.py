@@ -111,8 +111,8 @@ def _vectors(texts: DataFrame, s: Settings) -> list[np.ndarray]:
                 cuts = np.flatnonzero(np.diff(which, prepend=-1))
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(found, cuts[1:])] if len(cuts) else [], pa.binary())], names=["f"])
 
-    got = sorted(r["f"] for r in texts.select("text").mapInArrow(run, "f binary").collect())
-    return [np.frombuffer(x, np.uint64) for x in got]
+    got = texts.select("text").mapInArrow(run, "f binary").toArrow().column("f").to_pylist()
+    return [np.frombuffer(x, np.uint64) for x in sorted(got)]
 
 
 def _kept(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, s: Settings) -> np.ndarray:
@@ -122,8 +122,10 @@ def _kept(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, s: Set
     """
     keys, n = np.unique(np.concatenate(toxic), return_counts=True)
     keys, n = keys[n >= s.least], n[n >= s.least]
-    at = places(keys, np.concatenate([np.zeros(0, np.uint64), *other]))
-    m = np.bincount(at[at >= 0], minlength=len(keys))
+    m = np.zeros(len(keys), np.int64)
+    for v in other:
+        at = places(keys, v)
+        m[at[at >= 0]] += 1
     theirs = prior * n / len(toxic) * len(other)
     clean = np.maximum(m - theirs, 1 - prior) / ((1 - prior) * len(other))
     by_chance = len(toxic) * clean
@@ -133,11 +135,14 @@ def _kept(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, s: Set
     return np.sort(keys[np.argsort(-n, kind="stable")[: s.features]])
 
 
-def _rows(vectors: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _columns(vectors: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each text's kept features; the others are let go text by text."""
+    return [at[at >= 0] for at in (places(keys, v) for v in vectors)]
+
+
+def _rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """(row, column) of a sparse matrix of presences, and its number of rows."""
-    row = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
-    column = places(keys, np.concatenate([np.zeros(0, np.uint64), *vectors]))
-    return row[column >= 0], column[column >= 0], len(vectors)
+    return np.repeat(np.arange(len(columns)), [len(c) for c in columns]), np.concatenate([np.zeros(0, np.int64), *columns]), len(columns)
 
 
 def _train(p: tuple, u: tuple, n: int, prior: float, s: Settings) -> tuple[np.ndarray, float]:
@@ -179,8 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     if not toxic or not other:
         return Model(s, np.zeros(0, np.uint64), np.zeros(0), None, prior)
     keys = _kept(toxic, other, prior, s)
-    p, order = _rows(toxic, keys), np.random.default_rng(s.seed).permutation(len(other))
-    found = [_train(p, _rows([other[i] for i in order[k :: s.classifiers]] or other, keys), len(keys), prior, s) for k in range(s.classifiers)]
+    p, u = _rows(_columns(toxic, keys)), _columns(other, keys)
+    order = np.random.default_rng(s.seed).permutation(len(u))
+    found = [_train(p, _rows([u[i] for i in order[k :: s.classifiers]] or u), len(keys), prior, s) for k in range(s.classifiers)]
     return Model(s, keys, np.mean([w for w, _ in found], axis=0), float(np.mean([b for _, b in found])), prior)
 
 
