@@ -221,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
         yield from flush()
 
     # a part that two tasks read, or that has more units than are held at a time, sends some twice
-    dealt = parted.select("__part", F.col(text).alias("t")).mapInPandas(distinct, "part long, unit string").repartition("unit").distinct()
+    dealt = mapped(parted.select("__part", F.col(text).alias("t")), distinct, "part long, unit string").repartition("unit").distinct()
     # both sides below read all columns of one exchange, which is then made once
     apart = dealt.groupBy("unit").agg(F.min("part").alias("any")).where("any is not null").select("unit")
     short = "array<smallint>" if max([*vocabulary.byte_ids, *(i for _, i, _ in vocabulary.pieces)]) < 1 << 15 else "array<int>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -174,6 +175,15 @@ def words_of_texts(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarra
             yield i, hashes[cuts[i - first] : cuts[i - first + 1]]
 
 
+def returned() -> None:
+    """Gives memory that a task has freed back to the system: Spark reuses Python workers for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def _series(column: pa.Array) -> pd.Series:
     """A column without loss: whole numbers and flags that have nulls, and nested values, as Python objects."""
     kind = column.type
@@ -196,6 +206,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
         for frame in run(frames):
             columns = [frame[f.name] for f in to]
             yield pa.RecordBatch.from_arrays([pa.array(c.tolist() if c.dtype == object else c.to_numpy(), f.type) for c, f in zip(columns, to, strict=True)], schema=to)
+        returned()
 
     return df.mapInArrow(convert, schema)
 
