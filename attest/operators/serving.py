@@ -83,7 +83,8 @@ def band_counts(f: DataFrame) -> DataFrame:
 def history(reports: DataFrame) -> DataFrame:
     """The columns of each session's report that a list of sessions shows, latest first if it tells when."""
     shown = [c for c in ("session_id", "company_name", "status", "score", "band", "ceiling", "verified_mismatch", "unresolved_inconsistency", "missing_information", "unusual_assumption_change", "verified_consistent", "rulepack_version", "created_at") if c in reports.columns]
-    return reports.select(*shown)
+    rows = reports.select(*shown)
+    return rows.orderBy(F.desc("created_at"), "session_id") if "created_at" in shown else rows
 
 
 def stale(reports: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
