@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attest.plans.rulepack import TOLERANCE_POINTS, RulePack, looked_up
+from attest.plans.settings import settled
 from attest.sources.session import once
 
 NODE = ("session_id", "metric_key", "period_key", "basis_class", "currency_scope", "subject")
@@ -164,9 +165,11 @@ def _spread(g: DataFrame, half: Column, pack: RulePack) -> DataFrame:
     free = F.col("blocked_reason").isNull()
     g = g.withColumns({"low": F.when(free, F.col("low")), "high": F.when(free, F.col("high"))}).drop("stop")
     tolerance, points = tolerance_of(F.col("metric_key"), F.col("unit"), pack)
+    g = settled(g, pack.own, "tolerance", "metric_key", "own_tolerance")
+    tolerance = F.coalesce("own_tolerance", tolerance)
     g = g.withColumns({"consensus": F.when(F.col("blocked_reason").isNull(), half), "spread_abs": F.col("high") - F.col("low"), "tolerance": tolerance, "in_points": points})
     size = F.abs("consensus")
-    return g.withColumn("spread_pct", F.when(size > 0, F.col("spread_abs") / size * 100).when(F.col("spread_abs") == 0, 0.0))
+    return g.drop("own_tolerance").withColumn("spread_pct", F.when(size > 0, F.col("spread_abs") / size * 100).when(F.col("spread_abs") == 0, 0.0))
 
 
 def _far(value: Column) -> Column:

@@ -12,6 +12,7 @@ from attest.functions.text import numbered, rounded
 from attest.operators.facts import NODE, anchored, nodes, scale_anchor, tolerance_of
 from attest.operators.rules import RULES
 from attest.plans.rulepack import ABBREVIATIONS, BASE_WEIGHTS, DECK, FAVOURABLE_DOWN, FAVOURABLE_UP, IMPORTANCE, PILLARS, TIERS, RulePack, looked_up, unit_of
+from attest.plans.settings import settled
 
 CLASSES = ("VERIFIED_MISMATCH", "UNRESOLVED_INCONSISTENCY", "MISSING_INFORMATION", "UNUSUAL_ASSUMPTION_CHANGE", "VERIFIED_CONSISTENT")
 _BLOCKING = ("currency_mismatch", "period_ambiguous", "basis_mismatch", "unit_unknown", "no_value")
@@ -21,7 +22,7 @@ def materiality(pack: RulePack) -> Column:
     """0.4 to 2: log-scaled excess over the tolerance and size against the session's anchor, by importance."""
     importance = F.coalesce(looked_up(F.col("metric_key"), IMPORTANCE), F.lit(0.5))
     unit = F.coalesce(unit_of(F.col("metric_key")), F.lit("currency"))
-    tolerance = F.greatest(F.coalesce("tolerance_pct", "tolerance_abs", tolerance_of(F.col("metric_key"), F.lit("currency"), pack)[0]), F.lit(0.1))
+    tolerance = F.greatest(F.coalesce("tolerance_pct", "tolerance_abs", "own_tolerance", tolerance_of(F.col("metric_key"), F.lit("currency"), pack)[0]), F.lit(0.1))
     delta = F.abs(F.coalesce("delta_pct", "delta_abs"))
     rel = F.least(F.log10(1 + delta / tolerance) / F.log10(F.lit(1 + pack.saturation)), F.lit(1.0))
     size = F.abs("delta_abs")
@@ -83,14 +84,15 @@ def classified(pack: RulePack) -> tuple[Column, Column]:
 def scored(found: DataFrame, anchor: DataFrame, pack: RulePack) -> DataFrame:
     """Findings with factors, severity, band, class and pillar; confirmations have severity 0."""
     f = found.join(anchor, "session_id", "left")
-    f = f.withColumns({"base": looked_up(F.col("rule_class"), BASE_WEIGHTS), "materiality": materiality(pack), "confidence": confidence(), "direction": direction(), "corroboration": corroboration()})
+    f = settled(settled(f, pack.own, "tolerance", "metric_key", "own_tolerance"), pack.own, "weight", "rule_class", "own_weight")
+    f = f.withColumns({"base": F.coalesce("own_weight", looked_up(F.col("rule_class"), BASE_WEIGHTS)), "materiality": materiality(pack), "confidence": confidence(), "direction": direction(), "corroboration": corroboration()})
     kind, why = classified(pack)
     f = f.withColumns({"classification": kind, "classification_reason": why})
     raw = F.greatest(F.least(F.col("base") * F.col("materiality") * F.col("confidence") * F.col("direction") * F.col("corroboration"), F.lit(100.0)), F.lit(0.0))
     confirmed = F.col("classification") == "VERIFIED_CONSISTENT"
     band = F.when(confirmed, "NONE").when(raw >= 30, "CRITICAL").when(raw >= 18, "HIGH").when(raw >= 9, "MEDIUM").otherwise("MINOR")
     pillar = reduce(lambda c, p: c.when(F.col("rule_class").isin(*p[1][1]), p[0]), PILLARS.items(), F.when(F.lit(False), ""))
-    return f.withColumns({"severity": F.when(confirmed, 0.0).otherwise(rounded(raw, 1)), "severity_band": band, "pillar": pillar}).drop("anchor")
+    return f.withColumns({"severity": F.when(confirmed, 0.0).otherwise(rounded(raw, 1)), "severity_band": band, "pillar": pillar}).drop("anchor", "own_tolerance", "own_weight")
 
 
 def resolved(f: DataFrame) -> DataFrame:

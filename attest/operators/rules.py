@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attest.functions.text import figure_text, plain_number, rounded
 from attest.operators.facts import currencies, unique_nodes
 from attest.plans.rulepack import BANDS, DECK, FLOWS, GROWTH_METRICS, MARGIN_METRICS, NEW_INVESTOR, OPTION_POOL, RulePack, looked_up, unit_of
+from attest.plans.settings import settled
 
 FINDING = {
     "session_id": "string", "rule_class": "string", "rule_id": "string", "metric_key": "string", "period_key": "string", "node_key": "string",
@@ -337,17 +338,25 @@ def likely_cause(metric: Column, value: Column) -> Column:
     return F.coalesce(*[F.when(test, hint) for test, hint in hints])
 
 
-def _breach(value: Column, metric: Column) -> tuple[Column, Column, Column]:
-    low, high = looked_up(metric, {k: v[0] for k, v in BANDS.items()}), looked_up(metric, {k: v[1] for k, v in BANDS.items()})
+def _banded(rows: DataFrame, pack: RulePack) -> DataFrame:
+    """rows with the ends of their metric's band, the session's own ones first."""
+    ends = {name: looked_up(F.col("metric_key"), {k: v[i] for k, v in BANDS.items()}) for i, name in enumerate(("low", "high"))}
+    for name in ends:
+        rows = settled(rows, pack.own, name, "metric_key", f"band_{name}")
+    return rows.withColumns({f"band_{name}": F.coalesce(f"band_{name}", end) for name, end in ends.items()})
+
+
+def _breach(value: Column) -> tuple[Column, Column, Column]:
+    low, high = F.col("band_low"), F.col("band_high")
     bound = F.when(value > high, high).when(value < low, low)
     return bound, F.when(value > high, "max").when(value < low, "min"), gap_pct(value, bound)
 
 
 def plausible(n: DataFrame, pack: RulePack) -> DataFrame:
     """R6: stated values, and ratios that nobody states, outside their bands."""
-    bound, side, pct = _breach(F.col("consensus"), F.col("metric_key"))
+    bound, side, pct = _breach(F.col("consensus"))
     stated = _rows(
-        n.where(bound.isNotNull()),
+        _banded(n, pack).where(bound.isNotNull()),
         "R6",
         rule_id=F.concat(F.lit("R6.band."), "metric_key"),
         stated="consensus",
@@ -369,7 +378,8 @@ def plausible(n: DataFrame, pack: RulePack) -> DataFrame:
             below = one.where(F.col("metric_key") == x.terms[1][1]).select(*at, F.col("consensus").alias("below"), F.col("obs").alias("more"))
             said = n.where(F.col("metric_key") == x.result).select(*at)
             got = top.join(below, at).join(said, at, "left_anti").withColumn("value", F.try_divide("consensus", "below") * x.scale)
-            bound, side, pct = _breach(F.col("value"), F.lit(x.result))
+            got = _banded(got.withColumn("metric_key", F.lit(x.result)), pack)
+            bound, side, pct = _breach(F.col("value"))
             out.append(
                 _rows(
                     got.where(bound.isNotNull()), "R6", rule_id=F.lit(f"R6.derived.{x.id}"), metric_key=F.lit(x.result), stated="value", computed=bound, delta_abs=F.col("value") - bound,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rule weights, tolerances, importances, directions and tiers of the rule pack.
@@ -125,11 +125,17 @@ class RulePack:
     burn_drop: float = 40.0
     growth_floor: float = 100_000.0
     ownership_points: float = 0.1
+    #: Settings of sessions that go before these numbers, as a table (see settings.py).
+    own: DataFrame | None = field(default=None, compare=False)
 
     def with_tolerance(self, metric: str, pct: float) -> "RulePack":
         """A copy in which a metric has another tolerance; nothing is changed in place."""
         return replace(self, tolerance_pct=self.tolerance_pct | {metric: pct})
 
+    def with_settings(self, own: DataFrame) -> "RulePack":
+        """A copy in which sessions have settings of their own."""
+        return replace(self, own=own)
+
 
 def looked_up(key: Column, table: dict, kind: str = "double") -> Column:
     """The table's value for a key, null without one; the table is a literal of the plan."""

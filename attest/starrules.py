@@ -15,7 +15,9 @@ from attest.functions.period import fiscal_quarter, fiscal_start, year_label
 from attest.functions.text import rounded
 from attest.operators import adjudicate, explain, facts, findings, rules, serving
 from attest.plans.rulepack import RulePack
-from attest.sources.session import once
+from attest.plans.settings import SETTING
+from attest.refresh import Ledger, refresh
+from attest.sources.session import once, shared
 
 #: The first fiscal year that counts as a projection.
 AHEAD = 1999
@@ -528,6 +530,43 @@ u as (select o.session_id, 'REV' as of, o.doc from obs o join q using (session_i
 select session_id, of, doc as filename, count(*) as n from u group by all
 """
 
+def session_tolerances(spark, d):
+    """Cross-source findings where most sessions have a tolerance of their own, and the others a common one."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    own = nation.where("n_nationkey % 4 <> 0").selectExpr("cast(n_nationkey as string) as session_id", "'tolerance' as item", "'revenue' as key", "cast((n_nationkey % 5 + 1) * 10 as double) as value", "1L as version")
+    common = spark.createDataFrame([(None, "tolerance", "revenue", 2.0, 1), (None, "tolerance", "revenue", 60.0, 2)], SETTING)
+    _, f = findings.verify(observations(spark, d), rates(spark), RulePack().with_settings(own.unionByName(common)), rules=(rules.cross_source,))
+    return f.select("session_id", "period_key", F.col("tolerance_pct").alias("tolerance"), _r("delta_pct").alias("delta_pct"), "classification", "dissenting")
+
+
+SESSION_TOLERANCES = f"""
+with {OBS}, t as (select cast(n_nationkey as varchar) as session_id, cast(case when n_nationkey % 4 = 0 then 60 else (n_nationkey % 5 + 1) * 10 end as double) as tolerance from nation),
+q as (select n.*, tolerance, (high - low) / abs(consensus) * 100 as pct from n join t using (session_id) where docs >= 2),
+o as (select w.session_id, w.period, w.basis, count(distinct doc) as dissenting from w join q using (session_id, metric, period, basis, subject) where abs(value - q.consensus) / abs(q.consensus) * 100 > tolerance group by all)
+select session_id, period as period_key, tolerance, {_s('pct')} as delta_pct, {_graded('floor(pct * 1e9 + 0.5) / 1e9', 'tolerance')} as classification, coalesce(dissenting, 0) as dissenting from q left join o using (session_id, period, basis)
+"""
+
+
+def refreshed(spark, d):
+    """Findings after the statements of one region were replaced by doubled ones: only its sessions are checked again."""
+    ledger, none, checks = Ledger.at(spark, shared(spark), buckets=16), rates(spark), (rules.cross_source,)
+    obs = once(observations(spark, d))
+    ledger.observations.append(obs)
+    refresh(ledger, none, rules=checks)
+    region = spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 2").select(F.col("n_nationkey").cast("string").alias("session_id"))
+    value = F.when(F.col("document_id") == "fs", F.col("value_base") * 2).otherwise(F.col("value_base"))
+    ledger.observations.replace(obs.join(region, "session_id", "left_semi").withColumn("value_base", value))
+    done = refresh(ledger, none, rules=checks)
+    f = ledger.findings.read().join(done, "session_id")
+    return f.groupBy("session_id", "action", "classification").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("severity"), 1).alias("severity"))
+
+
+_REGION = "(select cast(n_nationkey as varchar) from nation where n_regionkey = 2)"
+_DOUBLED = OBS.replace("'revenue' as metric, gross / 100 as value", f"'revenue' as metric, gross / 100 * case when session_id in {_REGION} then 2 else 1 end as value")
+REFRESHED = f"""
+with {_DOUBLED}, {_FOUND} select session_id, case when session_id in {_REGION} then 'checked' else 'carried' end as action, class as classification, count(*) as n, {_s('sum(severity)', 1)} as severity from f group by all
+"""
+
 AUDIT = f"""
 with f as (
   select session_id, rule_id, 'revenue' as metric_key, period_key, {_graded('delta_pct', 'tolerance_pct')} as classification, 'cross_doc_consistency' as pillar from ({_seam(RULE_CROSS_SOURCE)})
@@ -549,6 +588,7 @@ QUERIES = {
     "pillar_scores": pillar_scores, "readiness_score": readiness_score, "class_counts": class_counts, "top_findings_per_pillar": top_findings_per_pillar, "adjudicate_tolerance": adjudicate_tolerance,
     "adjudicate_authoritative": adjudicate_authoritative, "adjudicate_accept": adjudicate_accept, "adjudicate_diff": adjudicate_diff, "narratives": narratives, "report_questions": report_questions,
     "figure_matrix": figure_matrix, "earlier_matrix": earlier_matrix, "earlier_claims": earlier_claims, "audit": audit, "halfway_prices": halfway_prices, "finding_evidence": finding_evidence,
+    "session_tolerances": session_tolerances, "refreshed": refreshed,
 }
 ORACLES = {
     "star_nodes": STAR_NODES, "scale_anchor": SCALE_ANCHOR, "graph_stats": GRAPH_STATS, "unique_nodes": UNIQUE_NODES, "rule_cross_source": RULE_CROSS_SOURCE, "rule_identities": RULE_IDENTITIES, "rule_rollups": RULE_ROLLUPS,
@@ -556,4 +596,5 @@ ORACLES = {
     "pillar_scores": PILLAR_SCORES, "readiness_score": READINESS_SCORE, "class_counts": CLASS_COUNTS, "top_findings_per_pillar": TOP_FINDINGS_PER_PILLAR, "adjudicate_tolerance": ADJUDICATE_TOLERANCE,
     "adjudicate_authoritative": ADJUDICATE_AUTHORITATIVE, "adjudicate_accept": ADJUDICATE_ACCEPT, "adjudicate_diff": ADJUDICATE_DIFF, "narratives": NARRATIVES, "report_questions": REPORT_QUESTIONS,
     "figure_matrix": FIGURE_MATRIX, "earlier_matrix": EARLIER_MATRIX, "earlier_claims": EARLIER_CLAIMS, "audit": AUDIT, "halfway_prices": HALFWAY_PRICES, "finding_evidence": FINDING_EVIDENCE,
+    "session_tolerances": SESSION_TOLERANCES, "refreshed": REFRESHED,
 }

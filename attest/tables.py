@@ -76,6 +76,28 @@ class SessionTable:
         got = self._read([p for b, p in self._folders().items() if b == bucket])
         return None if got is None else got.where(F.col(self.key) == session)
 
+    def among(self, sessions: DataFrame) -> DataFrame | None:
+        """The rows of the sessions that a table names: only their buckets are opened."""
+        wanted = sessions.select(self.key).distinct()
+        got = self._read(self._folders_of(wanted))
+        return None if got is None else got.join(wanted, self.key, "left_semi")
+
+    def _folders_of(self, sessions: DataFrame) -> list[str]:
+        touched = {r[0] for r in sessions.select(self._bucket()).distinct().collect()}  # buckets, so of fixed number
+        return [p for b, p in sorted(self._folders().items()) if b in touched]
+
+    def since(self, seen: set[str]) -> tuple[DataFrame | None, DataFrame]:
+        """(the rows of buckets whose folder is not among those seen, with their folder as `source`; all folders now).
+
+        A bucket's folder changes with each change that touches it, so what is in a folder that was seen is as it was.
+        """
+        now = self._folders()
+        folders = self.spark.createDataFrame(sorted(now.items()), VERSION).select(F.col("bucket").alias("__b"), F.col("path").alias("source"))
+        got = self._read(sorted(p for p in now.values() if p not in seen))
+        if got is not None:
+            got = got.withColumn("__b", self._bucket()).join(folders, "__b").drop("__b")
+        return got, folders.select("source")
+
     def append(self, rows: DataFrame) -> None:
         """Adds rows to those that their sessions have."""
         self._change(rows, None)
