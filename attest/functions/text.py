@@ -102,8 +102,8 @@ def numbered(n: Column, width: int) -> Column:
 
 
 def plain_number(value: Column, places: int) -> Column:
-    """A number with up to some decimals and no trailing zeros: 37.5, 38."""
-    fixed = F.format_string(f"%.{places}f", rounded(value, places))
+    """A number with up to some decimals and no trailing zeros: 37.5, 38; null for null, which formats would spell out."""
+    fixed = F.when(value.isNotNull(), F.format_string(f"%.{places}f", rounded(value, places)))
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 

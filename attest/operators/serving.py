@@ -50,13 +50,32 @@ def count_by(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
     return g.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("counts"))
 
 
+def named_metric() -> Column:
+    """A metric with its subject in brackets, if it has one."""
+    return F.when(F.col("subject").isNotNull() & ~F.col("subject").isin("-", ""), F.concat("metric_key", F.lit(" ("), "subject", F.lit(")"))).otherwise(F.col("metric_key"))
+
+
 def comparison_matrix(obs: DataFrame, categories: Sequence[str]) -> DataFrame:
     """Each metric (with its subject) and period: the last value of each category, and how many documents report it."""
-    named = F.when(F.col("subject").isNotNull() & ~F.col("subject").isin("-", ""), F.concat("metric_key", F.lit(" ("), "subject", F.lit(")"))).otherwise(F.col("metric_key"))
+    named = named_metric()
     last = [F.max_by("value_base", F.when(F.col("document_category") == c, F.col("ordinal"))).alias(c) for c in categories]
     return obs.where(comparable(F.col("period_key"))).groupBy("session_id", named.alias("metric_key"), "period_key").agg(*last, F.count_distinct("document_id").alias("source_count"))
 
 
+def comparison_section(obs: DataFrame) -> DataFrame:
+    """(session_id, metric_key, period_key, kinds, values, source_count): as comparison_matrix(), whatever kinds a session has.
+
+    kinds: the session's kinds of documents, in order; values: the last value of each kind that states one.
+    """
+    by = ["session_id", "metric_key", "period_key"]
+    kinds = obs.groupBy("session_id").agg(F.array_sort(F.collect_set("document_category")).alias("kinds"))
+    o = obs.where(comparable(F.col("period_key"))).select("session_id", named_metric().alias("metric_key"), "period_key", "document_category", "document_id", "value_base", "ordinal")
+    last = o.groupBy(*by, "document_category").agg(F.max_by("value_base", "ordinal").alias("v"), F.collect_set("document_id").alias("docs"))
+    kind = F.when(F.col("document_category").isNotNull(), F.struct("document_category", "v"))
+    rows = last.groupBy(*by).agg(F.map_from_entries(F.collect_list(kind)).alias("values"), F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).cast("long").alias("source_count"))
+    return rows.join(kinds, "session_id").select(*by, "kinds", "values", "source_count")
+
+
 def evidence_matrix(evidence: DataFrame, documents: int = 5, rows: int = 10) -> DataFrame:
     """(session_id, row, column, metric_key, period_key, filename, value): a view's first documents and rows, a report's size.
 
@@ -96,21 +115,30 @@ def tolerance_text() -> Column:
     return F.coalesce(F.concat(plain_number(F.col("tolerance_pct"), 4), F.lit("%")), F.concat(plain_number(F.col("tolerance_abs"), 4), F.lit("pp")), F.lit(""))
 
 
-def finding_section(f: DataFrame) -> DataFrame:
-    """The findings of a report, most severe first in each session, with the columns of its table."""
+def finding_rows(f: DataFrame) -> DataFrame:
+    """The findings of a report with the columns of its table."""
     files = F.array_join(F.array_distinct(F.transform("obs", lambda o: o["filename"])), "; ")
-    rows = f.select(
+    return f.select(
         "session_id", "ref_code", "classification", "severity", "severity_band", "pillar", "metric_key", "period_key", F.coalesce(F.col("words")["expression"], F.lit("")).alias("check"),
         F.coalesce(F.col("words")["substituted"], F.lit("")).alias("arithmetic"), rounded(F.col("delta_pct"), 2).alias("gap_pct"), tolerance_text().alias("tolerance"), files.alias("documents"),
         F.coalesce("narrative", F.lit("")).alias("explanation"), F.coalesce("follow_up_question", F.lit("")).alias("follow_up_question"),
     )
-    return rows.orderBy("session_id", F.desc("severity"), "ref_code")
 
 
-def figure_section(obs: DataFrame) -> DataFrame:
+def finding_section(f: DataFrame) -> DataFrame:
+    """finding_rows(), most severe first in each session."""
+    return finding_rows(f).orderBy("session_id", F.desc("severity"), "ref_code")
+
+
+def figure_rows(obs: DataFrame) -> DataFrame:
     """The figures of a report: each observation with its combined confidence."""
     sure = F.coalesce("conf_value", F.lit(1.0)) * F.coalesce("conf_label", F.lit(1.0)) * F.coalesce("conf_period", F.lit(1.0)) * F.coalesce("conf_parse", F.lit(1.0))
-    return obs.select("session_id", "filename", "document_category", "metric_key", "value_base", "currency", "unit", "period_key", "subject", "quote", rounded(sure, 3).alias("confidence")).orderBy("session_id", "metric_key", "period_key", "filename")
+    return obs.select("session_id", "filename", "document_category", "metric_key", "value_base", "currency", "unit", "period_key", "subject", "quote", rounded(sure, 3).alias("confidence"))
+
+
+def figure_section(obs: DataFrame) -> DataFrame:
+    """figure_rows() in order of metric, period and document."""
+    return figure_rows(obs).orderBy("session_id", "metric_key", "period_key", "filename")
 
 
 def legacy_matrix(metrics: DataFrame) -> DataFrame:
