@@ -14,6 +14,7 @@ from attest.operators.findings import class_counts, pillars, readiness
 from attest.operators.explain import questions, summaries
 from attest.operators.serving import comparison_section, figure_rows, finding_rows
 from attest.plans.rulepack import RulePack
+from attest.sources.session import once
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -105,8 +106,8 @@ def report_lines(report: DataFrame, f: DataFrame, obs: DataFrame) -> DataFrame:
 
 def csv_report(out: IO[str], session_id: str, report: DataFrame, f: DataFrame, obs: DataFrame) -> None:
     """One session's report as a CSV file in sections, with a byte order mark; lines pass one by one."""
-    own = [d.where(F.col("session_id") == session_id) for d in (report, f, obs)]
-    for r in report_lines(*own).orderBy(*_ORDER, "line").toLocalIterator():
+    report, f, obs = (d.where(F.col("session_id") == session_id) for d in (report, f, obs))
+    for r in report_lines(once(report), once(f), obs).orderBy(*_ORDER, "line").toLocalIterator():
         out.write(r.line + "\r\n")
 
 
@@ -115,11 +116,12 @@ def csv_reports(report: DataFrame, f: DataFrame, obs: DataFrame, path: str) -> N
 
     Executors write and sort the files in a draft; a rename then puts each in its place, over an older
     one if there is one, so a file is there as a whole or not at all. The driver sees names of files only.
-    Session ids are escaped as Spark escapes names of folders.
+    Session ids are escaped as Spark escapes names of folders. The report and the findings are written once
+    first, as each section reads them.
     """
     spark = report.sparkSession
     draft = f"{path}/_draft-{uuid.uuid4().hex}"
-    rows = report_lines(report, f, obs).withColumn("session_id", F.coalesce("session_id", F.lit("")))  # never null, so the writer adds no sort of its own
+    rows = report_lines(once(report), once(f), obs).withColumn("session_id", F.coalesce("session_id", F.lit("")))  # never null, so the writer adds no sort of its own
     laid = rows.repartition("session_id").sortWithinPartitions("session_id", *_ORDER, "line")
     laid.select("session_id", "line").write.option("lineSep", "\r\n").option("maxRecordsPerFile", 0).partitionBy("session_id").text(draft)
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
