@@ -47,11 +47,12 @@ def document_kind(text: Column, filename: Column | None = None) -> Column:
 
 
 def column_letter(index: Column) -> Column:
-    """A column's letters from its number: 0 is A, 26 is AA; up to three letters."""
-    letter = lambda i: F.char(F.lit(65) + i % 26)
-    two = F.floor(index / 26).cast("int") - 1
-    three = F.floor(two / 26).cast("int") - 1
-    return F.when(index < 26, letter(index)).when(index < 702, F.concat(letter(two), letter(index))).otherwise(F.concat(letter(three), letter(two), letter(index)))
+    """A column's letters from its number: 0 is A, 26 is AA, 18278 is AAAA; a negative number has none, up to 2**53 all do."""
+    letters, n = [], index.cast("long")
+    for _ in range(12):
+        letters.insert(0, F.when(n >= 0, F.char(65 + n % 26)))
+        n = F.floor(n / 26) - 1
+    return F.when(index.isNotNull(), F.concat_ws("", *letters))
 
 
 def is_percent_format(fmt: Column, shown: Column) -> Column:

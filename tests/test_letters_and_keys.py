@@ -1,8 +1,24 @@
-"""Questions in other letters than a to z."""
+"""Columns' letters beyond three, and questions in other letters than a to z."""
 
 from pyspark.sql import functions as F
 
 from attest.operators.explain import normalised_question
+from attest.sources.sheets import column_letter
+
+
+def letters(n: int) -> str:
+    out = ""
+    while n >= 0:
+        out, n = chr(65 + n % 26) + out, n // 26 - 1
+    return out
+
+
+def test_letters_of_any_column(spark):
+    numbers = [0, 25, 26, 701, 702, 16383, 18277, 18278, 19999, 475253, 475254, 26**7, 2**53 - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", column_letter(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: letters(n) for n in numbers}
+    odd = spark.createDataFrame([(None,), (-1,)], "n long").select(column_letter(F.col("n")).alias("s")).collect()
+    assert [r.s for r in odd] == [None, ""]
 
 
 def test_question_keys_hold_plain_letters_alone(spark):
