@@ -3,8 +3,8 @@
 Rare-first prefix filtering: n-grams are put in one order, by the number of distinct sets that hold them
 and then by hash; two sets of similarity t share an n-gram among the first |s| - ceil(t |s|) + 1 of
 each. Pairs of one such n-gram pass the length filter, the positional filter (how many n-grams can
-still be common before and after it; those of one set alone can't) and a suffix filter (a bit map of
-each set bounds the overlap), are made unique, and are verified once on the whole sets.
+still be common from it on, as if it were the first) and a suffix filter (a bit map of each set bounds
+the overlap), are made unique, and are verified once on the whole sets.
 
 The counts are of all sets: each part of the input sends its n-grams' hashes in buckets, which are summed,
 and gets back those that two sets or more have. Nothing of them is broadcast. Hashes are shortened to
@@ -185,10 +185,10 @@ class _Levels:
 
 
 def prefixes(d: DataFrame, reps: str, counts: str, s: Settings, bits: int) -> DataFrame:
-    """(rep, n, alone, prefix, pos, bits) of the chosen sets that can have a partner.
+    """(rep, n, prefix, pos, bits) of the chosen sets that can have a partner.
 
-    The order is rare first, by exact counts of sets. alone is how many n-grams no other set has: they
-    come first, can't be common, and are left out of prefix, whose places are in pos.
+    The order is rare first, by exact counts of sets. N-grams that no other set has come first, can't be
+    common, and are left out of prefix, whose places are in pos.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,14 +205,14 @@ def prefixes(d: DataFrame, reps: str, counts: str, s: Settings, bits: int) -> Da
             bits_ = np.zeros(map_words(len(g)), np.uint64)
             place = g % np.uint64(64 * len(bits_))
             np.bitwise_or.at(bits_, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-            out.append((doc, len(g), alone, g[order[alone:last]].view(np.int64), np.arange(alone, last, dtype=np.int32), bits_.view(np.int64)))
+            out.append((doc, len(g), g[order[alone:last]].view(np.int64), np.arange(alone, last, dtype=np.int32), bits_.view(np.int64)))
             if len(out) >= 500:
-                yield pd.DataFrame(out, columns=["rep", "n", "alone", "prefix", "pos", "bits"])
+                yield pd.DataFrame(out, columns=["rep", "n", "prefix", "pos", "bits"])
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["rep", "n", "alone", "prefix", "pos", "bits"])
+            yield pd.DataFrame(out, columns=["rep", "n", "prefix", "pos", "bits"])
 
-    return d.mapInPandas(run, "rep long, n int, alone int, prefix array<long>, pos array<int>, bits array<long>")
+    return d.mapInPandas(run, "rep long, n int, prefix array<long>, pos array<int>, bits array<long>")
 
 
 def _needed(x: Column, y: Column, percent: int) -> Column:
@@ -256,24 +256,19 @@ def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     maps = sets.select("rep", "n", "bits")
 
     # a star: each set meets the one of each n-gram that holds it earliest
-    met = sets.select("rep", "n", "alone", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select(F.col("p.prefix").alias("gram"), F.col("p.pos").alias("pos"), "rep", "n", "alone")
-    first = met.groupBy("gram").agg(F.min(F.struct("pos", "n", "rep", "alone")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
+    met = sets.select("rep", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select(F.col("p.prefix").alias("gram"), F.col("p.pos").alias("pos"), "rep", "n")
+    first = met.groupBy("gram").agg(F.min(F.struct("pos", "n", "rep")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
     met = written(met.join(first, "gram"), f"{folder}/met")
-    near = met.where(F.col("rep") != F.col("first.rep")).where(_near("n", "pos", "alone", "first.n", "first.pos", "first.alone", s.percent))
+    near = met.where(F.col("rep") != F.col("first.rep")).where(_near("n", "pos", "first.n", "first.pos", s.percent))
     stars = near.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b")).distinct()
     stars = written(_filtered(stars, maps, s), f"{folder}/pairs")
     links = written(_verified(stars, docs, s, key, text), f"{folder}/stars")
     found = components(links)
 
-    # what the stars left apart: each row meets those of other components than its n-gram's largest
-    labelled = met.join(found, met["rep"] == found["node"], "left").select("gram", "rep", "n", "pos", "alone", F.coalesce("component", "rep").alias("c"))
-    kinds = labelled.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = kinds.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("different")).where("different > 1").select("gram", F.col("top.c").alias("top"))
-    open_ = labelled.join(largest, "gram")
-    x, y = open_.where("c <> top").alias("x"), open_.alias("y")
-    apart = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & _near("x.n", "x.pos", "x.alone", "y.n", "y.pos", "y.alone", s.percent))
-    rest = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = written(_filtered(rest.join(stars, ["a", "b"], "left_anti"), maps, s), f"{folder}/rest-pairs")
+    # what the stars left apart, but for the pairs that they have tried
+    tried = stars.select("a", "b", F.lit(True).alias("tried"))
+    rest = _apart(met, found, s).withColumn("tried", F.lit(False)).unionByName(tried).groupBy("a", "b").agg(F.bool_or("tried").alias("tried"))
+    rest = written(_filtered(rest.where("not tried").select("a", "b"), maps, s), f"{folder}/rest-pairs")
     more = written(_verified(rest, docs, s, key, text), f"{folder}/rest")
     final = found if more.isEmpty() else components(links.unionByName(more))
 
@@ -284,13 +279,29 @@ def link_components(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _near(n: str, p: str, u: str, m: str, q: str, v: str, percent: int) -> Column:
-    """Length and positional filters: sizes n and m, places p and q of a shared n-gram, u and v n-grams that no other set has."""
+def _apart(met: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) of sets in different components: each meets those of other components than its n-gram's largest.
+
+    A pair may come once for each n-gram it shares.
+    """
+    labelled = met.join(found, met["rep"] == found["node"], "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+    kinds = labelled.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = kinds.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("different")).where("different > 1").select("gram", F.col("top.c").alias("top"))
+    open_ = labelled.join(largest, "gram")
+    x, y = open_.where("c <> top").alias("x"), open_.alias("y")
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & _near("x.n", "x.pos", "y.n", "y.pos", s.percent))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def _near(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """Length and positional filters: sizes n and m, places p and q of a shared n-gram.
+
+    The n-gram is taken for the first that is shared, so nothing before it is common. A pair that is
+    similar enough passes at its first one; at later ones it need not.
+    """
     x, y, i, j = F.col(n), F.col(m), F.col(p), F.col(q)
     length = (x * 100 >= y * percent) & (y * 100 >= x * percent)
-    # before the shared one, those of one set alone can't be common
-    most = F.least(x - i, y - j) + F.least(i - F.col(u), j - F.col(v))
-    return length & (most >= _needed(x, y, percent))
+    return length & (F.least(x - i, y - j) >= _needed(x, y, percent))
 
 
 def _filtered(pairs: DataFrame, maps: DataFrame, s: Settings) -> DataFrame:
