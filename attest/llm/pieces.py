@@ -54,7 +54,7 @@ _MOST_UNITS = 300_000
 #: Rows of a file that share what comes back: more rows, fewer units that go to several parts, but slower to put together.
 PART_ROWS = 8192
 #: Words that a worker remembers while it gathers units, and while it puts ids together; beyond, it starts anew.
-_MOST_SEEN, _MOST_WORDS = 30_000, 120_000
+_MOST_SEEN, _MOST_WORDS = 30_000, 300_000
 
 
 def _needed(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
                     yield pd.DataFrame({"part": np.full(len(some), part, np.int64), "unit": pd.Series(some, dtype=object)})
 
         for frame in frames:
-            for p, t in zip(frame["__part"], frame["t"], strict=True):
+            for p, t in zip(frame["__part"].tolist(), frame["t"].tolist(), strict=True):
                 if p != part or len(plain) + len(units) > _MOST_UNITS:
                     yield from flush()
                     part, plain, seen, units = p, set(), set(), set()
@@ -242,11 +242,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
                     table = None
                     part, words, table = p, {}, _Units(f"{where}/units", p)
                 texts = [words_of(t) if t else [] for t in some[text]]
-                new = set().union(*texts) - words.keys()
+                new = [w for w in set().union(*texts) if w not in words]  # a difference would go over all that is known
                 if len(words) + len(new) > _MOST_WORDS:
                     words = {}
-                    new = set().union(*texts)
-                words.update(table.of_words(list(new), cut))
+                    new = list(set().union(*texts))
+                words.update(table.of_words(new, cut))
                 arrays = [np.frombuffer(b"".join([words[w] for w in t]), np.int32) for t in texts]
                 made = finish(some[text].tolist(), arrays, spelled) if finish else pd.DataFrame({"ids": arrays})
                 yield pd.concat([some[kept], made], axis=1)
@@ -265,14 +265,21 @@ class _Units:
 
     def of_words(self, words: list[str], cut: re.Pattern) -> dict[str, bytes]:
         """The ids of each word as 32-bit numbers."""
-        lists = [spelled_units(w, cut) for w in words]
-        seen = list(dict.fromkeys(u for units in lists for u in units))
-        at = places(self.unit, np.fromiter((xxhash.xxh64_intdigest(utf8(u), 42) for u in seen), np.uint64, len(seen)).view(np.int64))
+        plain, others = [], []
+        for w in words:
+            (plain if w.isascii() and w.isalpha() else others).append(w)
+        lists = [cut.findall(BLANK + w.replace(" ", BLANK)) for w in others]
+        of = self._of_units(list({u for units in lists for u in units}))
+        out = {w: of[units[0]] if len(units) == 1 else b"".join([of[u] for u in units]) for w, units in zip(others, lists, strict=True)}
+        out.update(zip(plain, self._of_units([BLANK + w for w in plain]).values(), strict=True))  # one unit each
+        return out
+
+    def _of_units(self, units: list[str]) -> dict[str, bytes]:
+        at = places(self.unit, np.fromiter((xxhash.xxh64_intdigest(utf8(u), 42) for u in units), np.uint64, len(units)).view(np.int64))
         if (at < 0).any():
             raise ValueError("a unit has no ids: the texts are not those that were counted")
         at = self.order[at]
-        of = {u: self.ids[a:z] for u, a, z in zip(seen, self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)}
-        return {w: of[units[0]] if len(units) == 1 else b"".join([of[u] for u in units]) for w, units in zip(words, lists, strict=True)}
+        return {u: self.ids[a:z] for u, a, z in zip(units, self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)}
 
 
 def decoded(ids: np.ndarray, spelled: tuple[bytes, ...]) -> str:
