@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
-from attest.llm.shared import block_hashes, bucket_bits, chunked, delivered, firsts, hashed_blocks, mapped, mixed, packed, part_rows, parts_of, places, shared_folder, spans, text_bytes, unpacked, words_of_texts, written
+from attest.llm.shared import block_hashes, bucket_bits, chunked, delivered, firsts, hashed_blocks, mapped, mixed, packed, part_rows, parts_of, places, returned, shared_folder, spans, text_bytes, unpacked, words_of_texts, written
 
 #: Bytes of text for each bucket of n-grams.
 BUCKET = 4 << 20
 #: n-grams that a task counts at a time.
 _MOST = 3_000_000
+#: Runs of buckets that those are sent in.
+_SLICES = 32
 #: Ids of sets to fetch are broadcast up to so many (16 MB of longs); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 #: Words of 64 bits in the smallest map of a set's n-grams' hashes.
@@ -83,9 +85,9 @@ def sizes(d: DataFrame, s: Settings) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [grams(h, s.words) for _, h in words_of_texts(frame["t"].tolist())]
-            c1, c2 = zip(*[class_of(g) for g in sets], strict=True) if sets else ((), ())
-            yield pd.DataFrame({"part": frame["part"], "doc_id": frame["k"], "n_shingles": [len(g) for g in sets], "c1": np.array(c1, np.int64), "c2": np.array(c2, np.int64)})
+            sets = [(len(g), *class_of(g)) for g in (grams(h, s.words) for _, h in words_of_texts(frame["t"].tolist()))]
+            n, c1, c2 = zip(*sets, strict=True) if sets else ((), (), ())
+            yield pd.DataFrame({"part": frame["part"], "doc_id": frame["k"], "n_shingles": list(n), "c1": np.array(c1, np.int64), "c2": np.array(c2, np.int64)})
 
     return mapped(d, run, "part long, doc_id long, n_shingles long, c1 long, c2 long")
 
@@ -126,23 +128,29 @@ def _chosen_sets(frames: Iterator[pd.DataFrame], folder: str, words: int) -> Ite
 def asked_counts(d: DataFrame, reps: str, s: Settings, bits: int) -> DataFrame:
     """(part, bucket, keys, n): in how many chosen sets of each part its n-grams are."""
 
-    def blocks(part: int, held: list[np.ndarray]) -> pd.DataFrame:
+    def blocks(part: int, held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         g = np.concatenate(held)
+        held.clear()
         g.sort()
-        at = firsts(g)
-        return hashed_blocks(part, g[at], bits, n=np.minimum(np.diff(np.append(at, len(g))), 65535).astype(np.uint16))
+        # some buckets at a time, so that little is held beside the n-grams
+        for a, z in spans((g >> np.uint64(64 - bits)) // np.uint64(max(1, (1 << bits) // _SLICES))):
+            some = g[a:z]
+            at = firsts(some)
+            yield hashed_blocks(part, some[at], bits, n=np.minimum(np.diff(np.append(at, len(some))), 65535).astype(np.uint16))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held, size = None, [], 0
         for p, _, g in _chosen_sets(frames, reps, s.words):
             if held and (p != part or size > _MOST):
-                yield blocks(part, held)
-                held, size = [], 0
+                yield from blocks(part, held)
+                size = 0
+                returned()
             part = p
             held.append(g)
             size += len(g)
         if held:
-            yield blocks(part, held)
+            yield from blocks(part, held)
+        returned()
 
     return d.mapInPandas(run, "part long, bucket long, keys binary, n binary")
 
@@ -195,6 +203,7 @@ def prefixes(d: DataFrame, reps: str, counts: str, s: Settings, bits: int) -> Da
         part, out = None, []
         for p, doc, g in _chosen_sets(frames, reps, s.words):
             if p != part:
+                levels = None  # not two at once
                 part, levels = p, _Levels(counts, p, bits)
             level = levels.of(g)
             alone = int((level == 1).sum())
@@ -211,6 +220,8 @@ def prefixes(d: DataFrame, reps: str, counts: str, s: Settings, bits: int) -> Da
                 out = []
         if out:
             yield pd.DataFrame(out, columns=["rep", "n", "prefix", "pos", "bits"])
+        levels = out = None
+        returned()
 
     return d.mapInPandas(run, "rep long, n int, prefix array<long>, pos array<int>, bits array<long>")
 
@@ -237,6 +248,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, key: str, text: st
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield frame.loc[keep, ["a", "b"]]
+        frame = None
+        returned()
 
     return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 

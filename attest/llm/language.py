@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunked(frames, text, 4_000_000):
+        for frame in chunked(frames, text, 1_000_000):
             yield pd.concat([frame, predict(frame[text].tolist(), held.value)], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
