@@ -92,7 +92,7 @@ def cells(obs: DataFrame, rates: DataFrame, pack: RulePack = RulePack()) -> Data
 
 def _half(points: Column) -> Column:
     """The least v of array<struct<v, w>> at which the weights, in order of v, reach half."""
-    ordered = F.array_sort(points)
+    ordered = F.sort_array(points)
     whole = F.aggregate(points, F.lit(0).cast("long"), lambda t, p: t + p["w"])
     state = F.struct(F.lit(0).cast("long").alias("run"), F.lit(None).cast("double").alias("v"))
     step = lambda t, p: F.struct((t["run"] + p["w"]).alias("run"), F.coalesce(t["v"], F.when(2 * (t["run"] + p["w"]) >= whole, p["v"])).alias("v"))
@@ -138,6 +138,16 @@ def _entry(mine: Column, node_key: Column, metric: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
+def _entry_of_one(c: Column, node_key: Column, metric: Column) -> Column:
+    """_entry() of a document's only cell."""
+    known = lambda at: F.when(c["v"].isNotNull(), F.struct(c["v"].alias("v"), (-c[at]).alias("at")))
+    fields = {
+        "ordinal": c["first"], **{k: c[k] for k in _DOCUMENT}, "metric_key": metric, "node_key": node_key, "n": c["n"], "value_base": c["b"], "weight": c["weight"],
+        "currencies": F.array(F.struct(c["cur"].alias("cur"), c["rate"].alias("rate"))), "first_value": c["v"], "last": c["last"], "last_value": c["v"], "high": known("first"), "low": known("last"),
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
 def _bound(value: Column, f) -> Column:
     """f(value), the value computed once."""
     return F.transform(F.array(value), f)[0]
@@ -181,18 +191,18 @@ def _far(value: Column) -> Column:
 def _folded(c: DataFrame, pack: RulePack) -> DataFrame:
     """Nodes of not too many distinct values: those meet in one row, and are folded there."""
     cell = F.struct("first", *_DOCUMENT, "cur", "rate", F.col("value_anchor").alias("v"), F.col("value_base").alias("b"), "n", F.col("units").alias("w"), "weight", "last", "blocked")
-    g = c.groupBy(*NODE).agg(*[F.first(k).alias(k) for k in _KEPT], F.array_sort(F.collect_list(cell)).alias("cells")).withColumn("node_key", F.concat_ws("|", *NODE[1:]))
-    documents = F.array_distinct(F.transform("cells", lambda x: F.struct(*[x[k].alias(k) for k in _DOCUMENT])))
+    blocked = F.when(F.col("blocked").isNotNull(), F.struct("first", "blocked"))
+    sums = {"n_obs": F.sum("n"), "stop": F.min(blocked), "low": F.min("value_anchor"), "high": F.max("value_anchor"), "confidence": F.least(F.lit(1.0), F.min("weight"))}
+    g = c.groupBy(*NODE).agg(*[F.first(k).alias(k) for k in _KEPT], F.sort_array(F.collect_list(cell)).alias("cells"), *[v.alias(k) for k, v in sums.items()]).withColumn("node_key", F.concat_ws("|", *NODE[1:]))
+    g = g.withColumn("documents", F.array_distinct(F.transform("cells", lambda x: F.struct(*[x[k].alias(k) for k in _DOCUMENT]))))
     of = lambda d: F.filter("cells", lambda x: F.struct(*[x[k].alias(k) for k in _DOCUMENT]).eqNullSafe(d))
-    obs = F.transform(documents, lambda d: _bound(of(d), lambda mine: _entry(mine, F.col("node_key"), F.col("metric_key"))))
+    names = F.col("node_key"), F.col("metric_key")
+    several = F.transform("documents", lambda d: _bound(of(d), lambda mine: _entry(mine, *names)))
+    # most documents say one thing on a node, which needs no search of its cells
+    obs = F.when(F.size("documents") == F.size("cells"), F.transform("cells", lambda c: _entry_of_one(c, *names))).otherwise(several)
     known = F.transform(F.filter("cells", lambda x: x["v"].isNotNull()), lambda x: F.struct(x["v"].alias("v"), x["w"].alias("w")))
-    stop = F.array_min(F.transform(F.filter("cells", lambda x: x["blocked"].isNotNull()), lambda x: F.struct(x["first"].alias("first"), x["blocked"].alias("blocked"))))
     zero = F.lit(0).cast("long")
-    g = g.select(
-        *NODE, "node_key", *_KEPT, "cells", F.array_sort(obs).alias("obs"), F.aggregate("cells", zero, lambda t, x: t + x["n"]).alias("n_obs"), stop.alias("stop"),
-        F.array_min(F.transform("cells", lambda x: x["v"])).alias("low"), F.array_max(F.transform("cells", lambda x: x["v"])).alias("high"),
-        F.least(F.lit(1.0), F.array_min(F.transform("cells", lambda x: x["weight"]))).alias("confidence"), F.get("cells", 0)["first"].alias("ordinal"), _half(known).alias("half"),
-    )
+    g = g.select(*NODE, "node_key", *_KEPT, "cells", F.sort_array(obs).alias("obs"), *sums, F.get("cells", 0)["first"].alias("ordinal"), _half(known).alias("half"))
     g = _spread(g, F.col("half"), pack).drop("half")
     wide = F.col("consensus").isNotNull() & (F.col("n_obs") > 1) & (F.col("low") < F.col("high"))
     g = g.withColumn("out", F.when(wide, F.filter("cells", lambda x: _far(x["v"]))))
