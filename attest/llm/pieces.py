@@ -36,25 +36,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm.quality import bound
-from attest.llm.shared import delivered, mapped, part_lists, parts_of, places, shared_folder, spans, utf8
+from attest.llm.shared import delivered, grouped, mapped, mixed, part_lists, parts_of, places, ranges, shared_folder, spans
 
 BLANK = "▁"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 #: Units by classes of letters, and the coarser units where some piece crosses a class.
 FINE = f"{BLANK}*[{_LETTERS}]+|{BLANK}*[^{_LETTERS}{BLANK}]+|{BLANK}+"
 COARSE = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
-_SPACED = re.compile(" *[^ ]+| +")
 #: The library's penalty for a character without a piece, below the least score.
 PENALTY = 10.0
 #: Longer pieces are few; they are looked for only where their first characters stand.
 SHORT = 4
 #: Units of more characters are decoded by following back pointers.
 LONG = 256
-_MOST_UNITS = 300_000
 #: Rows of a file that share what comes back: more rows, fewer units that go to several parts, but slower to put together.
 PART_ROWS = 8192
-#: Words that a worker remembers while it gathers units, and while it puts ids together; beyond, it starts anew.
-_MOST_SEEN, _MOST_WORDS = 30_000, 300_000
+#: Characters that are cut into units at a time, units that are sent at a time, and units of a part whose hashes are remembered; beyond, it starts anew.
+_RUN, _SENT, _MOST_KNOWN = 400_000, 50_000, 4_000_000
+#: A random number for each character, and for each place in a unit.
+_OF_CHAR = mixed(np.arange(0x110000, dtype=np.uint64) + np.uint64(0xC0FFEE))
+_OF_PLACE = mixed(np.arange(1024, dtype=np.uint64) + np.uint64(0xFACADE))
 
 
 def _needed(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
@@ -109,17 +110,104 @@ class Vocabulary:
         return spark.createDataFrame(pd.DataFrame(self.pieces, columns=["piece", "id", "score"]), "piece string, id int, score double")
 
 
-def words_of(text: str) -> list[str]:
-    """The text's words without the one blank before each; further blanks stay at their front."""
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        return [w[1:] for w in _SPACED.findall(" " + text)]
-    return text.split(" ")
+def kinds_of(units: str) -> np.ndarray:
+    """Of each character: 0 for the blank, else a number for its class, if units end with one."""
+    kinds = np.ones(0x110000, np.uint8)
+    if units == FINE:
+        kinds[:] = 2
+        for a, z in re.findall("(.)-(.)", _LETTERS):
+            kinds[ord(a) : ord(z) + 1] = 1
+    kinds[ord(BLANK)] = 0
+    return kinds
+
+
+def _segments(text: str) -> Iterator[str]:
+    """The text with its blanks' signs, cut before words where it is longer than what is handled at a time."""
+    text = BLANK + text.replace(" ", BLANK)
+    while len(text) > _RUN:
+        z = text.rfind(BLANK, 1, _RUN)
+        while z > 0 and text[z - 1] == BLANK:
+            z -= 1
+        if z <= 0:  # a word of that length stays whole
+            break
+        yield text[:z]
+        text = text[z:]
+    yield text
+
+
+@dataclass
+class _Run:
+    """Some texts' units: where each starts, its length and hash; of: the text that each segment is of; ends: the units up to each segment's end."""
+
+    of: list[int]
+    ends: np.ndarray
+    chars: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
 
-
-def spelled_units(word: str, cut: re.Pattern) -> list[str]:
-    if word.isascii() and word.isalpha():  # most words: one class of letters
-        return [BLANK + word]
-    return cut.findall(BLANK + word.replace(" ", BLANK))
+    @classmethod
+    def cut(cls, of: list[int], held: list[str], kinds: np.ndarray) -> "_Run":
+        chars = np.frombuffer("".join(held).encode("utf-32-le", "replace"), np.uint32)
+        ends = np.cumsum([len(x) for x in held])
+        kind, first = kinds[chars], np.ones(len(chars), bool)
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+        first[1:] &= kind[:-1] != 0  # blanks are at the front of a unit
+        first[ends[:-1]] = True
+        starts = np.flatnonzero(first)
+        sizes = np.diff(starts, append=len(chars))
+        place = np.arange(len(chars)) - np.repeat(starts, sizes)
+        longest = int(sizes.max())
+        of_place = _OF_PLACE if longest <= len(_OF_PLACE) else mixed(np.arange(longest, dtype=np.uint64) + np.uint64(0xFACADE))
+        hashes = mixed(np.add.reduceat(_OF_CHAR[chars] * of_place[place], starts))
+        return cls(of, np.searchsorted(starts, ends), chars, starts, sizes, hashes)
+
+    def spelled(self, which: np.ndarray) -> list[str]:
+        n = self.sizes[which]
+        ends = np.cumsum(n)
+        text = self.chars[ranges(self.starts[which], n)].tobytes().decode("utf-32-le")
+        return [text[a:z] for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+
+
+def _runs(texts: list[str | None], kinds: np.ndarray) -> Iterator[_Run]:
+    of, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        for x in _segments(t) if t else ():
+            if held and size + len(x) > _RUN:
+                yield _Run.cut(of, held, kinds)
+                of, held, size = [], [], 0
+            of.append(i)
+            held.append(x)
+            size += len(x)
+    if held:
+        yield _Run.cut(of, held, kinds)
+
+
+def gathered(frames: Iterator[pd.DataFrame], units: str) -> Iterator[pd.DataFrame]:
+    """(part, unit): the distinct units of each part's texts (__part, t), by their hashes."""
+    kinds, part, known, held = kinds_of(units), None, np.zeros(0, np.uint64), []
+
+    def sent() -> Iterator[pd.DataFrame]:
+        for i in range(0, len(held), _SENT):
+            some = held[i : i + _SENT]
+            yield pd.DataFrame({"part": np.full(len(some), part, np.int64), "unit": pd.Series(some, dtype=object)})
+        held.clear()
+
+    for frame in frames:
+        parts, texts = frame["__part"].to_numpy(), frame["t"].tolist()
+        for a, z in spans(parts):
+            if (p := int(parts[a])) != part:
+                yield from sent()
+                part, known = p, np.zeros(0, np.uint64)
+            for run in _runs(texts[a:z], kinds):
+                one, _ = grouped(run.hashes)
+                new = one[places(known, run.hashes[one]) < 0]
+                held += run.spelled(new)
+                known = np.zeros(0, np.uint64) if len(known) > _MOST_KNOWN else known
+                known = np.insert(known, np.searchsorted(known, run.hashes[new]), run.hashes[new])
+                if len(held) > _SENT:
+                    yield from sent()
+    yield from sent()
 
 
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -185,7 +273,7 @@ def _ids(path: Column, vocabulary: Vocabulary) -> Column:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=None, schema: str = "ids array<int>", carried: list[str] | None = None) -> DataFrame:
-    """docs with ids. finish(texts, arrays of ids) may give other columns, of the named schema.
+    """docs with ids. finish(texts, arrays of ids, spelling) may give other columns, of the named schema.
 
     carried: the columns of docs that come back (all by default).
     """
@@ -193,35 +281,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
     parted = parts_of(docs, PART_ROWS)
     cutter = vocabulary.units
 
-    def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # words of plain letters are units but for the blank before them, and are held without it
-        cut, part, plain, seen, units = re.compile(cutter), None, set(), set(), set()
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for held, front in ((plain, BLANK), (units, "")):
-                rest = sorted(held)
-                for i in range(0, len(rest), 50_000):
-                    some = [front + u for u in rest[i : i + 50_000]]
-                    yield pd.DataFrame({"part": np.full(len(some), part, np.int64), "unit": pd.Series(some, dtype=object)})
-
-        for frame in frames:
-            for p, t in zip(frame["__part"].tolist(), frame["t"].tolist(), strict=True):
-                if p != part or len(plain) + len(units) > _MOST_UNITS:
-                    yield from flush()
-                    part, plain, seen, units = p, set(), set(), set()
-                if t:
-                    if len(seen) > _MOST_SEEN:
-                        seen.clear()
-                    for w in set(words_of(t)) - plain - seen:
-                        if w.isascii() and w.isalpha():
-                            plain.add(w)
-                        else:
-                            seen.add(w)
-                            units.update(spelled_units(w, cut))
-        yield from flush()
-
-    # a part that two tasks read, or that has more units than are held at a time, sends some twice
-    dealt = mapped(parted.select("__part", F.col(text).alias("t")), distinct, "part long, unit string").repartition("unit").distinct()
+    # a part that two tasks read sends some twice
+    dealt = mapped(parted.select("__part", F.col(text).alias("t")), lambda frames: gathered(frames, cutter), "part long, unit string").repartition("unit").distinct()
     # both sides below read all columns of one exchange, which is then made once
     apart = dealt.groupBy("unit").agg(F.min("part").alias("any")).where("any is not null").select("unit")
     short = "array<smallint>" if max([*vocabulary.byte_ids, *(i for _, i, _ in vocabulary.pieces)]) < 1 << 15 else "array<int>"
@@ -234,57 +295,76 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", finish=N
 
     def assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spelled, units, where = held.value
-        cut, part, words, table = re.compile(units), None, {}, None
-        for frame in (f.iloc[i : i + 200] for f in frames for i in range(0, len(f), 200)):
+        spelling, kinds, part, table = Spelling(spelled), kinds_of(units), None, None
+        for frame in (f.iloc[i : i + 500] for f in frames for i in range(0, len(f), 500)):
             for a, z in spans(frame["__part"].to_numpy()):
                 some = frame.iloc[a:z].reset_index(drop=True)
                 if (p := int(some["__part"].iat[0])) != part:
                     table = None
-                    part, words, table = p, {}, _Units(f"{where}/units", p)
-                texts = [words_of(t) if t else [] for t in some[text]]
-                new = [w for w in set().union(*texts) if w not in words]  # a difference would go over all that is known
-                if len(words) + len(new) > _MOST_WORDS:
-                    words = {}
-                    new = list(set().union(*texts))
-                words.update(table.of_words(new, cut))
-                arrays = [np.frombuffer(b"".join([words[w] for w in t]), np.int32) for t in texts]
-                made = finish(some[text].tolist(), arrays, spelled) if finish else pd.DataFrame({"ids": arrays})
+                    part, table = p, _Units(f"{where}/units", p)
+                texts = some[text].tolist()
+                arrays = table.of_texts(texts, kinds)
+                made = finish(texts, arrays, spelling) if finish else pd.DataFrame({"ids": arrays})
                 yield pd.concat([some[kept], made], axis=1)
 
-    kinds = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in docs.schema if x.name in kept)
-    return mapped(parted, assemble, f"{kinds}{schema}").select(*kept, *names)
+    columns = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in docs.schema if x.name in kept)
+    return mapped(parted, assemble, f"{columns}{schema}").select(*kept, *names)
 
 
 class _Units:
-    """The units of one part of the input by their hashes, and their ids."""
+    """The units of one part of the input by their hashes, and their ids.
+
+    Units that were met are known by the hash that cutting gives them; at: their places in the table.
+    """
 
     def __init__(self, folder: str, part: int) -> None:
-        unit, ids, ends = part_lists(folder, part, "unit", "ids")
+        unit, self.ids, ends = part_lists(folder, part, "unit", "ids")
         self.order = np.argsort(unit)
-        self.unit, self.ids, self.ends = unit[self.order], ids.astype(np.int32).tobytes(), 4 * ends
-
-    def of_words(self, words: list[str], cut: re.Pattern) -> dict[str, bytes]:
-        """The ids of each word as 32-bit numbers."""
-        plain, others = [], []
-        for w in words:
-            (plain if w.isascii() and w.isalpha() else others).append(w)
-        lists = [cut.findall(BLANK + w.replace(" ", BLANK)) for w in others]
-        of = self._of_units(list({u for units in lists for u in units}))
-        out = {w: of[units[0]] if len(units) == 1 else b"".join([of[u] for u in units]) for w, units in zip(others, lists, strict=True)}
-        out.update(zip(plain, self._of_units([BLANK + w for w in plain]).values(), strict=True))  # one unit each
-        return out
-
-    def _of_units(self, units: list[str]) -> dict[str, bytes]:
-        at = places(self.unit, np.fromiter((xxhash.xxh64_intdigest(utf8(u), 42) for u in units), np.uint64, len(units)).view(np.int64))
+        self.unit, self.starts, self.sizes = unit[self.order], ends[:-1], np.diff(ends)
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of_texts(self, texts: list[str | None], kinds: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text as 32-bit numbers."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for run in _runs(texts, kinds):
+            at = self._of_run(run)
+            flat = self.ids[ranges(self.starts[at], self.sizes[at])].astype(np.int32)
+            ends = np.append(0, np.cumsum(self.sizes[at]))[run.ends]
+            for i, x in zip(run.of, np.split(flat, ends[:-1]), strict=True):
+                out[i].append(x)
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
+
+    def _of_run(self, run: _Run) -> np.ndarray:
+        """The place of each unit's ids in the table."""
+        one, inverse = grouped(run.hashes)
+        hashes = run.hashes[one]
+        if len(self.known) > _MOST_KNOWN:
+            self.known, self.at = self.known[:0], self.at[:0]
+        new = np.flatnonzero(places(self.known, hashes) < 0)
+        units = run.spelled(one[new])
+        at = places(self.unit, np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "replace"), 42) for u in units), np.uint64, len(units)).view(np.int64))
         if (at < 0).any():
             raise ValueError("a unit has no ids: the texts are not those that were counted")
-        at = self.order[at]
-        return {u: self.ids[a:z] for u, a, z in zip(units, self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)}
+        where = np.searchsorted(self.known, hashes[new])
+        self.known, self.at = np.insert(self.known, where, hashes[new]), np.insert(self.at, where, self.order[at])
+        return self.at[np.searchsorted(self.known, hashes)][inverse]
+
+
+class Spelling:
+    """The bytes of all ids in one array."""
+
+    def __init__(self, spelled: tuple[bytes, ...]) -> None:
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.data[ranges(self.starts[x], self.sizes[x])].tobytes() for x in (ids[i : i + _RUN] for i in range(0, len(ids), _RUN))])
 
 
-def decoded(ids: np.ndarray, spelled: tuple[bytes, ...]) -> str:
+def decoded(ids: np.ndarray, spelling: Spelling) -> str:
     """The text of ids; the blank that encoding puts first is taken off again."""
-    return b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
+    return spelling.of(ids).decode("utf-8", "replace").removeprefix(" ")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -293,19 +373,20 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
     held = encoded.sparkSession.sparkContext.broadcast(vocabulary.spelled)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spelling = Spelling(held.value)
         for frame in frames:
-            yield frame[kept].assign(**{text: [None if x is None else decoded(np.asarray(x, np.int64), held.value) for x in frame[ids]]})
+            yield frame[kept].assign(**{text: [None if x is None else decoded(np.asarray(x, np.int64), spelling) for x in frame[ids]]})
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in encoded.select(*kept).schema)
     return mapped(encoded.select(*kept), run, f"{kinds}, `{text}` string")
 
 
-def _digest(texts: list, arrays: list[np.ndarray], spelled: tuple[bytes, ...]) -> pd.DataFrame:
+def _digest(texts: list, arrays: list[np.ndarray], spelling: Spelling) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "n_pieces": [len(a) for a in arrays],
             "ids_crc32": [zlib.crc32(a.astype("<u4").tobytes()) for a in arrays],
-            "round_trip": [decoded(a, spelled) == (t or "").replace(BLANK, " ") for t, a in zip(texts, arrays, strict=True)],
+            "round_trip": [decoded(a, spelling) == (t or "").replace(BLANK, " ") for t, a in zip(texts, arrays, strict=True)],
         }
     )
 
