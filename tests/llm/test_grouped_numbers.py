@@ -65,3 +65,19 @@ def test_pairs_know_the_contexts_of_the_next_level(monkeypatch):
     n, at = one.count(np.array([0, 0, 0, -1]), np.array([9, 5, 6, 9], np.uint64) << np.uint64(32), np.array([True, True, True, False]))
     assert n.tolist() == [40, 3, 1, 0]
     assert one.next[at].tolist() == [0, -1, -1, -1] and two.context.tolist() == longer.tolist()
+
+
+@pytest.mark.parametrize("bits", [8, 25, 32])
+def test_numbers_of_words(bits):
+    """Frequent words of a bucket have the smallest numbers; words without one are told apart by their hashes."""
+    from attest.llm import suffix_tree as st
+
+    r = np.random.default_rng(8)
+    word = np.unique((np.uint64(3) << np.uint64(64 - bits)) | (r.integers(0, 1 << 63, 5000).astype(np.uint64) >> np.uint64(bits - 1)))
+    n = r.zipf(1.5, len(word)).clip(0, 10**6) - 1
+    got = st._numbers(word, n, bits)
+    some = got < 1 << 31
+    assert some.sum() == len(np.unique(got[some])) == min((n > 1).sum(), 1 << max(0, 31 - bits))
+    assert ((got[some] & np.uint32((1 << min(bits, 31)) - 1)) == 3).all()
+    assert (got[~some] == st._rare(word[~some])).all() and (np.diff(n[some][np.argsort(got[some])]) <= 0).all()
+    assert not some.any() or n[some].min() >= n[~some & (n > 1)].max(initial=0)
